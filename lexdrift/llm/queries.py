@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing, token_files
-from .common import documents, shared_dir
+from . import chat, exact, langid, media, mixing, near, packing, substrings, token_files
+from .common import documents, shared_dir, staged
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,61 @@ FROM rows r JOIN plans p ON r.source IS NOT DISTINCT FROM p.source
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.remove_repeats(documents(spark, sf_dir))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = staged(media.encode(documents(spark, sf_dir)))
+    tail = F.expr("substring(payload, length(payload) - 15, 16)")
+    return media.describe(stored).select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(tail).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], turns.schema)
+    return chat.digests(chat.format_conversations(turns.unionByName(probe)))
+
+
+OP8_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), clean AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM turns
+), sized AS (
+  SELECT *, length(regexp_replace(role || text, '([<\\[])', '\1\\', 'g')) AS escaped FROM clean
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+       (sum(escaped + length('<|turn|><|text|><|end|>')) + length('<s></s>'))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.mark_copies(documents(spark, sf_dir))
 
@@ -76,9 +131,13 @@ FROM rows JOIN groups USING (content)
 """
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.mark_near_copies(documents(spark, sf_dir), similarity=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op3_mixing": OP3_SQL, "op8_chat": OP8_SQL, "op9_exact_dedup": OP9_SQL}
