@@ -118,3 +118,15 @@ def mix(
         (F.col("whole") + F.col("extra").cast("long")).alias("copies"),
         ((F.col("whole") + F.col("extra").cast("long")) * F.col("size")).alias("taken"),
     )
+
+
+def repeat(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` (doc_id, source, text and any other columns) as the mix takes them: a row for each time, all columns.
+
+    Copies are counted by doc_id and size; where rows share both, each is taken as often as the most of them.
+    """
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    taken = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
+    sized = docs.withColumn("__words", size)
+    joined = sized.join(taken, sized["doc_id"].cast("long").eqNullSafe(taken["__id"]) & (sized["__words"] == taken["__size"]))
+    return joined.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, langid, media, mixing, near, packing, substrings, token_files
+from . import chat, exact, langid, licenses, media, mixing, near, packing, substrings, token_files
 from .common import documents, shared_dir, staged
 
 
@@ -70,6 +70,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.layout(documents(spark, sf_dir))).withColumnRenamed("key", "doc_id")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
