@@ -1,10 +1,558 @@
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+"""The registered queries: each operator over its whole table, with the same in DuckDB SQL where that can say it.
 
+Texts are sliced by ``lang`` (or ``role``), dated rows by 25 years. The table of embeddings stands for two
+slices of one vocabulary: even vectors are slice ``a``, odd ones slice ``b``, and a word is half the vector's number.
+Topic weights stand for sums of a label's vectors by dimension. Doubles are rounded to 6 digits.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..operators import alignment, embedding, periods, ppmi, shift, similarity, sketch, tokens, topics, vocabulary
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.corpus_lines(table(spark, sf_dir, "documents"), "lang")
+
+
+def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.ranked(tokens.word_counts(corpus(spark, sf_dir)))
+
+
+def r6(c: str | Column) -> Column:
+    return F.round(c, 6)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppmi_entries(spark, sf_dir)
+
+
+# Parts of the SQL: tokens, counts, vocabulary and PPMI, as the operators define them.
+_TOKENS = r"""
+lines AS (SELECT lang AS slice, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+toks AS (SELECT slice, list_filter(regexp_split_to_array(line, '\s+'), lambda x: length(x) >= 3) AS w FROM lines),
+words AS (SELECT slice, unnest(w) AS word FROM toks),
+wc AS (SELECT slice, word, count(*) AS n FROM words GROUP BY slice, word),
+totals AS (SELECT slice, sum(n)::BIGINT AS total FROM wc GROUP BY slice)
+"""
+_PAIRS = r"""
+places AS (SELECT slice, w, unnest(range(1, len(w) + 1)) AS i FROM toks),
+pairs AS (SELECT slice, w[i] AS w1, unnest(w[i+1:i+6]) AS w2 FROM places),
+pc AS (SELECT slice, w1, w2, count(*) AS n FROM pairs GROUP BY slice, w1, w2),
+pt AS (SELECT slice, sum(n)::BIGINT AS pairs FROM pc GROUP BY slice)
+"""
+_VOCAB = r"""
+vocab AS (
+  SELECT slice, word, (row_number() OVER (PARTITION BY slice ORDER BY n DESC, word) - 1)::INTEGER AS rank, n, total
+  FROM wc JOIN totals USING (slice) WHERE n > floor(total * 1e-4::DOUBLE)
+)
+"""
+
+
+def _ppmi_sql(shift_by: float, alpha: float) -> str:
+    return f"""
+WITH {_TOKENS}, {_PAIRS}, {_VOCAB},
+p AS (SELECT *, n / total::DOUBLE AS p FROM vocab WHERE n > 5),
+x AS (
+  SELECT pc.slice, a.rank AS i, b.rank AS j, w1, w2, pc.n, pow(a.p + 1e-10::DOUBLE, {alpha}::DOUBLE) AS pa,
+         b.p + 1e-10::DOUBLE AS pb, (pc.n + 1e-10::DOUBLE) / pt.pairs AS pab
+  FROM pc JOIN p a ON a.slice = pc.slice AND a.word = w1 JOIN p b ON b.slice = pc.slice AND b.word = w2
+  JOIN pt ON pt.slice = pc.slice WHERE pc.n > 5
+)
+SELECT slice, i, j, w1, w2, n, round(ln(pab / (pa * pb)) - ln({shift_by}::DOUBLE), 6) AS ppmi
+FROM x WHERE pab > pa * pb AND ln(pab / (pa * pb)) - ln({shift_by}::DOUBLE) > 0
+"""
+
+
+# --- tokens and counts -------------------------------------------------------------------------------
+
+
+@query(f"WITH {_TOKENS} SELECT slice, word, n FROM wc")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.word_counts(corpus(spark, sf_dir))
+
+
+@query(r"""
+WITH lines AS (SELECT role AS slice, unnest(string_split(text, chr(10))) AS line FROM conversations),
+words AS (SELECT slice, unnest(list_filter(regexp_split_to_array(line, '\s+'), lambda x: length(x) >= 5)) AS word FROM lines)
+SELECT slice, word, count(*) AS n FROM words GROUP BY slice, word
+""")
+def token_counts_min_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return tokens.word_counts(tokens.corpus_lines(turns, "role", key="conv_id"), 5)
+
+
+@query(r"""
+SELECT item_id, trim(regexp_replace(lower(regexp_replace(text, '[!-/:-@\[-`{-~]', '', 'g')), '\s+', ' ', 'g')) AS text FROM benchmark
+""")
+def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", tokens.normalised("text").alias("text"))
+
+
+@query(r"""
+WITH lines AS (SELECT lang AS slice, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT slice, count(*) AS lines, sum(length(lower(trim(line))))::BIGINT AS chars FROM lines WHERE trim(line) != '' GROUP BY slice
+""")
+def line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = corpus(spark, sf_dir).select("slice", F.lower(F.trim("line")).alias("line")).where("line != ''")
+    return lines.groupBy("slice").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
+@query(f"WITH {_TOKENS} SELECT slice, total FROM totals")
+def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.totals(tokens.word_counts(corpus(spark, sf_dir)))
+
+
+@query(f"WITH {_TOKENS}, {_PAIRS} SELECT slice, w1, w2, n FROM pc WHERE n > 1")
+def skipgram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.pair_counts(corpus(spark, sf_dir)).where("n > 1")
+
+
+@query(f"WITH {_TOKENS}, {_PAIRS} SELECT slice, pairs FROM pt")
+def skipgram_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.pair_totals(corpus(spark, sf_dir))
+
+
+@query(f"WITH {_TOKENS} SELECT DISTINCT word FROM words")
+def observed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.words(corpus(spark, sf_dir)).select("word").distinct()
+
+
+@query(f"WITH {_TOKENS} SELECT slice, word, n, total FROM wc JOIN totals USING (slice) WHERE n > floor(total * 1e-3::DOUBLE)")
+def heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.heavy_hitters(tokens.word_counts(corpus(spark, sf_dir)), 1e-3)
+
+
+@query(f"WITH {_TOKENS}, {_VOCAB} SELECT * FROM vocab")
+def vocabulary_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab(spark, sf_dir)
+
+
+@query(f"WITH {_TOKENS}, {_VOCAB} SELECT slice, word, round(n / total::DOUBLE, 9) AS p FROM vocab WHERE n > 5")
+def word_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.marginals(vocab(spark, sf_dir)).select("slice", "word", F.round("p", 9).alias("p"))
+
+
+# --- PPMI ---------------------------------------------------------------------------------------------
+
+
+def _ppmi(spark: SparkSession, sf_dir: str, **options: float) -> DataFrame:
+    return ppmi.of_corpus(corpus(spark, sf_dir), ppmi.Params(**options)).withColumn("ppmi", r6("ppmi"))
+
+
+@query(_ppmi_sql(1.0, 0.75))
+def ppmi_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ppmi(spark, sf_dir)
+
+
+@query(_ppmi_sql(2.0, 0.75))
+def ppmi_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ppmi(spark, sf_dir, shift=2.0)
+
+
+@query(_ppmi_sql(1.0, 1.0))
+def ppmi_unsmoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ppmi(spark, sf_dir, alpha=1.0)
+
+
+@query(f"SELECT slice, w1, count(*) AS entries, round(max(ppmi), 5) AS most FROM ({_ppmi_sql(1.0, 0.75)}) GROUP BY slice, w1")
+def ppmi_row_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ppmi(spark, sf_dir).groupBy("slice", "w1").agg(F.count("*").alias("entries"), F.round(F.max("ppmi"), 5).alias("most"))
+
+
+# --- sketches -----------------------------------------------------------------------------------------
+
+_PARTS = sketch.SketchParams(width=5000, depth=4)
+
+
+@query("SELECT 'parts' AS sketch, unnest(range(4))::INTEGER AS row, (SELECT count(*) FROM lineitem) AS total")
+def sketch_total_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("key"))
+    return sketch.total(sketch.build(keys, _PARTS, "parts"))
+
+
+@query("SELECT 'merged' AS sketch, unnest(range(4))::INTEGER AS row, (SELECT count(*) FROM lineitem) AS total")
+def sketch_merge_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("key"), "l_returnflag")
+    a, b = (sketch.build(items.where(c).select("key"), _PARTS) for c in ("l_returnflag = 'N'", "l_returnflag != 'N'"))
+    return sketch.total(sketch.merge(a, b, _PARTS, _PARTS))
+
+
+@query("SELECT event_type AS key, count(*) AS n, round(2.0::DOUBLE * (SELECT count(*) FROM events) / 5000, 6) AS bound FROM events GROUP BY event_type")
+def sketch_error_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts of few keys, which the estimates must equal or exceed by the bound at most."""
+    keys = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"))
+    bound = _PARTS.error_bound(keys.count())
+    return keys.groupBy("key").agg(F.count("*").alias("n")).withColumn("bound", r6(F.lit(bound)))
+
+
+@query()
+def sketch_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("key"))
+    return sketch.estimate(keys, sketch.build(keys, _PARTS), _PARTS)
+
+
+@query()
+def sketch_estimate_murmur3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = sketch.SketchParams(width=5000, depth=4, compatible=True)
+    keys = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("key"))
+    return sketch.estimate(keys, sketch.build(keys, params), params)
+
+
+# --- periods ------------------------------------------------------------------------------------------
+
+_PERIODS = "p AS (SELECT *, year(o_orderdate) AS y FROM orders), q AS (SELECT *, (y - y % 25) || '-' || (y - y % 25 + 24) AS period FROM p)"
+
+
+@query(f"WITH {_PERIODS} SELECT o_orderkey, period FROM q")
+def period_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.with_period(table(spark, sf_dir, "orders"), "o_orderdate").select("o_orderkey", "period")
+
+
+@query(f"WITH {_PERIODS} SELECT period, count(*) AS n, (y - y % 25)::INTEGER AS period_start FROM q GROUP BY ALL")
+def period_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.period_counts(table(spark, sf_dir, "orders"), "o_orderdate")
+
+
+_YEARS = "y AS (SELECT DISTINCT year(o_orderdate) AS yr, yr || '-' || yr AS period FROM orders)"
+
+
+@query(f"""
+WITH {_YEARS}, l AS (SELECT period AS source, lead(period) OVER (ORDER BY yr) AS target FROM y)
+SELECT source, target, source || '->' || target AS label FROM l WHERE target IS NOT NULL
+""")
+def period_pairs_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.consecutive(periods.with_period(table(spark, sf_dir, "orders"), "o_orderdate", 1))
+
+
+@query(f"""
+WITH {_YEARS} SELECT (SELECT arg_min(period, yr) FROM y) AS source, period AS target, source || '->' || period AS label
+FROM y WHERE yr > (SELECT min(yr) FROM y)
+""")
+def period_pairs_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.from_first(periods.with_period(table(spark, sf_dir, "orders"), "o_orderdate", 1))
+
+
+# --- vectors ------------------------------------------------------------------------------------------
+
+
+def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings (slice, word, rank, vector) of the two slices."""
+    rows = table(spark, sf_dir, "embeddings")
+    n = F.floor(F.col("vec_id") / 2)
+    return rows.select(
+        F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b").alias("slice"),
+        F.concat(F.lit("w"), n.cast("string")).alias("word"),
+        n.cast("int").alias("rank"),
+        F.col("embedding").cast("array<double>").alias("vector"),
+    )
+
+
+def _pair(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("a", "b")], "source string, target string")
+
+
+_HALVES = """
+e AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS slice, 'w' || (vec_id // 2) AS word, (vec_id // 2)::INTEGER AS rank, embedding::DOUBLE[] AS vector FROM embeddings)
+"""
+_COS = "greatest(-1.0::DOUBLE, least(1.0::DOUBLE, list_inner_product({0}, {1}) / (greatest(sqrt(list_inner_product({0}, {0})), 1e-10) * greatest(sqrt(list_inner_product({1}, {1})), 1e-10))))"
+
+
+@query(f"WITH {_HALVES} SELECT slice, word, round(list_sum(vector), 6) AS s FROM e WHERE word IN ('w0', 'w7') UNION ALL SELECT unnest(['a', 'b']), 'none', NULL")
+def vector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similarity.lookup(halves(spark, sf_dir), ["w0", "w7", "none"])
+    return found.select("slice", "word", r6(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)).alias("s"))
+
+
+@query(f"WITH {_HALVES} SELECT slice, word, round(greatest(sqrt(list_inner_product(vector, vector)), 1e-10), 6) AS norm FROM e")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return halves(spark, sf_dir).select("slice", "word", r6(V.floored_norm(F.col("vector"))).alias("norm"))
+
+
+@query(f"""
+WITH {_HALVES} SELECT x.slice, x.word AS w1, y.word AS w2, round(least(1 - {_COS.format('x.vector', 'y.vector')}, 1.0), 6) AS distance
+FROM e x JOIN e y ON x.slice = y.slice AND (x.word, y.word) IN (('w0', 'w1'), ('w2', 'w2'), ('w3', 'w40'))
+UNION ALL SELECT unnest(['a', 'b']), 'w1', 'none', NULL
+""")
+def cosine_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similarity.distance(halves(spark, sf_dir), [("w0", "w1"), ("w2", "w2"), ("w3", "w40"), ("w1", "none")])
+    return found.withColumn("distance", F.abs(r6("distance")))
+
+
+@query(f"""
+WITH {_HALVES}, s AS (
+  SELECT x.slice, x.word AS query, y.word, {_COS.format('x.vector', 'y.vector')} AS sim, y.rank
+  FROM e x JOIN e y ON x.slice = y.slice AND x.word != y.word WHERE x.word IN ('w0', 'w11', 'w200')
+), p AS (SELECT *, row_number() OVER (PARTITION BY slice, query ORDER BY sim DESC, rank)::INTEGER AS place FROM s WHERE sim > -1)
+SELECT slice, query, word, round(sim, 6) AS similarity, place FROM p WHERE place <= 10
+""")
+def most_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.most_similar(halves(spark, sf_dir), ["w0", "w11", "w200"]).withColumn("similarity", r6("similarity"))
+
+
+@query(f"""
+WITH {_HALVES}, t AS (
+  SELECT n.slice, list_transform(list_zip(n.vector, a.vector, b.vector), lambda x: x[1] - x[2] + x[3]) AS q
+  FROM e n JOIN e a USING (slice) JOIN e b USING (slice) WHERE n.word = 'w30' AND a.word = 'w10' AND b.word = 'w20'
+), s AS (
+  SELECT slice, word, rank, {_COS.format('q', 'vector')} AS sim FROM e JOIN t USING (slice) WHERE word NOT IN ('w10', 'w20', 'w30') AND length(word) >= 3
+), p AS (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY sim DESC, rank)::INTEGER AS place FROM s)
+SELECT slice, word, round(sim, 6) AS similarity, place FROM p WHERE place <= 3
+""")
+def analogy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similarity.analogy(halves(spark, sf_dir), ["w10", "w20"], "w30")
+    assert found is not None
+    return found.withColumn("similarity", r6("similarity"))
+
+
+@query(f"""
+WITH {_HALVES}, s AS (
+  SELECT x.slice, x.word AS query, y.word, {_COS.format('x.vector', 'y.vector')} AS sim, y.rank FROM e x JOIN e y ON x.slice = y.slice AND x.word != y.word WHERE x.word = 'w5'
+), p AS (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY sim DESC, rank) AS place FROM s),
+l AS (SELECT query AS word, list(word) FILTER (slice = 'a') AS a, list(word) FILTER (slice = 'b') AS b FROM p WHERE place <= 10 GROUP BY query)
+SELECT word, len(list_intersect(a, b))::INTEGER AS shared, len(a) - len(list_intersect(a, b))::INTEGER AS lost,
+       len(b) - len(list_intersect(a, b))::INTEGER AS gained, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 6) AS jaccard FROM l
+""")
+def neighbour_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similarity.neighbour_overlap(halves(spark, sf_dir), "w5", "a", "b")
+    size = lambda c: F.size(c).alias(c)
+    return found.select("word", size("shared"), F.size("lost").cast("long").alias("lost"), F.size("gained").cast("long").alias("gained"), r6("jaccard").alias("jaccard"))
+
+
+@query(f"""
+WITH {_HALVES} SELECT slice, count(*) AS words, max(len(vector)) AS dims, sum(len(list_filter(vector, lambda x: x != 0)))::BIGINT AS nonzero,
+       round(min(sqrt(list_inner_product(vector, vector))), 6) AS min_norm FROM e GROUP BY slice
+""")
+def nonzero_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.diagnostics(halves(spark, sf_dir)).withColumn("min_norm", r6("min_norm"))
+
+
+# --- alignment ----------------------------------------------------------------------------------------
+
+_ANCHORS = f"""
+{_HALVES}, u AS (SELECT slice, word, rank, list_transform(vector, lambda x: x / greatest(sqrt(list_inner_product(vector, vector)), 1e-10)) AS v FROM e
+  WHERE len(list_filter(vector, lambda x: abs(x) >= 1e-10)) > 0),
+anchors AS (SELECT x.word, x.v AS a, y.v AS b FROM u x JOIN u y ON x.word = y.word AND x.slice = 'a' AND y.slice = 'b' WHERE x.rank < 1000 AND y.rank < 1000)
+"""
+
+
+@query(f"WITH {_HALVES} SELECT 'a' AS source, 'b' AS target, x.word FROM e x JOIN e y ON x.word = y.word AND x.slice = 'a' AND y.slice = 'b' WHERE x.rank >= 10 AND x.rank < 200 AND y.rank >= 10 AND y.rank < 200")
+def common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.common_words(halves(spark, sf_dir), _pair(spark), 10, 200)
+
+
+@query(f"WITH {_ANCHORS} SELECT 'a' AS source, 'b' AS target, word, round(list_sum(a), 6) AS sa, round(list_sum(b), 6) AS sb FROM anchors")
+def anchor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.anchors(halves(spark, sf_dir), _pair(spark))
+    total = lambda c: r6(F.aggregate(c, F.lit(0.0), lambda s, x: s + x))
+    return rows.select("source", "target", "word", total("a").alias("sa"), total("b").alias("sb"))
+
+
+@query(f"WITH {_ANCHORS} SELECT 'a' AS source, 'b' AS target, count(*) AS n, round(avg(list_inner_product(a, b)), 6) AS mean FROM anchors")
+def anchor_mean_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.anchors(halves(spark, sf_dir), _pair(spark))
+    return rows.groupBy("source", "target").agg(F.count("*").alias("n"), r6(F.avg(V.dot(F.col("a"), F.col("b")))).alias("mean"))
+
+
+@query(f"""
+WITH {_ANCHORS}, x AS (SELECT word, unnest(a) AS va, unnest(range(len(a))) AS p FROM anchors), y AS (SELECT word, unnest(b) AS vb, unnest(range(len(b))) AS q FROM anchors)
+SELECT 'a' AS source, 'b' AS target, p::INTEGER AS p, q::INTEGER AS q, round(sum(va * vb), 6) AS value FROM x JOIN y USING (word) GROUP BY p, q
+""")
+def cross_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = alignment.cross_covariance(alignment.anchors(halves(spark, sf_dir), _pair(spark)))
+    return cells.withColumn("value", r6("value") + 0.0)
+
+
+@query(f"""
+WITH {_HALVES} SELECT word, round(0.6 * vector[1] + 0.8 * vector[2], 6) AS x, round(-0.8 * vector[1] + 0.6 * vector[2], 6) AS y FROM e WHERE slice = 'a'
+""")
+def rotate_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    two = halves(spark, sf_dir).withColumn("vector", F.slice("vector", 1, 2))
+    fixed = spark.createDataFrame([("a", "b", [[0.6, 0.8], [-0.8, 0.6]])], "source string, target string, columns array<array<double>>")
+    turned = alignment.transform(two, fixed)
+    return turned.select("word", r6(F.col("vector")[0]).alias("x"), r6(F.col("vector")[1]).alias("y"))
+
+
+@query()
+def procrustes_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.fit(halves(spark, sf_dir), _pair(spark))[1]
+
+
+@query()
+def word_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = halves(spark, sf_dir)
+    return alignment.stability(rows, alignment.fit(rows, _pair(spark))[0])
+
+
+# --- topics -------------------------------------------------------------------------------------------
+
+
+def label_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights (slice, topic_id, word, weight): sums of the absolute values of a label's vectors by dimension."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
+    return (
+        rows.groupBy(F.when(F.col("vec_id") % 2 == 0, "1975-1999").otherwise("2000-2024").alias("slice"), F.col("label").cast("int").alias("topic_id"), F.concat(F.lit("d"), F.col("d").cast("string")).alias("word"))
+        .agg(F.round(F.sum(F.abs("x")), 6).alias("weight"))
+    )
+
+
+_TOPICS = """
+z AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS d FROM embeddings),
+t AS (SELECT CASE WHEN vec_id % 2 = 0 THEN '1975-1999' ELSE '2000-2024' END AS slice, label::INTEGER AS topic_id, 'd' || d AS word, round(sum(abs(x)), 6) AS weight FROM z GROUP BY ALL)
+"""
+_SIMILAR = """
+n AS (SELECT slice, topic_id, sqrt(sum(weight * weight)) AS norm FROM t GROUP BY ALL),
+s AS (SELECT x.slice AS source, y.slice AS target, x.topic_id AS source_topic, y.topic_id AS target_topic, sum(x.weight * y.weight) AS dot
+      FROM t x JOIN t y ON x.word = y.word AND x.slice = '1975-1999' AND y.slice = '2000-2024' GROUP BY ALL)
+"""
+
+
+def _eras(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("1975-1999", "2000-2024")], "source string, target string")
+
+
+@query(f"WITH {_TOPICS} SELECT slice, topic_id, word, round(weight / sum(weight) OVER (PARTITION BY slice, topic_id), 6) AS weight FROM t")
+def topic_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.distributions(label_topics(spark, sf_dir)).withColumn("weight", r6("weight"))
+
+
+@query(f"""
+WITH {_TOPICS}, p AS (SELECT *, row_number() OVER (PARTITION BY slice, topic_id ORDER BY weight DESC, word)::INTEGER AS place FROM t)
+SELECT slice, topic_id, place, word, weight FROM p WHERE place <= 10
+""")
+def topic_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.top_words(label_topics(spark, sf_dir))
+
+
+@query(f"""
+WITH {_TOPICS}, p AS (SELECT *, row_number() OVER (PARTITION BY slice, topic_id ORDER BY weight DESC, word) AS place FROM t)
+SELECT slice, topic_id, string_agg(word, ', ' ORDER BY place) FILTER (place <= 3) AS label,
+       string_agg(word || ': ' || printf('%.4f', weight), ', ' ORDER BY place) AS words FROM p WHERE place <= 5 GROUP BY slice, topic_id
+""")
+def topics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.report(topics.top_words(label_topics(spark, sf_dir)), 5)
+
+
+@query(f"""
+WITH {_TOPICS}, a AS (SELECT word, weight FROM t WHERE slice = '1975-1999' AND topic_id = 0 AND word != 'd1'), b AS (SELECT word, weight FROM t WHERE slice = '2000-2024' AND topic_id = 1 AND word != 'd2'),
+u AS (SELECT coalesce(a.word, b.word) AS word, coalesce(a.weight, 0.0) AS w1, coalesce(b.weight, 0.0) AS w2 FROM a FULL JOIN b ON a.word = b.word)
+SELECT word, round(w1 / sum(w1) OVER (), 6) AS w1, round(w2 / sum(w2) OVER (), 6) AS w2 FROM u
+""")
+def union_vocabulary_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = label_topics(spark, sf_dir)
+    rows = rows.where(~((F.col("slice") == "1975-1999") & (F.col("word") == "d1")) & ~((F.col("slice") == "2000-2024") & (F.col("word") == "d2")))
+    return topics.union_projection(rows, ("1975-1999", 0), ("2000-2024", 1)).select("word", r6("w1").alias("w1"), r6("w2").alias("w2"))
+
+
+@query(f"""
+WITH {_TOPICS}, {_SIMILAR} SELECT source, target, source_topic, target_topic, round(least(1.0, dot / (a.norm * b.norm)), 6) AS similarity
+FROM s JOIN n a ON a.slice = source AND a.topic_id = source_topic JOIN n b ON b.slice = target AND b.topic_id = target_topic
+""")
+def topic_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.similarities(label_topics(spark, sf_dir), _eras(spark)).withColumn("similarity", r6("similarity"))
+
+
+@query("""
+WITH RECURSIVE m AS (SELECT DISTINCT o_custkey % 40 AS a, year(o_orderdate) AS y FROM orders),
+f AS (SELECT y, a, (a * 7 + 3) % 40 AS b FROM m WHERE (a + y) % 9 != 0),
+path(y, topic_id, chain_id) AS (
+  SELECT DISTINCT y, a::INTEGER, a::INTEGER FROM m WHERE y = (SELECT min(y) FROM m) UNION ALL
+  SELECT f.y + 1, f.b::INTEGER, chain_id FROM path p JOIN f ON f.y = p.y AND f.a = p.topic_id
+) SELECT y::VARCHAR AS slice, topic_id, chain_id FROM path
+""")
+def topic_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains over matches that are made from orders: of each year's topics those that don't end go on as another."""
+    m = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).cast("int").alias("a"), F.year("o_orderdate").alias("y")).distinct()
+    matches = m.where((F.col("a") + F.col("y")) % 9 != 0).select(
+        F.col("y").cast("string").alias("source"), (F.col("y") + 1).cast("string").alias("target"), F.col("a").alias("source_topic"), ((F.col("a") * 7 + 3) % 40).alias("target_topic")
+    )
+    first = m.agg(F.min("y")).first()[0]
+    start = m.where(F.col("y") == first).select(F.col("y").cast("string").alias("slice"), F.col("a").alias("topic_id"))
+    return topics.chains(matches, start)
+
+
+# --- workflows: decompositions aren't unique, so their rows are held against invariants in the tests --------
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> shift.Model:
+    return shift.train(corpus(spark, sf_dir), 16)
+
+
+@query()
+def embeddings_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trained(spark, sf_dir).embeddings
+
+
+@query()
+def shift_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = halves(spark, sf_dir).withColumn("slice", F.when(F.col("slice") == "a", "1975-1999").otherwise("2000-2024"))
+    return shift.top_shifts(shift.consecutive_shifts(rows))
+
+
+@query()
+def shift_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = halves(spark, sf_dir).withColumn("slice", F.when(F.col("slice") == "a", "1975-1999").otherwise("2000-2024"))
+    return shift.cumulative_shifts(rows)
+
+
+@query()
+def stable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shift.stable_words(halves(spark, sf_dir), "a", "b")
+
+
+@query()
+def topics_nmf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vocab(spark, sf_dir)
+    entries = ppmi.of_corpus(corpus(spark, sf_dir)).where("ppmi > 0")
+    return topics.top_words(topics.distributions(topics.factors(entries, v, 5, 100)))
+
+
+@query()
+def document_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a document over dimensions, as a mix of its slice's topics."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.when(F.col("vec_id") % 2 == 0, "1975-1999").otherwise("2000-2024").alias("slice"), F.col("vec_id").alias("doc_id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x")
+    )
+    docs = rows.select("slice", "doc_id", F.concat(F.lit("d"), F.col("d").cast("string")).alias("word"), F.abs("x").alias("weight"))
+    return topics.document_topics(docs, label_topics(spark, sf_dir))
+
+
+@query()
+def topic_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.match(topics.similarities(label_topics(spark, sf_dir), _eras(spark)))
+
+
+@query()
+def topic_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shift.topic_evolution(label_topics(spark, sf_dir), _eras(spark), "1975-1999")
