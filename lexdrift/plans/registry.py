@@ -257,8 +257,8 @@ def period_pairs_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_YEARS} SELECT (SELECT arg_min(period, yr) FROM y) AS source, period AS target, source || '->' || period AS label
-FROM y WHERE yr > (SELECT min(yr) FROM y)
+WITH {_YEARS}, b AS (SELECT arg_min(period, yr) AS source, min(yr) AS first FROM y)
+SELECT source, period AS target, source || '->' || period AS label FROM y, b WHERE yr > first
 """)
 def period_pairs_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.from_first(periods.with_period(table(spark, sf_dir, "orders"), "o_orderdate", 1))
@@ -458,10 +458,11 @@ def topic_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {_TOPICS}, p AS (SELECT *, row_number() OVER (PARTITION BY slice, topic_id ORDER BY weight DESC, word) AS place FROM t)
 SELECT slice, topic_id, string_agg(word, ', ' ORDER BY place) FILTER (place <= 3) AS label,
-       string_agg(word || ': ' || printf('%.4f', weight), ', ' ORDER BY place) AS words FROM p WHERE place <= 5 GROUP BY slice, topic_id
+       string_agg(word || ': ' || printf('%.4f', round(weight, 4)), ', ' ORDER BY place) AS words FROM p WHERE place <= 5 GROUP BY slice, topic_id
 """)
 def topics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.report(topics.top_words(label_topics(spark, sf_dir)), 5)
+    top = topics.top_words(label_topics(spark, sf_dir))
+    return topics.report(top.withColumn("weight", F.round("weight", 4)), 5)
 
 
 @query(f"""

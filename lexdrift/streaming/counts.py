@@ -24,4 +24,5 @@ def word_stream(corpus: DataFrame, name: str, min_length: int = tokens.MIN_LENGT
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts of ``key`` by window of ``ts``; what comes later than ``late`` is left out once its window is closed."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "key").agg(F.count("*").alias("n"))
