@@ -57,7 +57,7 @@ def entries(pairs: DataFrame, pair_totals: DataFrame, vocab: DataFrame, params:
 
 
 def of_corpus(corpus: DataFrame, params: Params = Params()) -> DataFrame:
-    """Entries of all slices in one plan. Pairs that can't pass ``min_count`` are dropped where they are counted."""
-    counts = tokens.word_counts(corpus, params.min_length)
+    """Entries of all slices in one plan: one scan for words and totals, one for pairs."""
+    counts, totals = tokens.counted(corpus, params.window, params.min_length)
     pairs = tokens.pair_counts(corpus, params.window, params.min_length)
-    return entries(pairs, tokens.pair_totals(corpus, params.window, params.min_length), vocabulary.ranked(counts, params.threshold), params)
+    return entries(pairs, totals, vocabulary.ranked(counts, params.threshold), params)

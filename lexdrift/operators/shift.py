@@ -27,12 +27,12 @@ def train(corpus: DataFrame, components: int = embedding.COMPONENTS, params: ppm
     With ``common`` all slices get as many dimensions as the smallest can have, so that they can be aligned.
     An error if no slice has a vocabulary.
     """
-    counts = tokens.word_counts(corpus, params.min_length)
+    counts, totals = tokens.counted(corpus, params.window, params.min_length)
     vocab = vocabulary.ranked(counts, params.threshold).persist()
     if vocab.isEmpty():
         raise ValueError("the corpus has no vocabulary")
     pairs = tokens.pair_counts(corpus, params.window, params.min_length)
-    entries = ppmi.entries(pairs, tokens.pair_totals(corpus, params.window, params.min_length), vocab, params).persist()
+    entries = ppmi.entries(pairs, totals, vocab, params).persist()
     k = embedding.common_components(vocab, components) if common else components
     vectors = embedding.factorise(entries, vocab, k)
     none = corpus.select("slice").distinct().join(vocab.select("slice").distinct(), "slice", "left_anti")

@@ -67,10 +67,28 @@ def pair_counts(corpus: DataFrame, window: int = WINDOW, min_length: int = MIN_L
     return skipgrams(corpus, window, min_length).groupBy("slice", "w1", "w2").agg(F.count("*").alias("n"))
 
 
-def pair_totals(corpus: DataFrame, window: int = WINDOW, min_length: int = MIN_LENGTH) -> DataFrame:
-    """Skip-grams of each slice, from the lines' lengths alone."""
+def _pairs_of_line(window: int) -> Column:
+    """Skip-grams of a line with ``words``, by their number alone."""
     n, k = F.size("words"), window + 1
     whole = F.greatest(n - k, F.lit(0)) * k
     rest = F.least(n, F.lit(k))
+    return (whole + rest * (rest - 1) / 2).cast("long")
+
+
+def counted(corpus: DataFrame, window: int = WINDOW, min_length: int = MIN_LENGTH) -> tuple[DataFrame, DataFrame]:
+    """Word counts (slice, word, n) and skip-gram totals (slice, pairs) of one scan and one shuffle.
+
+    Both are parts of one aggregate. They are told apart by an aggregated mark: a condition on the word would be
+    pushed below the shuffle, which the two parts could then not share.
+    """
+    one = F.transform("words", lambda w: F.struct(w.alias("word"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("mark")))
+    total = F.array(F.struct(F.lit(None).cast("string").alias("word"), _pairs_of_line(window).alias("n"), F.lit(True).alias("mark")))
+    lines = corpus.select("slice", tokens("line", min_length).alias("words"))
+    both = lines.select("slice", F.inline(F.concat(one, total))).groupBy("slice", "word").agg(F.sum("n").alias("n"), F.max("mark").alias("mark"))
+    return both.where("not mark").select("slice", "word", "n"), both.where("mark").select("slice", F.col("n").alias("pairs"))
+
+
+def pair_totals(corpus: DataFrame, window: int = WINDOW, min_length: int = MIN_LENGTH) -> DataFrame:
+    """Skip-grams of each slice, from the lines' lengths alone."""
     lines = corpus.select("slice", tokens("line", min_length).alias("words"))
-    return lines.groupBy("slice").agg(F.sum((whole + rest * (rest - 1) / 2).cast("long")).alias("pairs"))
+    return lines.groupBy("slice").agg(F.sum(_pairs_of_line(window)).alias("pairs"))
