@@ -6,12 +6,14 @@ retained values follow each other: of the union's ``RETAINED`` smallest values e
 with probability J, so two such values in a row are missed with probability under 0.44 ** 32 (4e-12) at
 J = 0.85, and never in sets of fewer values.
 
-Lists give pairs, which the union of two sketches filters (a miss under 1e-9 at J = 0.85) and the full
-sets verify. A list never gives all its pairs at once: at first only those with its smallest
-node. What is linked becomes a component, a list in one component is done, and only pairs across
-components are left; the nodes compared with all others of their lists grow from round to round until
-every pair was compared or is in one component. So components are exact, and a group of copies
-costs about as many comparisons as it has members.
+A list first gives pairs with its smallest node only, its hub; the union of two sketches filters them (a
+miss under 1e-9 at J = 0.85) and the full sets verify. What is linked becomes a component, and a
+group of copies costs about as many comparisons as it has members.
+
+What is left are nodes that share a list but no component. Nodes that share a list share its hub, so the
+nodes of a hub, if they have several components, are compared with each other on their full
+sets: in blocks of bounded size, each two of which meet in a task. Only links leave a task, never
+pairs. So components are exact.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from .tokens import slices
 SKETCH, RETAINED = 64, 32
 #: Share of common values among the union's sketch below which a pair is dropped.
 ESTIMATE = 34 / 64
-#: One in so many nodes is compared with all of its unfinished lists, by round; at last each.
-THIN = (1024, 64, 8, 1)
+#: Nodes in a block, and values whose counts are taken at once when blocks are compared.
+BLOCK, COLUMNS = 2048, 2048
 SALTS = 16
 
 
@@ -100,9 +102,8 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
-    """The pairs whose full sets have ``100 * intersection >= similarity * union``."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of the documents whose id is in ``ids``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -112,9 +113,13 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) ->
                 values = [np.unique(hashes[a:b]).tobytes() for a, b in zip(ends - count, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.binary())], ["id", "shingles"])
 
-    full = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").mapInArrow(sets, "id long, shingles binary")
+    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").mapInArrow(sets, "id long, shingles binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
+    """The pairs whose full sets have ``100 * intersection >= similarity * union``."""
     at = shared_dir(docs.sparkSession)
-    full = staged(full, at)
+    full = staged(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width), at)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,6 +142,52 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) ->
     return links
 
 
+def common_counts(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of the first with each of the second sets."""
+    values = np.concatenate([*first, *second])
+    row = np.repeat(np.arange(len(first) + len(second)), [len(x) for x in (*first, *second)])
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[column] > 1)  # a value of one set is in no intersection
+    number = np.cumsum(count > 1) - 1
+    row, column = row[several], number[column[several]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(first), len(second)), np.float32)
+    last = int(column[-1]) + 1 if len(column) else 0
+    for a in range(0, last, COLUMNS):
+        lo, hi = np.searchsorted(column, [a, a + COLUMNS])
+        there = np.zeros((len(first) + len(second), min(COLUMNS, last - a)), np.float32)
+        there[row[lo:hi], column[lo:hi] - a] = 1
+        total += there[: len(first)] @ there[len(first) :].T
+    return total
+
+
+def links_across(open_: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
+    """Links (a, b) between nodes of one hub in different components, from ``open_`` (hub, id, component)."""
+    at = shared_dir(docs.sparkSession)
+    full = staged(full_sets(docs, open_.select("id").distinct(), width), at)
+    blocks = open_.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = open_.join(blocks, "hub").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("hub", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "id", "component").join(full, "id")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        x, y = key[1].as_py(), key[2].as_py()
+        ids, comp, mine = (rows.column(c).to_numpy() for c in ("id", "component", "mine"))
+        sets = [np.frombuffer(v.as_buffer(), "<u8") for v in rows.column("shingles")]
+        n = np.array([len(v) for v in sets], np.float64)
+        p, q = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+        common = common_counts([sets[i] for i in p], [sets[i] for i in q]).astype(np.float64)
+        good = 100 * common >= similarity * (n[p][:, None] + n[q] - common)
+        good &= comp[p][:, None] != comp[q]
+        i, j = np.nonzero(good)
+        return pa.table({"a": ids[p[i]], "b": ids[q[j]]})
+
+    links = staged(dealt.groupBy("hub", "x", "y").applyInArrow(compare, "a long, b long"))
+    discard(docs.sparkSession, at)
+    return links
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of all ids in ``links`` (a, b); component is the smallest id that can be reached.
 
@@ -165,7 +216,7 @@ def mark_near_copies(docs: DataFrame, similarity: int = 85, width: int = 5) -> D
 
     Documents are linked if ``100 * intersection >= similarity * union`` of their shingle sets;
     component_id is the smallest doc_id that links lead to. Texts without words (or null) have no
-    shingles and no links. Rows with one doc_id are one document. A null doc_id isn't linked: its
+    shingles and no links. Rows with one doc_id are marked each by its own text. A null doc_id isn't linked: its
     component_id is null and it is kept. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -179,38 +230,27 @@ def mark_near_copies(docs: DataFrame, similarity: int = 85, width: int = 5) -> D
         .select("name", "size", "one.id", "one.n", "one.sketch")
     )
     lists = inverted(nodes)
-    shared = lists.groupBy("value").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("value", "hub")
-    lists = staged(lists.join(shared, "value"))
-    close = lambda x, y: (100 * F.least(x, y) >= similarity * F.greatest(x, y))
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        return verified(staged(estimated(pairs.distinct(), nodes)), docs, width, similarity)
-
-    comp = staged(components(links_of(lists.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")))))
-    # Rows of one doc_id may make several nodes of one id: they are one component by their name.
-    left = lists.select("value", "id", "n")
-    for thin in THIN:
-        left = left.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        spread = left.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("value")
-        left = staged(left.join(spread, "value", "left_semi"))
-        if left.isEmpty():
-            break
-        hub = F.pmod(F.xxhash64("id"), F.lit(thin)) == 0
-        a = left.where(hub).select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        b = left.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), hub.alias("both"))
-        pairs = a.join(b, "value").where((F.col("ca") != F.col("cb")) & close(F.col("na"), F.col("nb")) & (~F.col("both") | (F.col("a") < F.col("b"))))
-        new = links_of(pairs.select("a", "b"))
-        if not new.isEmpty():
-            merged = (
-                new.join(comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-                .join(comp.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-                .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            )
-            joined = components(merged)
-            ids = comp.union(joined.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
-            up = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
-            comp = staged(ids.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component")))
-        left = left.where(~hub).select("value", "id", "n")
+    hubs = lists.groupBy("value").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("value", "hub")
+    # Which nodes share a list with which hub; most share many lists with one.
+    members = staged(lists.join(hubs, "value").select("hub", "id", "n").distinct())
+    sizes = nodes.select(F.col("id").alias("hub"), F.col("n").alias("m"))
+    close = 100 * F.least("n", "m") >= similarity * F.greatest("n", "m")
+    pairs = members.where("hub < id").join(sizes, "hub").where(close).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    comp = components(verified(staged(estimated(pairs, nodes)), docs, width, similarity))
+    open_ = members.select("hub", "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    spread = open_.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("hub")
+    open_ = staged(open_.join(spread, "hub", "left_semi"))
+    new = links_across(open_, docs, width, similarity)
+    if not new.isEmpty():
+        merged = (
+            new.join(comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+            .join(comp.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        )
+        joined = components(merged.distinct())
+        ids = comp.union(joined.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+        up = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
+        comp = staged(ids.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component")))
     # Back to documents: by set where copies share one, by node otherwise.
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     found = (

@@ -70,9 +70,10 @@ def test_shingle_counts_equal_those_of_strings():
         assert len(np.unique(h[: n[0]])) == len(shingle_set(text))
 
 
-@pytest.mark.parametrize("thin", [near.THIN, (1,)])
-def test_components_equal_brute_force(spark, monkeypatch, thin):
-    monkeypatch.setattr(near, "THIN", thin)
+@pytest.mark.parametrize("block,columns", [(near.BLOCK, near.COLUMNS), (3, 7)])
+def test_components_equal_brute_force(spark, monkeypatch, block, columns):
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "COLUMNS", columns)
     texts = [*corpus(1, 40, 12, 120), *corpus(2, 3, 60, 40), "", None, "one", "ONE", "one two", "a b c d e"]
     rows = [(i * 7 % 5003, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(i, t, "x", "y", 1, 2) for i, t in rows] + [(None, texts[0], None, None, None, None)], DOCS)
