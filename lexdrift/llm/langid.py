@@ -257,7 +257,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs.where(~F.col("held_out"))), ["doc_id", "held_out"])
 
 
-def drop_unknown(docs: DataFrame, least: float = 0.4) -> DataFrame:
+def drop_unknown(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """``docs`` without documents that have no letter or no language with a score of ``least``; all columns stay."""
     rows = docs.select("*", held_out().alias("__held"))
     model = fit(rows.where(~F.col("__held")))

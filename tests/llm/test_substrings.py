@@ -36,7 +36,7 @@ def texts(seed):
         out.append(fresh(rng.randrange(40)) + p[a : len(p) - b] + fresh(rng.randrange(40)))
     q = out[3] + fresh(50)
     out += [q, q, q[:-1] + "x", p[:199], p[:200], p[50:250], "a" * 199, "a" * 200, "b" * 201, "c" * 1500, "ab" * 700, "ab" * 300 + "x", "", None]
-    return out + [p + p, "ü" * 150]
+    return out + [p + p, "ü" * 150, fresh(2500) + p + fresh(2500) + p[:400] + out[5]]
 
 
 def digest(df):
