@@ -117,10 +117,9 @@ def factorise(m: Sparse, k: int, most: int = 500, tolerance: float = 1e-4) -> tu
     return w, h
 
 
-def non_negative_weights(h: np.ndarray, x: np.ndarray, rounds: int = 1000) -> np.ndarray:
-    """Weights w >= 0 with w H nearest to x."""
-    gram, target = h @ h.T, h @ x
-    w = np.zeros(len(h))
+def non_negative_weights(gram: np.ndarray, target: np.ndarray, rounds: int = 1000) -> np.ndarray:
+    """Weights w >= 0 with w H nearest to x, from ``gram`` = H H' and ``target`` = H x."""
+    w = np.zeros(len(target))
     for _ in range(rounds):
         before = w.copy()
         for c in range(len(w)):

@@ -81,18 +81,12 @@ def document_topics(documents: DataFrame, weights: DataFrame, threshold: float =
             out = []
             for row in pdf.itertuples():
                 k = max(x["topic_id"] for x in row.gram) + 1
-                g, b, w = np.zeros((k, k)), np.zeros(k), np.zeros(k)
+                g, b = np.zeros((k, k)), np.zeros(k)
                 for x in row.gram:
                     g[x["topic_id"], x["other"]] = x["v"]
                 for x in row.target:
                     b[x["topic_id"]] = x["v"]
-                for _ in range(1000):
-                    before = w.copy()
-                    for c in range(k):
-                        if g[c, c] > 0:
-                            w[c] = max(0.0, w[c] + (b[c] - g[c] @ w) / g[c, c])
-                    if np.abs(w - before).max() < 1e-12:
-                        break
+                w = linalg.non_negative_weights(g, b)
                 w = w / w.sum() if w.sum() > 0 else w
                 out += [(row.slice, row.doc_id, int(c), float(w[c])) for c in range(k) if w[c] > threshold]
             yield pd.DataFrame(out, columns=["slice", "doc_id", "topic_id", "share"])
