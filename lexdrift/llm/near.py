@@ -113,13 +113,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 values = [np.unique(hashes[a:b]).tobytes() for a, b in zip(ends - count, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.binary())], ["id", "shingles"])
 
-    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").mapInArrow(sets, "id long, shingles binary")
+    # The ids grow with the input: they aren't broadcast, however few.
+    return docs.join(ids.hint("merge"), docs["doc_id"] == ids["id"], "left_semi").mapInArrow(sets, "id long, shingles binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
+def verified(pairs: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
     """The pairs whose full sets have ``100 * intersection >= similarity * union``."""
-    at = shared_dir(docs.sparkSession)
-    full = staged(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width), at)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,14 +131,12 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) ->
                 good[i] = 100 * common >= similarity * (len(a) + len(b) - common)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    links = staged(
+    return staged(
         pairs.join(full.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
         .join(full.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a")
         .select("a", "b", "xa", "xb")
         .mapInArrow(compare, "a long, b long")
     )
-    discard(docs.sparkSession, at)
-    return links
 
 
 def common_counts(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
@@ -162,11 +159,9 @@ def common_counts(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarr
     return total
 
 
-def links_across(open_: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
+def links_across(open_: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
     """Links (a, b) between nodes of one hub in different components, from ``open_`` (hub, id, component)."""
-    at = shared_dir(docs.sparkSession)
-    full = staged(full_sets(docs, open_.select("id").distinct(), width), at)
-    blocks = open_.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = staged(open_.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     dealt = open_.join(blocks, "hub").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("hub", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "id", "component").join(full, "id")
@@ -183,9 +178,7 @@ def links_across(open_: DataFrame, docs: DataFrame, width: int, similarity: int)
         i, j = np.nonzero(good)
         return pa.table({"a": ids[p[i]], "b": ids[q[j]]})
 
-    links = staged(dealt.groupBy("hub", "x", "y").applyInArrow(compare, "a long, b long"))
-    discard(docs.sparkSession, at)
-    return links
+    return staged(dealt.groupBy("hub", "x", "y").applyInArrow(compare, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,17 +223,21 @@ def mark_near_copies(docs: DataFrame, similarity: int = 85, width: int = 5) -> D
         .select("name", "size", "one.id", "one.n", "one.sketch")
     )
     lists = inverted(nodes)
-    hubs = lists.groupBy("value").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("value", "hub")
+    # Written tables, so that both sides of a join are plain shuffles and Spark can split a hot value.
+    hubs = staged(lists.groupBy("value").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("value", "hub"))
     # Which nodes share a list with which hub; most share many lists with one.
     members = staged(lists.join(hubs, "value").select("hub", "id", "n").distinct())
     sizes = nodes.select(F.col("id").alias("hub"), F.col("n").alias("m"))
     close = 100 * F.least("n", "m") >= similarity * F.greatest("n", "m")
     pairs = members.where("hub < id").join(sizes, "hub").where(close).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    comp = components(verified(staged(estimated(pairs, nodes)), docs, width, similarity))
+    at = shared_dir(spark)
+    full = staged(full_sets(docs, members.select("id").distinct(), width), at)
+    comp = components(verified(staged(estimated(pairs, nodes)), full, similarity))
     open_ = members.select("hub", "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     spread = open_.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("hub")
-    open_ = staged(open_.join(spread, "hub", "left_semi"))
-    new = links_across(open_, docs, width, similarity)
+    open_ = staged(open_.join(staged(spread), "hub", "left_semi"))
+    new = links_across(open_, full, similarity)
+    discard(spark, at)
     if not new.isEmpty():
         merged = (
             new.join(comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
