@@ -4,10 +4,10 @@ A document's set holds its distinct shingle hashes; the ``SKETCH`` smallest are
 with equal sets are one node from the start. An inverted list holds the nodes in whose sketches two
 retained values follow each other: of the union's ``RETAINED`` smallest values each is in both sets
 with probability J, so two such values in a row are missed with probability under 0.44 ** 32 (4e-12) at
-J = 0.85, and never in sets of fewer values.
+J = 0.85 (5e-10 at 0.8), and never in sets of fewer values.
 
 A list first gives pairs with its smallest node only, its hub; the union of two sketches filters them (a
-miss under 1e-9 at J = 0.85) and the full sets verify. What is linked becomes a component, and a
+miss under 1e-9 at J = 0.8) and the full sets verify. What is linked becomes a component, and a
 group of copies costs about as many comparisons as it has members.
 
 What is left are nodes that share a list but no component. Nodes that share a list share its hub, so the
@@ -32,7 +32,7 @@ from .tokens import slices
 
 SKETCH, RETAINED = 64, 32
 #: Share of common values among the union's sketch below which a pair is dropped.
-ESTIMATE = 34 / 64
+ESTIMATE = 28 / 64
 #: Nodes in a block, and values whose counts are taken at once when blocks are compared.
 BLOCK, COLUMNS = 2048, 2048
 SALTS = 16
