@@ -1,9 +1,9 @@
 """Exact deduplication that no large group of copies can overload.
 
-1. Copies are combined where they are read (Spark's partial aggregation) and their winners are merged
-   by digest, salt and full content, so a large group is spread over the salts.
+1. Copies are combined where they are read (Spark's partial aggregation) and merged by digest, salt and full
+   content. Only digests of many rows have more than one salt; there are few of them by their definition.
 2. The winners of the salts are merged by digest and full content: at most ``salts`` rows a group.
-3. Groups of more than one row find their rows again by digest, once more spread over the salts.
+3. Groups of more than one row find their rows again by digest and salt.
 """
 
 from __future__ import annotations
@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: ``[\x20\x09-\x0D]``, which the normal form leaves out.
 WHITE = " \t\n\x0b\x0c\r"
+#: A digest is hot with over so many rows, and with over one in so many of all rows: there are at most HOT_KEYS hot ones.
+HOT_ROWS, HOT_KEYS = 1_000, 10_000
 
 
 def normal_form(text: str | Column = "text") -> Column:
@@ -26,27 +30,29 @@ def mark_copies(docs: DataFrame, salts: int = 16) -> DataFrame:
     one with the most code points, then the smallest doc_id (null last) stays. Of equal rows all
     have ``kept`` true or none; their number counts in group_size. Other columns are ignored.
     """
-    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = named.select(
-        "doc_id",
-        normal_form().alias("content"),
-        F.length("text").alias("n"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
-    ).withColumn("digest", F.unhex(F.sha2("content", 256)))
+    rows = docs.select("doc_id", normal_form(docs["text"]).alias("content"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("content", 256)))
+    marks = staged(rows.select("doc_id", "digest", F.xxhash64("content").alias("check")))
+    most = max(HOT_ROWS, marks.count() // HOT_KEYS)
+    # Fewer than HOT_KEYS rows of 33 bytes, whatever the input.
+    hot = F.broadcast(staged(marks.groupBy("digest").agg(F.count("*").alias("c")).where(F.col("c") > most).select("digest", F.lit(True).alias("hot"))))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0).cast("int")
     rank = F.struct(-F.col("n"), F.col("doc_id").isNull(), F.col("doc_id"))
-    local = rows.groupBy("digest", "salt", "content").agg(F.min(rank).alias("best"), F.count("*").alias("size"))
-    groups = (
-        local.groupBy("digest", "content")
-        .agg(F.min("best").alias("best"), F.sum("size").alias("size"))
-        .where("size > 1")
-        .select("digest", F.xxhash64("content").alias("check"), F.col("best.doc_id").alias("keep_id"), "size")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    marked = rows.select("doc_id", "digest", "salt", F.xxhash64("content").alias("check")).join(
-        groups, ["digest", "check", "salt"], "left"
+    local = (
+        rows.join(hot, "digest", "left")
+        .groupBy("digest", salt.alias("salt"), "content")
+        .agg(F.min(rank).alias("best"), F.count("*").alias("size"), F.max("hot").alias("hot"))
+        .where("size > 1 or hot")
+        .select("digest", F.xxhash64("content").alias("check"), F.when(F.col("hot"), F.col("content")).alias("content"), "best", "size", "hot")
     )
-    single = F.col("size").isNull()
-    keep = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
+    local = staged(local)
+    winners = local.where("hot").groupBy("digest", "check", "content").agg(F.min("best").alias("best"), F.sum("size").alias("size"))
+    winners = winners.where("size > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    several = local.where("hot is null").withColumn("salt", F.lit(0))
+    columns = ["digest", "check", "salt", F.col("best.doc_id").alias("keep_id"), "size"]
+    groups = winners.select(*columns).unionByName(several.select(*columns))
+    marked = marks.join(hot, "digest", "left").withColumn("salt", salt).join(groups, ["digest", "check", "salt"], "left")
+    keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return marked.select(
         "doc_id",
         keep.alias("keep_id"),
@@ -60,5 +66,5 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without copies: all columns, one row of each group; of rows with one id and equal text any one."""
     stays = mark_copies(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
     named = docs.withColumn("__text", F.sha2(normal_form(docs["text"]), 256))
-    held = named.join(stays, named["doc_id"].eqNullSafe(stays["__id"]) & (named["__text"] == stays["__digest"]), "left_semi")
+    held = named.join(stays.hint("merge"), named["doc_id"].eqNullSafe(stays["__id"]) & (named["__text"] == stays["__digest"]), "left_semi")
     return held.dropDuplicates(["doc_id", "__text"]).drop("__text")

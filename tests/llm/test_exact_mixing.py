@@ -19,7 +19,9 @@ def normal(text):
     return re.sub(r"[\x20\x09-\x0D]", "", text or "")
 
 
-def test_copies_against_plain_groups(spark):
+@pytest.mark.parametrize("hot", [exact.HOT_ROWS, 1])
+def test_copies_against_plain_groups(spark, monkeypatch, hot):
+    monkeypatch.setattr(exact, "HOT_ROWS", hot)
     df = spark.createDataFrame(ROWS, DOCS).repartition(3)
     groups = defaultdict(list)
     for r in ROWS:
