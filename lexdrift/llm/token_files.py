@@ -30,6 +30,8 @@ LOW = np.uint64(1 << 31)
 LANES, SEGMENT = 1024, 256
 #: Ids after which a block is closed (with its document), and bytes of text in a shard.
 BLOCK, SHARD_BYTES = 1 << 19, 64 << 20
+#: Shards up to which their table (16 bytes each) is broadcast when a set is read; beyond, it is joined by shuffle.
+BROADCAST_SHARDS = 200_000
 BLOCKS = (
     "shard int, block int, first long, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, lanes int, "
     "words binary, states binary, places binary, checksums binary"
@@ -220,6 +222,8 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     # A shard's number follows the order of its documents; one row a shard.
     sizes = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
+    shards = blocks.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0] + 1
+    before = F.broadcast(before) if shards <= BROADCAST_SHARDS else before
     return (
         blocks.mapInArrow(decode, "shard int, doc_id long, first long, n_tokens long, ids binary")
         .join(before, "shard")
