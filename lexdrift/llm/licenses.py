@@ -169,7 +169,8 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None) -> Da
         .agg(F.max(F.struct(F.length("above").alias("depth"), "inherited", "from")).alias("best"))
         .select("dir", "best.inherited", "best.from")
     )
-    out = found.join(resolved, "dir", "left")
+    # A written table: both sides of the join are plain shuffles, and Spark can split a hot directory.
+    out = found.join(staged(resolved), "dir", "left")
     return out.select(
         "key", "path", "own", "score",
         F.coalesce("own", "inherited").alias("licence"),
