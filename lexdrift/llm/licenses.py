@@ -51,8 +51,6 @@ TEMPLATES: list[tuple[str, str]] = [
 THRESHOLD = 0.7
 #: Names of files that speak for their directory.
 LICENCE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
-#: Directories above a file that may speak for it.
-DEPTH = 64
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -124,16 +122,18 @@ def frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str,
     return got.get(-1, 0), {w: got.get(i, 0) for i, w in enumerate(vocabulary)}
 
 
-def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, licence_path: str | None = None) -> DataFrame:
     """A row for each row of ``files`` (key, path, text): key, path, own (licence or null), score, licence, source.
 
     source is ``own``, or the path of the file whose licence was inherited, or null with a null licence. Of several
     licence files in a directory the one with the first path counts; one without a known licence doesn't.
     Null text is empty, a null path has no directory, equal rows stay, no files give no rows; other
-    columns are ignored.
+    columns are ignored. ``licence_path`` names a column with the path of a file in whose text, wherever it stands,
+    a licence is found; without a licence, or with a null there, ``path`` holds.
     """
     spark, templates = files.sparkSession, templates or TEMPLATES
-    files = files.select("key", "path", F.coalesce("text", F.lit("")).alias("text"))
+    named = F.col(licence_path) if licence_path else F.lit(None).cast("string")
+    files = files.select("key", "path", named.alias("named"), F.coalesce("text", F.lit("")).alias("text"))
     vocabulary = sorted({w for _, t in templates for w in words(t)})
     matcher = spark.sparkContext.broadcast(Matcher(*frequencies(files, vocabulary), templates))
 
@@ -142,12 +142,14 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None) -> Da
         for batch in batches:
             best: list[Any] = [m.best(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("path"), pa.array([b[0] for b in best], pa.string()), pa.array([round(b[1], 6) for b in best], pa.float64())],
-                ["key", "path", "own", "score"],
+                [batch.column("key"), batch.column("path"), batch.column("named"), pa.array([b[0] for b in best], pa.string()), pa.array([round(b[1], 6) for b in best], pa.float64())],
+                ["key", "path", "named", "own", "score"],
             )
 
     kind = dict(files.dtypes)["key"]
-    found = staged(files.mapInArrow(work, f"key {kind}, path string, own string, score double"))
+    scored = files.mapInArrow(work, f"key {kind}, path string, named string, own string, score double")
+    path = F.when(F.col("own").isNotNull(), F.coalesce("named", "path")).otherwise(F.col("path"))
+    found = staged(scored.select("key", path.alias("path"), "own", "score"))
     parent = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_replace(c, "/[^/]*$", "")).when(c != "", F.lit(""))
     found = found.withColumn("dir", parent(F.col("path")))
     speak = (
@@ -158,9 +160,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None) -> Da
     )
     # Every directory once, with its ancestors; the deepest that speaks counts.
     steps = F.filter(F.split("dir", "/"), lambda x: x != "")
-    ancestors = F.transform(
-        F.sequence(F.lit(0), F.least(F.size(steps), F.lit(DEPTH))), lambda i: F.array_join(F.slice(steps, F.lit(1), F.size(steps) - i), "/")
-    )
+    ancestors = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), F.size(steps) - i), "/"))
     dirs = found.select("dir").where("dir is not null").distinct()
     resolved = (
         dirs.select("dir", F.explode(ancestors).alias("above"))
@@ -179,15 +179,20 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None) -> Da
 
 
 def layout(docs: DataFrame) -> DataFrame:
-    """Files (key, path, text) from a table of documents, which has no paths: source/lang/thousand/id.
+    """Files (key, path, text, licence_path) from a table of documents, which has no paths: source/lang/thousand/id.
 
-    A document that opens with a licence line is the licence file of its directory or, by its id, of one of the two above it.
+    Documents of even ids have a ``licence_path``: if their text holds a licence they are the licence file of their
+    directory or, by the id, of one of the two above it. The others keep a licence to themselves.
     """
     top, mid = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))
     low = F.coalesce(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("none"))
-    notice = F.split("text", "\n")[0].rlike(r"(?i)^[^\n]{0,40}licen[cs]ed? ")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
     at = F.pmod(F.col("doc_id"), F.lit(3))
     as_licence = F.when(at == 0, F.concat_ws("/", top, F.concat(F.lit("LICENSE-"), name))).when(at == 1, F.concat_ws("/", top, mid, F.concat(F.lit("LICENSE-"), name)))
     as_licence = as_licence.otherwise(F.concat_ws("/", top, mid, low, F.concat(F.lit("LICENSE-"), name)))
-    return docs.select(F.col("doc_id").alias("key"), F.when(notice, as_licence).otherwise(F.concat_ws("/", top, mid, low, F.concat(name, F.lit(".txt")))).alias("path"), "text")
+    return docs.select(
+        F.col("doc_id").alias("key"),
+        F.concat_ws("/", top, mid, low, F.concat(name, F.lit(".txt"))).alias("path"),
+        "text",
+        F.when(F.pmod(F.col("doc_id"), F.lit(2)) == 0, as_licence).alias("licence_path"),
+    )

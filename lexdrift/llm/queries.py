@@ -71,7 +71,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(licenses.layout(documents(spark, sf_dir))).withColumnRenamed("key", "doc_id")
+    return licenses.scan(licenses.layout(documents(spark, sf_dir)), licence_path="licence_path").withColumnRenamed("key", "doc_id")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from lexdrift.llm import licenses
+from lexdrift.llm import licenses, queries
 
 FILES = "key long, path string, text string, dir string, own int, above string"
 LINES = {
@@ -82,3 +82,38 @@ def test_nothing(spark):
     assert licenses.scan(spark.createDataFrame([], FILES)).count() == 0
     got = licenses.scan(spark.createDataFrame([(1, "f", None), (1, "f", None)], "key long, path string, text string")).collect()
     assert [tuple(r) for r in got] == [(1, "f", None, 0.0, None, None)] * 2
+
+
+def test_registered_query_inherits_as_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    planted = {line.replace("# ", "").replace("license", "License") if name == "MIT" else line: name for line, name in LINES.items()}
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op5_licenses(spark, sf).collect()}
+    assert set(got) == set(docs)
+    path, speak = {}, {}
+    for i, d in docs.items():
+        parts = [d.source, d.lang, str(i // 1000)]
+        licensed = any(line in d.text for line in planted)
+        path[i] = "/".join([*parts[: i % 3 + 1], f"LICENSE-{i}"] if licensed and i % 2 == 0 else [*parts, f"{i}.txt"])
+        if licensed and i % 2 == 0:
+            where = path[i].rsplit("/", 1)[0]
+            speak[where] = min(speak.get(where, (path[i], i)), (path[i], i))
+    inherited = 0
+    for i, r in got.items():
+        own = {name for line, name in planted.items() if line in docs[i].text}
+        assert r.path == path[i] and (r.own in own if own else r.own is None)
+        if own:
+            assert (r.licence, r.source) == (r.own, "own")
+            continue
+        above = path[i].split("/")[:-1]
+        first = next((speak[d] for d in ("/".join(above[:n]) for n in range(len(above), 0, -1)) if d in speak), None)
+        assert (r.licence, r.source) == ((got[first[1]].own, first[0]) if first else (None, None))
+        inherited += first is not None
+    assert inherited > 100 and any(r.own and r.doc_id % 2 for r in got.values())
+
+
+def test_no_directory_is_too_deep(spark):
+    deep = "/".join(["d"] * 100)
+    rows = [(1, "d/LICENSE", [*LINES][0]), (2, f"{deep}/f.txt", "plain prose")]
+    got = {r.key: r for r in licenses.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect()}
+    assert (got[2].own, got[2].licence, got[2].source) == (None, "CC-BY-NC-4.0", "d/LICENSE")
