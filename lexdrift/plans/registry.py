@@ -139,6 +139,12 @@ def skipgram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pair_counts(corpus(spark, sf_dir)).where("n > 1")
 
 
+@query(f"WITH {_TOKENS}, {_PAIRS} SELECT slice, w1, w2, n FROM pc")
+def skipgram_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All skip-grams, those that occur once as well; ``skipgram_counts`` has those that its SQL asks for."""
+    return tokens.pair_counts(corpus(spark, sf_dir))
+
+
 @query(f"WITH {_TOKENS}, {_PAIRS} SELECT slice, pairs FROM pt")
 def skipgram_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pair_totals(corpus(spark, sf_dir))

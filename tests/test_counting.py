@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from lexdrift.operators import periods, ppmi, sketch, tokens, vocabulary
+from lexdrift.plans import registry
 
 CORPUS = "slice string, doc_id long, line_no int, line string"
 QUIET = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -162,3 +163,16 @@ def test_periods(spark):
 def test_pairs_are_combined_before_the_shuffle(spark):
     plan = tokens.pair_counts(corpus(spark, ANIMALS))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_count") > plan.index("Exchange") and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_registered_skipgrams_are_all_pairs(spark, tmp_path):
+    texts = [("a", "\n".join(ANIMALS)), ("b", "the bird saw\nthe bird fly"), ("b", None), (None, "one two three")]
+    docs = [(i, t, lang, "s", len(t or "")) for i, (lang, t) in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"file://{tmp_path}/documents.parquet")
+    want = {}
+    for lang in ("a", "b", None):
+        pairs = plain_pairs([x for k, t in texts if k == lang for x in (t or "").split("\n")], 5, 3)
+        want |= {(lang, *p): n for p, n in pairs.items()}
+    got = registry.queries()["skipgram_counts_all"](spark, f"file://{tmp_path}").collect()
+    assert len(got) == len(want) and {(r.slice, r.w1, r.w2): r.n for r in got} == want
+    assert 1 in want.values() and max(want.values()) > 1
