@@ -513,7 +513,7 @@ def topic_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trained(spark: SparkSession, sf_dir: str) -> shift.Model:
-    return shift.train(corpus(spark, sf_dir), 16)
+    return shift.train(corpus(spark, sf_dir))
 
 
 @query()
@@ -542,7 +542,7 @@ def stable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topics_nmf(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vocab(spark, sf_dir)
     entries = ppmi.of_corpus(corpus(spark, sf_dir)).where("ppmi > 0")
-    return topics.top_words(topics.distributions(topics.factors(entries, v, 5, 100)))
+    return topics.top_words(topics.distributions(topics.factors(entries, v)))
 
 
 @query()

@@ -1,9 +1,11 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
+from lexdrift.operators import embedding, topics
 from lexdrift.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +50,22 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["slice", "i", "j", "w1", "w2", "n", "ppmi"] and df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_embeddings_and_topics_are_whole(spark):
+    sf = "/root/testdata/sf0.01"
+    by_slice = {}
+    for r in registry.queries()["embeddings_svd"](spark, sf).collect():
+        by_slice.setdefault(r.slice, {})[r["rank"]] = r.vector
+    cells = registry.ppmi_entries(spark, sf).collect()
+    k = min(embedding.COMPONENTS, min(map(len, by_slice.values())) - 1)
+    for name, rows in by_slice.items():
+        m = np.zeros((len(rows), len(rows)))
+        for r in cells:
+            if r.slice == name:
+                m[r.i, r.j] = r.ppmi
+        got = np.array([rows[i] for i in range(len(rows))])
+        assert got.shape[1] == k == 300
+        assert (got**2).sum(0) == pytest.approx(np.linalg.svd(m, compute_uv=False)[:k], abs=1e-3)  # entries have 6 digits
+    found = registry.queries()["topics_nmf"](spark, sf).select("slice", "topic_id").distinct().collect()
+    assert {tuple(r) for r in found} == {(name, t) for name in by_slice for t in range(topics.TOPICS)}
