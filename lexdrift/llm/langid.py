@@ -27,6 +27,8 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 150, 12
 #: Languages a model learns at most; more are an error.
 MOST_LANGUAGES = 200
 STEPS, BATCH, RATE, SEED = 220, 256, 0.02, 5
+#: The class of what is no known language, and the size and steps of a model that has it.
+BACKGROUND, BACKGROUND_HIDDEN, BACKGROUND_STEPS = "\0", 16, 300
 
 #: Bytes that may belong to a letter: ASCII letters and those of longer UTF-8 sequences.
 LETTER = np.zeros(256, bool)
@@ -134,14 +136,44 @@ def loss_gradients(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, l
     return loss, [*unrun(model.cells[0], x, tape_a, d_both[:, :h]), *unrun(model.cells[1], x, tape_b, d_both[:, h:]), d_out, d_bias]
 
 
-def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = SEED) -> Model:
+def background(texts: list[str], seed: int) -> list[bytes]:
+    """A piece of each text over 40 characters with other letters, in turn: shuffled, replaced one for one, random, of another script.
+
+    What isn't a letter stays. Letters replaced one for one stand for languages that aren't in ``texts``.
+    """
+    draw = np.random.default_rng(seed)
+    latin, size = np.flatnonzero(LETTER[:128]), SAMPLE_WINDOWS * WINDOW
+    out = []
+    for n, text in enumerate(t for t in texts if len(t) > 40):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        at = int(draw.integers(0, max(1, len(raw) - size + 1)))
+        part = raw[at : at + size].copy()
+        letters = LETTER[part]
+        if n % 4 == 0:
+            part[letters] = draw.permutation(part[letters])
+        elif n % 4 == 1:
+            table, order = np.arange(256, dtype=np.uint8), draw.permutation(26)
+            table[65:91], table[97:123], table[128:] = 65 + order, 97 + order, draw.permutation(np.arange(128, 256))
+            part = table[part]
+        elif n % 4 == 2:
+            part[letters] = draw.choice(latin, int(letters.sum()))
+        else:
+            # scripts of two or three bytes a letter, and of three, by turns
+            base = int(draw.integers(0x370, 0x1000) if n % 8 == 3 else draw.integers(0x1000, 0xD000))
+            other = iter((base + draw.integers(0, 60, int(letters.sum()))).tolist())
+            part = np.frombuffer("".join(chr(next(other) if k else b) for b, k in zip(part.tolist(), letters.tolist(), strict=True)).encode()[:size], np.uint8)
+        out.append(part.tobytes())
+    return out
+
+
+def train(texts: list[str] | list[str | bytes], labels: list[str], steps: int = STEPS, seed: int = SEED, hidden: int = HIDDEN) -> Model:
     """A model of the languages in ``labels``; deterministic."""
-    model = fresh(sorted(set(labels)), seed=seed)
+    model = fresh(sorted(set(labels)), hidden, seed)
     draw = np.random.default_rng(seed)
     number = {x: i for i, x in enumerate(model.languages)}
     by_class: list[list[np.ndarray]] = [[] for _ in number]
     for text, label in zip(texts, labels, strict=True):
-        raw = np.frombuffer(text.encode(), np.uint8)
+        raw = np.frombuffer(text.encode() if isinstance(text, str) else text, np.uint8)
         if LETTER[raw].any():
             for at in draw.integers(0, max(1, len(raw) - WINDOW + 1), SAMPLE_WINDOWS):
                 part = raw[at : at + WINDOW]
@@ -194,10 +226,11 @@ def document_probabilities(model: Model, texts: pa.Array) -> np.ndarray:
     return sums / np.maximum(weight, 1)[:, None]
 
 
-def fit(docs: DataFrame, docs_each: int = SAMPLE_DOCS, seed: int = SEED) -> Model:
+def fit(docs: DataFrame, docs_each: int = SAMPLE_DOCS, seed: int = SEED, with_background: bool = False) -> Model:
     """A model from ``docs`` (text, lang), of which about ``docs_each`` of each language are drawn by a hash of the text.
 
-    Rows without text or lang are not used; without any the model knows no language.
+    Rows without text or lang are not used; without any the model knows no language. ``with_background`` adds the class
+    ``BACKGROUND``, if there are texts to make it of.
     """
     labelled = docs.where("text is not null and lang is not null").select("text", "lang")
     counts = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
@@ -210,7 +243,11 @@ def fit(docs: DataFrame, docs_each: int = SAMPLE_DOCS, seed: int = SEED) -> Mode
     # A text with many copies is drawn once: the sample stays about docs_each * languages.
     drawn = drawn.groupBy("text", "lang").count().select("text", "lang").collect()
     drawn.sort()
-    return train([r.text for r in drawn], [r.lang for r in drawn], seed=seed)
+    texts, labels = [r.text for r in drawn], [r.lang for r in drawn]
+    if not with_background:
+        return train(texts, labels, seed=seed)
+    more = background(texts, seed)
+    return train([*texts, *more], [*labels, *[BACKGROUND] * len(more)], BACKGROUND_STEPS, seed, BACKGROUND_HIDDEN)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -257,8 +294,22 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs.where(~F.col("held_out"))), ["doc_id", "held_out"])
 
 
-def drop_unknown(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """``docs`` without documents that have no letter or no language with a score of ``least``; all columns stay."""
+def drop_unknown(docs: DataFrame, most: float = 0.5) -> DataFrame:
+    """``docs`` without documents that have no letter or whose share of ``BACKGROUND`` is over ``most``; all columns stay.
+
+    The share doesn't depend on the number of languages. If no language was learnt all documents with letters stay.
+    """
     rows = docs.select("*", held_out().alias("__held"))
-    model = fit(rows.where(~F.col("__held")))
-    return predict(docs, model, docs.columns, ("__lang", "__score")).where(F.col("__score") >= least).select(*docs.columns)
+    model = fit(rows.where(~F.col("__held")), with_background=True)
+    lettered = docs.where(F.col("text").rlike(r"\p{L}"))
+    if BACKGROUND not in model.languages:
+        return lettered
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value.languages.index(BACKGROUND)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                yield batch.filter(pa.array(document_probabilities(shared.value, batch.column("text"))[:, at] <= most))
+
+    return lettered.mapInArrow(work, docs.schema)

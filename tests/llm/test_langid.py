@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexdrift.llm import langid
 
@@ -48,3 +49,31 @@ def test_no_rows_no_labels_and_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "some text", None, "s", 1, 1)], kind)
     assert [tuple(r) for r in langid.identify(rows).collect()] == [(1, langid.identify(rows).first().held_out, "und", 0.0)]
     assert langid.drop_unknown(rows).columns == rows.columns
+
+
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+]
+
+
+@pytest.mark.parametrize("languages", [["de", "en", "es", "fr"], ["de", "en"], ["fr"]])
+def test_unknown_texts_go_and_short_clean_ones_stay(spark, languages):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("lang").isin(languages))
+    draw = np.random.default_rng(7)
+    noise = ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz     "), 150)) for _ in range(20)]
+    clean = docs.where("length(text) > 400 and text not like '%###%'").select("doc_id", "text").orderBy("doc_id").limit(20).collect()
+    short = [" ".join(r.text.split()[:12]) for r in clean]
+    planted = [*zip(range(-100, 0), [*FOREIGN, *noise]), *zip(range(-200, -100), short)]
+    more = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in planted], docs.schema)
+    kept = {r.doc_id for r in langid.drop_unknown(docs.unionByName(more)).select("doc_id").collect()}
+    assert not {i for i in kept if -100 <= i < 0}
+    assert len({i for i in kept if i < -100}) >= len(short) - 1
+    assert len({i for i in kept if i >= 0}) >= 0.99 * docs.count()
+
+
+def test_letters_stay_if_no_language_was_learnt(spark):
+    rows = spark.createDataFrame([(1, "some text", None), (2, "12 !", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.drop_unknown(rows).collect()] == [1]
