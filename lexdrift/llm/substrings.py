@@ -1,4 +1,4 @@
-"""Removing long strings that repeat, by suffixes that are sorted bucket by bucket.
+"""Removing long strings that repeat, by suffixes that are sorted bucket by bucket with a difference cover.
 
 A suffix counts by its first ``LENGTH`` bytes: its window. The suffixes' buckets are keyed by content: of
 all strings of ``GRAM`` bytes in a window the one with the smallest hash is its anchor, and equal windows
@@ -6,14 +6,18 @@ have equal anchors. Consecutive suffixes with one anchor travel together as a se
 few hundred bytes for about seventy suffixes.
 
 1. Anchors that occur once can't belong to a repeated window: their segments go no further.
-2. Equal segments are combined; where there are several, all their windows are repeated. One stays.
-3. The bytes of the distinct segments of an anchor meet in its bucket. A task takes one block of buckets at a
-   time and sorts its suffixes. Long ties are resolved by a difference cover sample: the ranks of ``DEPTH`` bytes
-   at the positions of a cover modulo ``PERIOD``, computed beforehand for the block. For any two suffixes
-   some shift under ``PERIOD`` puts both on sample positions; with the first and the last ``PERIOD`` bytes that
-   decides whether their windows are equal, whatever the text.
-4. Buckets with very many distinct segments are cut further, by the digest of each window.
+2. The bytes of the other segments are cut from the texts. Where that is done, segments of equal bytes become one
+   string with several members, before anything is shuffled.
+3. The strings of an anchor meet in its bucket. A task takes one block of whole buckets at a time and puts their
+   suffixes into lexicographic order: by the first ``PERIOD`` bytes, then by the ranks of ``DEPTH`` bytes at the positions of
+   a difference cover modulo ``PERIOD``, computed beforehand for the block, then by the last ``PERIOD`` bytes.
+   For any two suffixes some shift under ``PERIOD`` puts both on positions of the cover. All keys are bytes or ranks of bytes:
+   windows are equal if and only if they tie to the end, and a window is repeated if its ties have more than one member.
+4. The bucket of an anchor with very many segments is split by a longer prefix, the whole window: suffixes whose window's
+   hash occurs once go no further, the others are dealt by it to buckets of the same sort.
 5. Repeated windows go back to their documents, whose bytes under them are removed.
+
+Hashes only deal suffixes to buckets and leave out what can't repeat; equal hashes of different bytes change nothing.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +38,10 @@ from .tokens import slices
 LENGTH, GRAM = 200, 64
 PERIOD = 40
 DEPTH = LENGTH - PERIOD
-#: Bytes that are looked at or sorted at once.
-BLOCK = 2 << 20
-#: Distinct segments of an anchor beyond which its bucket is cut by window.
-LARGE_BUCKET = 4_096
+#: Bytes that are looked at or sorted at once, and bytes of text whose segments are combined before they are shuffled.
+BLOCK, COMBINED = 2 << 20, 8 << 20
+#: Segments of an anchor beyond which its bucket is split.
+LARGE_BUCKET = 16_384
 _INDEX = U((1 << 24) - 1)
 
 
@@ -72,9 +77,9 @@ def prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments_of(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
-    """Segments of all windows inside raw[begins[i]:ends[i]]: piece, start and number of its suffixes, anchor, content (hashes)."""
+    """Segments of all windows inside raw[begins[i]:ends[i]]: piece, start and number of its suffixes, anchor (hash), lead (of the first suffix to the anchor)."""
     none = np.zeros(0, np.int64)
-    empty = {"piece": none, "start": none, "n": none, "anchor": none, "content": none}
+    empty = {"piece": none, "start": none, "n": none, "lead": none, "anchor": none}
     if len(raw) < LENGTH:
         return empty
     sums, down = prefix_sums(raw)
@@ -102,9 +107,7 @@ def segments_of(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> dict[s
     piece = np.flatnonzero(long)[np.searchsorted(first_of_piece, start, side="right") - 1]
     stop = np.minimum(np.append(start[1:], len(anchor)), ends[piece] - LENGTH + 1)
     n, at = stop - start, anchor[start]
-    content = (sums[stop - 1 + LENGTH] - sums[start]) * down[start]
-    content = mixed(content + n.astype(np.uint64) * U(0x9E3779B97F4A7C15) + (at - start).astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
-    return {"piece": piece, "start": start, "n": n, "anchor": grams[at].view(np.int64), "content": content.view(np.int64)}
+    return {"piece": piece, "start": start, "n": n, "lead": at - start, "anchor": grams[at].view(np.int64)}
 
 
 def find_segments(docs: DataFrame) -> DataFrame:
@@ -129,123 +132,239 @@ def find_segments(docs: DataFrame) -> DataFrame:
                     s = segments_of(part, b, e)
                     at = pa.array(rows[s["piece"]])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(at), batch.column("part").take(at), pa.array(s["start"] - b[s["piece"]] + shift), pa.array(s["n"].astype(np.int32)), pa.array(s["anchor"]), pa.array(s["content"])],
-                        ["doc_id", "part", "start", "n", "anchor", "content"],
+                        [batch.column("doc_id").take(at), batch.column("part").take(at), pa.array(s["start"] - b[s["piece"]] + shift), pa.array(s["n"].astype(np.int32)), pa.array(s["lead"].astype(np.int32)), pa.array(s["anchor"])],
+                        ["doc_id", "part", "start", "n", "lead", "anchor"],
                     )
 
-    return docs.mapInArrow(work, "doc_id long, part long, start long, n int, anchor long, content long")
-
+    return docs.mapInArrow(work, "doc_id long, part long, start long, n int, lead int, anchor long")
 
-def ranks(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
 
+def refined(rank: np.ndarray, open_: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Settles ties: ``rank`` of the items ``open_`` (all that share a rank with another) grows by the number of smaller keys among its ties.
 
-def repeated_suffixes(t: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Whether the window at each of ``starts`` in t is equal to that at another."""
-    out = np.zeros(len(starts), bool)
-    if len(starts) < 2:
-        return out
-    sums, down = prefix_sums(t)
-    key = (sums[starts + LENGTH] - sums[starts]) * down[starts]
-    order = np.argsort(key, kind="stable")
-    tie = np.flatnonzero(key[order][1:] == key[order][:-1])
-    i, j = starts[order[tie]], starts[order[tie + 1]]
-    if not len(i):
-        return out
-    # Big-endian words at every position: the first and last bytes of windows, and the sample's.
-    reach = len(t) + DEPTH  # zeros follow, so that ranks exist up to the end
-    padded = np.concatenate([t, np.zeros(DEPTH + 8, np.uint8)])
-    words = np.zeros(reach, np.uint64)
-    for b in range(8):
-        words = (words << U(8)) | padded[b : b + reach]
-    same = np.ones(len(i), bool)
-    for d in [*range(0, PERIOD, 8), *range(LENGTH - PERIOD, LENGTH, 8)]:
-        same &= words[i + d] == words[j + d]
-    # Ranks of PERIOD, then 2 and 4 times PERIOD bytes at sample positions.
+    Gives the items that still tie, in the order of their ranks.
+    """
+    if not len(open_):
+        return open_
+    group = rank[open_]
+    if group.min() == group.max():
+        order = np.argsort(key)
+    else:
+        dense = lambda x: np.unique(x, return_inverse=True)[1].astype(np.uint64)
+        order = np.argsort(dense(group) << U(32) | dense(key))
+    group, key, items = group[order], key[order], open_[order]
+    at = np.arange(len(items))
+    first = np.concatenate([[True], group[1:] != group[:-1]])
+    new = first | np.concatenate([[True], key[1:] != key[:-1]])
+    rank[items] = group + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(first, at, 0))
+    return items[~(new & np.append(new[1:], True))]
+
+
+def sample_ranks(words: np.ndarray) -> np.ndarray:
+    """For each position of the cover the number of positions of the cover whose ``DEPTH`` bytes are smaller."""
     on = np.zeros(PERIOD, bool)
     on[cover()] = True
-    (sample,) = np.nonzero(on[np.arange(len(t)) % PERIOD])
-    place = np.zeros(reach, np.int64)
-    rank = ranks(words[sample])
-    for d in range(8, PERIOD, 8):
-        rank = ranks((rank << 32) | ranks(words[sample + d]))
-    depth = PERIOD
+    (sample,) = np.nonzero(on[np.arange(len(words) - DEPTH) % PERIOD])
+    rank, open_ = np.zeros(len(sample), np.int64), np.arange(len(sample))
+    for d in range(0, PERIOD, 8):
+        open_ = refined(rank, open_, words[sample[open_] + d])
+    place, depth = np.zeros(len(words), np.int64), PERIOD
     while depth < DEPTH:
         place[sample] = rank + 1
-        rank = ranks((rank << 32) | place[sample + depth])
+        open_ = refined(rank, open_, place[sample[open_] + depth])
         depth *= 2
     place[sample] = rank + 1
-    d = shifts()[i % PERIOD, j % PERIOD]
-    same &= place[i + d] == place[j + d]
-    out[order[tie[same]]] = True
-    out[order[tie[same] + 1]] = True
-    return out
+    return place
 
 
-def runs_of(mask: np.ndarray) -> np.ndarray:
-    """(first, number) of each run of true values."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).reshape(-1, 2)
-    return np.stack([edges[:, 0], edges[:, 1] - edges[:, 0]], axis=1)
+def smaller_by_cover(group: np.ndarray, starts: np.ndarray, place: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """For each suffix how many of its group are smaller: by the ranks at the shift that puts both on the cover, then by the last bytes' rank.
+
+    Suffixes are taken by their residue modulo ``PERIOD``: two residues share one shift.
+    """
+    less = np.zeros(len(starts), np.int64)
+    group = np.unique(group, return_inverse=True)[1].astype(np.int64) << 32
+    residue = starts % PERIOD
+    by = {r: np.flatnonzero(residue == r) for r in np.unique(residue).tolist()}
+    for x, y in ((x, y) for x in by for y in by if x <= y):
+        a, b, d = by[x], by[y], shifts()[x, y]
+        if x != y:
+            a, b = a[np.isin(group[a], group[b])], b[np.isin(group[b], group[a])]
+            if not len(a):
+                continue
+        both = a if x == y else np.concatenate([a, b])
+        keys = group[both] | np.unique(place[starts[both] + d] << 32 | tail[both], return_inverse=True)[1]
+        ka, kb = keys[: len(a)], keys[-len(b) :]
+        for one, mine, others in ((a, ka, kb),) if x == y else ((a, ka, kb), (b, kb, ka)):
+            others = np.sort(others)
+            less[one] += np.searchsorted(others, mine) - np.searchsorted(others, group[one])
+    return less
+
+
+def window_ranks(t: np.ndarray, starts: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """For the window at each of ``starts`` in t the number of those in lower buckets, or smaller in its own: equal windows have equal ranks.
+
+    ``bucket`` counts from 0. Only ties are looked at further, and only ties of ``PERIOD`` bytes need the cover sample.
+    """
+    n = np.bincount(bucket)
+    rank = (np.cumsum(n) - n)[bucket]
+    open_ = np.flatnonzero(n[bucket] > 1)
+    reach = len(t) + DEPTH  # zeros follow, so that ranks exist up to the end
+    padded = np.concatenate([t, np.zeros(DEPTH + 8, np.uint8)])
+    words = np.zeros(reach, np.uint64)
+    for b in range(8):
+        words = (words << U(8)) | padded[b : b + reach]
+    for d in range(0, PERIOD, 8):
+        open_ = refined(rank, open_, words[starts[open_] + d])
+    if len(open_):
+        tail, ties = np.zeros(len(open_), np.int64), np.arange(len(open_))
+        for d in range(LENGTH - PERIOD, LENGTH, 8):
+            ties = refined(tail, ties, words[starts[open_[ties]] + d])
+        refined(rank, open_, smaller_by_cover(rank[open_], starts[open_], sample_ranks(words), tail))
+    return rank
 
 
-def sort_buckets(buckets: DataFrame) -> DataFrame:
-    """Repeated windows of segments (doc_id, part, start, n, anchor, full, bytes): (doc_id, part, start, n), for those not full."""
+def cut_strings(docs: DataFrame, segments: DataFrame) -> DataFrame:
+    """(string, anchor, large, n, lead, bytes, members) from ``segments`` (doc_id, part, start, n, lead, anchor, large): one string for the
+    segments of equal bytes that are cut together; ``members`` are their places (doc_id, part, start).
+
+    Strings are numbered by task: the numbers hold once the result is written.
+    """
+    # a set: rows of one id and text have the same segments
+    place = F.collect_set(F.struct("start", "n", "lead", "anchor", "large")).alias("found")
+    found = segments.groupBy(F.col("doc_id").alias("d"), F.col("part").alias("p")).agg(place)
+    texts = docs.join(found, docs["doc_id"].eqNullSafe(found["d"]) & (docs["part"] == found["p"])).select("doc_id", "part", "text", "found")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def block(rows: pa.Table) -> pa.RecordBatch:
-            raw = rows.column("bytes").to_pylist()
-            t = np.frombuffer(b"".join(raw), np.uint8)
-            begin = np.cumsum([0, *map(len, raw)])[:-1]
-            n = rows.column("n").to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            starts = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            mask = repeated_suffixes(t, starts) & ~rows.column("full").to_numpy()[row]
-            # a run ends with its segment
-            first = np.cumsum(n) - n
-            edge = np.concatenate([[False], row[1:] != row[:-1]])
-            opens = mask & np.concatenate([[True], ~mask[:-1] | edge[1:]]) if len(mask) else mask
-            shuts = mask & np.concatenate([~mask[1:] | edge[1:], [True]]) if len(mask) else mask
-            (a,), (b,) = np.nonzero(opens), np.nonzero(shuts)
-            r = row[a]
-            at = pa.array(r)
-            return pa.RecordBatch.from_arrays(
-                [rows.column("doc_id").combine_chunks().take(at), rows.column("part").combine_chunks().take(at), pa.array(rows.column("start").to_numpy()[r] + a - first[r]), pa.array(b - a + 1)],
-                ["doc_id", "part", "start", "n"],
-            )
+        from pyspark import TaskContext
 
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= BLOCK:
-                rows = pa.Table.from_batches(held)
-                anchors = rows.column("anchor").to_numpy()
-                cut = int(np.searchsorted(anchors, anchors[-1]))  # the last bucket may go on
-                if cut:
-                    for part in pieces(rows.slice(0, cut)):
-                        yield block(part)
-                held = rows.slice(cut).combine_chunks().to_batches()
-                size = sum(x.nbytes for x in held) if cut else 0
-        if held:
-            for part in pieces(pa.Table.from_batches(held)):
-                yield block(part)
+        number = TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for batch in slices(whole, most=COMBINED):
+                column, found = batch.column("text"), batch.column("found")
+                each = found.flatten()
+                row = pc.list_parent_indices(found)
+                start, n = (each.field(c).to_numpy() for c in ("start", "n"))
+                raw = [x.as_buffer().to_pybytes() for x in column]
+                cut = pa.array([raw[r][a:b] for r, a, b in zip(row.to_pylist(), start.tolist(), (start + n + (LENGTH - 1)).tolist(), strict=True)], pa.binary())
+                coded = cut.dictionary_encode()
+                code = coded.indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                ends = np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))
+                one = pa.array(order[ends - 1])
+                at = pa.array(row.to_numpy()[order])
+                places = pa.StructArray.from_arrays([batch.column("doc_id").take(at), batch.column("part").take(at), pa.array(start[order])], ["doc_id", "part", "start"])
+                members = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), places)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(number + np.arange(len(ends))), *(each.field(c).take(one) for c in ("anchor", "large", "n", "lead")), coded.dictionary, members],
+                    ["string", "anchor", "large", "n", "lead", "bytes", "members"],
+                )
+                number += len(ends)
+
+    return texts.mapInArrow(work, "string long, anchor long, large boolean, n int, lead int, bytes binary, members array<struct<doc_id: long, part: long, start: long>>")
+
+
+def window_keys(strings: DataFrame) -> DataFrame:
+    """(string, at, key, members) for each window of ``strings`` (string, n, bytes, members); key is a hash of the window."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "bytes", BLOCK):
+                raw = batch.column("bytes").to_pylist()
+                sums, down = prefix_sums(np.frombuffer(b"".join(raw), np.uint8))
+                n = batch.column("n").to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = np.cumsum([0, *map(len, raw)])[row] + at
+                key = mixed((sums[start + LENGTH] - sums[start]) * down[start])
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("string").take(rows), pa.array(at), pa.array(key.view(np.int64)), batch.column("members").take(rows)], ["string", "at", "key", "members"]
+                )
+
+    return strings.select("string", "n", "bytes", "members").mapInArrow(work, "string long, at long, key long, members long")
+
+
+def runs_of(mask: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each run of true values in one row."""
+    edge = np.concatenate([[True], row[1:] != row[:-1], [True]])
+    opens = mask & (edge[:-1] | np.concatenate([[True], ~mask[:-1]]))
+    shuts = mask & (edge[1:] | np.concatenate([~mask[1:], [True]]))
+    return np.flatnonzero(opens), np.flatnonzero(shuts)
+
+
+def sort_buckets(strings: DataFrame) -> DataFrame:
+    """Repeated windows (string, at, n) of ``strings`` (bucket, string, at, n, lead, members, bytes), which are sorted by bucket in their partitions.
+
+    A string's suffixes are its first ``n``; ``members`` is how often it occurs.
+    """
+
+    def block(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.unify_dictionaries().combine_chunks()
+        coded = rows.column("bytes").chunk(0)
+        used, first, code = np.unique(coded.indices.to_numpy(), return_index=True, return_inverse=True)
+        raw = coded.dictionary.take(pa.array(used)).to_pylist()
+        bucket = np.unique(rows.column("bucket").to_numpy()[first], return_inverse=True)[1]
+        n, lead = (rows.column(c).to_numpy()[first].astype(np.int64) for c in ("n", "lead"))
+        # Strings are laid out with their anchors at one residue, so that equal windows need one shift.
+        laid, begin, at = [], np.zeros(len(raw), np.int64), 0
+        for i, (x, k) in enumerate(zip(raw, lead.tolist(), strict=True)):
+            gap = -(at + k) % PERIOD
+            laid += [bytes(gap), x]
+            begin[i] = at + gap
+            at += gap + len(x)
+        of = np.repeat(np.arange(len(n)), n)
+        starts = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        rank = window_ranks(np.frombuffer(b"".join(laid), np.uint8), starts, bucket[of])
+        members = np.bincount(code, weights=rows.column("members").to_numpy())
+        repeated = np.bincount(rank, weights=members[of])[rank] > 1
+        # The runs of a string are those of all rows with its bytes.
+        a, b = runs_of(repeated, of)
+        per = np.bincount(of[a], minlength=len(n))
+        times = per[code]
+        row = np.repeat(np.arange(len(code)), times)
+        run = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + (np.cumsum(per) - per)[code[row]]
+        start = rows.column("at").to_numpy()[row] + starts[a[run]] - begin[code[row]]
+        return pa.RecordBatch.from_arrays([rows.column("string").combine_chunks().take(pa.array(row)), pa.array(start), pa.array(b[run] - a[run] + 1)], ["string", "at", "n"])
+
+    def coded(rows: pa.Table) -> pa.Table:
+        plain = rows.column("bytes").cast(pa.binary()).combine_chunks()
+        return rows.set_column(rows.schema.get_field_index("bytes"), "bytes", plain.dictionary_encode())
 
     def pieces(rows: pa.Table) -> Iterator[pa.Table]:
         """Runs of whole buckets of about a block each."""
-        anchors = rows.column("anchor").to_numpy()
+        buckets = rows.column("bucket").to_numpy()
         ends = np.cumsum(rows.column("n").to_numpy().astype(np.int64) + LENGTH)
         a = 0
-        while a < len(anchors):
+        while a < len(buckets):
             b = int(np.searchsorted(ends, ends[a] + BLOCK, side="right"))
-            if b < len(anchors):
-                b = int(np.searchsorted(anchors, anchors[b])) if anchors[b] != anchors[a] else int(np.searchsorted(anchors, anchors[a], side="right"))
+            if b < len(buckets):
+                b = int(np.searchsorted(buckets, buckets[b])) if buckets[b] != buckets[a] else int(np.searchsorted(buckets, buckets[a], side="right"))
             b = max(b, a + 1)
             yield rows.slice(a, b - a)
             a = b
 
-    return buckets.select("doc_id", "part", "start", "n", "anchor", "full", "bytes").mapInArrow(work, "doc_id long, part long, start long, n long")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Equal strings of a batch are held once, so a bucket with many members takes little room.
+        held: list[pa.Table] = []
+        size = 0
+        for batch in batches:
+            held.append(coded(pa.Table.from_batches([batch])))
+            size += held[-1].nbytes
+            if size >= BLOCK:
+                rows = pa.concat_tables(held)
+                buckets = rows.column("bucket").to_numpy()
+                cut = int(np.searchsorted(buckets, buckets[-1]))  # the last bucket may go on
+                if cut:
+                    for part in pieces(rows.slice(0, cut)):
+                        yield block(part)
+                held = [coded(rows.slice(cut))]
+                size = held[0].nbytes if cut else 0
+        if held:
+            for part in pieces(pa.concat_tables(held)):
+                yield block(part)
+
+    return strings.select("bucket", "string", "at", "n", "lead", "members", "bytes").mapInArrow(work, "string long, at long, n long")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -253,35 +372,25 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     at = shared_dir(spark)
     every = staged(find_segments(docs), at)
-    again = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    some = staged(every.join(again, "anchor", "left_semi"))
+    again = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", (F.col("c") > LARGE_BUCKET).alias("large"))
+    strings = staged(cut_strings(docs, every.join(again, "anchor")))
     discard(spark, at)
-    # Equal segments: one stands for all, and where there are several all their windows are repeated.
-    distinct = staged(
-        some.groupBy("anchor", "content", "n")
-        .agg(F.min(F.struct("doc_id", "part", "start")).alias("one"), F.count("*").alias("c"))
-        .select("anchor", "content", "n", "one.*", (F.col("c") > 1).alias("full"))
-    )
-    full = some.join(distinct.where("full").select("anchor", "content", "n"), ["anchor", "content", "n"], "left_semi")
-    full = full.select("doc_id", "part", "start", F.col("n").cast("long").alias("n"))
-    buckets = distinct.groupBy("anchor").agg(F.count("*").alias("segments"), F.min("full").alias("all")).where("segments > 1 and not all").select("anchor", "segments")
-    open_ = distinct.join(buckets, "anchor")
-    text = docs.select(F.col("doc_id").alias("d"), F.col("part").alias("p"), "text")
-    with_bytes = open_.join(text, open_["doc_id"].eqNullSafe(text["d"]) & (open_["part"] == text["p"])).select(
-        "doc_id", "part", "start", "n", "anchor", "content", "segments", "full",
-        F.substring(F.encode("text", "UTF-8"), (F.col("start") + 1).cast("int"), F.col("n") + (LENGTH - 1)).alias("bytes"),
-    )
-    with_bytes = staged(with_bytes)
-    sorted_ = sort_buckets(
-        with_bytes.where(F.col("segments") <= LARGE_BUCKET).repartition("anchor").sortWithinPartitions("anchor")
-    )
-    # The rest: a row for each window, combined by digest where it is made.
-    windows = with_bytes.where(F.col("segments") > LARGE_BUCKET).select(
-        "doc_id", "part", "full", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.md5(F.substring(F.col("bytes"), i + 1, F.lit(LENGTH))))).alias("i", "digest"), "start",
-    )
-    twice = windows.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest")
-    large = windows.where("not full").join(twice, "digest", "left_semi").select("doc_id", "part", (F.col("start") + F.col("i")).alias("start"), F.lit(1).cast("long").alias("n"))
-    return full.unionByName(sorted_).unionByName(large)
+    sized = strings.select("string", "anchor", "large", "n", "lead", "bytes", F.size("members").cast("long").alias("members"))
+    rows = sized.where("not large").select(F.col("anchor").alias("bucket"), "string", F.lit(0).cast("long").alias("at"), "n", "lead", "members", "bytes")
+    large = sized.where("large")
+    if not large.isEmpty():
+        keys = staged(window_keys(large))
+        twice = keys.groupBy("key").agg(F.sum("members").alias("c")).where("c > 1").select("key")
+        windows = keys.join(twice, "key", "left_semi").join(large.select("string", "lead", "bytes"), "string")
+        rows = rows.unionByName(
+            windows.select(
+                F.col("key").alias("bucket"), "string", "at", F.lit(1).alias("n"), (F.col("lead") - F.col("at")).cast("int").alias("lead"), "members",
+                F.expr(f"substring(bytes, cast(at + 1 as int), {LENGTH})").alias("bytes"),
+            )
+        )
+    found = sort_buckets(rows.repartition("bucket").sortWithinPartitions("bucket"))
+    members = strings.select("string", F.explode("members").alias("m"))
+    return found.join(members, "string").select("m.doc_id", "m.part", (F.col("m.start") + F.col("at")).alias("start"), "n")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -292,7 +401,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     equal rows remove each other's bytes. No documents give no rows; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("part", F.xxhash64("text"))
-    found = repeated_windows(docs).groupBy(F.col("doc_id").alias("d"), F.col("part").alias("p")).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    found = repeated_windows(docs).groupBy(F.col("doc_id").alias("d"), F.col("part").alias("p")).agg(F.collect_set(F.struct("start", "n")).alias("runs"))
     rows = docs.join(found, docs["doc_id"].eqNullSafe(found["d"]) & (docs["part"] == found["p"]), "left").select("doc_id", "text", "runs.start", "runs.n")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

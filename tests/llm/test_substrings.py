@@ -45,7 +45,7 @@ def digest(df):
     ).collect()
 
 
-@pytest.mark.parametrize("large,block", [(substrings.LARGE_BUCKET, substrings.BLOCK), (1, 3000)])
+@pytest.mark.parametrize("large,block", [(substrings.LARGE_BUCKET, substrings.BLOCK), (1, 3000), (5, 1)])
 def test_removed_bytes_equal_brute_force(spark, monkeypatch, large, block):
     monkeypatch.setattr(substrings, "LARGE_BUCKET", large)
     monkeypatch.setattr(substrings, "BLOCK", block)
@@ -56,6 +56,28 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch, large, block):
         assert got[i] == want, i
 
 
+@pytest.mark.parametrize("large", [substrings.LARGE_BUCKET, 1])
+def test_equal_hashes_change_nothing(spark, monkeypatch, large):
+    """All anchors, and all windows' keys, have one hash: everything meets in one bucket, and only the sort decides."""
+    find, keys = substrings.find_segments, substrings.window_keys
+    monkeypatch.setattr(substrings, "LARGE_BUCKET", large)
+    monkeypatch.setattr(substrings, "find_segments", lambda docs: find(docs).withColumn("anchor", F.lit(7).cast("long")))
+    monkeypatch.setattr(substrings, "window_keys", lambda strings: keys(strings).withColumn("key", F.lit(9).cast("long")))
+    rows = texts(6)
+    got = {r[0]: tuple(r[1:]) for r in digest(substrings.remove_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))}
+    assert [got[i] for i in range(len(rows))] == brute_force(rows)
+
+
+def test_hot_passage_long_text_and_extra_columns(spark):
+    rng = random.Random(9)
+    fresh = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    passage = fresh(260)
+    rows = [fresh(rng.randrange(50, 400)) + passage + fresh(rng.randrange(50, 400)) for _ in range(300)] + [fresh(400_000) + passage]
+    df = spark.createDataFrame([(i, t, "s", "a", 1, 2) for i, t in enumerate(rows)], "doc_id long, text string, members string, found string, key int, bucket int")
+    got = {r[0]: tuple(r[1:]) for r in digest(substrings.remove_repeats(df.repartition(8)))}
+    assert [got[i] for i in range(len(rows))] == brute_force(rows)
+
+
 def test_null_ids_repeated_rows_and_no_rows(spark):
     rng = random.Random(1)
     a, b = ("".join(rng.choices("abcdefgh", k=300)) for _ in range(2))
@@ -65,13 +87,23 @@ def test_null_ids_repeated_rows_and_no_rows(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_cover_and_ranks_decide_long_ties():
+def test_a_cover_has_all_differences():
     on = set(substrings.cover().tolist())
     assert {(a - b) % substrings.PERIOD for a in on for b in on} == set(range(substrings.PERIOD)) and len(on) < 12
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_windows_are_in_lexicographic_order(buckets):
     rng = np.random.default_rng(0)
     base = rng.integers(97, 100, 500).astype(np.uint8)
-    t = np.concatenate([base, base[100:450], np.where(np.arange(300) == 250, 65, base[:300]), rng.integers(97, 99, 3000).astype(np.uint8)]).astype(np.uint8)
-    starts = np.arange(len(t) - 199)
+    other = np.where(np.arange(300) == 250, 65, base[:300])  # differs behind the first windows' reach, or in their middle
+    t = np.concatenate([base, base[100:450], other, np.full(700, 98), base[3:240], rng.integers(97, 99, 3000)]).astype(np.uint8)
+    starts = rng.permutation(len(t) - 199)
+    bucket = starts % buckets
     raw = t.tobytes()
-    seen = Counter(raw[i : i + 200] for i in starts)
-    assert substrings.repeated_suffixes(t, starts).tolist() == [seen[raw[i : i + 200]] > 1 for i in starts]
+    windows = [(b, raw[i : i + 200]) for b, i in zip(bucket.tolist(), starts.tolist(), strict=True)]
+    order = sorted(windows)
+    first = {}
+    for k, w in enumerate(order):
+        first.setdefault(w, k)
+    assert substrings.window_ranks(t, starts, bucket).tolist() == [first[w] for w in windows]
