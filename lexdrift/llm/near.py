@@ -11,14 +11,15 @@ miss under 1e-9 at J = 0.8) and the full sets verify. What is linked becomes a c
 group of copies costs about as many comparisons as it has members.
 
 What is left are nodes that share a list but no component. Nodes that share a list share its hub, so the
-nodes of a hub, if they have several components, are compared with each other on their full
-sets: in blocks of bounded size, each two of which meet in a task. Only links leave a task, never
-pairs. So components are exact.
+nodes of a hub, if they have several components, are compared with each other in blocks, each two of which meet in a
+task: first their sketches, by which most have no candidate, then the full sets of those that have one, in
+blocks of bounded bytes. Only links leave a task, never pairs. So components are exact.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +32,23 @@ from .shingles import shingle_hashes
 from .tokens import slices
 
 SKETCH, RETAINED = 64, 32
-#: Share of common values among the union's sketch below which a pair is dropped.
-ESTIMATE = 28 / 64
-#: Nodes in a block, and values whose counts are taken at once when blocks are compared.
-BLOCK, COLUMNS = 2048, 2048
+#: The least similarity (percent) at which a missed link is as improbable as said above.
+LEAST_SIMILARITY = 80
+#: Nodes in a block of sketches, shingles in a block of full sets, and values whose counts are taken at once.
+BLOCK, SHINGLES, COLUMNS = 2048, 1 << 21, 2048
 SALTS = 16
 
 
+def least_common(similarity: int, miss: float = 1e-9) -> int:
+    """Common values among ``SKETCH`` of a union below which a pair of the similarity is seen with probability under ``miss``."""
+    p, total = similarity / 100, 0.0
+    for k in range(SKETCH + 1):
+        total += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if total >= miss:
+            return k
+    return SKETCH
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -51,11 +62,11 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     name.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     sketch.append(s[:SKETCH].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(name, pa.binary()), pa.array(sketch, pa.binary())],
-                    ["doc_id", "n_shingles", "name", "sketch"],
+                    [batch.column("doc_id"), batch.column("part"), pa.array(n, pa.int64()), pa.array(name, pa.binary()), pa.array(sketch, pa.binary())],
+                    ["doc_id", "part", "n_shingles", "name", "sketch"],
                 )
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, name binary, sketch binary")
+    return docs.mapInArrow(work, "doc_id long, part long, n_shingles long, name binary, sketch binary")
 
 
 def inverted(nodes: DataFrame) -> DataFrame:
@@ -76,8 +87,9 @@ def inverted(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "n", "sketch").mapInArrow(work, "value long, id long, n long")
 
 
-def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose sketches' union doesn't rule them out."""
+    share = least_common(similarity) / SKETCH
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +102,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 if distinct > SKETCH:  # common values among the union's SKETCH smallest
                     new = np.concatenate([[True], ~twice])
                     twice = twice[: np.searchsorted(np.cumsum(new), SKETCH, side="right") - 1]
-                good[i] = twice.sum() >= ESTIMATE * min(distinct, SKETCH)
+                good[i] = twice.sum() >= share * min(distinct, SKETCH)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     s = nodes.select("id", "sketch")
@@ -102,19 +114,26 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of the documents whose id is in ``ids``."""
+def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of ``nodes`` (id, doc_id, part), from a row of ``docs`` (doc_id, part, text) with that id and text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = -1
         for whole in batches:
-            for batch in slices(whole, most=2 << 20):
+            # Equal rows come one after the other: one is enough.
+            ids = whole.column("id").to_numpy()
+            new = ids != np.concatenate([[last], ids[:-1]])
+            last = ids[-1] if len(ids) else last
+            for batch in slices(whole.filter(pa.array(new)), most=2 << 20):
                 hashes, count = shingle_hashes(batch.column("text"), width)
                 ends = np.cumsum(count)
                 values = [np.unique(hashes[a:b]).tobytes() for a, b in zip(ends - count, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(values, pa.binary())], ["id", "shingles"])
 
-    # The ids grow with the input: they aren't broadcast, however few.
-    return docs.join(ids.hint("merge"), docs["doc_id"] == ids["id"], "left_semi").mapInArrow(sets, "id long, shingles binary")
+    # The nodes grow with the input: they aren't broadcast, however few.
+    nodes = nodes.select("id", F.col("doc_id").alias("d"), F.col("part").alias("p")).hint("merge")
+    found = docs.join(nodes, docs["doc_id"].eqNullSafe(nodes["d"]) & (docs["part"] == nodes["p"])).select("id", "text")
+    return found.mapInArrow(sets, "id long, shingles binary")
 
 
 def verified(pairs: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
@@ -159,26 +178,69 @@ def common_counts(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarr
     return total
 
 
-def links_across(open_: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
-    """Links (a, b) between nodes of one hub in different components, from ``open_`` (hub, id, component)."""
+def sets_of(rows: pa.Table, column: str) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), "<u8") for v in rows.column(column)]
+
+
+def candidates(open_: DataFrame, similarity: int) -> DataFrame:
+    """(hub, x, y, side, id, n, component): the nodes of block x (side 0) and y (side 1) that have a candidate in the other.
+
+    ``open_`` (hub, id, n, component, sketch) is dealt to blocks of about ``BLOCK`` nodes by hub. Candidates are of different
+    components, and neither their sizes nor their sketches rule a link out. The sketches' common values are as many
+    as those among the smallest of the union at least.
+    """
+    share = least_common(similarity) / SKETCH
     blocks = staged(open_.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     dealt = open_.join(blocks, "hub").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("hub", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "id", "component").join(full, "id")
+    dealt = dealt.select("hub", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "id", "n", "component", "sketch")
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        x, y = key[1].as_py(), key[2].as_py()
-        ids, comp, mine = (rows.column(c).to_numpy() for c in ("id", "component", "mine"))
-        sets = [np.frombuffer(v.as_buffer(), "<u8") for v in rows.column("shingles")]
-        n = np.array([len(v) for v in sets], np.float64)
+        hub, x, y = (k.as_py() for k in key)
+        ids, comp, mine, n = (rows.column(c).to_numpy() for c in ("id", "component", "mine", "n"))
+        sets = sets_of(rows, "sketch")
         p, q = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+        common = common_counts([sets[i] for i in p], [sets[i] for i in q])
+        held = np.minimum(n, SKETCH).astype(np.float32)
+        good = common >= np.float32(share) * np.minimum(SKETCH, held[p][:, None] + held[q] - common)
+        good &= 100 * np.minimum(n[p][:, None], n[q]) >= similarity * np.maximum(n[p][:, None], n[q])
+        good &= comp[p][:, None] != comp[q]
+        sides = [(0, p[good.any(1)]), (1, q[good.any(0)])]
+        at = np.concatenate([i for _, i in sides])
+        side = np.repeat([s for s, _ in sides], [len(i) for _, i in sides])
+        whole = lambda v: pa.array(np.full(len(at), v))
+        return pa.table(
+            {"hub": whole(hub), "x": pa.array(np.full(len(at), x, np.int32)), "y": pa.array(np.full(len(at), y, np.int32)), "side": pa.array(side.astype(np.int32)), "id": ids[at], "n": n[at], "component": comp[at]}
+        )
+
+    return staged(dealt.groupBy("hub", "x", "y").applyInArrow(compare, "hub long, x int, y int, side int, id long, n long, component long"))
+
+
+def links_across(open_: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) between nodes of one hub in different components, from ``open_`` (hub, id, n, component, sketch)."""
+    found = candidates(open_, similarity)
+    place = ["hub", "x", "y"]
+    # Both sides in parts of about SHINGLES shingles; each two parts meet.
+    parts = lambda side: F.ceil(F.sum(F.when(F.col("side") == side, F.col("n"))) / SHINGLES).cast("int")
+    sizes = staged(found.groupBy(*place).agg(parts(0).alias("p"), parts(1).alias("q")))
+    dealt = found.join(sizes, place)
+    first = F.col("side") == 0
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(first, F.col("p")).otherwise(F.col("q"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(first, F.col("q")).otherwise(F.col("p")) - 1)))
+    dealt = dealt.select(*place, "side", F.when(first, F.col("mine")).otherwise(F.col("other")).alias("i"), F.when(first, F.col("other")).otherwise(F.col("mine")).alias("j"), "id", "component")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, comp, side = (rows.column(c).to_numpy() for c in ("id", "component", "side"))
+        sets = sets_of(rows, "shingles")
+        n = np.array([len(v) for v in sets], np.float64)
+        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         common = common_counts([sets[i] for i in p], [sets[i] for i in q]).astype(np.float64)
         good = 100 * common >= similarity * (n[p][:, None] + n[q] - common)
         good &= comp[p][:, None] != comp[q]
         i, j = np.nonzero(good)
         return pa.table({"a": ids[p[i]], "b": ids[q[j]]})
 
-    return staged(dealt.groupBy("hub", "x", "y").applyInArrow(compare, "a long, b long"))
+    return staged(dealt.join(full, "id").groupBy(*place, "i", "j").applyInArrow(compare, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -189,7 +251,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
-    labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")))
+    before = shared_dir(spark)
+    labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), before)
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         best = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("best"))
@@ -198,29 +261,26 @@ def components(links: DataFrame) -> DataFrame:
         stepped = staged(
             best.join(jump, "best").select("id", F.least("best", "next").alias("component"), (F.col("component") != F.least("best", "next")).alias("changed")), at
         )
-        changed = not stepped.where("changed").isEmpty()
+        discard(spark, before)
+        changed, before = not stepped.where("changed").isEmpty(), at
         labels = stepped.select("id", "component")
         if not changed:
             return labels
 
 
-def mark_near_copies(docs: DataFrame, similarity: int = 85, width: int = 5) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+def marked(docs: DataFrame, similarity: int, width: int) -> DataFrame:
+    """A row for each row of ``docs`` (doc_id, part, text): doc_id, part, n_shingles, component_id, and whether it ``stays``.
 
-    Documents are linked if ``100 * intersection >= similarity * union`` of their shingle sets;
-    component_id is the smallest doc_id that links lead to. Texts without words (or null) have no
-    shingles and no links. Rows with one doc_id are marked each by its own text. A null doc_id isn't linked: its
-    component_id is null and it is kept. Other columns are ignored.
+    A node is a set of shingles and has a number of its own; doc_ids only name components in the end.
     """
+    if not LEAST_SIMILARITY <= similarity <= 100:
+        raise ValueError(f"a similarity from {LEAST_SIMILARITY} to 100 is needed, not {similarity}")
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = staged(sketches(docs, width))
-    linked = rows.where("n_shingles > 0 and doc_id is not null")
-    # Equal sets: the smallest id stands for all.
+    # Equal sets are one node, told by the smallest id (null last) that has it.
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "part", F.col("n_shingles").alias("n"), "sketch")).alias("one")
     nodes = staged(
-        linked.groupBy("name")
-        .agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")).alias("one"), F.count("*").alias("size"))
-        .select("name", "size", "one.id", "one.n", "one.sketch")
+        rows.where("n_shingles > 0").groupBy("name").agg(one, F.count("*").alias("size")).select(F.monotonically_increasing_id().alias("id"), "name", "size", "one.*")
     )
     lists = inverted(nodes)
     # Written tables, so that both sides of a join are plain shuffles and Spark can split a hot value.
@@ -231,11 +291,11 @@ def mark_near_copies(docs: DataFrame, similarity: int = 85, width: int = 5) -> D
     close = 100 * F.least("n", "m") >= similarity * F.greatest("n", "m")
     pairs = members.where("hub < id").join(sizes, "hub").where(close).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     at = shared_dir(spark)
-    full = staged(full_sets(docs, members.select("id").distinct(), width), at)
-    comp = components(verified(staged(estimated(pairs, nodes)), full, similarity))
-    open_ = members.select("hub", "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    full = staged(full_sets(docs, nodes.join(members.select("id").distinct(), "id", "left_semi"), width), at)
+    comp = components(verified(staged(estimated(pairs, nodes, similarity)), full, similarity))
+    open_ = members.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     spread = open_.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("hub")
-    open_ = staged(open_.join(staged(spread), "hub", "left_semi"))
+    open_ = staged(open_.join(staged(spread), "hub", "left_semi").join(nodes.select("id", "sketch"), "id"))
     new = links_across(open_, full, similarity)
     discard(spark, at)
     if not new.isEmpty():
@@ -248,21 +308,51 @@ def mark_near_copies(docs: DataFrame, similarity: int = 85, width: int = 5) -> D
         ids = comp.union(joined.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
         up = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
         comp = staged(ids.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component")))
-    # Back to documents: by set where copies share one, by node otherwise.
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    # Back to documents: nodes with copies or links, and what their components are called.
+    linked = nodes.drop("sketch").join(comp, "id", "left").where("size > 1 or component is not null").withColumn("component", F.coalesce("component", "id"))
+    linked = staged(linked)
+    top = linked.groupBy("component").agg(F.min(F.struct("none", "doc_id", "name", "part")).alias("top"))
     found = (
-        nodes.join(comp, "id", "left")
-        .where("size > 1 or component is not null")
-        .select("name", F.coalesce("component", "id").alias("found"))
+        linked.join(top, "component")
+        .select("name", F.col("top.doc_id").alias("found"), F.struct("top.doc_id", "top.name", "top.part").alias("top"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    out = rows.select("doc_id", "n_shingles", "name", salt.alias("salt")).join(found, ["name", "salt"], "left")
-    linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    component = F.when(linkable, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # A node is at every salt, so that any salt does for its rows: copies are spread whatever their ids.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    out = rows.select("doc_id", "part", "n_shingles", "name", salt.alias("salt")).join(found, ["name", "salt"], "left")
+    alone = F.col("top").isNull()
+    return out.select(
+        "doc_id",
+        "part",
+        "n_shingles",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("found")).alias("component_id"),
+        (alone | F.struct("doc_id", "name", "part").eqNullSafe(F.col("top"))).alias("stays"),
+    )
+
 
+def with_part(docs: DataFrame) -> DataFrame:
+    """(doc_id, part, text): part tells rows of one doc_id apart by their text; null text is empty."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("part"), text.alias("text"))
 
-def drop_near_copies(docs: DataFrame, similarity: int = 85) -> DataFrame:
-    """``docs`` without near copies: all columns of the document with the smallest id of each component."""
-    gone = mark_near_copies(docs, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+
+def mark_near_copies(docs: DataFrame, similarity: int = 85, width: int = 5) -> DataFrame:
+    """A row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Documents are linked if ``100 * intersection >= similarity * union`` of their shingle sets; a similarity under
+    ``LEAST_SIMILARITY`` is an error. component_id is the smallest doc_id that links lead to, null if no row they lead to has one; kept is whether it
+    is the row's own (null included). Texts without words (or null) have no shingles and no links. Rows with one
+    doc_id and different texts are documents of their own. No documents give no rows; other columns are ignored.
+    """
+    component = marked(with_part(docs), similarity, width)
+    return component.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, similarity: int = 85, width: int = 5) -> DataFrame:
+    """``docs`` without near copies: of each component the document with the smallest id (null last, then any one text), all columns.
+
+    Documents without words all stay. Rows that are equal in id and text are one document: they stay or go together.
+    """
+    gone = marked(with_part(docs), similarity, width).where(~F.col("stays")).select(F.col("doc_id").alias("__id"), F.col("part").alias("__part")).distinct()
+    part = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (part == gone["__part"]), "left_anti")

@@ -70,9 +70,10 @@ def test_shingle_counts_equal_those_of_strings():
         assert len(np.unique(h[: n[0]])) == len(shingle_set(text))
 
 
-@pytest.mark.parametrize("block,columns", [(near.BLOCK, near.COLUMNS), (3, 7)])
-def test_components_equal_brute_force(spark, monkeypatch, block, columns):
+@pytest.mark.parametrize("block,columns,shingles_", [(near.BLOCK, near.COLUMNS, near.SHINGLES), (3, 7, 200)])
+def test_components_equal_brute_force(spark, monkeypatch, block, columns, shingles_):
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "SHINGLES", shingles_)
     monkeypatch.setattr(near, "COLUMNS", columns)
     texts = [*corpus(1, 40, 12, 120), *corpus(2, 3, 60, 40), "", None, "one", "ONE", "one two", "a b c d e"]
     rows = [(i * 7 % 5003, t) for i, t in enumerate(texts)]
@@ -81,10 +82,11 @@ def test_components_equal_brute_force(spark, monkeypatch, block, columns):
     want = brute_force(rows)
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items() if i is not None} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
-    assert got[None].component_id is None and got[None].kept
+    same = next(i for i, t in rows if t == texts[0])
+    assert got[None].component_id == want[same][1] and not got[None].kept  # a row without an id is linked as well
     left = near.drop_near_copies(df)
     assert left.columns == df.columns
-    assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(i for i, (_, c) in want.items() if i == c)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
 def test_repeated_rows_and_no_rows(spark):
@@ -94,6 +96,44 @@ def test_repeated_rows_and_no_rows(spark):
     assert near.mark_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_one_id_with_several_texts_loses_none(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(rng.choices([f"w{i}" for i in range(5000)], k=80)) for _ in range(4))
+    rows = [(3, a + " x"), (7, a), (7, b), (7, c), (9, b + " y"), (None, d), (None, d + " z"), (None, None), (7, ""), (7, "")]
+    df = spark.createDataFrame([(i, t, "p", "q", 1) for i, t in rows], "doc_id long, text string, part string, stays string, id int").repartition(3)
+    docs = {(i, t or ""): r for (i, t), r in ((rows[k], k) for k in range(len(rows)))}
+    got = near.mark_near_copies(df).select("doc_id", "component_id", "kept", "n_shingles").collect()
+    want = [(3, 3, True, 77), (7, 3, False, 76), (7, 7, True, 76), (7, 7, True, 76), (9, 7, False, 77), (None, None, True, 76), (None, None, True, 77), (None, None, True, 0), (7, 7, True, 0), (7, 7, True, 0)]
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+    left = [(r.doc_id, r.text) for r in near.drop_near_copies(df).collect()]
+    assert sorted(map(str, left)) == sorted(map(str, [(3, a + " x"), (7, b), (7, c), (None, None), (7, ""), (7, ""), next(x for x in left if x[0] is None and x[1])]))
+    assert len(docs) == 9
+
+
+def test_long_texts(spark, monkeypatch):
+    """Sets of 20,000 shingles that share all their lists' hub, one by one different, and one linked pair among them."""
+    monkeypatch.setattr(near, "SHINGLES", 30_000)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(1 << 40)}"
+    base = [word() for _ in range(20_000)]
+    texts = []
+    for k in range(12):  # two thirds in common: near in the sketch, but no link
+        own = list(base)
+        for start in range(k * 100, 20_000, 1200):
+            own[start : start + 100] = [word() for _ in range(100)]
+        texts.append(" ".join(own))
+    texts.append(texts[5] + " and an end")
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.mark_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_force(rows)
+
+
+def test_similarity_is_guarded():
+    with pytest.raises(ValueError):
+        near.marked(None, 79, 5)
+    assert [near.least_common(x) for x in (80, 85, 100)] == sorted(near.least_common(x) for x in (80, 85, 100)) and near.least_common(80) >= 28
+
+
 def test_components_of_a_long_path(spark):
     n = 40
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101)], "a long, b long")
