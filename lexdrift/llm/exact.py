@@ -1,9 +1,11 @@
 """Exact deduplication that no large group of copies can overload.
 
-1. Copies are combined where they are read (Spark's partial aggregation) and merged by digest, salt and full
-   content. Only digests of many rows have more than one salt; there are few of them by their definition.
-2. The winners of the salts are merged by digest and full content: at most ``salts`` rows a group.
-3. Groups of more than one row find their rows again by digest and salt.
+1. Copies are combined where they are read (Spark's partial aggregation) and merged by digest, salt and full content.
+2. The winners of the salts, at most ``SALTS`` for each content, are combined by digest and full content.
+3. Rows find their group again by digest and salt. That is exact where all contents of a digest were found equal, which step 2
+   has compared; should a digest have several contents, its rows are grouped and found by their content.
+
+Every digest is salted, by a hash of the row and its task: no key has more rows than a task's share.
 """
 
 from __future__ import annotations
@@ -15,56 +17,78 @@ from .common import staged
 
 #: ``[\x20\x09-\x0D]``, which the normal form leaves out.
 WHITE = " \t\n\x0b\x0c\r"
-#: A digest is hot with over so many rows, and with over one in so many of all rows: there are at most HOT_KEYS hot ones.
-HOT_ROWS, HOT_KEYS = 1_000, 10_000
+SALTS = 16
 
 
 def normal_form(text: str | Column = "text") -> Column:
     return F.translate(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-def mark_copies(docs: DataFrame, salts: int = 16) -> DataFrame:
+def digest_of(content: Column) -> Column:
+    return F.unhex(F.sha2(content, 256))
+
+
+def combined(rows: DataFrame) -> DataFrame:
+    """(digest, content, size, most) of ``rows`` (digest, salt, content, n): most is the largest n."""
+    salted = rows.groupBy("digest", "salt", "content").agg(F.count("*").alias("size"), F.max("n").alias("most"))
+    return salted.repartition("digest").groupBy("digest", "content").agg(F.sum("size").alias("size"), F.max("most").alias("most"))
+
+
+def found(marks: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``marks`` (doc_id, n, salt and ``keys``) with group_size and keep_id, from ``groups`` (``keys``, size, most) of more than one row."""
+    every = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keep = marks.join(every, [*keys, "salt"]).where("n = most").groupBy(*keys).agg(F.min("doc_id").alias("keep_id"))
+    told = groups.join(keep, keys).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    alone = F.col("size").isNull()
+    return marks.join(staged(told.select(*keys, "salt", "keep_id", "size")), [*keys, "salt"], "left").select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(alone, F.lit(1).cast("long")).otherwise(F.col("size")).alias("group_size"),
+        "sha256",
+        "n",
+    )
+
+
+def groups_of(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, keep_id, group_size, sha256 (of its normal form), n (code points of its text)."""
+    rows = docs.select("doc_id", normal_form(docs["text"]).alias("content"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    salt = F.pmod(F.xxhash64("doc_id", "content", F.spark_partition_id()), F.lit(SALTS)).cast("int")
+    rows = rows.withColumn("digest", digest_of(F.col("content"))).withColumn("salt", salt)
+    groups = staged(combined(rows).select("digest", "size", "most"))
+    several = staged(groups.groupBy("digest").agg(F.count("*").alias("contents")).where("contents > 1").select("digest"))
+    marks = staged(rows.select("doc_id", "n", "salt", "digest", F.unhex(F.sha2("content", 256)).alias("sha256")))
+    if several.isEmpty():
+        return found(marks, groups.where("size > 1"), ["digest"])
+    # Unequal contents of one digest: those rows alone once more, with their contents.
+    crossed = staged(rows.withColumn("sha256", F.unhex(F.sha2("content", 256))).join(several, "digest", "left_semi"))
+    exact = found(crossed, staged(combined(crossed).where("size > 1")), ["digest", "content"])
+    rest = found(marks.join(several, "digest", "left_anti"), groups.join(several, "digest", "left_anti").where("size > 1"), ["digest"])
+    return rest.unionByName(exact)
+
+
+def mark_copies(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Rows are copies if their texts are equal without white space; null counts as empty. Of copies, the
     one with the most code points, then the smallest doc_id (null last) stays. Of equal rows all
-    have ``kept`` true or none; their number counts in group_size. Other columns are ignored.
+    have ``kept`` true or none; their number counts in group_size. No documents give no rows; other columns are ignored.
     """
-    rows = docs.select("doc_id", normal_form(docs["text"]).alias("content"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("content", 256)))
-    marks = staged(rows.select("doc_id", "digest", F.xxhash64("content").alias("check")))
-    most = max(HOT_ROWS, marks.count() // HOT_KEYS)
-    # Fewer than HOT_KEYS rows of 33 bytes, whatever the input.
-    hot = F.broadcast(staged(marks.groupBy("digest").agg(F.count("*").alias("c")).where(F.col("c") > most).select("digest", F.lit(True).alias("hot"))))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0).cast("int")
-    rank = F.struct(-F.col("n"), F.col("doc_id").isNull(), F.col("doc_id"))
-    local = (
-        rows.join(hot, "digest", "left")
-        .groupBy("digest", salt.alias("salt"), "content")
-        .agg(F.min(rank).alias("best"), F.count("*").alias("size"), F.max("hot").alias("hot"))
-        .where("size > 1 or hot")
-        .select("digest", F.xxhash64("content").alias("check"), F.when(F.col("hot"), F.col("content")).alias("content"), "best", "size", "hot")
-    )
-    local = staged(local)
-    winners = local.where("hot").groupBy("digest", "check", "content").agg(F.min("best").alias("best"), F.sum("size").alias("size"))
-    winners = winners.where("size > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    several = local.where("hot is null").withColumn("salt", F.lit(0))
-    columns = ["digest", "check", "salt", F.col("best.doc_id").alias("keep_id"), "size"]
-    groups = winners.select(*columns).unionByName(several.select(*columns))
-    marked = marks.join(hot, "digest", "left").withColumn("salt", salt).join(groups, ["digest", "check", "salt"], "left")
-    keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return marked.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+    return groups_of(docs).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha256")).alias("text_sha256")
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without copies: all columns, one row of each group; of rows with one id and equal text any one."""
-    stays = mark_copies(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
-    named = docs.withColumn("__text", F.sha2(normal_form(docs["text"]), 256))
-    held = named.join(stays.hint("merge"), named["doc_id"].eqNullSafe(stays["__id"]) & (named["__text"] == stays["__digest"]), "left_semi")
-    return held.dropDuplicates(["doc_id", "__text"]).drop("__text")
+    """``docs`` without copies: all columns, one row of each group; of copies with one id any one."""
+    rows = staged(groups_of(docs).where("group_size > 1"))
+    key = [F.col("doc_id").alias("__id"), F.col("sha256").alias("__sha")]
+    gone = rows.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*key).distinct()
+    named = docs.withColumn("__key", F.unhex(F.sha2(normal_form(docs["text"]), 256)))
+    same = lambda other: named["doc_id"].eqNullSafe(other["__id"]) & (named["__key"] == other["__sha"])
+    held = named.join(gone.hint("merge"), same(gone), "left_anti")
+    twice = staged(rows.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(*key).count().where("count > 1"))
+    if not twice.isEmpty():  # one id several times
+        single = held.join(twice.hint("merge"), held["doc_id"].eqNullSafe(twice["__id"]) & (held["__key"] == twice["__sha"]), "left_semi")
+        others = held.join(twice.hint("merge"), held["doc_id"].eqNullSafe(twice["__id"]) & (held["__key"] == twice["__sha"]), "left_anti")
+        held = others.unionByName(single.dropDuplicates(["doc_id", "__key"]))
+    return held.drop("__key")

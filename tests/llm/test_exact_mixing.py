@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lexdrift.llm import exact, mixing, queries
 
@@ -19,9 +20,10 @@ def normal(text):
     return re.sub(r"[\x20\x09-\x0D]", "", text or "")
 
 
-@pytest.mark.parametrize("hot", [exact.HOT_ROWS, 1])
-def test_copies_against_plain_groups(spark, monkeypatch, hot):
-    monkeypatch.setattr(exact, "HOT_ROWS", hot)
+@pytest.mark.parametrize("digest", [exact.digest_of, lambda c: F.unhex(F.substring(F.sha2(c, 256), 1, 2)), lambda c: F.lit(b"x")])
+def test_copies_against_plain_groups(spark, monkeypatch, digest):
+    """Whatever the digest: with few of them, or a single one, contents decide."""
+    monkeypatch.setattr(exact, "digest_of", digest)
     df = spark.createDataFrame(ROWS, DOCS).repartition(3)
     groups = defaultdict(list)
     for r in ROWS:
@@ -38,6 +40,15 @@ def test_copies_against_plain_groups(spark, monkeypatch, hot):
     assert exact.mark_copies(df.limit(0)).count() == 0
 
 
+def test_hot_copies_without_ids(spark):
+    rows = [(None, "a hot text")] * 3000 + [(i % 7, "a  hot text") for i in range(700)] + [(i, f"own {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = exact.mark_copies(df).where("group_size > 1").groupBy("doc_id", "keep_id", "group_size", "kept").count().collect()
+    assert {(r.keep_id, r.group_size) for r in got} == {(0, 3700)}
+    assert sum(r["count"] for r in got) == 3700 and [r.doc_id for r in got if r.kept] == [0]
+    assert exact.drop_copies(df).count() == 101
+
+
 @pytest.mark.parametrize("rows_in_bucket,broadcast", [(4096, 10_000), (1, 0)])
 def test_mix_against_sql(spark, monkeypatch, rows_in_bucket, broadcast):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", rows_in_bucket)
