@@ -57,12 +57,12 @@ def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def pack(docs: DataFrame, room: int = 2048, seed: int = 7, path: str | None = None, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, room: int = 2048, seed: int = 7, path: str | None = None, end_id: int = 1, ordinary: bool = False) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) and their places in sequences of ``room`` ids.
 
     A document's ids end with ``end_id``; it is cut every ``room`` ids. A row is a piece: sequence_id,
     offset in it (without gaps from 0), doc_id, start and length in the document, doc_tokens, ids
-    (little-endian unsigned 32 bit). Null text is empty (one piece with ``end_id``), null ids stay
+    (little-endian unsigned 32 bit). With ``ordinary`` the strings of special tokens are ordinary text. Null text is empty (one piece with ``end_id``), null ids stay
     null, equal rows are packed each, no documents give no rows, other columns are ignored.
     """
     path = path or vocabulary_path()
@@ -73,7 +73,7 @@ def pack(docs: DataFrame, room: int = 2048, seed: int = 7, path: str | None = No
         seen: Counter[int] = Counter()
         for whole in batches:
             for batch in slices(whole):
-                ids, ends = documents_ids(batch.column("text"), path, end_id)
+                ids, ends = documents_ids(batch.column("text"), path, end_id, ordinary)
                 n = np.diff(ends, prepend=0)
                 pieces = -(-n // room)
                 doc = np.repeat(np.arange(len(n)), pieces)

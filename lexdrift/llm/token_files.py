@@ -1,15 +1,17 @@
 """Token ids as files: static range asymmetric numeral system (rANS).
 
 All blocks share one frequency table. A block holds whole documents and is coded on its own by
-interleaved states (lanes): lane ``i`` codes ids ``i, i + lanes, ...``. Every ``SEGMENT`` steps a block
-keeps a checkpoint (the states and the place in its words) and a checksum of the ids up to the next
-one, so blocks and segments can be decoded in parallel.
+interleaved states (lanes): lane ``i`` codes ids ``i, i + lanes, ...``. Every ``SEGMENT`` steps a block has a
+checkpoint. What begins there is a segment, a row of its own: the states at the checkpoint, the words
+to the end of the last document that begins in it, and a checksum of those documents' ids. So every segment is decoded
+without the others, by whatever task reads its row.
 
 A token set is a folder of two Parquet tables:
 
-``table``   id, frequency (sum ``1 << SCALE``): the shared static model
-``blocks``  shard, block, first (ids of the shard before it), n_tokens, doc_ids, doc_tokens, lanes,
-            words (little-endian unsigned 32 bit), states (64 bit), places, checksums (32 bit)
+``table``     id, frequency (sum ``1 << SCALE``): the shared static model
+``segments``  shard, block, segment, first (ids of the shard before its documents), n_tokens, doc_ids, doc_tokens, lanes,
+              skip (ids between checkpoint and first document), left (ids from the checkpoint to the block's end),
+              words (little-endian unsigned 32 bit), states (64 bit), checksum
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ LANES, SEGMENT = 1024, 256
 BLOCK, SHARD_BYTES = 1 << 19, 64 << 20
 #: Shards up to which their table (16 bytes each) is broadcast when a set is read; beyond, it is joined by shuffle.
 BROADCAST_SHARDS = 200_000
-BLOCKS = (
-    "shard int, block int, first long, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, lanes int, "
-    "words binary, states binary, places binary, checksums binary"
+SEGMENTS = (
+    "shard int, block int, segment int, first long, n_tokens long, doc_ids array<bigint>, doc_tokens array<bigint>, lanes int, "
+    "skip long, left long, words binary, states binary, checksum long"
 )
 
 
@@ -57,13 +59,14 @@ class Coder:
         self.c = np.concatenate([[0], np.cumsum(self.f)[:-1]]).astype(np.uint64)
         self.slot = np.repeat(np.arange(len(frequencies), dtype=np.uint16), frequencies.astype(np.int64))
 
-    def encode(self, ids: np.ndarray) -> dict:
+    def encode(self, ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """Lanes, words, words before each step, and the states at each checkpoint."""
         n = len(ids)
         lanes = LANES if n >= 64 * LANES else max(1, n // 64)
         steps = -(-n // lanes)
         state = np.full(lanes, LOW, np.uint64)
         words: list[np.ndarray] = []
-        states: dict[int, bytes] = {}
+        states: list[np.ndarray] = []
         shift, low = np.uint64(32), np.uint64(0xFFFFFFFF)
         scale = np.uint64(SCALE)
         for t in range(steps - 1, -1, -1):
@@ -75,51 +78,58 @@ class Coder:
             q = x // f
             state[: len(ids_t)] = (q << scale) + (x - q * f) + self.c[ids_t]
             if t % SEGMENT == 0:
-                states[t] = state.astype("<u8").tobytes()
+                states.append(state.astype("<u8"))
         words.reverse()
-        before = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype("<u4")
-        raw = ids.astype("<u2")
-        width = SEGMENT * lanes
-        return {
-            "lanes": lanes,
-            "words": np.concatenate(words).tobytes() if words else b"",
-            "states": b"".join(states[t] for t in sorted(states)),
-            "places": before[:steps:SEGMENT].tobytes() if steps else b"",
-            "checksums": np.array([zlib.crc32(raw[a : a + width]) for a in range(0, n, width)], "<u4").tobytes(),
-        }
-
-    def decode(self, n: int, lanes: int, words: bytes, states: bytes, places: bytes, checksums: bytes, segment: int | None = None) -> np.ndarray:
-        """All ids of a block, or those of one segment; raises where a checksum doesn't hold."""
-        words_, states_ = np.frombuffer(words, "<u4"), np.frombuffer(states, "<u8").reshape(-1, lanes)
-        places_, sums = np.frombuffer(places, "<u4"), np.frombuffer(checksums, "<u4")
-        width = SEGMENT * lanes
+        before = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        return lanes, np.concatenate([np.zeros(0, "<u4"), *words]), before, np.array(states[::-1]).reshape(-1, lanes)
+
+    def segments(self, ids: np.ndarray, sizes: np.ndarray) -> Iterator[dict]:
+        """The segments of a block in which documents begin; ``sizes`` (all over 0) has the documents' numbers of ids."""
+        lanes, words, before, states = self.encode(ids)
+        ends = np.cumsum(sizes)
+        width, raw = SEGMENT * lanes, ids.astype("<u2")
+        for k in range(len(states)):
+            a = k * width
+            i, j = np.searchsorted(ends - sizes, [a, a + width])
+            if i < j:
+                lo, hi = int(ends[i] - sizes[i]), int(ends[j - 1])
+                some = words[before[k * SEGMENT] : before[-(-hi // lanes)]]
+                yield {
+                    "segment": k, "documents": (int(i), int(j)), "at": lo, "n": hi - lo, "lanes": lanes, "skip": lo - a, "left": len(ids) - a,
+                    "words": some.tobytes(), "states": states[k].tobytes(), "checksum": zlib.crc32(raw[lo:hi]),
+                }
+
+    def decode(self, n: int, lanes: int, skip: int, left: int, words: bytes, states: bytes, checksum: int) -> np.ndarray:
+        """The ids of a segment's documents; raises where the checksum doesn't hold."""
+        words_, state, at = np.frombuffer(words, "<u4"), np.frombuffer(states, "<u8").astype(np.uint64), 0
         mask, scale, shift = np.uint64((1 << SCALE) - 1), np.uint64(SCALE), np.uint64(32)
-        out = []
-        for k in range(len(sums)) if segment is None else [segment]:
-            m = min(width, n - k * width)
-            got = np.empty(m, np.uint16)
-            state, at = states_[k].astype(np.uint64), int(places_[k])
-            for a in range(0, m, lanes):
-                x = state[: m - a]
-                low = x & mask
-                s = self.slot[low.astype(np.int64)]
-                got[a : a + lanes] = s
-                x = self.f[s] * (x >> scale) + low - self.c[s]
-                (need,) = np.nonzero(x < LOW)
-                x[need] = (x[need] << shift) | words_[at : at + len(need)]
-                at += len(need)
-                state[: len(x)] = x
-            if zlib.crc32(got.astype("<u2")) != sums[k]:
-                raise ValueError(f"segment {k} of a block is damaged")
-            out.append(got)
-        return np.concatenate(out) if out else np.zeros(0, np.uint16)
-
-
-def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int = 1) -> None:
+        total = skip + n
+        got = np.empty(-(-total // lanes) * lanes, np.uint16)
+        for a in range(0, total, lanes):
+            x = state[: left - a]
+            low = x & mask
+            s = self.slot[low.astype(np.int64)]
+            got[a : a + len(s)] = s
+            x = self.f[s] * (x >> scale) + low - self.c[s]
+            (need,) = np.nonzero(x < LOW)
+            more = words_[at : at + len(need)]
+            if len(more) < len(need):
+                raise ValueError("a segment ends too early")
+            x[need] = (x[need] << shift) | more
+            at += len(need)
+            state[: len(x)] = x
+        got = got[skip:total]
+        if zlib.crc32(got.astype("<u2")) != checksum:
+            raise ValueError("a segment is damaged")
+        return got
+
+
+def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int = 1, ordinary: bool = False) -> None:
     """Encodes ``docs`` (doc_id, text) into a token set at ``out``, in ascending order of doc_id.
 
     Null text is empty; null ids come first; rows with one id are ordered by a hash of their text and
-    equal rows are interchangeable. No documents give an empty set. Other columns are ignored.
+    equal rows are interchangeable. With ``ordinary`` the strings of special tokens are ordinary text. No documents give an
+    empty set. Other columns are ignored.
     """
     spark, path = docs.sparkSession, path or vocabulary_path()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -128,7 +138,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                ids, ends = documents_ids(batch.column("text"), path, end_id)
+                ids, ends = documents_ids(batch.column("text"), path, end_id, ordinary)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("part"), binaries(ids, ends)], ["doc_id", "part", "ids"]
                 )
@@ -164,13 +174,17 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
         held: list[np.ndarray] = []
         names: list[int | None] = []
 
-        def close() -> pa.RecordBatch:
+        def close() -> Iterator[pa.RecordBatch]:
             nonlocal number, first, held, names
-            sizes = [len(x) for x in held]
+            sizes = np.array([len(x) for x in held])
             ids = np.concatenate(held)
-            row = {"shard": shard, "block": number, "first": first, "n_tokens": len(ids), "doc_ids": names, "doc_tokens": sizes}
+            rows = []
+            for got in coder.segments(ids, sizes):
+                i, j = got.pop("documents")
+                at, n = got.pop("at"), got.pop("n")
+                rows.append({"shard": shard, "block": number, "first": first + at, "n_tokens": n, "doc_ids": names[i:j], "doc_tokens": sizes[i:j].tolist()} | got)
             number, first, held, names = number + 1, first + len(ids), [], []
-            return pa.RecordBatch.from_pylist([row | coder.encode(ids)], schema=kinds)
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
         room = BLOCK
         for batch in batches:
@@ -179,21 +193,21 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
                 names.append(name)
                 room -= len(held[-1])
                 if room <= 0:
-                    yield close()
+                    yield from close()
                     room = BLOCK
         if held:
-            yield close()
+            yield from close()
 
     kinds = pa.schema(
-        [("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64())]
-        + [("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("lanes", pa.int32())]
-        + [(x, pa.binary()) for x in ("words", "states", "places", "checksums")]
+        [("shard", pa.int32()), ("block", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64())]
+        + [("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("lanes", pa.int32()), ("skip", pa.int64()), ("left", pa.int64())]
+        + [("words", pa.binary()), ("states", pa.binary()), ("checksum", pa.int64())]
     )
     (
         coded.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "part")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "part")
-        .mapInArrow(blocks, BLOCKS)
-        .write.mode("overwrite").option("compression", "uncompressed").parquet(f"{out}/blocks")
+        .mapInArrow(blocks, SEGMENTS)
+        .write.mode("overwrite").option("compression", "uncompressed").parquet(f"{out}/segments")
     )
     discard(spark, at)
 
@@ -204,14 +218,14 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     for row in spark.read.schema("id int, frequency int").parquet(f"{out}/table").collect():  # one row an id
         table[row.id] = row.frequency
     shared = spark.sparkContext.broadcast(table)
-    blocks = spark.read.schema(BLOCKS).parquet(f"{out}/blocks")
+    segments = spark.read.schema(SEGMENTS).parquet(f"{out}/segments")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
         for batch in batches:
             for i in range(batch.num_rows):
                 b = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
-                ids = coder.decode(b["n_tokens"], b["lanes"], b["words"], b["states"], b["places"], b["checksums"])
+                ids = coder.decode(b["n_tokens"], *(b[k] for k in ("lanes", "skip", "left", "words", "states", "checksum")))
                 n = np.array(b["doc_tokens"], np.int64)
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays(
@@ -220,12 +234,12 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
                 )
 
     # A shard's number follows the order of its documents; one row a shard.
-    sizes = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    sizes = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    shards = blocks.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0] + 1
+    shards = segments.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0] + 1
     before = F.broadcast(before) if shards <= BROADCAST_SHARDS else before
     return (
-        blocks.mapInArrow(decode, "shard int, doc_id long, first long, n_tokens long, ids binary")
+        segments.mapInArrow(decode, "shard int, doc_id long, first long, n_tokens long, ids binary")
         .join(before, "shard")
         .select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids")
     )

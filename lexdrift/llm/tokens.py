@@ -1,14 +1,19 @@
 """Token ids of whole columns of text, with the tokenizers library.
 
-A whole text is encoded piece by piece: white space never joins two pieces for the vocabulary used
-here, so each distinct piece goes through the library once per worker and its ids are looked up
-after that. Pieces hold every character of the text but ASCII white space.
+The ids are those of the library for the whole text, without special tokens around it. Strings of special tokens
+inside a text are what the library takes them for, or ordinary text if asked for.
+
+For vocabularies that drop white space and split words as ``FORM`` says, a text is encoded piece by piece: white space never
+joins two pieces, so each distinct piece goes through the library once per worker and its ids are looked up
+after that. Pieces hold every character of the text but ASCII white space. Texts with the string of a special token,
+and all texts for other vocabularies, go through the library as they are.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +25,18 @@ REMEMBERED = 1_500_000
 #: Bytes of text that are cut into pieces at once.
 SLICE = 8 << 20
 
-_encoders: dict[str, Encoder] = {}
+# The normaliser and the splitter of words of the vocabularies that are encoded piece by piece.
+FORM = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -32,17 +48,22 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Encodes batches of texts. ``encode`` gives ids (unsigned 16 bit) and the end of each text in them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         pa.set_cpu_count(1)
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = ordinary
+        if self.library.get_vocab_size() > 1 << 16:
+            raise ValueError("the vocabulary needs more than 16 bits")
+        spec = json.loads(self.library.to_str())
+        added = spec["added_tokens"]
+        self.by_piece = all(spec[k] == v for k, v in FORM.items()) and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or not t["special"] for t in added)
+        self.special = None if ordinary or not added else "|".join(re.escape(t["content"]) for t in added)
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        if self.whole.get_vocab_size() > 1 << 16:
-            raise ValueError("the vocabulary needs more than 16 bits")
         # Lower-case words need neither normalising nor splitting: the same model without these steps.
-        spec = json.loads(self.whole.to_str())
         spec["normalizer"] = None
         spec["pre_tokenizer"] = {
             "type": "Sequence",
@@ -82,9 +103,26 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_piece:
+            return self.by_library(texts)
+        if self.special is None or not pc.any(asis := pc.match_substring_regex(texts, self.special)).as_py():
+            return self.by_pieces(texts)
+        ids, ends = self.by_pieces(pc.if_else(asis, "", texts))
+        some, cuts = self.by_library(texts.filter(asis))
+        at = np.flatnonzero(asis.to_numpy(zero_copy_only=False))
+        sizes = np.diff(cuts, prepend=0)
+        grown = np.zeros(len(ends), np.int64)
+        grown[at] = sizes
+        return np.insert(ids, np.repeat(ends[at], sizes), some), ends + np.cumsum(grown)
+
+    def by_library(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = [np.array(x.ids, np.uint16) for x in self.library.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint16), *got]), np.cumsum([len(x) for x in got], dtype=np.int64)
+
+    def by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.forget()
-        texts = pc.fill_null(texts, "")
         # Combining marks may merge with a letter before it is lower-cased: such texts stay as they are.
         marked = pc.match_substring_regex(texts, r"\p{M}")
         lower = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])(\s|$)", r"\1 \2\3")
@@ -109,11 +147,11 @@ class Encoder:
         return ids, np.concatenate([[0], ends])[last]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, ordinary: bool = False) -> Encoder:
     """One for each vocabulary and worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, ordinary) not in _encoders:
+        _encoders[path, ordinary] = Encoder(path, ordinary)
+    return _encoders[path, ordinary]
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -126,9 +164,9 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE) -> It
             yield batch.slice(a, b - a)
 
 
-def documents_ids(texts: pa.Array, path: str, end_id: int | None = 1) -> tuple[np.ndarray, np.ndarray]:
+def documents_ids(texts: pa.Array, path: str, end_id: int | None = 1, ordinary: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each text followed by ``end_id``, and where each text's ids end."""
-    ids, ends = encoder(path).encode(texts)
+    ids, ends = encoder(path, ordinary).encode(texts)
     if end_id is None:
         return ids, ends
     return np.insert(ids, ends, np.uint16(end_id)), ends + np.arange(1, len(ends) + 1)

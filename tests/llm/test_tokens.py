@@ -17,8 +17,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def reference():
-    t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(tokens.vocabulary_path())  # as it comes: strings of special tokens in texts are special
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -36,6 +35,16 @@ def test_ids_equal_those_of_whole_texts(reference):
         assert got == [reference(t) for t in texts]
 
 
+@pytest.mark.parametrize("ordinary", [False, True])
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_any_vocabulary_and_ordinary_special_strings(name, ordinary):
+    plain = Tokenizer.from_file(tokens.vocabulary_path(name))
+    plain.encode_special_tokens = ordinary
+    texts = [*TEXTS, "<|endoftext|> x", "a<|startoftext|><|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext", None, "plain words here", " <|endoftext|> "]
+    ids, ends = tokens.documents_ids(pa.array(texts, pa.string()), tokens.vocabulary_path(name), None, ordinary)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_token_set_round_trip(spark, tmp_path, reference):
     rows = [(i * 3, t, "en", "x", 1) for i, t in enumerate(TEXTS)] + [(None, "null id", None, None, None), (3, None, "", "", 0), (6, TEXTS[2], "", "", 0)]
     out = f"file://{tmp_path}/set"
@@ -58,20 +67,24 @@ def test_no_documents(spark, tmp_path):
     assert packing.pack(none).count() == 0
 
 
-def test_blocks_and_segments_decode_alone_and_damage_shows():
+def test_segments_decode_alone_and_damage_shows():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 63, 5000, 700_000):
+    for n, most in ((1, 1), (63, 9), (5000, 90), (700_000, 5000), (700_000, 600_000)):
         ids = (rng.geometric(0.01, n) % 5000).astype(np.uint16)
+        cuts = np.unique(rng.integers(0, n, max(1, 2 * n // most)))
+        sizes = np.diff(np.concatenate([[0], cuts[cuts > 0], [n]]))
         coder = token_files.Coder(token_files.quantise(np.bincount(ids, minlength=1 << 16)))
-        b = coder.encode(ids)
-        assert np.array_equal(coder.decode(n, **b), ids)
-    width = token_files.SEGMENT * b["lanes"]
-    assert np.array_equal(coder.decode(n, **b, segment=1), ids[width : 2 * width])
-    assert len(b["words"]) < 1.2 * n  # 16 bits an id before
-    bad = bytearray(b["words"])
-    bad[1000] ^= 1
-    with pytest.raises(ValueError):
-        coder.decode(n, **b | {"words": bytes(bad)})
+        segments = list(coder.segments(ids, sizes))
+        of = lambda x: {k: x[k] for k in ("n", "lanes", "skip", "left", "words", "states", "checksum")}
+        assert sorted(x["documents"] for x in segments)[0][0] == 0 and sum(j - i for i, j in (x["documents"] for x in segments)) == len(sizes)
+        for x in reversed(segments):
+            assert np.array_equal(coder.decode(**of(x)), ids[x["at"] : x["at"] + x["n"]])
+    some = of(segments[0])
+    for bad in (some["words"][:-4], some["words"][:1000] + bytes([some["words"][1000] ^ 1]) + some["words"][1001:]):
+        with pytest.raises(ValueError):
+            coder.decode(**some | {"words": bad})
+    words = sum(len(x["words"]) for x in coder.segments(ids, np.full(n // 100, 100)))
+    assert words < 1.25 * n  # 16 bits an id before
 
 
 def test_quantise_keeps_rare_ids():
