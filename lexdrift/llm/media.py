@@ -16,12 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tokens import slices
 
 #: Bytes to a multiple of which a payload is filled, and with what.
 UNIT, FILL = 192, 32
-RATE, TARGET = 8000, 4000
+RATE, TARGET = 8000, 6000
 FRAME, HOP, MELS, PATCH = 256, 128, 16, 32
 #: A segment begins over the first and ends under the second share of the loudest frame's energy.
 HIGH, LOW = 0.5, 0.25
@@ -133,7 +134,7 @@ def features(several: list[np.ndarray], rate: int = RATE) -> list[tuple[np.ndarr
 
     Short arrays are laid out one after the other, with silence between, and computed together.
     """
-    period = HOP * rate // gcd(HOP * rate, TARGET) * (TARGET // gcd(HOP * rate, TARGET))  # input samples that are whole hops
+    period = HOP * rate // gcd(HOP * rate, TARGET)  # input samples that are whole hops
     gap = 4 * HALF * rate // gcd(rate, TARGET) + FRAME * rate // TARGET
     starts, at = [], 0
     for x in several:
@@ -202,30 +203,50 @@ def encode(docs: DataFrame) -> DataFrame:
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media and what is computed from the media's bytes: payload, tensor, spans (seconds), feature."""
+    """doc_id, n_bytes, media and what is computed from the media's bytes: payload, tensor (see ``TENSORS``), spans (seconds).
+
+    Media of several rates in one batch are an error; equal media have equal tensors and spans.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "media", 1 << 20):
-                payloads, tensors, spans, notes = [], [], [], []
+                payloads, tensors, spans = [], [], []
                 read = [unwav(value.as_py()) for value in batch.column("media")]
                 rates = {rate for _, rate in read}
                 if len(rates) > 1:
                     raise ValueError("one rate is expected")
                 got = features([np.frombuffer(payload, np.uint8) for payload, _ in read], *rates)
                 for (payload, _), (logs, energy) in zip(read, got, strict=True):
-                    found = segments(energy)
                     payloads.append(payload)
                     tensors.append(tensor(logs))
-                    spans.append([{"begin": a * HOP / TARGET, "end": ((b - 1) * HOP + FRAME) / TARGET} for a, b in found])
-                    means = " ".join(f"{x:.2f}" for x in logs.mean(0, dtype=np.float64))
-                    notes.append(f"frames={len(logs)} segments={len(found)} mel={means}")
+                    spans.append([{"begin": a * HOP / TARGET, "end": ((b - 1) * HOP + FRAME) / TARGET} for a, b in segments(energy)])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in ("doc_id", "n_bytes", "media")), pa.array(payloads, pa.binary()), pa.array(tensors, pa.binary()), pa.array(spans, kind), pa.array(notes, pa.string())],
-                    ["doc_id", "n_bytes", "media", "payload", "tensor", "spans", "feature"],
+                    [*(batch.column(c) for c in ("doc_id", "n_bytes", "media")), pa.array(payloads, pa.binary()), pa.array(tensors, pa.binary()), pa.array(spans, kind)],
+                    ["doc_id", "n_bytes", "media", "payload", "tensor", "spans"],
                 )
 
     kind = pa.list_(pa.struct([("begin", pa.float64()), ("end", pa.float64())]))
-    return media.mapInArrow(
-        work, "doc_id long, n_bytes long, media binary, payload binary, tensor binary, spans array<struct<begin: double, end: double>>, feature string"
-    )
+    return media.mapInArrow(work, "doc_id long, n_bytes long, media binary, payload binary, tensor binary, spans array<struct<begin: double, end: double>>")
+
+
+def summary(raw: bytes, spans: int) -> str:
+    """A line about a stored tensor and the number of its spans: frames, segments, and the mean of each band."""
+    batch = read_tensor(raw)
+    logs = batch.column("patch").to_numpy_ndarray().reshape(-1, MELS)
+    frames = round((batch.column("end")[-1].as_py() * TARGET - FRAME) / HOP) + 1
+    means = " ".join(f"{x:.2f}" for x in logs[:frames].mean(0, dtype=np.float64))
+    return f"frames={frames} segments={spans} mel={means}"
+
+
+def summarise(described: DataFrame) -> DataFrame:
+    """``described`` (tensor, spans and any other columns but ``feature``) with feature, a line made from the two, in place of the tensor."""
+    keep = [c for c in described.columns if c not in ("tensor", "spans")]
+    rows = described.select(*keep, "tensor", F.size("spans").alias("spans"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [summary(t.as_py(), n.as_py()) for t, n in zip(batch.column("tensor"), batch.column("spans"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lines, pa.string())], [*keep, "feature"])
+
+    return rows.mapInArrow(work, T.StructType([*(described.schema[c] for c in keep), T.StructField("feature", T.StringType())]))

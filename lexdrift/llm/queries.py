@@ -81,7 +81,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = staged(media.encode(documents(spark, sf_dir)))
     tail = F.expr("substring(payload, length(payload) - 15, 16)")
-    return media.describe(stored).select(
+    described = media.describe(stored).select(
         "doc_id",
         "n_bytes",
         F.length("payload").cast("long").alias("payload_bytes"),
@@ -89,8 +89,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(tail).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        "feature",
+        "tensor",
+        "spans",
     )
+    return media.summarise(staged(described))
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
