@@ -1,8 +1,9 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line and every paragraph of a text is a candidate. Its words and those of the templates are
+Every line, every paragraph and the whole of a text are candidates. Their words and those of the templates are
 weighted by term frequency times inverse document frequency over all texts; a word of no template
 weighs as much as a word of no document, so prose that merely mentions a licence stays far from all templates.
+A template's numbers (its version) must be among the candidate's words.
 
 A file whose name is that of a licence file speaks for its directory. A file without a licence of its own
 inherits that of the nearest directory above it which has one: directories are resolved once,
@@ -24,29 +25,54 @@ from pyspark.sql import functions as F
 from .common import staged
 from .tokens import slices
 
-# Short notices and opening words of public licences, by SPDX identifier.
+# Texts, notices and titles of public licences, by SPDX identifier.
 TEMPLATES: list[tuple[str, str]] = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 ]
+#: Licences whose text is another's with a clause more: where both match it is the second.
+EXTENDED = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Least cosine of a match.
 THRESHOLD = 0.7
 #: Names of files that speak for their directory.
@@ -58,6 +84,21 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of lines (first, after last) of a text: each line, each paragraph (between lines without words), and all."""
+    lines = text.split("\n")
+    begin = 0
+    for i, line in enumerate([*lines, ""]):
+        if i < len(lines):
+            yield i, i + 1
+        if not _WORD.search(line.lower()):
+            if i - begin > 1:
+                yield begin, i
+            begin = i + 1
+    if len(lines) > 1:
+        yield 0, len(lines)
+
+
 class Matcher:
     """Cosines to all templates with one table of document frequencies."""
 
@@ -67,35 +108,56 @@ class Matcher:
         self.at = {w: i for i, w in enumerate(vocabulary)}
         idf = lambda n: np.log((1 + documents) / (1 + n)) + 1
         self.idf = np.array([idf(frequency.get(w, 0)) for w in vocabulary])
-        self.rare = idf(0)
-        rows = np.array([self.vector(words(t))[0] for _, t in templates])
+        self.weight = dict(zip(vocabulary, self.idf.tolist(), strict=True))
+        self.rare = float(idf(0))
+        tf = np.array([self.counts(words(t))[0] for _, t in templates])
+        numbers = np.array([w[0].isdigit() for w in vocabulary])
+        self.needed = (tf > 0) & numbers
+        rows = tf * self.idf
         self.rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
-    def vector(self, found: list[str]) -> tuple[np.ndarray, float]:
-        """Weights of the templates' words, and the length of the whole vector."""
+    def counts(self, found: list[str]) -> tuple[np.ndarray, int]:
+        """Counts of the templates' words, and the sum of the squares of the others'."""
         tf, other = np.zeros(len(self.at)), {}
         for w in found:
             if (i := self.at.get(w)) is not None:
                 tf[i] += 1
             else:
                 other[w] = other.get(w, 0) + 1
+        return tf, sum(n * n for n in other.values())
+
+    def cosines(self, found: list[str]) -> np.ndarray:
+        """To all templates; 0 where a template's number is missing."""
+        tf, other = self.counts(found)
         v = tf * self.idf
-        return v, float(np.sqrt(v @ v + self.rare**2 * sum(n * n for n in other.values())))
+        length = float(np.sqrt(v @ v + self.rare**2 * other))
+        return np.where((self.needed & (tf == 0)).any(1), 0.0, self.rows @ v / length) if length else np.zeros(len(self.names))
 
     def best(self, text: str) -> tuple[str | None, float]:
-        """The best template's name over all lines and paragraphs, if any reaches the threshold; the first of equals."""
-        name, score = None, 0.0
-        seen: set[str] = set()
-        for paragraph in re.split(r"\n\s*\n", text):
-            for candidate in (*paragraph.split("\n"), paragraph):
-                found = words(candidate)
-                if candidate in seen or sum(w in self.at for w in found) * 2 < len(found):
-                    continue  # over half of the words are foreign: the cosine is under the threshold
-                seen.add(candidate)
-                v, length = self.vector(found)
-                if length and (c := self.rows @ v / length).max() > score:
-                    name, score = self.names[int(c.argmax())], float(c.max())
-        return (name, score) if score >= THRESHOLD else (None, score)
+        """The best template's name over all candidates, if any reaches the threshold; the first of equals. Else the score is 0."""
+        lines = [words(line) for line in text.split("\n")]
+        known = [[self.weight.get(w) for w in line] for line in lines]
+        weights = [sum(w for w in line if w is not None) for line in known]
+        foreign = [line.count(None) for line in known]
+        # The templates' words weigh their sum at most, the others' square is their number at least: where that
+        # bounds the cosine under the threshold it isn't computed.
+        ratio = THRESHOLD**2 / (1 - THRESHOLD**2) * self.rare**2
+        scores = np.zeros(len(self.names))
+        seen: set[tuple[str, ...]] = set()
+        for a, b in candidates(text):
+            weight = weights[a] if b == a + 1 else sum(weights[a:b])
+            if weight == 0 or weight * weight * (1 + 1e-9) < ratio * (foreign[a] if b == a + 1 else sum(foreign[a:b])):
+                continue
+            found = tuple(w for line in lines[a:b] for w in line)
+            if found not in seen:
+                seen.add(found)
+                scores = np.maximum(scores, self.cosines(list(found)))
+        at = int(scores.argmax())
+        if scores[at] < THRESHOLD:
+            return None, 0.0
+        name = self.names[at]
+        more = [c for n, c in zip(self.names, scores.tolist(), strict=True) if n == EXTENDED.get(name) and c >= THRESHOLD]
+        return (EXTENDED[name], max(more)) if more else (name, float(scores[at]))
 
 
 def frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
@@ -127,7 +189,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, licen
 
     source is ``own``, or the path of the file whose licence was inherited, or null with a null licence. Of several
     licence files in a directory the one with the first path counts; one without a known licence doesn't.
-    Null text is empty, a null path has no directory, equal rows stay, no files give no rows; other
+    score is the best cosine, 0 without a licence. Null text is empty, a null path has no directory, equal rows stay, no files give no rows; other
     columns are ignored. ``licence_path`` names a column with the path of a file in whose text, wherever it stands,
     a licence is found; without a licence, or with a null there, ``path`` holds.
     """
@@ -169,8 +231,9 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, licen
         .agg(F.max(F.struct(F.length("above").alias("depth"), "inherited", "from")).alias("best"))
         .select("dir", "best.inherited", "best.from")
     )
-    # A written table: both sides of the join are plain shuffles, and Spark can split a hot directory.
-    out = found.join(staged(resolved), "dir", "left")
+    # Directories grow with the input and aren't broadcast. Written tables: both sides of the join are plain shuffles, so
+    # Spark can split a hot directory.
+    out = found.join(staged(resolved).hint("merge"), "dir", "left")
     return out.select(
         "key", "path", "own", "score",
         F.coalesce("own", "inherited").alias("licence"),

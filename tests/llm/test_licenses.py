@@ -1,5 +1,6 @@
 import math
 import re
+from collections import Counter
 
 import pytest
 
@@ -22,26 +23,59 @@ def plain(texts, templates=licenses.TEMPLATES):
     idf = lambda w: math.log((1 + n) / (1 + df.get(w, 0))) + 1
 
     def vector(text):
-        found = licenses.words(text)
-        return {w: found.count(w) * idf(w) for w in found}
+        return {w: n * idf(w) for w, n in Counter(licenses.words(text)).items()}
 
     def cosine(a, b):
         return sum(a[w] * b.get(w, 0) for w in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
 
-    rows = [(name, vector(t)) for name, t in templates]
+    rows = [(name, vector(t), {w for w in licenses.words(t) if w[0].isdigit()}) for name, t in templates]
     out = []
     for text in texts:
-        best = (None, 0.0)
-        for p in re.split(r"\n\s*\n", text):
-            for c in [*p.split("\n"), p]:
-                if v := vector(c):
-                    for name, row in rows:
-                        if (s := cosine(v, row)) > best[1] + 1e-12:
-                            best = (name, s)
-        out.append(best if best[1] >= licenses.THRESHOLD else (None, None))
+        scores = {}
+        for c in [*text.split("\n"), *re.split(r"\n(?:[^a-z0-9\n]*\n)+", text, flags=re.I), text]:
+            if v := vector(c):
+                for i, (name, row, numbers) in enumerate(rows):
+                    if numbers <= set(v):
+                        scores[i] = max(scores.get(i, 0), cosine(v, row))
+        top = max(scores.values(), default=0)
+        best = next((rows[i][0] for i in sorted(scores) if scores[i] > top - 1e-12), None)
+        more = max((c for i, c in scores.items() if rows[i][0] == licenses.EXTENDED.get(best)), default=0)
+        if more >= licenses.THRESHOLD:
+            best, top = licenses.EXTENDED[best], more
+        out.append((best, top) if top >= licenses.THRESHOLD else (None, None))
     return out
 
 
+BSD2 = next(t for n, t in licenses.TEMPLATES if n == "BSD-2-Clause" and len(t) > 500)
+BSD3 = BSD2.replace("THIS SOFTWARE IS", "3. " + next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause" and len(t) > 100) + "\n\nTHIS SOFTWARE IS", 1).replace("2. Redis", "\n\n2. Redis")
+GPL = "This program is free software{0} you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation{1} either version {2} of the License, or\n# (at your option) any later version."
+NOTICES = [
+    ("MIT", "Released under the MIT License. " * 4 + " ".join(f"word{i}" for i in range(21))),
+    ("MIT", "Copyright (c) 2020 A. Author\n\n" + next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 800)),
+    ("GPL-2.0", "#!/bin/sh\n#\n# " + GPL.format(";", ";", 2) + "\n#\n# more words follow here"),
+    ("GPL-3.0", "# " + GPL.format(":", ",", 3)),
+    (None, "# " + GPL.format(":", ",", 1)),
+    ("BSD-2-Clause", "Copyright 2019 Somebody\n\n" + BSD2),
+    ("BSD-3-Clause", "Copyright 2019 Somebody\n\n" + BSD3),
+    ("ISC", "Copyright x\n\n" + next(t for n, t in licenses.TEMPLATES if n == "ISC" and len(t) > 100)),
+    ("AGPL-3.0", "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n text"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"),
+    (None, "We spoke of version 2 of the software and its license, free of charge."),
+    ("MIT", "prose without end " * 10_000 + "\nReleased under the MIT License.\n" + "more prose " * 10_000),
+]
+
+
+def test_notices_and_texts(spark):
+    """Repeated words, comments, versions, clauses, and a very long text; ties go to the first template."""
+    texts = [t for _, t in NOTICES]
+    got = {r.key: r for r in licenses.scan(spark.createDataFrame([(i, f"{i}.txt", t) for i, t in enumerate(texts)], "key long, path string, text string")).collect()}
+    for i, ((name, _), (want, score)) in enumerate(zip(NOTICES, plain(texts), strict=True)):
+        assert got[i].own == want == name, (i, got[i], want, score)
+        assert got[i].score == pytest.approx(score or 0, abs=1e-5)
+    twin = [("B", "alpha beta gamma"), ("A", "alpha beta gamma")]
+    assert licenses.scan(spark.createDataFrame([(1, "f", "alpha beta gamma")], "key long, path string, text string"), twin).first().own == "B"
+
+
 @pytest.fixture(scope="module")
 def files():
     prose = "The quick brown fox spoke of a licence and of software.\nIt went on.\n\nNothing else was free of charge."
@@ -113,7 +147,7 @@ def test_registered_query_inherits_as_brute_force(spark):
 
 
 def test_no_directory_is_too_deep(spark):
-    deep = "/".join(["d"] * 100)
+    deep = "/".join(["d"] * 200)
     rows = [(1, "d/LICENSE", [*LINES][0]), (2, f"{deep}/f.txt", "plain prose")]
     got = {r.key: r for r in licenses.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect()}
     assert (got[2].own, got[2].licence, got[2].source) == (None, "CC-BY-NC-4.0", "d/LICENSE")
