@@ -7,6 +7,7 @@ belong to letters. Training is back-propagation through time with Adam on window
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -136,18 +137,16 @@ def loss_gradients(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, l
     return loss, [*unrun(model.cells[0], x, tape_a, d_both[:, :h]), *unrun(model.cells[1], x, tape_b, d_both[:, h:]), d_out, d_bias]
 
 
-def background(texts: list[str], seed: int) -> list[bytes]:
-    """A piece of each text over 40 characters with other letters, in turn: shuffled, replaced one for one, random, of another script.
+def background(pieces: list[bytes], seed: int) -> list[bytes]:
+    """The pieces with other letters, in turn: shuffled, replaced one for one, random, of another script.
 
-    What isn't a letter stays. Letters replaced one for one stand for languages that aren't in ``texts``.
+    What isn't a letter stays. Letters replaced one for one stand for languages that aren't in ``pieces``.
     """
     draw = np.random.default_rng(seed)
     latin, size = np.flatnonzero(LETTER[:128]), SAMPLE_WINDOWS * WINDOW
     out = []
-    for n, text in enumerate(t for t in texts if len(t) > 40):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        at = int(draw.integers(0, max(1, len(raw) - size + 1)))
-        part = raw[at : at + size].copy()
+    for n, piece in enumerate(pieces):
+        part = np.frombuffer(piece, np.uint8).copy()
         letters = LETTER[part]
         if n % 4 == 0:
             part[letters] = draw.permutation(part[letters])
@@ -166,19 +165,47 @@ def background(texts: list[str], seed: int) -> list[bytes]:
     return out
 
 
-def train(texts: list[str] | list[str | bytes], labels: list[str], steps: int = STEPS, seed: int = SEED, hidden: int = HIDDEN) -> Model:
-    """A model of the languages in ``labels``; deterministic."""
+def windows_of(raw: bytes, draw: np.random.Generator) -> np.ndarray:
+    """``SAMPLE_WINDOWS`` windows (.., WINDOW) of a text at random places, filled with spaces; none if it has no letter."""
+    text = np.frombuffer(raw, np.uint8)
+    if not LETTER[text].any():
+        return np.zeros((0, WINDOW), np.uint8)
+    padded = np.concatenate([text, np.full(WINDOW, 32, np.uint8)])
+    at = draw.integers(0, max(1, len(text) - WINDOW + 1), SAMPLE_WINDOWS)
+    return padded[at[:, None] + np.arange(WINDOW)]
+
+
+def samples(drawn: DataFrame, seed: int) -> DataFrame:
+    """(lang, windows, piece) of ``drawn`` (text, lang): a text's windows, and a piece as long as all of them, null for texts up to 40 characters.
+
+    Cut where the texts are: what leaves a task is of bounded size for each text, however long that is.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = SAMPLE_WINDOWS * WINDOW
+        for batch in batches:
+            windows, pieces = [], []
+            for text in batch.column("text"):
+                raw = text.as_buffer().to_pybytes()
+                draw = np.random.default_rng([seed, zlib.crc32(raw), len(raw)])
+                windows.append(windows_of(raw, draw).tobytes())
+                at = int(draw.integers(0, max(1, len(raw) - size + 1)))
+                pieces.append(raw[at : at + size] if len(text.as_py()) > 40 else None)
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(windows, pa.binary()), pa.array(pieces, pa.binary())], ["lang", "windows", "piece"])
+
+    return drawn.select("lang", "text").mapInArrow(work, "lang string, windows binary, piece binary")
+
+
+def train(windows: list[np.ndarray], labels: list[str], steps: int = STEPS, seed: int = SEED, hidden: int = HIDDEN) -> Model:
+    """A model of the languages in ``labels`` from each text's windows (.., WINDOW); deterministic."""
     model = fresh(sorted(set(labels)), hidden, seed)
     draw = np.random.default_rng(seed)
     number = {x: i for i, x in enumerate(model.languages)}
     by_class: list[list[np.ndarray]] = [[] for _ in number]
-    for text, label in zip(texts, labels, strict=True):
-        raw = np.frombuffer(text.encode() if isinstance(text, str) else text, np.uint8)
-        if LETTER[raw].any():
-            for at in draw.integers(0, max(1, len(raw) - WINDOW + 1), SAMPLE_WINDOWS):
-                part = raw[at : at + WINDOW]
-                by_class[number[label]].append(np.concatenate([part, np.full(WINDOW - len(part), 32, np.uint8)]))
-    pools = [np.array(x) if x else np.full((1, WINDOW), 32, np.uint8) for x in by_class]
+    for some, label in zip(windows, labels, strict=True):
+        by_class[number[label]].append(some)
+    pools = [np.concatenate(x) for x in by_class]
+    pools = [x if len(x) else np.full((1, WINDOW), 32, np.uint8) for x in pools]
     parameters = model.parameters()
     mean, square = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
     for step in range(1, steps + 1 if number else 1):
@@ -241,13 +268,14 @@ def fit(docs: DataFrame, docs_each: int = SAMPLE_DOCS, seed: int = SEED, with_ba
         share = F.when(F.col("lang") == lang, int(min(1.0, docs_each / n) * (1 << 30))).otherwise(share)
     drawn = labelled.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < share)
     # A text with many copies is drawn once: the sample stays about docs_each * languages.
-    drawn = drawn.groupBy("text", "lang").count().select("text", "lang").collect()
-    drawn.sort()
-    texts, labels = [r.text for r in drawn], [r.lang for r in drawn]
+    drawn = samples(drawn.groupBy("text", "lang").count(), seed).collect()
+    drawn.sort(key=lambda r: (r.lang, bytes(r.windows), bytes(r.piece or b"")))
+    windows, labels = [np.frombuffer(r.windows, np.uint8).reshape(-1, WINDOW) for r in drawn], [r.lang for r in drawn]
     if not with_background:
-        return train(texts, labels, seed=seed)
-    more = background(texts, seed)
-    return train([*texts, *more], [*labels, *[BACKGROUND] * len(more)], BACKGROUND_STEPS, seed, BACKGROUND_HIDDEN)
+        return train(windows, labels, seed=seed)
+    draw = np.random.default_rng(seed)
+    more = [windows_of(x, draw) for x in background([bytes(r.piece) for r in drawn if r.piece is not None], seed)]
+    return train([*windows, *more], [*labels, *[BACKGROUND] * len(more)], BACKGROUND_STEPS, seed, BACKGROUND_HIDDEN)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -287,6 +315,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def identify(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score.
 
+    Of languages with equal probabilities the first in order is predicted.
     The model learns from the rows that aren't held out; see :func:`fit` and :func:`predict` for nulls.
     Equal texts get equal predictions; no documents give no rows; other columns are ignored.
     """

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +30,56 @@ def test_gradients_equal_differences():
         assert (up - down) / 2e-2 == pytest.approx(g[at], rel=0.02, abs=1e-4)
 
 
+def plain_probabilities(model, text):
+    """One byte, one unit at a time."""
+    raw, c = (text or "").encode(), len(model.languages)
+    sums, letters = [0.0] * c, 0
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    for begin in range(0, len(raw), langid.WINDOW):
+        x = list(raw[begin : begin + langid.WINDOW])
+        x += [32] * (langid.WINDOW - len(x))
+        states = []
+        for cell, order in zip(model.cells, (range(len(x)), range(len(x) - 1, -1, -1)), strict=True):
+            table, u, bias = (p.astype(float) for p in cell)
+            size = u.shape[1]
+            h, seen = [0.0] * size, {}
+            for t in order:
+                rec = [sum(u[i, j] * h[j] for j in range(size)) for i in range(3 * size)]
+                z = [sig(table[i, x[t]] + rec[i]) for i in range(size)]
+                g = [sig(table[size + i, x[t]] + rec[size + i]) for i in range(size)]
+                new = [math.tanh(table[2 * size + i, x[t]] + g[i] * (rec[2 * size + i] + bias[i, 0])) for i in range(size)]
+                h = [(1 - z[i]) * new[i] + z[i] * h[i] for i in range(size)]
+                seen[t] = h
+            states.append(seen)
+        for t in range(min(langid.WINDOW, len(raw) - begin)):
+            if not langid.LETTER[x[t]]:
+                continue
+            both = states[0][t] + states[1][t]
+            logits = [sum(model.out[k, i] * both[i] for i in range(len(both))) + model.bias[k, 0] for k in range(c)]
+            e = [math.exp(v - max(logits)) for v in logits]
+            sums = [a + v / sum(e) for a, v in zip(sums, e, strict=True)]
+            letters += 1
+    return [v / max(letters, 1) for v in sums]
+
+
+def test_probabilities_equal_a_plain_network():
+    model = langid.fresh(["a", "b", "c"], hidden=4, seed=9)
+    for p in model.parameters():
+        p += np.random.default_rng(3).normal(0, 0.2, p.shape).astype(np.float32)
+    texts = ["", None, "short", "12 !", "wörter " * 30, "x" * 64, "y" * 65, "日本語 テスト"]
+    got = langid.document_probabilities(model, pa.array(["other", *texts]).slice(1))
+    assert got == pytest.approx(np.array([plain_probabilities(model, t) for t in texts]), abs=1e-5)
+
+
+def test_ties_and_long_texts(spark):
+    model = langid.fresh(["x", "y"], hidden=2)
+    model.out[:], model.bias[:] = 0, 0
+    rows = spark.createDataFrame([(1, "same for both"), (2, "long text " * 200_000), (3, None)], "doc_id long, text string")
+    assert [tuple(r) for r in langid.predict(rows, model, ["doc_id"]).orderBy("doc_id").collect()] == [(1, "x", 0.5), (2, "x", 0.5), (3, "und", 0.0)]
+    cut = langid.samples(spark.createDataFrame([("long text " * 200_000, "x"), ("ab", "y"), ("!", "y")], "text string, lang string"), 1).collect()
+    assert sorted((len(r.windows), len(r.piece or b"")) for r in cut) == [(0, 0), (768, 0), (768, 768)]
+
+
 def test_held_out_accuracy_nulls_and_equal_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     more = spark.createDataFrame(
