@@ -6,24 +6,29 @@ until no share is over its clamp. Sorted by clamp / weight, the clamped sources
 running sum finds them.
 
 A source then repeats each document ``floor(target / words)`` times, and once more the documents that
-come first in a seeded random order until their words reach what is left. To find them, words are
-summed by source and prefix of the order's key, so that no task orders a whole source: only one
-bucket of a source is put in order, the one in which the words run out.
+come first in a seeded random order until their words reach what is left. That is a key for each source, its cutoff. It is
+found digit by digit: words are summed by the key's next ``DIGITS`` digits, which leaves one bucket of a
+source, and so on until that has few rows. So no task orders more than a bucket, however large a source is, and taking the
+mix is a lookup of each document's source: documents aren't shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, staged
+from .common import staged
 
 #: Characters that don't belong to a word: ``[\x20\x09-\x0D]``.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Sources up to which their table is broadcast (under 100 bytes each); beyond, Spark joins by shuffle.
 BROADCAST_SOURCES = 10_000
-#: Rows of a source in a bucket.
-BUCKET_ROWS = 4_096
+#: Rows of a source in a bucket that is put in order, and digits of the key that are looked at in a step.
+BUCKET_ROWS, DIGITS = 4_096, 3
+#: Digits of a key: of the document's random number, its size and a hash of its text.
+KEY = 32 + 16 + 16
 
 
 def water_fill(sources: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
@@ -53,6 +58,61 @@ def water_fill(sources: DataFrame, weights: tuple[float, ...], share: float, mos
     return ranked.select("source", "words", F.coalesce(F.least(clamp, F.col("level") * F.col("weight")), clamp).alias("target"))
 
 
+def size_of(text: str | Column = "text") -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def key_of(seed: int, doc_id: Column, size: Column, text: Column) -> Column:
+    """A document's place in the seeded order, as hexadecimal digits."""
+    wide = lambda c: F.lpad(F.hex(c), 16, "0")
+    return F.concat(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), wide(size), wide(F.xxhash64(F.coalesce(text, F.lit("")))))
+
+
+def cutoffs(rows: DataFrame, rest: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(source, cutoff): the last key of each source to take ``rest`` words of, from ``rows`` (source, size, key) and ``rest`` (source, rest)."""
+    cut = rest.select(F.col("source").alias("s"), "rest", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    order = Window.partitionBy("s").orderBy("part")
+    for length in range(0, KEY, DIGITS):
+        inside = rows.join(small(cut), rows["source"].eqNullSafe(cut["s"]) & F.col("key").startswith(F.col("prefix")))
+        part = F.substring("key", length + 1, DIGITS).alias("part")
+        sums = inside.groupBy("s", part).agg(F.sum("size").alias("words"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("rest", "prefix", "before")))
+        through = sums.withColumn("through", F.col("before") + F.sum("words").over(order)).where("through > rest")
+        first = F.min(F.struct("part", (F.col("through") - F.col("words")).alias("before"), "rest", "prefix", "n")).alias("first")
+        cut = staged(through.groupBy("s").agg(first).select("s", "first.rest", F.concat("first.prefix", "first.part").alias("prefix"), "first.before", "first.n"))
+        if (cut.agg(F.max("n")).first()[0] or 0) <= BUCKET_ROWS:
+            break
+    inside = rows.join(small(cut), rows["source"].eqNullSafe(cut["s"]) & F.col("key").startswith(F.col("prefix")))
+    # Equal keys are rows of one id and text, which are taken alike.
+    keys = inside.groupBy("s", "rest", "prefix", "before", "key").agg(F.sum("size").alias("words"))
+    order = Window.partitionBy("s").orderBy("key")
+    middle = F.col("before") + F.sum("words").over(order) - F.col("words") / 2
+    taken = keys.withColumn("take", middle <= F.col("rest"))
+    # Without any, all keys of the bucket are behind its prefix.
+    return taken.groupBy(F.col("s").alias("source")).agg(F.coalesce(F.max(F.when(F.col("take"), F.col("key"))), F.first("prefix")).alias("cutoff"))
+
+
+def plan(
+    docs: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: int
+) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(doc_id, source, size, key) of all documents, a row for each source (s, source_size, target, whole, cutoff), and how to join that."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of().alias("size"), "text")
+    rows = staged(rows.withColumn("key", key_of(seed, F.col("doc_id"), F.col("size"), F.col("text"))).drop("text"))
+    counts = rows.groupBy("source").agg(F.sum("size").alias("words"))
+    targets = water_fill(counts, weights, share, most)
+    targets = targets.withColumn("whole", F.when(F.col("words") > 0, F.floor(F.col("target") / F.col("words"))).otherwise(0))
+    targets = staged(targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("words")))
+    few = targets.count() <= BROADCAST_SOURCES
+    # Many sources: the join's side with a hot source is split by Spark's skew join.
+    small = F.broadcast if few else lambda df: df
+    cut = cutoffs(rows, targets.where("rest > 0").select("source", "rest"), small).withColumnRenamed("source", "c")
+    sources = targets.join(cut, targets["source"].eqNullSafe(cut["c"]), "left")
+    return rows, staged(sources.select(F.col("source").alias("s"), F.col("words").alias("source_size"), "target", "whole", "cutoff")), small
+
+
+def copies_of(key: str, whole: str, cutoff: str) -> Column:
+    return F.col(whole) + F.coalesce(F.col(key) <= F.col(cutoff), F.lit(False)).cast("long")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (3, 1, 2),
@@ -64,69 +124,29 @@ def mix(
 
     size counts the text's words (null: 0). Targets add up to ``share`` of all words, at most ``most``
     times a source's own. copies is how often the mix takes the whole document; taken = copies * size.
-    Sources are by code point, null a source of its own, last. Equal ids keep a fixed order by size;
-    among equal rows any may be taken. No documents give no rows; other columns are ignored.
+    Sources are by code point, null a source of its own, last. Documents of one id are ordered by size, then by a hash of their text;
+    rows of one id and text are taken alike. No documents give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = staged(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.col("source"),
-            F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-            F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")).alias("key"),
-        )
-    )
-    # A prefix of the key so long that a bucket of the largest source has few rows.
-    counts = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-    largest, n_sources = counts.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
-    digits = 1
-    while 16**digits < parts(largest, BUCKET_ROWS):
-        digits += 1
-    bucket = F.substring("key", 1, digits)
-    sums = rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    targets = water_fill(counts.select("source", "words"), weights, share, most)
-    targets = targets.withColumn("whole", F.when(F.col("words") > 0, F.floor(F.col("target") / F.col("words"))).otherwise(0))
-    targets = targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("words"))
-    few = n_sources <= BROADCAST_SOURCES
-    small = F.broadcast if few else lambda df: df
-    # The bucket in which the rest runs out, and the words before it.
-    running = Window.partitionBy("source").orderBy("bucket")
-    t = targets.select(F.col("source").alias("s"), "target", F.col("words").alias("source_size"), "whole", "rest")
-    cut = (
-        sums.join(small(t), sums["source"].eqNullSafe(F.col("s")))
-        .withColumn("through", F.sum("words").over(running))
-        .where("through > rest")
-        .groupBy("source")
-        .agg(F.min(F.struct("bucket", (F.col("through") - F.col("words")).alias("before"))).alias("cut"))
-        .select(F.col("source").alias("c"), "cut.bucket", "cut.before")
-    )
-    plan = t.join(cut, t["s"].eqNullSafe(cut["c"]), "left").drop("c")
-    plan = staged(plan)
-    rows = rows.withColumn("b", bucket)
-    # Many sources: the join's side with a hot source is split by Spark's skew join.
-    joined = rows.join(small(plan), rows["source"].eqNullSafe(plan["s"]))
-    inside = F.col("b").eqNullSafe(F.col("bucket"))
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = joined.where(inside).withColumn("extra", (F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 <= F.col("rest")))
-    others = joined.where(~inside).withColumn("extra", F.when(F.col("bucket").isNull(), F.col("rest") > 0).otherwise(F.col("b") < F.col("bucket")))
-    return at_cut.unionByName(others).select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        (F.col("whole") + F.col("extra").cast("long")).alias("copies"),
-        ((F.col("whole") + F.col("extra").cast("long")) * F.col("size")).alias("taken"),
-    )
+    rows, sources, small = plan(docs, weights, share, most, seed)
+    joined = rows.join(small(sources), rows["source"].eqNullSafe(sources["s"]))
+    return joined.withColumn("copies", copies_of("key", "whole", "cutoff")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def repeat(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` (doc_id, source, text and any other columns) as the mix takes them: a row for each time, all columns.
+def repeat(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    most: int = 2,
+    seed: int = 11,
+) -> DataFrame:
+    """``docs`` (doc_id, source, text and any other columns) as :func:`mix` takes them: a row for each time, all columns.
 
-    Copies are counted by doc_id and size; where rows share both, each is taken as often as the most of them.
+    Documents without words aren't counted in a size; they are taken as often as their key says.
     """
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    taken = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
-    sized = docs.withColumn("__words", size)
-    joined = sized.join(taken, sized["doc_id"].cast("long").eqNullSafe(taken["__id"]) & (sized["__words"] == taken["__size"]))
-    return joined.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    _, sources, small = plan(docs, weights, share, most, seed)
+    names = {c: f"__{c}" for c in ("s", "source_size", "target", "whole", "cutoff")}
+    sources = sources.select(*(F.col(c).alias(n) for c, n in names.items()))
+    key = key_of(seed, docs["doc_id"].cast("long"), size_of(docs["text"]), docs["text"])
+    joined = docs.withColumn("__key", key).join(small(sources), docs["source"].eqNullSafe(F.col("__s")))
+    times = copies_of("__key", "__whole", "__cutoff")
+    return joined.withColumn("__time", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)

@@ -49,9 +49,10 @@ def test_hot_copies_without_ids(spark):
     assert exact.drop_copies(df).count() == 101
 
 
-@pytest.mark.parametrize("rows_in_bucket,broadcast", [(4096, 10_000), (1, 0)])
-def test_mix_against_sql(spark, monkeypatch, rows_in_bucket, broadcast):
+@pytest.mark.parametrize("rows_in_bucket,broadcast,digits", [(4096, 10_000, 3), (1, 0, 1)])
+def test_mix_against_sql(spark, monkeypatch, rows_in_bucket, broadcast, digits):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", rows_in_bucket)
+    monkeypatch.setattr(mixing, "DIGITS", digits)
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
     rows = [r for r in ROWS if r[0] != 8] + [(100 + i, "w " * (i % 17), f"s{i % 5}" if i % 11 else "s1", "", 0, "") for i in range(300)]
     rows += [(1000, "", "empty", "", 0, ""), (1001, "one two", "tiny", "", 0, "")]
@@ -70,6 +71,24 @@ def test_mix_against_sql(spark, monkeypatch, rows_in_bucket, broadcast):
     assert all(abs(sums[s] - targets[s]) <= largest[s] / 2 + 1e-6 for s in sums)
 
 
+def test_repeat_takes_what_mix_says(spark):
+    """One id with several texts of one size, ids that are null, rows that are equal, and columns of the plan's names."""
+    rows = [(3, f"a{i} b{i} c{i}", "s", i) for i in range(400)] + [(None, f"n{i}", "s", i) for i in range(200)] + [(5, "x y", None, 0)] * 3 + [(i, "w " * (i % 9), "t", i) for i in range(100)]
+    df = spark.createDataFrame([(*r, "w", "k") for r in rows], "doc_id long, text string, source string, s int, whole string, key string").repartition(4)
+    out = mixing.repeat(df)
+    assert out.columns == df.columns
+    words = lambda d: {r.source: r.words for r in d.groupBy("source").agg(F.sum(mixing.size_of()).alias("words")).collect()}
+    got, said = words(out), mixing.mix(df).collect()
+    taken, target = defaultdict(int), {}
+    for r in said:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert got == taken
+    assert abs(got["s"] - target["s"]) <= 2 and abs(got["t"] - target["t"]) <= 4  # half of the largest document
+    sizes = {r.source: r.source_size for r in said}
+    assert sizes == {"s": 1400, None: 6, "t": sum(i % 9 for i in range(100))}
+
+
 def test_no_words_and_repeated_rows(spark):
     df = spark.createDataFrame(ROWS, DOCS)
     assert mixing.mix(df.limit(0)).count() == 0
