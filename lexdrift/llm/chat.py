@@ -2,7 +2,7 @@
 
 A template is text with ``{{ expression }}``, ``{% for x in expression %}``, ``{% if expression %}`` /
 ``{% elif %}`` / ``{% else %}``, and ``{% generation %}`` around what a model is to learn; ``for``, ``if`` and
-``generation`` end with ``{% end... %}``. Expressions have literals, names, ``x.key``, ``x[...]``, comparisons,
+``generation`` end with ``{% end... %}``; a ``-`` next to a mark trims white space there. Expressions have literals, names, ``x.key``, ``x[...]``, comparisons,
 ``and or not``, ``+`` and filters ``| name``. Nothing else can be reached from a template: names are looked
 up in the given values, keys in dictionaries and lists, filters in a fixed table.
 
@@ -48,7 +48,9 @@ class TemplateError(ValueError):
 
 # --- parsing: nodes are tuples (kind, ...) ---------------------------------------------------------
 
-_PART = re.compile(r"\{\{-?(.*?)-?\}\}|\{%-?(.*?)-?%\}", re.S)
+# What is between the marks ends at the first end mark outside of quotes; a ``-`` at a mark trims the text on that side.
+_BODY = r"""((?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|(?!-?%s).)*)"""
+_PART = re.compile(r"\{\{(-?)" + _BODY % r"\}\}" + r"(-?)\}\}|\{%(-?)" + _BODY % r"%\}" + r"(-?)%\}", re.S)
 _TOKEN = re.compile(r"""\s*(?:(\d+)|("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+<>|.()\[\]]))""")
 _ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", "'": "'", '"': '"'}
 
@@ -158,14 +160,23 @@ class Expression:
 def parse(source: str) -> tuple:
     """The syntax tree of a template: ("block", nodes)."""
     parts: list[tuple[str, str]] = []
-    at = 0
+    at, trim = 0, False
+
+    def text(until: int, cut: bool) -> None:
+        found = source[at:until]
+        found = found.lstrip() if trim else found
+        found = found.rstrip() if cut else found
+        if "{{" in found or "{%" in found:
+            raise TemplateError(f"a mark isn't closed in {found[:40]!r}")
+        if found:
+            parts.append(("text", found))
+
     for m in _PART.finditer(source):
-        if m.start() > at:
-            parts.append(("text", source[at : m.start()]))
-        parts.append(("show", m[1]) if m[1] is not None else ("tag", m[2].strip()))
-        at = m.end()
-    if at < len(source):
-        parts.append(("text", source[at:]))
+        before, show, after = m.group(1, 2, 3) if m[2] is not None else (m[4], None, m[6])
+        text(m.start(), bool(before))
+        parts.append(("show", show) if show is not None else ("tag", m[5].strip()))
+        at, trim = m.end(), bool(after)
+    text(len(source), False)
     parts.reverse()
 
     def block(*ends: str) -> tuple[tuple, str]:
@@ -236,7 +247,10 @@ def fold(node: tuple) -> tuple:
     if kind == "generation":
         return folded
     if all(x[0] == "const" for x in folded[1:] if isinstance(x, tuple)):
-        return ("const", evaluator(folded)({}))
+        try:
+            return ("const", evaluator(folded)({}))
+        except TypeError as e:
+            raise TemplateError(f"not valid: {e}") from e
     return folded
 
 
@@ -412,13 +426,17 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What formatted conversations say when read back: turns, their digest, and all text under the loss mask."""
+    """What formatted conversations say when read back: turns, their digest, and all text under the loss mask.
+
+    ``formatted`` (conv_id, formatted, spans) is what :func:`format_conversations` gives, where nothing but conv_id is null; a
+    text that isn't of its form is an error. No conversations give no rows; other columns are ignored.
+    """
     import hashlib
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for row in batch.select(["conv_id", "formatted", "spans"]).to_pylist():
                 turns = read_turns(row["formatted"])
                 loss = "".join(unescape(row["formatted"][s["start"] : s["end"]]) for s in row["spans"])
                 out.append(

@@ -182,22 +182,28 @@ def smaller_by_cover(group: np.ndarray, starts: np.ndarray, place: np.ndarray, t
 
     Suffixes are taken by their residue modulo ``PERIOD``: two residues share one shift.
     """
-    less = np.zeros(len(starts), np.int64)
-    group = np.unique(group, return_inverse=True)[1].astype(np.int64) << 32
+    dense = lambda x: np.unique(x, return_inverse=True)[1].astype(np.int64)
     residue = starts % PERIOD
-    by = {r: np.flatnonzero(residue == r) for r in np.unique(residue).tolist()}
-    for x, y in ((x, y) for x in by for y in by if x <= y):
-        a, b, d = by[x], by[y], shifts()[x, y]
-        if x != y:
-            a, b = a[np.isin(group[a], group[b])], b[np.isin(group[b], group[a])]
-            if not len(a):
-                continue
-        both = a if x == y else np.concatenate([a, b])
-        keys = group[both] | np.unique(place[starts[both] + d] << 32 | tail[both], return_inverse=True)[1]
-        ka, kb = keys[: len(a)], keys[-len(b) :]
-        for one, mine, others in ((a, ka, kb),) if x == y else ((a, ka, kb), (b, kb, ka)):
-            others = np.sort(others)
-            less[one] += np.searchsorted(others, mine) - np.searchsorted(others, group[one])
+    key = lambda at, d: dense(place[starts[at] + d] << 32 | tail[at])
+    # Within a residue, of all residues at once.
+    group = dense(group)
+    inner = dense(group * PERIOD + residue) << 32
+    keys = inner | key(np.arange(len(starts)), shifts()[residue, residue])
+    order = np.sort(keys)
+    less = np.searchsorted(order, keys) - np.searchsorted(order, inner)
+    # Between residues, in groups that have several: those that share a group.
+    has = np.zeros((int(group.max()) + 1, PERIOD), bool)
+    has[group, residue] = True
+    open_ = np.flatnonzero((has.sum(1) > 1)[group])
+    by = {r: open_[residue[open_] == r] for r in np.unique(residue[open_]).tolist()}
+    several = has[has.sum(1) > 1].astype(np.float32)
+    for x, y in np.argwhere(np.triu(several.T @ several, 1)).tolist():
+        a, b = by[x][has[group[by[x]], y]], by[y][has[group[by[y]], x]]
+        both = np.concatenate([a, b])
+        keys = group[both] << 32 | key(both, shifts()[x, y])
+        ka, kb = keys[: len(a)], keys[len(a) :]
+        for one, mine, others in ((a, ka, np.sort(kb)), (b, kb, np.sort(ka))):
+            less[one] += np.searchsorted(others, mine) - np.searchsorted(others, group[one] << 32)
     return less
 
 

@@ -16,6 +16,10 @@ TURNS = "conv_id long, turn long, role string, text string, formatted string, sp
         ("{{ (a or b) | trim | length }}", {"b": " ab "}, "2"),
         ("{% if true %}x{% else %}{{ y }}{% endif %}{% if false %}z{% endif %}", {}, "x"),
         ("{{ m.__class__ }}{{ f.format }}", {"m": {}, "f": "x"}, ""),
+        ("a  {{- x -}}  b", {"x": "X"}, "aXb"),
+        ("a \n{%- if x %} y {%- endif -%}\t b {{ x }} c", {"x": 1}, "a yb 1 c"),
+        ("{{ '}}' }}{% if x == '%}' %}ok{% endif %}", {"x": "%}"}, "}}ok"),
+        ("{{- 'it\\'s' -}} {{- \"{{\" }}", {}, "it's{{"),
     ],
 )
 def test_templates(source, values, want):
@@ -26,7 +30,7 @@ def test_folding_leaves_one_constant():
     assert chat.fold(chat.parse("a{{ 'b' | upper }}{% if 1 == 1 %}c{% endif %}{{ 1 + 2 }}")) == ("block", [("const", "aBc3")])
 
 
-@pytest.mark.parametrize("source", ["{{ x.y( ) }}", "{% for x %}", "{% if x %}", "{{ x | no }}", "{{ import os }}", "{% include 'x' %}", "{{ }}"])
+@pytest.mark.parametrize("source", ["{{ x.y( ) }}", "{% for x %}", "{% if x %}", "{{ x | no }}", "{{ import os }}", "{% include 'x' %}", "{{ }}", "{{ 1 + 'a' }}", "{{ 1 | length }}", "{{ x "])
 def test_what_is_refused(source):
     with pytest.raises(chat.TemplateError):
         chat.compile_template(source)

@@ -1,6 +1,7 @@
 import itertools
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,43 @@ def test_run_gives_the_stages_result(spark, outputs):
     a, b = ({tuple(r) for r in df.select(*columns).collect()} for df in (direct, corpus_pipeline.run(spark, SF)))
     assert a == b
     assert corpus_pipeline.run(spark, SF).where(F.col("length") <= 0).count() == 0
+
+
+def test_repeated_ids_clashing_columns_and_empty_tables(spark):
+    """One id with several texts, ids that are null, equal rows, empty and very long texts; then nothing at all."""
+    docs = documents(spark, SF)
+    long = " ".join(f"long{i % 4000} text{i % 977}" for i in range(40_000))
+    base = [r.text for r in docs.where("length(text) > 500").orderBy("doc_id").limit(3).collect()]
+    rows = [(7, base[0]), (7, base[1]), (None, base[2]), (None, base[2] + " and more"), (None, ""), (9, long), (9, None), (9, long)]
+    names = {"part": "p", "__id": "i", "name": "n", "key": "k", "whole": "w"}
+    wide = lambda df: df.select("*", *(F.lit(v).alias(k) for k, v in names.items()))
+    df = wide(spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], docs.schema)).unionByName(wide(docs))
+    steps = [df]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        steps.append(staged(stage(spark, steps[-1], SF)))
+        assert steps[-1].columns == df.columns
+    kept = {r.text for r in steps[3].collect()}
+    assert len(kept) == steps[3].count()
+    assert {base[0], base[1]} <= kept and (base[2] in kept or base[2] + " and more" in kept)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, steps[4], SF)
+    assert pieces.agg(F.sum("length")).first()[0] > 0
+    none = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        none = staged(stage(spark, none, SF))
+        assert none.columns == df.columns and none.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, none, SF).count() == 0
+
+
+def test_a_language_rejects_what_brute_force_rejects(spark, outputs):
+    """The share of the background class, document by document."""
+    from lexdrift.llm import langid
+
+    rows = outputs[0].select("*", langid.held_out().alias("held"))
+    model = langid.fit(rows.where(~F.col("held")), with_background=True)
+    at = model.languages.index(langid.BACKGROUND)
+    want = set()
+    for r in outputs[0].collect():
+        if r.text and any(c.isalpha() for c in r.text):
+            if langid.document_probabilities(model, pa.array([r.text]))[0, at] <= 0.5:
+                want.add(r.doc_id)
+    assert {r.doc_id for r in outputs[1].collect()} == want
