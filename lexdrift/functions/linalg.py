@@ -50,7 +50,7 @@ def signed(u: np.ndarray, vt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def truncated_svd(m: Sparse, k: int, seed: int = 0, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` largest singular values, in descending order, with their vectors."""
+    """The ``k`` largest singular values, in descending order, with their vectors. An error if the iteration doesn't settle."""
     if max(m.shape) <= DENSE:
         u, s, vt = np.linalg.svd(m.dense(), full_matrices=False)
     else:
@@ -61,9 +61,11 @@ def truncated_svd(m: Sparse, k: int, seed: int = 0, rounds: int = 200) -> tuple[
             z, r = np.linalg.qr(m.transposed_dot(q))
             q, _ = np.linalg.qr(m.dot(z))
             values = np.linalg.svd(r, compute_uv=False)
-            if np.abs(values[:k] - last[:k]).max() <= 1e-10 * max(values[0], 1e-300):
+            moved, last = np.abs(values[:k] - last[:k]).max() / max(values[0], 1e-300), values
+            if moved <= 1e-10:
                 break
-            last = values
+        if moved > 1e-6:
+            raise np.linalg.LinAlgError(f"singular values still move by {moved:.1e} after {rounds} rounds")
         u, s, vt = np.linalg.svd(m.transposed_dot(q).T, full_matrices=False)
         u = q @ u
     u, vt = signed(u[:, :k], vt[:k])
@@ -118,13 +120,13 @@ def factorise(m: Sparse, k: int, most: int = 500, tolerance: float = 1e-4) -> tu
 
 
 def non_negative_weights(gram: np.ndarray, target: np.ndarray, rounds: int = 1000) -> np.ndarray:
-    """Weights w >= 0 with w H nearest to x, from ``gram`` = H H' and ``target`` = H x."""
-    w = np.zeros(len(target))
+    """Weights w >= 0 with w H nearest to x, from ``gram`` = H H' and ``target`` = H x: a row of each for each x."""
+    w = np.zeros(target.shape)
     for _ in range(rounds):
         before = w.copy()
-        for c in range(len(w)):
+        for c in range(w.shape[-1]):
             if gram[c, c] > 0:
-                w[c] = max(0.0, w[c] + (target[c] - gram[c] @ w) / gram[c, c])
+                w[..., c] = np.maximum(0.0, w[..., c] + (target[..., c] - w @ gram[c]) / gram[c, c])
         if np.abs(w - before).max(initial=0) < 1e-12:
             break
     return w

@@ -1,7 +1,7 @@
 """Orthogonal Procrustes between pairs of slices.
 
 Anchors of all pairs are one join; A'B is summed where the rows are and only its d * d cells are shuffled.
-The rotation of a pair is an array of its columns, so turning vectors is a column expression.
+The rotation of a pair is an array of its columns; the pair's vectors are turned by one matrix product.
 """
 
 from __future__ import annotations
@@ -10,11 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg
 from ..functions import vectors as V
+from ..sources.staging import staged
 
 MIN_RANK, MAX_RANK = None, 1000
 
@@ -93,25 +96,47 @@ def rotations(anchor_rows: DataFrame) -> DataFrame:
     )
 
 
+def turned(rows: DataFrame, fitted: DataFrame, column: str) -> DataFrame:
+    """``rows`` (source, target, ..) with the vectors in ``column`` times their pair's rotation.
+
+    A pair's rows are one matrix product: under 1 / threshold words, however large the corpus.
+    """
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return left.slice(0, 0)
+        r = np.array(right.column("columns")[0].as_py()).T
+        vectors = left.column(column).combine_chunks()
+        sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+        if (sizes != len(r)).any():
+            raise ValueError(f"vectors of {sorted(set(sizes.tolist()))} dimensions, a rotation of {len(r)}")
+        out = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(r)) @ r
+        moved = pa.ListArray.from_arrays(pa.array(np.arange(left.num_rows + 1) * r.shape[1], pa.int32()), pa.array(out.ravel()))
+        return left.set_column(left.schema.get_field_index(column), column, moved)
+
+    by_pair = fitted.select(F.col("source").alias("s"), F.col("target").alias("t"), "columns").groupBy("s", "t")
+    return rows.groupBy("source", "target").cogroup(by_pair).applyInArrow(work, rows.schema)
+
+
 def metrics(anchor_rows: DataFrame, fitted: DataFrame) -> DataFrame:
     """(source, target, average_cosine, num_anchors, alignment_error, residual_norm).
 
     alignment_error is the sum of singular values of A'B, residual_norm the Frobenius norm of AR - B.
     """
-    turned = anchor_rows.join(fitted, ["source", "target"]).withColumn("r", V.rotated(F.col("a"), F.col("columns")))
+    rows = turned(anchor_rows.select("source", "target", F.col("a").alias("r"), "b"), fitted, "r")
     gap = V.plus(F.col("r"), F.col("b"), -1)
-    return turned.groupBy("source", "target").agg(
-        F.avg(V.dot(F.col("r"), F.col("b"))).alias("average_cosine"),
-        F.count("*").alias("num_anchors"),
-        F.first("scale").alias("alignment_error"),
-        F.sqrt(F.sum(V.dot(gap, gap))).alias("residual_norm"),
+    sums = rows.groupBy("source", "target").agg(
+        F.avg(V.dot(F.col("r"), F.col("b"))).alias("average_cosine"), F.count("*").alias("num_anchors"), F.sqrt(F.sum(V.dot(gap, gap))).alias("residual_norm")
     )
+    scales = fitted.select("source", "target", F.col("scale").alias("alignment_error"))
+    return sums.join(scales, ["source", "target"]).select("source", "target", "average_cosine", "num_anchors", "alignment_error", "residual_norm")
 
 
 def transform(embeddings: DataFrame, fitted: DataFrame) -> DataFrame:
     """Vectors of each pair's source slice, turned towards its target: (source, target, word, rank, vector)."""
-    rows = embeddings.withColumnRenamed("slice", "source").join(fitted.select("source", "target", "columns"), "source")
-    return rows.select("source", "target", "word", "rank", V.rotated(F.col("vector"), F.col("columns")).alias("vector"))
+    pairs = fitted.select(F.col("source").alias("slice"), "target")
+    rows = embeddings.join(pairs, "slice").withColumnRenamed("slice", "source")
+    return turned(rows.select("source", "target", "word", "rank", "vector"), fitted, "vector")
 
 
 def stability(embeddings: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -127,8 +152,8 @@ def fit(embeddings: DataFrame, pairs: DataFrame, low: int | None = MIN_RANK, hig
     """Rotations and metrics of all pairs; an error if no pair has words in common or none has anchors."""
     if words is None and common_words(embeddings, pairs, low, high).isEmpty():
         raise ValueError("No common words found for alignment")
-    held = anchors(embeddings, pairs, low, high, words)
+    held = staged(anchors(embeddings, pairs, low, high, words))
     if held.isEmpty():
         raise ValueError("No valid anchor words found")
-    fitted = rotations(held)
+    fitted = staged(rotations(held))
     return fitted, metrics(held, fitted)

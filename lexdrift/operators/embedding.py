@@ -1,20 +1,19 @@
 """Word embeddings of each slice: U * sqrt(S) of the truncated SVD of its PPMI matrix.
 
-A slice's matrix goes to one Arrow group. Its size is bounded whatever the corpus: the vocabulary has under
+A slice's entries go to one Arrow group as numbers, 16 bytes each. Their number is bounded whatever the corpus: the vocabulary has under
 1 / threshold words, and only entries over the minimum count are in it. Slices run in parallel.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg
 
 COMPONENTS = 300
-SCHEMA = "slice string, word string, rank int, vector array<double>"
 
 
 def common_components(vocab: DataFrame, components: int = COMPONENTS) -> int:
@@ -29,22 +28,22 @@ def factorise(entries: DataFrame, vocab: DataFrame, components: int = COMPONENTS
     A slice gets min(components, words - 1) dimensions, at least one; a slice without entries gets zeros.
     Signs are fixed: the largest entry of each dimension is positive.
     """
-    rows = vocab.select("slice", F.lit("word").alias("kind"), "word", F.col("rank").cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("value"))
-    cells = entries.select("slice", F.lit("cell").alias("kind"), F.lit(None).cast("string").alias("word"), F.col("i").cast("long"), F.col("j").cast("long"), F.col("ppmi").alias("value"))
+    cells = entries.select("slice", F.col("i").cast("int"), F.col("j").cast("int"), F.col("ppmi").cast("double").alias("value"))
+    sizes = vocab.groupBy("slice").agg(F.count("*").cast("int").alias("i")).select("slice", "i", F.lit(-1).alias("j"), F.lit(0.0).alias("value"))
 
-    def embed(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = pdf[pdf.kind == "word"].sort_values("i")
-        m = pdf[pdf.kind == "cell"]
-        n = len(words)
+    def embed(rows: pa.Table) -> pa.Table:
+        i, j, value = (rows.column(c).to_numpy() for c in ("i", "j", "value"))
+        n, held = int(i[j < 0][0]), j >= 0
         k = max(1, min(components, n - 1))
-        if len(m):
-            u, s, _ = linalg.truncated_svd(linalg.Sparse(m.i.to_numpy(), m.j.to_numpy(), m.value.to_numpy(), (n, n)), k)
+        vectors = np.zeros((n, k))
+        if held.any():
+            u, s, _ = linalg.truncated_svd(linalg.Sparse(i[held], j[held], value[held], (n, n)), k)
             vectors = u * np.sqrt(s)
-        else:
-            vectors = np.zeros((n, k))
-        return pd.DataFrame({"slice": words.slice.to_numpy(), "word": words.word.to_numpy(), "rank": words.i.to_numpy(), "vector": list(vectors)})
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(vectors.ravel()))
+        return pa.table({"slice": pa.array([rows.column("slice")[0].as_py()] * n), "rank": pa.array(np.arange(n, dtype=np.int32)), "vector": flat})
 
-    return rows.unionByName(cells).groupBy("slice").applyInPandas(embed, SCHEMA)
+    found = sizes.unionByName(cells).groupBy("slice").applyInArrow(embed, "slice string, rank int, vector array<double>")
+    return vocab.select("slice", "word", F.col("rank").cast("int").alias("rank")).join(found, ["slice", "rank"]).select("slice", "word", "rank", "vector")
 
 
 def diagnostics(embeddings: DataFrame) -> DataFrame:

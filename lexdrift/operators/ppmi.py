@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import small, staged
 from . import tokens, vocabulary
 
 EPS = 1e-10
@@ -33,31 +34,67 @@ class Params:
     marginals: str = "word"
 
     def __post_init__(self) -> None:
-        if self.window < 0 or self.shift <= 0 or self.min_count < 0 or self.marginals not in ("word", "pair_sketch"):
+        if not all(isinstance(x, int) and not isinstance(x, bool) for x in (self.window, self.min_length, self.min_count)):
+            raise TypeError("window, min_length and min_count must be integers")
+        if self.threshold < 0 or self.window < 0 or self.shift <= 0 or self.min_count < 0 or self.marginals not in ("word", "pair_sketch"):
             raise ValueError(f"not valid: {self}")
 
 
-def entries(pairs: DataFrame, pair_totals: DataFrame, vocab: DataFrame, params: Params = Params()) -> DataFrame:
-    """(slice, i, j, w1, w2, n, ppmi) from counts of pairs (slice, w1, w2, n), totals (slice, pairs) and a ranked vocabulary."""
+#: Words of all slices up to which the vocabulary (under 100 bytes each) is broadcast to where pairs are made.
+BROADCAST_WORDS = 500_000
+
+
+def probabilities(vocab: DataFrame, params: Params) -> DataFrame:
+    """Words of ``vocab`` over the minimum count with their probability p."""
     p = vocabulary.marginals(vocab, params.min_count)
-    if params.marginals == "pair_sketch":
-        p = p.where(F.lit(False))  # a word alone is no key of the pairs' sketch
-    focus = p.select("slice", F.col("word").alias("w1"), F.col("rank").alias("i"), F.pow(F.col("p") + EPS, F.lit(params.alpha)).alias("pa"))
-    context = p.select("slice", F.col("word").alias("w2"), F.col("rank").alias("j"), (F.col("p") + EPS).alias("pb"))
-    joined = (
-        pairs.where(F.col("n") > params.min_count)
-        .join(focus, ["slice", "w1"])
-        .join(context, ["slice", "w2"])
-        .join(pair_totals, "slice")
-        .withColumn("pab", (F.col("n") + EPS) / F.col("pairs"))
-        .where("pab > pa * pb")
-    )
+    # a word alone is no key of the pairs' sketch
+    return p.where(F.lit(False)) if params.marginals == "pair_sketch" else p
+
+
+def _valued(joined: DataFrame, pair_totals: DataFrame, params: Params) -> DataFrame:
+    """Entries from (slice, i, j, w1, w2, n, pa, pb)."""
+    joined = joined.where(F.col("n") > params.min_count).join(pair_totals, "slice")
+    joined = joined.withColumn("pab", (F.col("n") + EPS) / F.col("pairs")).where("pab > pa * pb")
     value = F.log(F.col("pab") / (F.col("pa") * F.col("pb"))) - F.lit(math.log(params.shift))
     return joined.withColumn("ppmi", value).where("ppmi > 0").select("slice", "i", "j", "w1", "w2", "n", "ppmi")
 
 
-def of_corpus(corpus: DataFrame, params: Params = Params()) -> DataFrame:
-    """Entries of all slices in one plan: one scan for words and totals, one for pairs."""
+def _sides(p: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
+    focus = p.select("slice", F.col("word").alias("w1"), F.col("rank").alias("i"), F.pow(F.col("p") + EPS, F.lit(params.alpha)).alias("pa"))
+    context = p.select("slice", F.col("word").alias("w2"), F.col("rank").alias("j"), (F.col("p") + EPS).alias("pb"))
+    return focus, context
+
+
+def entries(pairs: DataFrame, pair_totals: DataFrame, vocab: DataFrame, params: Params = Params()) -> DataFrame:
+    """(slice, i, j, w1, w2, n, ppmi) from counts of pairs (slice, w1, w2, n), totals (slice, pairs) and a ranked vocabulary."""
+    focus, context = _sides(probabilities(vocab, params), params)
+    held = pairs.where(F.col("n") > params.min_count)
+    return _valued(held.join(focus, ["slice", "w1"]).join(context, ["slice", "w2"]), pair_totals, params)
+
+
+def prepared(corpus: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """The ranked vocabulary (written) and the entries of all slices: one scan counts words and totals, one counts pairs.
+
+    A vocabulary has under 1 / threshold words a slice. As long as those of all slices can be broadcast, words become
+    ranks before pairs are counted, so that a slice's pairs are bounded by the square of its words and not by the
+    corpus; beyond, pairs are counted as strings.
+    """
     counts, totals = tokens.counted(corpus, params.window, params.min_length)
-    pairs = tokens.pair_counts(corpus, params.window, params.min_length)
-    return entries(pairs, totals, vocabulary.ranked(counts, params.threshold), params)
+    vocab = staged(vocabulary.ranked(counts, params.threshold))
+    totals = small(totals, vocabulary.BROADCAST_SLICES)
+    p = staged(probabilities(vocab, params))
+    if p.count() > BROADCAST_WORDS:
+        return vocab, entries(tokens.pair_counts(corpus, params.window, params.min_length), totals, vocab, params)
+    focus, context = (F.broadcast(x) for x in _sides(p, params))
+    pairs = tokens.ranked_pair_counts(corpus, p, params.window, params.min_length).where(F.col("n") > params.min_count)
+    return vocab, _valued(pairs.join(focus, ["slice", "i"]).join(context, ["slice", "j"]), totals, params)
+
+
+def of_corpus(corpus: DataFrame, params: Params = Params()) -> DataFrame:
+    """Entries of all slices."""
+    return prepared(corpus, params)[1]
+
+
+def clamped(matrix: DataFrame, value: str = "ppmi") -> DataFrame:
+    """Negative values as 0."""
+    return matrix.withColumn(value, F.greatest(F.col(value), F.lit(0.0)))

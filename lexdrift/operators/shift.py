@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import alignment, embedding, periods, ppmi, tokens, topics, vocabulary
+from ..sources.staging import staged
+from . import alignment, embedding, periods, ppmi, topics
 
 
 @dataclass(frozen=True)
@@ -22,19 +23,17 @@ class Model:
 
 
 def train(corpus: DataFrame, components: int = embedding.COMPONENTS, params: ppmi.Params = ppmi.Params(), common: bool = True) -> Model:
-    """Counts, vocabulary, PPMI and embeddings of every slice of ``corpus`` (slice, .., line).
+    """Counts, vocabulary, PPMI and embeddings of every slice of ``corpus`` (slice, .., line), all of them written tables.
 
     With ``common`` all slices get as many dimensions as the smallest can have, so that they can be aligned.
     An error if no slice has a vocabulary.
     """
-    counts, totals = tokens.counted(corpus, params.window, params.min_length)
-    vocab = vocabulary.ranked(counts, params.threshold).persist()
+    vocab, entries = ppmi.prepared(corpus, params)
     if vocab.isEmpty():
         raise ValueError("the corpus has no vocabulary")
-    pairs = tokens.pair_counts(corpus, params.window, params.min_length)
-    entries = ppmi.entries(pairs, totals, vocab, params).persist()
+    entries = staged(entries)
     k = embedding.common_components(vocab, components) if common else components
-    vectors = embedding.factorise(entries, vocab, k)
+    vectors = staged(embedding.factorise(entries, vocab, k))
     none = corpus.select("slice").distinct().join(vocab.select("slice").distinct(), "slice", "left_anti")
     return Model(params, vocab, entries, vectors, none.select("slice", F.lit("no vocabulary").alias("reason")))
 

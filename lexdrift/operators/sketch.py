@@ -23,6 +23,8 @@ class SketchParams:
     compatible: bool = False
 
     def __post_init__(self) -> None:
+        if not all(isinstance(x, int) and not isinstance(x, bool) for x in (self.width, self.depth, self.seed)):
+            raise TypeError("width, depth and seed must be integers")
         if self.width < 1 or self.depth < 1:
             raise ValueError("width and depth must be positive")
 
@@ -110,8 +112,14 @@ def total(sketch: DataFrame) -> DataFrame:
 
 
 def heavy_hitters(keys: DataFrame | None, sketch: DataFrame, params: SketchParams, threshold: float) -> DataFrame:
-    """Observed keys whose estimate is over ``floor(total * threshold)``."""
+    """Observed keys (key, estimate) whose estimate is over ``floor(total * threshold)``, by estimate, then key."""
     if keys is None:
         raise RuntimeError("keys were not tracked: heavy hitters need them")
-    seen = sketch.where("row = 0").agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]
-    return estimate(keys, sketch, params).where(F.col("estimate") > int(seen * threshold)).select("key", "estimate")
+    total = F.broadcast(sketch.where("row = 0").agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total")))  # one row
+    found = estimate(keys, sketch, params).join(total, F.col("estimate") > F.floor(F.col("total") * F.lit(threshold)))
+    return found.select("key", "estimate").orderBy(F.col("estimate").desc(), "key")
+
+
+def merged_keys(a: DataFrame | None, b: DataFrame | None) -> DataFrame | None:
+    """The distinct keys (key) of two streams, for a merged sketch; none if either wasn't tracked."""
+    return None if a is None or b is None else a.select("key").unionByName(b.select("key")).distinct()

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 SPACE = "(?U)[\\s\\x1c-\\x1f]+"
 WINDOW, MIN_LENGTH = 5, 3
 
@@ -21,8 +23,12 @@ def corpus_lines(docs: DataFrame, slice_by: str | Column, text: str = "text", ke
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files, trimmed and in lower case, without blank ones."""
-    lines = spark.read.text(path).select(F.lower(F.trim("value")).alias("line"))
-    return lines.where("line != ''")
+    return cleaned(spark.read.text(path).select(F.col("value").alias("line")))
+
+
+def cleaned(lines: DataFrame) -> DataFrame:
+    """``lines`` (.., line) trimmed and in lower case, without blank ones."""
+    return lines.withColumn("line", F.lower(F.trim("line"))).where("line != ''")
 
 
 def tokens(line: str | Column, min_length: int = MIN_LENGTH) -> Column:
@@ -48,14 +54,28 @@ def words(corpus: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
 
 def skipgrams(corpus: DataFrame, window: int = WINDOW, min_length: int = MIN_LENGTH) -> DataFrame:
     """Ordered pairs (slice, w1, w2): each token with each of the ``window`` + 1 tokens that follow it in its line."""
-    ahead = window + 1
-    pairs = F.flatten(
-        F.transform(
-            F.col("words"),
-            lambda a, i: F.transform(F.slice(F.col("words"), i + 2, F.lit(ahead)), lambda b: F.struct(a.alias("w1"), b.alias("w2"))),
-        )
-    )
-    return corpus.select("slice", tokens("line", min_length).alias("words")).select("slice", F.inline(pairs))
+    lines = corpus.select("slice", tokens("line", min_length).alias("words"))
+    first = lines.select("slice", "words", F.posexplode("words").alias("at", "w1"))
+    return first.select("slice", "w1", F.explode(_following(window)).alias("w2"))
+
+
+def _following(window: int) -> Column:
+    """The words that a line's word at ``at`` pairs with. Both generators are one pipeline: the line isn't copied for its words."""
+    return F.slice("words", F.col("at") + 2, F.lit(window + 1))
+
+
+def ranked_pair_counts(corpus: DataFrame, ranks: DataFrame, window: int = WINDOW, min_length: int = MIN_LENGTH) -> DataFrame:
+    """Counts (slice, i, j, n) of the skip-grams of words in ``ranks`` (slice, word, rank), by rank.
+
+    ``ranks`` is to be broadcast: words become numbers, and pairs of other words go, before anything is grouped. Words that aren't
+    in ``ranks`` still hold their places in a line. The groups of a slice are bounded by the square of its words.
+    """
+    lines = corpus.select("slice", tokens("line", min_length).alias("words"))
+    focus = F.broadcast(ranks.select("slice", F.col("word").alias("w1"), F.col("rank").alias("i")))
+    context = F.broadcast(ranks.select("slice", F.col("word").alias("w2"), F.col("rank").alias("j")))
+    first = lines.select("slice", "words", F.posexplode("words").alias("at", "w1")).join(focus, ["slice", "w1"])
+    pairs = first.select("slice", "i", F.explode(_following(window)).alias("w2")).join(context, ["slice", "w2"])
+    return pairs.groupBy("slice", "i", "j").agg(F.count("*").alias("n"))
 
 
 def word_counts(corpus: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
@@ -76,18 +96,19 @@ def _pairs_of_line(window: int) -> Column:
 
 
 def counted(corpus: DataFrame, window: int = WINDOW, min_length: int = MIN_LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Word counts (slice, word, n) and skip-gram totals (slice, pairs) of one scan and one shuffle.
-
-    Both are parts of one aggregate. They are told apart by an aggregated mark: a condition on the word would be
-    pushed below the shuffle, which the two parts could then not share.
-    """
+    """Word counts (slice, word, n) and skip-gram totals (slice, pairs) of one scan and one shuffle, both parts of one written table."""
     one = F.transform("words", lambda w: F.struct(w.alias("word"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("mark")))
     total = F.array(F.struct(F.lit(None).cast("string").alias("word"), _pairs_of_line(window).alias("n"), F.lit(True).alias("mark")))
     lines = corpus.select("slice", tokens("line", min_length).alias("words"))
-    both = lines.select("slice", F.inline(F.concat(one, total))).groupBy("slice", "word").agg(F.sum("n").alias("n"), F.max("mark").alias("mark"))
+    both = staged(lines.select("slice", F.inline(F.concat(one, total))).groupBy("slice", "word", "mark").agg(F.sum("n").alias("n")))
     return both.where("not mark").select("slice", "word", "n"), both.where("mark").select("slice", F.col("n").alias("pairs"))
 
 
+def pair_key(w1: str | Column = "w1", w2: str | Column = "w2") -> Column:
+    """The pair's key as one string, as sketches of pairs have it; words with ``#`` aren't told apart from others."""
+    return F.concat_ws("#", w1, w2)
+
+
 def pair_totals(corpus: DataFrame, window: int = WINDOW, min_length: int = MIN_LENGTH) -> DataFrame:
     """Skip-grams of each slice, from the lines' lengths alone."""
     lines = corpus.select("slice", tokens("line", min_length).alias("words"))

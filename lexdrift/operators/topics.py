@@ -6,12 +6,17 @@ Topics are rows (slice, topic_id, word, weight). A slice's matrix is one Arrow g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import linalg
+from ..sources.staging import staged
 
 TOPICS, MAX_ITER, MIN_SIMILARITY = 10, 500, 0.1
 
@@ -21,27 +26,28 @@ def factors(entries: DataFrame, vocab: DataFrame, topics: int = TOPICS, max_iter
 
     Negative entries are an error, and so are more topics than words; a slice without entries has no rows.
     """
-    rows = vocab.select("slice", "word", F.col("rank").cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0.0).alias("value"))
-    cells = entries.select("slice", F.lit(None).cast("string").alias("word"), F.col("i").cast("long"), F.col("j").cast("long"), F.col("ppmi").alias("value"))
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        words, m = pdf[pdf.j < 0].sort_values("i"), pdf[pdf.j >= 0]
-        n = len(words)
-        if len(m) == 0:
-            return pd.DataFrame(columns=["slice", "topic_id", "word", "rank", "focus", "weight"])
-        if (m.value < 0).any():
+    cells = entries.select("slice", F.col("i").cast("int"), F.col("j").cast("int"), F.col("ppmi").cast("double").alias("value"))
+    sizes = vocab.groupBy("slice").agg(F.count("*").cast("int").alias("i")).select("slice", "i", F.lit(-1).alias("j"), F.lit(0.0).alias("value"))
+
+    def split(rows: pa.Table) -> pa.Table:
+        i, j, value = (rows.column(c).to_numpy() for c in ("i", "j", "value"))
+        n, held, name = int(i[j < 0][0]), j >= 0, rows.column("slice")[0].as_py()
+        if (value < 0).any():
             raise ValueError("negative values in the matrix")
-        if topics > n:
-            raise ValueError(f"{topics} topics need as many words; {pdf.slice.iloc[0]} has {n}")
-        w, h = linalg.factorise(linalg.Sparse(m.i.to_numpy(), m.j.to_numpy(), m.value.to_numpy(), (n, n)), topics, max_iter)
-        return pd.DataFrame(
+        if held.any() and topics > n:
+            raise ValueError(f"{topics} topics need as many words; {name} has {n}")
+        k = topics if held.any() else 0
+        w, h = linalg.factorise(linalg.Sparse(i[held], j[held], value[held], (n, n)), k, max_iter) if k else (np.zeros((n, 0)), np.zeros((0, n)))
+        return pa.table(
             {
-                "slice": pdf.slice.iloc[0], "topic_id": np.repeat(np.arange(topics), n), "word": np.tile(words.word.to_numpy(), topics),
-                "rank": np.tile(np.arange(n), topics), "focus": w.T.ravel(), "weight": h.ravel(),
+                "slice": pa.array([name] * (k * n), pa.string()), "topic_id": pa.array(np.repeat(np.arange(k, dtype=np.int32), n)), "rank": pa.array(np.tile(np.arange(n, dtype=np.int32), k)),
+                "focus": pa.array(w.T.ravel()), "weight": pa.array(h.ravel()),
             }
         )
 
-    return rows.unionByName(cells).groupBy("slice").applyInPandas(split, "slice string, topic_id int, word string, rank int, focus double, weight double")
+    found = sizes.unionByName(cells).groupBy("slice").applyInArrow(split, "slice string, topic_id int, rank int, focus double, weight double")
+    words = vocab.select("slice", "word", F.col("rank").cast("int").alias("rank"))
+    return found.join(words, ["slice", "rank"]).select("slice", "topic_id", "word", "rank", "focus", "weight")
 
 
 def distributions(weights: DataFrame) -> DataFrame:
@@ -67,31 +73,45 @@ def report(top: DataFrame, n: int = 10) -> DataFrame:
 def document_topics(documents: DataFrame, weights: DataFrame, threshold: float = 0.1) -> DataFrame:
     """(slice, doc_id, topic_id, share): documents (slice, doc_id, word, weight) as non-negative mixes of the slice's topics, shares over ``threshold``.
 
-    With the topics fixed only their products with each other and with the document count: both are sums by join.
+    With the topics fixed only their products with each other and with the document count: both are sums by join. doc_id is a long.
     """
     t = weights.select("slice", "topic_id", "word", F.col("weight").alias("h"))
     gram = t.join(t.select("slice", F.col("topic_id").alias("other"), "word", F.col("h").alias("g")), ["slice", "word"])
     gram = gram.groupBy("slice", "topic_id", "other").agg(F.sum(F.col("h") * F.col("g")).alias("v"))
-    grams = gram.groupBy("slice").agg(F.collect_list(F.struct("topic_id", "other", "v")).alias("gram"))
     target = documents.join(t, ["slice", "word"]).groupBy("slice", "doc_id", "topic_id").agg(F.sum(F.col("weight") * F.col("h")).alias("v"))
-    docs = target.groupBy("slice", "doc_id").agg(F.collect_list(F.struct("topic_id", "v")).alias("target")).join(grams, "slice")
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples():
-                k = max(x["topic_id"] for x in row.gram) + 1
-                g, b = np.zeros((k, k)), np.zeros(k)
-                for x in row.gram:
-                    g[x["topic_id"], x["other"]] = x["v"]
-                for x in row.target:
-                    b[x["topic_id"]] = x["v"]
-                w = linalg.non_negative_weights(g, b)
-                w = w / w.sum() if w.sum() > 0 else w
-                out += [(row.slice, row.doc_id, int(c), float(w[c])) for c in range(k) if w[c] > threshold]
-            yield pd.DataFrame(out, columns=["slice", "doc_id", "topic_id", "share"])
-
-    return docs.mapInPandas(solve, "slice string, doc_id long, topic_id int, share double")
+    docs = target.groupBy("slice", "doc_id").agg(F.collect_list(F.struct("topic_id", "v")).alias("target"))
+    # The products of topics once a slice, as many as the topics' square: they go to the tasks, not to each document.
+    held: dict[str, list[tuple[int, int, float]]] = {}
+    for r in gram.collect():
+        held.setdefault(r.slice, []).append((r.topic_id, r.other, r.v))
+    grams = {}
+    for name, cells in held.items():
+        ids = sorted({a for a, _, _ in cells})
+        g = np.zeros((len(ids), len(ids)))
+        for a, b, v in cells:
+            g[ids.index(a), ids.index(b)] = v
+        grams[name] = np.array(ids), g
+    shared = documents.sparkSession.sparkContext.broadcast(grams)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.array(batch.column("slice").to_pylist(), dtype=object)
+            found = batch.column("target")
+            parent, each = pc.list_parent_indices(found).to_numpy(), found.flatten()
+            topic, value = each.field("topic_id").to_numpy(), each.field("v").to_numpy()
+            for name in set(names.tolist()):
+                ids, g = shared.value[name]
+                rows = np.flatnonzero(names == name)
+                b = np.zeros((batch.num_rows, len(ids)))
+                b[parent, np.minimum(np.searchsorted(ids, topic), len(ids) - 1)] = value
+                w = linalg.non_negative_weights(g, b[rows])
+                total = w.sum(1, keepdims=True)
+                w = np.where(total > 0, w / np.where(total > 0, total, 1), w)
+                x, c = np.nonzero(w > threshold)
+                at = pa.array(rows[x])
+                yield pa.RecordBatch.from_arrays([batch.column("slice").take(at), batch.column("doc_id").take(at), pa.array(ids[c].astype(np.int32)), pa.array(w[x, c])], ["slice", "doc_id", "topic_id", "share"])
+
+    return docs.mapInArrow(solve, "slice string, doc_id long, topic_id int, share double")
 
 
 def union_projection(weights: DataFrame, first: tuple[str, int], second: tuple[str, int]) -> DataFrame:
@@ -137,17 +157,22 @@ def match(similarity: DataFrame, min_similarity: float = MIN_SIMILARITY) -> Data
 def chains(matches: DataFrame, first: DataFrame) -> DataFrame:
     """(slice, topic_id, chain_id): topics of the ``first`` slice (slice, topic_id) followed through ``matches`` as far as they go.
 
-    A chain is a path of matches; a topic that isn't reached begins no chain. Matches of slices in a row are one to one.
+    A chain is a path of matches; a topic that isn't reached begins no chain. Matches of slices in a row are one to one. Each
+    step doubles the paths (a topic, and the one so many slices on), so many slices need few steps. Matches that go round are
+    an error.
     """
-    spark = matches.sparkSession
-    matches.select("source", "target", "source_topic", "target_topic").createOrReplaceTempView("__matches")
-    first.select("slice", "topic_id").createOrReplaceTempView("__first")
-    return spark.sql("""
-        WITH RECURSIVE path(slice, topic_id, chain_id) AS (
-          SELECT slice, topic_id, topic_id FROM __first
-          UNION ALL
-          SELECT m.target, m.target_topic, p.chain_id
-          FROM path p JOIN __matches m ON m.source = p.slice AND m.source_topic = p.topic_id
-        )
-        SELECT * FROM path
-    """)
+    m = matches.select("source", "source_topic", "target", "target_topic")
+    slices, steps = m.select("source").distinct().count(), 1
+    reached = staged(first.select("slice", "topic_id", F.col("topic_id").alias("chain_id")))
+    jump = staged(m)
+    while True:
+        ahead = jump.withColumnsRenamed({"source": "slice", "source_topic": "topic_id"})
+        further = staged(reached.join(ahead, ["slice", "topic_id"]).select(F.col("target").alias("slice"), F.col("target_topic").alias("topic_id"), "chain_id"))
+        if further.isEmpty():
+            return reached
+        if steps > slices:
+            raise ValueError("matches go round: a path is longer than there are slices")
+        steps *= 2
+        reached = staged(reached.unionByName(further))
+        middle = jump.select(F.col("source").alias("target"), F.col("source_topic").alias("target_topic"), F.col("target").alias("to"), F.col("target_topic").alias("to_topic"))
+        jump = staged(jump.join(middle, ["target", "target_topic"]).select("source", "source_topic", F.col("to").alias("target"), F.col("to_topic").alias("target_topic")))

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import small, staged
+
 THRESHOLD = 1e-4
 MIN_COUNT = 5
+#: Slices up to which their totals (a row each) are broadcast.
+BROADCAST_SLICES = 100_000
 
 
 def totals(counts: DataFrame) -> DataFrame:
@@ -16,7 +20,9 @@ def totals(counts: DataFrame) -> DataFrame:
 def heavy_hitters(counts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Words whose count is over ``floor(total * threshold)``: fewer than 1 / threshold a slice, once the total is 1 / threshold or more."""
     over = F.col("n") > F.floor(F.col("total") * F.lit(threshold))
-    return counts.join(totals(counts), "slice").where(over).select("slice", "word", "n", "total")
+    # Slices are a key of few values: the totals go to the counts, not the counts to a task for each slice.
+    by_slice = small(staged(totals(counts)), BROADCAST_SLICES)
+    return counts.join(by_slice, "slice").where(over).select("slice", "word", "n", "total")
 
 
 def ranked(counts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

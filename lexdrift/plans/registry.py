@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import alignment, embedding, periods, ppmi, shift, similarity, sketch, tokens, topics, vocabulary
+from ..sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -47,7 +48,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.ranked(tokens.word_counts(corpus(spark, sf_dir)))
+    return vocabulary.ranked(staged(tokens.word_counts(corpus(spark, sf_dir))))
 
 
 def r6(c: str | Column) -> Column:
@@ -125,7 +126,7 @@ WITH lines AS (SELECT lang AS slice, unnest(string_split(text, chr(10))) AS line
 SELECT slice, count(*) AS lines, sum(length(lower(trim(line))))::BIGINT AS chars FROM lines WHERE trim(line) != '' GROUP BY slice
 """)
 def line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = corpus(spark, sf_dir).select("slice", F.lower(F.trim("line")).alias("line")).where("line != ''")
+    lines = tokens.cleaned(corpus(spark, sf_dir).select("slice", "line"))
     return lines.groupBy("slice").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
@@ -157,7 +158,7 @@ def observed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TOKENS} SELECT slice, word, n, total FROM wc JOIN totals USING (slice) WHERE n > floor(total * 1e-3::DOUBLE)")
 def heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.heavy_hitters(tokens.word_counts(corpus(spark, sf_dir)), 1e-3)
+    return vocabulary.heavy_hitters(staged(tokens.word_counts(corpus(spark, sf_dir))), 1e-3)
 
 
 @query(f"WITH {_TOKENS}, {_VOCAB} SELECT * FROM vocab")
@@ -177,6 +178,10 @@ def _ppmi(spark: SparkSession, sf_dir: str, **options: float) -> DataFrame:
     return ppmi.of_corpus(corpus(spark, sf_dir), ppmi.Params(**options)).withColumn("ppmi", r6("ppmi"))
 
 
+def _unrounded(sql: str) -> str:
+    return sql.replace("round(ln(pab / (pa * pb)) - ", "(ln(pab / (pa * pb)) - ").replace("::DOUBLE), 6) AS ppmi", "::DOUBLE)) AS ppmi")
+
+
 @query(_ppmi_sql(1.0, 0.75))
 def ppmi_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ppmi(spark, sf_dir)
@@ -192,9 +197,9 @@ def ppmi_unsmoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ppmi(spark, sf_dir, alpha=1.0)
 
 
-@query(f"SELECT slice, w1, count(*) AS entries, round(max(ppmi), 5) AS most FROM ({_ppmi_sql(1.0, 0.75)}) GROUP BY slice, w1")
+@query(f"SELECT slice, w1, count(*) AS entries, round(max(ppmi), 5) AS most FROM ({_unrounded(_ppmi_sql(1.0, 0.75))}) GROUP BY slice, w1")
 def ppmi_row_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ppmi(spark, sf_dir).groupBy("slice", "w1").agg(F.count("*").alias("entries"), F.round(F.max("ppmi"), 5).alias("most"))
+    return ppmi.of_corpus(corpus(spark, sf_dir)).groupBy("slice", "w1").agg(F.count("*").alias("entries"), F.round(F.max("ppmi"), 5).alias("most"))
 
 
 # --- sketches -----------------------------------------------------------------------------------------
@@ -217,10 +222,11 @@ def sketch_merge_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS key, count(*) AS n, round(2.0::DOUBLE * (SELECT count(*) FROM events) / 5000, 6) AS bound FROM events GROUP BY event_type")
 def sketch_error_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact counts of few keys, which the estimates must equal or exceed by the bound at most."""
+    """Estimates of few keys, which don't meet in 5,000 buckets: they are the exact counts. With the bound on what they may be over."""
     keys = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"))
-    bound = _PARTS.error_bound(keys.count())
-    return keys.groupBy("key").agg(F.count("*").alias("n")).withColumn("bound", r6(F.lit(bound)))
+    built = staged(sketch.build(keys, _PARTS))
+    bound = _PARTS.error_bound(built.where("row = 0").agg(F.sum("cnt")).first()[0] or 0)
+    return sketch.estimate(keys, built, _PARTS).select("key", F.col("estimate").alias("n"), r6(F.lit(bound)).alias("bound"))
 
 
 @query()
@@ -236,6 +242,49 @@ def sketch_estimate_murmur3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.estimate(keys, sketch.build(keys, params), params)
 
 
+_PART_COUNTS = "SELECT l_partkey::VARCHAR AS key, count(*) AS estimate FROM lineitem GROUP BY l_partkey"
+
+
+def _estimates(keys: DataFrame, **options: bool) -> DataFrame:
+    """At the default width and depth few keys meet in every row: estimates are the exact counts."""
+    params = sketch.SketchParams(**options)
+    return sketch.estimate(keys, sketch.build(keys, params), params)
+
+
+@query(_PART_COUNTS)
+def sketch_estimate_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _estimates(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("key")))
+
+
+@query(_PART_COUNTS)
+def sketch_estimate_murmur3_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _estimates(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("key")), compatible=True)
+
+
+_BENCH_LINES = r"lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark), toks AS (SELECT list_filter(regexp_split_to_array(line, '\s+'), lambda x: length(x) >= 3) AS w FROM lines)"
+
+
+@query(rf"""
+WITH {_BENCH_LINES}, places AS (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM toks), pairs AS (SELECT w[i] AS w1, unnest(w[i+1:i+6]) AS w2 FROM places)
+SELECT w1 || '#' || w2 AS key, count(*) AS estimate FROM pairs GROUP BY ALL
+""")
+def sketch_pair_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = tokens.corpus_lines(table(spark, sf_dir, "benchmark"), F.lit("all"), key="item_id")
+    return _estimates(tokens.skipgrams(lines).select(tokens.pair_key().alias("key")))
+
+
+@query("""
+WITH c AS (SELECT event_type AS key, count(*) AS estimate FROM events GROUP BY event_type)
+SELECT key, estimate FROM c WHERE estimate > floor((SELECT count(*) FROM events) * 0.1::DOUBLE)
+""")
+def sketch_heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two streams that are merged."""
+    keys = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), "user_id")
+    a, b = keys.where("user_id % 2 = 0").select("key"), keys.where("user_id % 2 != 0").select("key")
+    merged = sketch.merge(sketch.build(a, _PARTS), sketch.build(b, _PARTS), _PARTS, _PARTS)
+    return sketch.heavy_hitters(sketch.merged_keys(a, b), staged(merged), _PARTS, 0.1)
+
+
 # --- periods ------------------------------------------------------------------------------------------
 
 _PERIODS = "p AS (SELECT *, year(o_orderdate) AS y FROM orders), q AS (SELECT *, (y - y % 25) || '-' || (y - y % 25 + 24) AS period FROM p)"
@@ -410,26 +459,60 @@ def rotate_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turned.select("word", r6(F.col("vector")[0]).alias("x"), r6(F.col("vector")[1]).alias("y"))
 
 
-@query()
+# The rotation in SQL: of M = A'B the nearest orthogonal matrix, by the iteration x <- 1.5 x - 0.5 x x' x from M over its norm.
+# Lists of rows; r has the rotation's columns, scale the sum of singular values.
+_ROTATION = f"""
+{_ANCHORS}, x0 AS (SELECT word, unnest(a) AS va, unnest(range(len(a))) AS p FROM anchors), y0 AS (SELECT word, unnest(b) AS vb, unnest(range(len(b))) AS q FROM anchors),
+cells AS (SELECT p, q, sum(va * vb) AS v FROM x0 JOIN y0 USING (word) GROUP BY p, q),
+m AS (SELECT list(line ORDER BY p) AS m FROM (SELECT p, list(v ORDER BY q) AS line FROM cells GROUP BY p)),
+polar(k, x) AS (
+  SELECT 0, list_transform(m, lambda l: list_transform(l, lambda v: v / size)) FROM m, (SELECT sqrt(sum(v * v)) AS size FROM cells)
+  UNION ALL
+  SELECT k + 1, list_transform(range(1, len(x) + 1), lambda i: list_transform(range(1, len(x) + 1), lambda j: 1.5 * x[i][j] - 0.5 * list_inner_product(g[i], c[j])))
+  FROM (SELECT k, x, list_transform(x, lambda l: list_transform(x, lambda o: list_inner_product(l, o))) AS g, list_transform(range(1, len(x) + 1), lambda j: list_transform(x, lambda l: l[j])) AS c
+        FROM polar WHERE k < 80)
+),
+r AS (SELECT list_transform(range(1, len(x) + 1), lambda j: list_transform(x, lambda l: l[j])) AS r, list_sum(list_transform(range(1, len(x) + 1), lambda i: list_inner_product(x[i], m[i]))) AS scale
+      FROM polar, m WHERE k = 80),
+stable AS (
+  SELECT x.word, list_transform(r, lambda c: list_inner_product(x.vector, c)) AS t, y.vector AS b FROM e x JOIN e y ON x.word = y.word AND x.slice = 'a' AND y.slice = 'b' CROSS JOIN r
+), turned AS (SELECT word, list_inner_product(t, b) / (sqrt(list_inner_product(t, t)) * sqrt(list_inner_product(b, b))) AS similarity FROM stable)
+"""
+
+
+@query(f"""
+WITH RECURSIVE {_ROTATION}, t AS (SELECT list_transform(r, lambda c: list_inner_product(a, c)) AS t, b, scale FROM anchors, r)
+SELECT 'a' AS source, 'b' AS target, round(avg(list_inner_product(t, b)), 6) AS average_cosine, count(*) AS num_anchors, round(any_value(scale), 6) AS alignment_error,
+       round(sqrt(sum(list_inner_product(list_transform(list_zip(t, b), lambda z: z[1] - z[2]), list_transform(list_zip(t, b), lambda z: z[1] - z[2])))), 6) AS residual_norm FROM t
+""")
 def procrustes_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.fit(halves(spark, sf_dir), _pair(spark))[1]
+    found = alignment.fit(halves(spark, sf_dir), _pair(spark))[1]
+    return found.select("source", "target", r6("average_cosine").alias("average_cosine"), "num_anchors", r6("alignment_error").alias("alignment_error"), r6("residual_norm").alias("residual_norm"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_ROTATION} SELECT 'a' AS source, 'b' AS target, word, round(similarity, 6) AS similarity FROM turned")
 def word_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = halves(spark, sf_dir)
-    return alignment.stability(rows, alignment.fit(rows, _pair(spark))[0])
+    return alignment.stability(rows, alignment.fit(rows, _pair(spark))[0]).withColumn("similarity", r6("similarity"))
+
+
+@query(f"WITH RECURSIVE {_ROTATION} SELECT unnest(range(len(r)))::INTEGER AS p, unnest(list_transform(r, lambda c: round(c[1], 6))) AS first, unnest(list_transform(r, lambda c: round(list_inner_product(c, c), 6))) AS norm FROM r")
+def rotation_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of the rotation, and the norms of its columns."""
+    fitted = alignment.fit(halves(spark, sf_dir), _pair(spark))[0]
+    columns = fitted.select(F.posexplode("columns").alias("p", "c"))
+    return columns.select("p", (r6(F.col("c")[0]) + 0.0).alias("first"), r6(V.dot(F.col("c"), F.col("c"))).alias("norm"))
 
 
 # --- topics -------------------------------------------------------------------------------------------
 
 
-def label_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def label_topics(spark: SparkSession, sf_dir: str, digits: int = 6) -> DataFrame:
     """Weights (slice, topic_id, word, weight): sums of the absolute values of a label's vectors by dimension."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x"))
     return (
         rows.groupBy(F.when(F.col("vec_id") % 2 == 0, "1975-1999").otherwise("2000-2024").alias("slice"), F.col("label").cast("int").alias("topic_id"), F.concat(F.lit("d"), F.col("d").cast("string")).alias("word"))
-        .agg(F.round(F.sum(F.abs("x")), 6).alias("weight"))
+        .agg(F.round(F.sum(F.abs("x")), digits).alias("weight"))
     )
 
 
@@ -521,45 +604,182 @@ def embeddings_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trained(spark, sf_dir).embeddings
 
 
-@query()
+_SHIFTS = f"{_ROTATION}, shifts AS (SELECT '1975-1999' AS source, '2000-2024' AS target, '1975-1999->2000-2024' AS label, word, 1 - similarity AS shift, 2000 AS year FROM turned)"
+
+
+@query(f"""
+WITH RECURSIVE {_SHIFTS}, placed AS (SELECT *, row_number() OVER (ORDER BY shift DESC, word)::INTEGER AS place FROM shifts)
+SELECT source, target, label, word, round(shift, 6) AS shift, year, place FROM placed WHERE place <= 5
+""")
 def shift_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = halves(spark, sf_dir).withColumn("slice", F.when(F.col("slice") == "a", "1975-1999").otherwise("2000-2024"))
-    return shift.top_shifts(shift.consecutive_shifts(rows))
+    return shift.top_shifts(shift.consecutive_shifts(rows)).withColumn("shift", r6("shift"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_SHIFTS} SELECT source, target, label, word, round(shift, 6) AS cumulative_shift, year FROM shifts")
 def shift_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = halves(spark, sf_dir).withColumn("slice", F.when(F.col("slice") == "a", "1975-1999").otherwise("2000-2024"))
-    return shift.cumulative_shifts(rows)
+    return shift.cumulative_shifts(rows).withColumn("cumulative_shift", r6("cumulative_shift"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_ROTATION} SELECT 'a' AS source, 'b' AS target, word, round(similarity, 6) AS similarity FROM turned ORDER BY turned.similarity, word LIMIT 10")
 def stable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shift.stable_words(halves(spark, sf_dir), "a", "b")
+    return shift.stable_words(halves(spark, sf_dir), "a", "b").withColumn("similarity", r6("similarity"))
 
 
 @query()
 def topics_nmf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vocab(spark, sf_dir)
-    entries = ppmi.of_corpus(corpus(spark, sf_dir)).where("ppmi > 0")
-    return topics.top_words(topics.distributions(topics.factors(entries, v)))
+    v, entries = ppmi.prepared(corpus(spark, sf_dir))
+    return topics.top_words(topics.distributions(topics.factors(ppmi.clamped(entries), v)))
 
 
-@query()
-def document_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector as a document over dimensions, as a mix of its slice's topics."""
+def _vector_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a document (slice, doc_id, word, weight) over dimensions."""
     rows = table(spark, sf_dir, "embeddings").select(
         F.when(F.col("vec_id") % 2 == 0, "1975-1999").otherwise("2000-2024").alias("slice"), F.col("vec_id").alias("doc_id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("d", "x")
     )
-    docs = rows.select("slice", "doc_id", F.concat(F.lit("d"), F.col("d").cast("string")).alias("word"), F.abs("x").alias("weight"))
-    return topics.document_topics(docs, label_topics(spark, sf_dir))
+    return rows.select("slice", "doc_id", F.concat(F.lit("d"), F.col("d").cast("string")).alias("word"), F.abs("x").alias("weight"))
 
 
 @query()
+def document_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as mixes of their slice's topics."""
+    return topics.document_topics(_vector_documents(spark, sf_dir), label_topics(spark, sf_dir))
+
+
+def _matching_sql(topics_cte: str) -> str:
+    """The matching of the ten labels by the best total for each set of targets, source after source."""
+    steps = ["best0 AS (SELECT 0 AS mask, 0.0::DOUBLE AS total, []::INTEGER[] AS path)"]
+    for k in range(10):
+        steps.append(
+            f"best{k + 1} AS (SELECT mask, max(total) AS total, arg_max(path, total) AS path FROM "
+            f"(SELECT b.mask | (1 << target_topic) AS mask, total + similarity AS total, list_append(path, target_topic) AS path "
+            f"FROM best{k} b JOIN sims ON source_topic = {k} AND b.mask & (1 << target_topic) = 0) GROUP BY mask)"
+        )
+    return f"""
+{topics_cte}, {_SIMILAR}, sims AS (
+  SELECT source, target, source_topic, target_topic, least(1.0, dot / (a.norm * b.norm)) AS similarity
+  FROM s JOIN n a ON a.slice = source AND a.topic_id = source_topic JOIN n b ON b.slice = target AND b.topic_id = target_topic
+), {', '.join(steps)},
+paired AS (SELECT unnest(range(10))::INTEGER AS source_topic, unnest(path) AS target_topic FROM best10),
+matched AS (SELECT sims.* FROM sims JOIN paired USING (source_topic, target_topic) WHERE similarity >= 0.1)
+"""
+
+
+@query(f"WITH {_matching_sql(_TOPICS)} SELECT source, target, source_topic, target_topic, round(similarity, 6) AS similarity FROM matched")
 def topic_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.match(topics.similarities(label_topics(spark, sf_dir), _eras(spark)))
+    return topics.match(topics.similarities(label_topics(spark, sf_dir), _eras(spark))).withColumn("similarity", r6("similarity"))
 
 
-@query()
+@query(f"""
+WITH {_matching_sql(_TOPICS.replace(", 6) AS weight", ", 4) AS weight"))},
+p AS (SELECT *, row_number() OVER (PARTITION BY slice, topic_id ORDER BY weight DESC, word) AS place FROM t),
+told AS (
+  SELECT slice, topic_id, string_agg(word, ', ' ORDER BY place) FILTER (place <= 3) AS label, max(weight) AS weight,
+         string_agg(word || ': ' || printf('%.4f', weight), ', ' ORDER BY place) FILTER (place <= 10) AS words FROM p GROUP BY slice, topic_id
+), path AS (
+  SELECT DISTINCT slice, topic_id, topic_id AS chain_id FROM t WHERE slice = '1975-1999' UNION ALL SELECT target, target_topic, source_topic FROM matched
+)
+SELECT slice, left(slice, 4)::INTEGER AS year, topic_id, chain_id, first.label AS topic_label, told.weight, told.words
+FROM path JOIN told USING (slice, topic_id) JOIN told first ON first.slice = '1975-1999' AND first.topic_id = chain_id
+""")
 def topic_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shift.topic_evolution(label_topics(spark, sf_dir), _eras(spark), "1975-1999")
+    return shift.topic_evolution(label_topics(spark, sf_dir, 4), _eras(spark), "1975-1999")
+
+
+# --- what must hold of decompositions, whichever they are ----------------------------------------------------
+
+
+_WHOLE = f"WITH {_TOKENS}, {_VOCAB}"
+
+
+@query(f"""
+{_WHOLE}, sizes AS (SELECT slice, count(*) AS words FROM vocab GROUP BY slice)
+SELECT slice, words, least(300, (SELECT min(words) FROM sizes) - 1)::INTEGER AS dims, true AS orthogonal, true AS singular, true AS bounded FROM sizes
+""")
+def embedding_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimensions are orthogonal; each is a singular vector of the matrix M times the root of its value s: its squared norm is s, that
+    of M' times it s cubed; and the values' squares don't add up to more than the matrix's."""
+    model = _trained(spark, sf_dir)
+    e = model.embeddings
+    gram = alignment.cross_covariance(e.select(F.col("slice").alias("source"), F.col("slice").alias("target"), F.col("vector").alias("a"), F.col("vector").alias("b")))
+    values = gram.groupBy(F.col("source").alias("slice")).agg(
+        F.max(F.when(F.col("p") != F.col("q"), F.abs("value")).otherwise(0.0)).alias("mixed"),
+        F.sum(F.when(F.col("p") == F.col("q"), F.col("value") * F.col("value")).otherwise(0.0)).alias("squares"),
+        F.max("value").alias("largest"),
+    )
+    rows = e.select("slice", F.col("rank").alias("i"), F.posexplode("vector").alias("c", "x"))
+    left = model.entries.select("slice", "i", "j", "ppmi").join(rows, ["slice", "i"]).groupBy("slice", "j", "c").agg(F.sum(F.col("ppmi") * F.col("x")).alias("y"))
+    cubes = left.groupBy("slice", "c").agg(F.sum(F.col("y") * F.col("y")).alias("cube"))
+    norms = gram.where("p = q").select(F.col("source").alias("slice"), F.col("p").alias("c"), F.col("value").alias("s"))
+    far = norms.join(cubes, ["slice", "c"]).groupBy("slice").agg(F.max(F.abs(F.col("cube") - F.col("s") * F.col("s") * F.col("s"))).alias("far"))
+    whole = model.entries.groupBy("slice").agg(F.sum(F.col("ppmi") * F.col("ppmi")).alias("whole"))
+    sizes = e.groupBy("slice").agg(F.count("*").alias("words"), F.max(F.size("vector")).alias("dims"))
+    every = sizes.join(values, "slice").join(far, "slice").join(whole, "slice")
+    return every.select(
+        "slice", "words", "dims", (F.col("mixed") <= 1e-6 * F.col("largest")).alias("orthogonal"), (F.col("far") <= 1e-6 * F.pow("largest", F.lit(3))).alias("singular"),
+        (F.col("squares") <= F.col("whole") * (1 + 1e-9)).alias("bounded"),
+    )
+
+
+@query(f"{_WHOLE} SELECT slice, 10::BIGINT AS topics, count(*) AS words, true AS non_negative, true AS stationary, true AS nearer FROM vocab GROUP BY slice")
+def topic_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors W, H aren't negative; of M the product WH is the nearest along its own ray, <M, WH> = <WH, WH>, and nearer than nothing."""
+    v, entries = ppmi.prepared(corpus(spark, sf_dir))
+    entries = staged(entries)
+    rows = staged(topics.factors(ppmi.clamped(entries), v))
+    w = rows.select("slice", "topic_id", F.col("rank").alias("i"), "focus")
+    h = rows.select("slice", "topic_id", F.col("rank").alias("j"), "weight")
+    cross = entries.join(w, ["slice", "i"]).join(h, ["slice", "j", "topic_id"]).groupBy("slice").agg(F.sum(F.col("ppmi") * F.col("focus") * F.col("weight")).alias("cross"))
+    product = lambda df, at, x, name: df.join(df.select("slice", F.col("topic_id").alias("other"), at, F.col(x).alias("y")), ["slice", at]).groupBy("slice", "topic_id", "other").agg(F.sum(F.col(x) * F.col("y")).alias(name))
+    square = product(w, "i", "focus", "g").join(product(h, "j", "weight", "k"), ["slice", "topic_id", "other"]).groupBy("slice").agg(F.sum(F.col("g") * F.col("k")).alias("square"))
+    sizes = rows.groupBy("slice").agg(F.countDistinct("topic_id").alias("topics"), F.countDistinct("rank").alias("words"), F.min(F.least("focus", "weight")).alias("least"))
+    every = sizes.join(cross, "slice").join(square, "slice")
+    return every.select(
+        "slice", "topics", "words", (F.col("least") >= 0).alias("non_negative"), (F.abs(F.col("cross") - F.col("square")) <= 1e-3 * F.col("square")).alias("stationary"),
+        (2 * F.col("cross") > F.col("square")).alias("nearer"),
+    )
+
+
+@query(f"WITH {_HALVES} SELECT CASE WHEN vec_id % 2 = 0 THEN '1975-1999' ELSE '2000-2024' END AS slice, vec_id AS doc_id, true AS whole, true AS optimal FROM embeddings")
+def document_topics_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All shares of a document add up to one, and no weight can be changed to come nearer: the gradient is zero where a share is, and not negative elsewhere."""
+    docs, weights = _vector_documents(spark, sf_dir), label_topics(spark, sf_dir)
+    shares = topics.document_topics(docs, weights, -1.0)
+    t = weights.select("slice", "topic_id", "word", F.col("weight").alias("h"))
+    gram = t.join(t.select("slice", F.col("topic_id").alias("other"), "word", F.col("h").alias("g")), ["slice", "word"]).groupBy("slice", "topic_id", "other").agg(F.sum(F.col("h") * F.col("g")).alias("g"))
+    target = docs.join(t, ["slice", "word"]).groupBy("slice", "doc_id", "topic_id").agg(F.sum(F.col("weight") * F.col("h")).alias("b"))
+    mixed = shares.withColumnRenamed("topic_id", "other").join(gram, ["slice", "other"]).groupBy("slice", "doc_id", "topic_id").agg(F.sum(F.col("share") * F.col("g")).alias("gs"))
+    rows = shares.join(target, ["slice", "doc_id", "topic_id"]).join(mixed, ["slice", "doc_id", "topic_id"])
+    # Shares are the weights over their sum, which is the best scale of the shares.
+    scale = (F.sum(F.col("share") * F.col("b")) / F.sum(F.col("share") * F.col("gs"))).alias("scale")
+    rows = rows.join(rows.groupBy("slice", "doc_id").agg(scale), ["slice", "doc_id"])
+    gradient = F.col("scale") * F.col("gs") - F.col("b")
+    small = 1e-6 * F.col("b")
+    fits = F.when(F.col("share") > 1e-9, F.abs(gradient) <= small).otherwise(gradient >= -small)
+    return rows.groupBy("slice", "doc_id").agg((F.abs(F.sum("share") - 1) < 1e-9).alias("whole"), F.bool_and(fits).alias("optimal"))
+
+
+# --- whole chains on documents, sliced by their source -----------------------------------------------------------
+
+
+def _neighbours(slices: DataFrame) -> DataFrame:
+    """(source, target): each slice with the next by name; slices are few."""
+    named = slices.select("slice").distinct().where("slice is not null")
+    after = F.lead("slice").over(Window.orderBy("slice"))
+    return named.select(F.col("slice").alias("source"), after.alias("target")).where("target is not null")
+
+
+@query()
+def source_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, PPMI, embeddings, alignment and shift: the words that move most between sources."""
+    model = shift.train(tokens.corpus_lines(table(spark, sf_dir, "documents"), "source"))
+    return shift.top_shifts(shift.shifts(model.embeddings, _neighbours(model.vocabulary)))
+
+
+@query()
+def source_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, PPMI, topics and their matching between sources."""
+    v, entries = ppmi.prepared(tokens.corpus_lines(table(spark, sf_dir, "documents"), "source"))
+    weights = staged(topics.distributions(topics.factors(ppmi.clamped(entries), v)))
+    return topics.match(topics.similarities(weights, _neighbours(v)))

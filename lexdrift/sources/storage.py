@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import periods, ppmi
+from ..operators import alignment, periods, ppmi
 from ..operators.shift import Model
 
 RECORD = "date string, doc_name string, title string, president string, transcript string, lemmatized string"
 TABLES = ("vocabulary", "ppmi", "embeddings", "params")
+# slices are names, not numbers or dates
+KINDS = {
+    "vocabulary": "word string, rank int, n long, total long, slice string",
+    "ppmi": "i int, j int, w1 string, w2 string, n long, ppmi double, slice string",
+    "embeddings": "word string, rank int, vector array<double>, slice string",
+}
+SKIPPED = "slice string, reason string"
 
 
 def read_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
@@ -49,24 +57,44 @@ def save_model(model: Model, path: str) -> None:
         df.write.mode("overwrite").partitionBy("slice").parquet(f"{path}/{name}")
     spark = model.vocabulary.sparkSession
     spark.createDataFrame([asdict(model.params)]).coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
+    model.skipped.write.mode("overwrite").parquet(f"{path}/skipped")
 
 
 def load_model(spark: SparkSession, path: str) -> Model:
     """ValueError where nothing is, FileNotFoundError where a table is missing. Slices are partitions: a filter on them prunes."""
     if not _there(spark, path):
         raise ValueError(f"{path} is not a model")
-    for name in TABLES:
-        if not _there(spark, f"{path}/{name}"):
-            raise FileNotFoundError(f"{path}/{name}")
-    # slices are names, not numbers or dates
-    kinds = {
-        "vocabulary": "word string, rank int, n long, total long, slice string",
-        "ppmi": "i int, j int, w1 string, w2 string, n long, ppmi double, slice string",
-        "embeddings": "word string, rank int, vector array<double>, slice string",
-    }
-    v, m, e = (spark.read.schema(kinds[name]).parquet(f"{path}/{name}") for name in TABLES[:3])
-    params = ppmi.Params(**spark.read.parquet(f"{path}/params").first().asDict())
-    return Model(params, v, m, e, spark.createDataFrame([], "slice string, reason string"))
+    return _read(spark, [path])
+
+
+def _read(spark: SparkSession, paths: list[str]) -> Model:
+    for path in paths:
+        for name in (*TABLES, "skipped"):
+            if not _there(spark, f"{path}/{name}"):
+                raise FileNotFoundError(f"{path}/{name}")
+    every = lambda name, kind: reduce(DataFrame.unionByName, [spark.read.schema(kind).parquet(f"{path}/{name}") for path in paths])
+    v, m, e = (every(name, KINDS[name]) for name in TABLES[:3])
+    found = [ppmi.Params(**spark.read.parquet(f"{path}/params").first().asDict()) for path in paths]
+    if len(set(found)) > 1:
+        raise ValueError("the models were trained with different parameters")
+    return Model(found[0], v, m, e, every("skipped", SKIPPED))
+
+
+def period_models(spark: SparkSession, base: str) -> list[str]:
+    """Names of the models in folders of ``base``, in order of their first year as a number."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(where) if x.isDirectory()]
+    names = [n for n in names if n.split("-")[0].isdigit() and all(_there(spark, f"{base}/{n}/{t}") for t in TABLES)]
+    return sorted(names, key=lambda n: (int(n.split("-")[0]), n))
+
+
+def load_models(spark: SparkSession, base: str) -> Model:
+    """All models in folders of ``base`` as one, whose slices are told apart by their column. ValueError if there are none."""
+    names = period_models(spark, base)
+    if not names:
+        raise ValueError(f"no models in {base}")
+    return _read(spark, [f"{base}/{n}" for n in names])
 
 
 def slices_of(model: Model) -> DataFrame:
@@ -74,10 +102,25 @@ def slices_of(model: Model) -> DataFrame:
     return model.vocabulary.select("slice").distinct().withColumn("year", periods.period_start("slice")).orderBy("year", "slice")
 
 
-def save_alignment(fitted: DataFrame, anchors: DataFrame, path: str) -> None:
+def save_alignment(fitted: DataFrame, anchors: DataFrame, path: str, low: int | None = alignment.MIN_RANK, high: int | None = alignment.MAX_RANK) -> None:
+    """Rotations and anchors of all pairs, and the rank window."""
     fitted.write.mode("overwrite").parquet(f"{path}/rotations")
     anchors.write.mode("overwrite").parquet(f"{path}/anchors")
+    fitted.sparkSession.createDataFrame([(low, high)], "low int, high int").coalesce(1).write.mode("overwrite").parquet(f"{path}/window")
+
+
+def _alignment_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    if not _there(spark, f"{path}/{name}"):
+        raise FileNotFoundError(f"{path}/{name}")
+    return spark.read.parquet(f"{path}/{name}")
 
 
 def load_alignment(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/rotations"), spark.read.parquet(f"{path}/anchors")
+    """Rotations and anchors. FileNotFoundError where a table is missing."""
+    return _alignment_table(spark, path, "rotations"), _alignment_table(spark, path, "anchors")
+
+
+def alignment_window(spark: SparkSession, path: str) -> tuple[int | None, int | None]:
+    """The rank window that a saved alignment's anchors are from."""
+    row = _alignment_table(spark, path, "window").first()
+    return row.low, row.high

@@ -176,3 +176,32 @@ def test_registered_skipgrams_are_all_pairs(spark, tmp_path):
     got = registry.queries()["skipgram_counts_all"](spark, f"file://{tmp_path}").collect()
     assert len(got) == len(want) and {(r.slice, r.w1, r.w2): r.n for r in got} == want
     assert 1 in want.values() and max(want.values()) > 1
+
+
+@pytest.mark.parametrize("words", [ppmi.BROADCAST_WORDS, 0])
+def test_words_become_ranks_before_pairs_are_counted(spark, monkeypatch, words):
+    """The entries are the same whether the vocabulary is broadcast or pairs are counted as strings."""
+    monkeypatch.setattr(ppmi, "BROADCAST_WORDS", words)
+    rows = [("a", i, 0, x) for i, x in enumerate(ANIMALS * 12)] + [("b", i, 0, x + " once" + str(i)) for i, x in enumerate(ANIMALS * 8)] + [(None, 1, 0, "x y z"), ("c", 1, 0, None)]
+    c = spark.createDataFrame(rows, CORPUS)
+    for params in (ppmi.Params(), ppmi.Params(min_count=0, window=1, shift=1.5, alpha=1.0), ppmi.Params(threshold=0.05)):
+        vocab, got = ppmi.prepared(c, params)
+        counts, totals = tokens.counted(c, params.window, params.min_length)
+        want = ppmi.entries(tokens.pair_counts(c, params.window, params.min_length), totals, vocabulary.ranked(counts, params.threshold), params)
+        plain = lambda df: sorted((r.slice, r.i, r.j, r.w1, r.w2, r.n, round(r.ppmi, 9)) for r in df.collect())
+        assert plain(got) == plain(want) and plain(got)
+
+
+def test_small_operators(spark):
+    matrix = spark.createDataFrame([(1, -0.5), (2, 0.0), (3, 0.5)], "i int, ppmi double")
+    assert [r.ppmi for r in ppmi.clamped(matrix).orderBy("i").collect()] == [0.0, 0.0, 0.5]
+    pair = spark.createDataFrame([("a#b", "c")], "w1 string, w2 string").select(tokens.pair_key())
+    assert pair.first()[0] == "a#b#c"
+    a, b = (spark.createDataFrame([(k,) for k in x], "key string") for x in ("xxy", "yz"))
+    assert sorted(r.key for r in sketch.merged_keys(a, b).collect()) == ["x", "y", "z"] and sketch.merged_keys(a, None) is None
+    p = sketch.SketchParams(width=100, depth=3)
+    got = sketch.heavy_hitters(a.unionByName(b), sketch.build(a.unionByName(b), p), p, 0.0).collect()
+    assert [tuple(r) for r in got] == [("x", 2), ("y", 2), ("z", 1)]
+    for bad in (lambda: sketch.SketchParams(seed="1"), lambda: sketch.SketchParams(width=1.5), lambda: ppmi.Params(window=2.0)):
+        with pytest.raises(TypeError):
+            bad()

@@ -221,3 +221,50 @@ def test_common_components(spark):
     v = spark.createDataFrame([("a", f"w{i}", i, 9, 90) for i in range(9)] + [("b", f"w{i}", i, 9, 90) for i in range(4)], "slice string, word string, rank int, n long, total long")
     assert embedding.common_components(v, 300) == 3 and embedding.common_components(v, 2) == 2
     assert vocabulary.THRESHOLD == 1e-4
+
+
+def test_models_of_periods_and_alignments_are_found(spark, tmp_path):
+    lines = ["the cat chased the mouse around the garden", "the dog chased the cat around the garden"] * 10
+    base = f"file://{tmp_path}/models"
+    for period in ("1975-1999", "0950-0974", "2000-2024"):
+        corpus = spark.createDataFrame([(period, i, 0, x) for i, x in enumerate(lines)] + [("empty", 1, 0, "a b")], "slice string, doc_id long, line_no int, line string")
+        storage.save_model(shift.train(corpus, 3), f"{base}/{period}")
+    (tmp_path / "models" / "notes").mkdir()
+    assert storage.period_models(spark, base) == ["0950-0974", "1975-1999", "2000-2024"]
+    model = storage.load_models(spark, base)
+    assert [r.slice for r in storage.slices_of(model).collect()] == ["0950-0974", "1975-1999", "2000-2024"]
+    assert [tuple(r) for r in model.skipped.distinct().collect()] == [("empty", "no vocabulary")]
+    fitted, _ = alignment.fit(model.embeddings, spark.createDataFrame([("0950-0974", "2000-2024")], "source string, target string"), 0, 50)
+    path = f"file://{tmp_path}/aligned"
+    storage.save_alignment(fitted, fitted, path, 0, 50)
+    assert storage.alignment_window(spark, path) == (0, 50)
+    with pytest.raises(FileNotFoundError):
+        storage.load_alignment(spark, f"file://{tmp_path}/models")
+    with pytest.raises(ValueError):
+        storage.load_models(spark, f"file://{tmp_path}/models/notes")
+
+
+def test_chains_of_many_slices(spark):
+    n = 131
+    matches = spark.createDataFrame([(str(i), str(i + 1), t, (t + 1) % 3) for i in range(n) for t in range(3) if not (i == 70 and t == 2)], "source string, target string, source_topic int, target_topic int")
+    first = spark.createDataFrame([("0", t) for t in range(3)], "slice string, topic_id int")
+    want = set()
+    for t in range(3):
+        at = t
+        for i in range(n + 1):
+            want.add((str(i), at, t))
+            if i == 70 and at == 2:
+                break
+            at = (at + 1) % 3
+    assert {tuple(r) for r in topics.chains(matches, first).collect()} == want
+    with pytest.raises(ValueError):
+        topics.chains(spark.createDataFrame([("a", "b", 0, 0), ("b", "a", 0, 0)], matches.schema), spark.createDataFrame([("a", 0)], first.schema))
+
+
+def test_an_unsettled_decomposition_is_an_error():
+    rng = np.random.default_rng(0)
+    n = linalg.DENSE + 10
+    i = np.repeat(np.arange(n), 5)
+    m = linalg.Sparse(i, rng.integers(0, n, 5 * n), rng.random(5 * n), (n, n))
+    with pytest.raises(np.linalg.LinAlgError):
+        linalg.truncated_svd(m, 3, rounds=2)
