@@ -3,33 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_dir, staged
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names.
-
-    Only where a session on one machine has no such setting (tests) a local folder is set; on a cluster that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lexdrift-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, path: str | None = None) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "documents", "parts", "shared_dir", "staged", "text_bytes"]
 
 
 def discard(spark: SparkSession, *paths: str) -> None:

@@ -95,6 +95,21 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.summarise(staged(described))
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op7_media``: payloads as they are read back from the stored form."""
+    return op7_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes")
+
+
+MEDIA_PAYLOADS_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents
+), filled AS (
+  SELECT *, greatest(192, (n_bytes + 191) // 192 * 192)::BIGINT AS payload_bytes FROM sized
+)
+SELECT doc_id, n_bytes, payload_bytes, sha256(text || repeat(' ', payload_bytes - n_bytes)) AS payload_sha256, payload_bytes + 44 AS media_bytes FROM filled
+"""
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -165,8 +180,8 @@ FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()} | {"media_payloads": media_payloads}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op8_chat": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_near_dedup": OP10_SQL}
+    return {"op3_mixing": OP3_SQL, "media_payloads": MEDIA_PAYLOADS_SQL, "op8_chat": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_near_dedup": OP10_SQL}

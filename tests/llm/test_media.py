@@ -1,9 +1,10 @@
 import hashlib
 
+import duckdb
 import numpy as np
 import pytest
 
-from lexdrift.llm import media
+from lexdrift.llm import media, queries
 
 DOCS = "doc_id long, text string, media string, payload string, feature int"
 
@@ -103,3 +104,11 @@ def test_round_trip(spark):
     assert all(lines[i].feature == media.summary(bytes(got[i].tensor), len(got[i].spans)) for i in got)
     assert lines[3].feature == lines[6].feature and hashlib.sha256(got[3].media).digest() == hashlib.sha256(got[6].media).digest()
     assert media.describe(media.encode(df.limit(0))).count() == 0
+
+
+def test_payloads_equal_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = duckdb.sql(queries.MEDIA_PAYLOADS_SQL)
+    got = queries.media_payloads(spark, sf)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
