@@ -1,7 +1,10 @@
 """A training corpus from ``documents``: language, exact and near copies, source weights, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read again as
-the next one's docs. All but the last return the columns of ``documents``.
+the next one's docs. All but the last return the columns of ``documents``, and any others that docs have.
+
+Null and empty texts have no letters and go in the first stage; without documents every stage gives none. Null ids
+and sources stay: rows without an id, or with one id and different texts, are documents of their own.
 """
 
 from __future__ import annotations
@@ -14,12 +17,12 @@ from lexdrift.llm.common import documents, staged
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with letters and a language."""
+    """Keeps documents with letters that the network doesn't take for background; all with letters if no language was learnt."""
     return langid.drop_unknown(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of copies."""
+    """Keeps one document of each group of copies: the one with the most code points, then the smallest id (null last)."""
     return exact.drop_copies(docs)
 
 
@@ -34,7 +37,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 ids."""
+    """Pieces of documents in sequences of 2048 ids; a document that was taken twice is packed twice."""
     return packing.pack(docs)
 
 
