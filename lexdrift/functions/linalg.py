@@ -50,7 +50,20 @@ def signed(u: np.ndarray, vt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def truncated_svd(m: Sparse, k: int, seed: int = 0, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` largest singular values, in descending order, with their vectors. An error if the iteration doesn't settle."""
+    """The ``k`` largest singular values, in descending order, with their vectors. An error if the iteration doesn't settle.
+
+    Only rows and columns with entries take part; beyond their rank values and vectors are zero.
+    """
+    rows, columns = m.by_row[0], m.by_column[0]
+    if len(rows) < m.shape[0] or len(columns) < m.shape[1]:
+        _, first, other, v = m.by_row
+        r = min(k, len(rows), len(columns))
+        u, s, vt = np.zeros((m.shape[0], k)), np.zeros(k), np.zeros((k, m.shape[1]))
+        if r:
+            i = np.repeat(np.arange(len(rows)), np.diff(np.append(first, len(v))))
+            inner = Sparse(i, np.searchsorted(columns, other), v, (len(rows), len(columns)))
+            u[rows, :r], s[:r], vt[:r, columns] = truncated_svd(inner, r, seed, rounds)
+        return u, s, vt
     if max(m.shape) <= DENSE:
         u, s, vt = np.linalg.svd(m.dense(), full_matrices=False)
     else:
@@ -129,7 +142,21 @@ def non_negative_weights(gram: np.ndarray, target: np.ndarray, rounds: int = 100
                 w[..., c] = np.maximum(0.0, w[..., c] + (target[..., c] - w @ gram[c]) / gram[c, c])
         if np.abs(w - before).max(initial=0) < 1e-12:
             break
-    return w
+    # Where topics are much alike that is slow at the end: with the found weights' zeros the others are the solution of equations.
+    rows = np.atleast_2d(w)
+    targets = np.atleast_2d(target)
+    patterns, which = np.unique(rows > 0, axis=0, return_inverse=True)
+    for n, p in enumerate(patterns):
+        at = np.flatnonzero(which.ravel() == n)
+        part = gram[np.ix_(p, p)]
+        if not p.any() or np.linalg.cond(part) > 1e12:
+            continue
+        exact = np.zeros((len(at), len(p)))
+        exact[:, p] = np.linalg.solve(part, targets[at][:, p].T).T
+        slope = exact @ gram - targets[at]
+        good = (exact >= 0).all(1) & (slope >= -1e-9 * np.abs(targets[at]).max(1, keepdims=True)).all(1)
+        rows[at[good]] = exact[good]
+    return rows.reshape(target.shape)
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:

@@ -52,8 +52,9 @@ def shifts(embeddings: DataFrame, pairs: DataFrame, words: list[str] | None = No
 
 
 def top_shifts(shift_rows: DataFrame, n: int = 5, descending: bool = True) -> DataFrame:
-    """The words of each pair that moved most (or least)."""
-    by = F.col("shift").desc() if descending else F.col("shift").asc()
+    """The words of each pair that moved most (or least); words without a direction on a side (NaN) come last."""
+    known = F.nanvl("shift", F.lit(None).cast("double"))
+    by = known.desc_nulls_last() if descending else known.asc_nulls_last()
     order = Window.partitionBy("source", "target").orderBy(by, "word")
     return shift_rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
