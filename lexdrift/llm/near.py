@@ -216,8 +216,25 @@ def candidates(open_: DataFrame, similarity: int) -> DataFrame:
     return staged(dealt.groupBy("hub", "x", "y").applyInArrow(compare, "hub long, x int, y int, side int, id long, n long, component long"))
 
 
+def joined_labels(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (least label, label) that join the same labels as the pairs (x, y): one for each label but the least of those joined."""
+    labels, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = at[: len(x)], at[len(x) :]
+    least = np.arange(len(labels))
+    while len(a):
+        both = np.minimum(least[a], least[b])
+        before = least.copy()
+        np.minimum.at(least, a, both)
+        np.minimum.at(least, b, both)
+        least = least[least]
+        if np.array_equal(least, before):
+            break
+    moved = np.flatnonzero(least != np.arange(len(labels)))
+    return labels[least[moved]], labels[moved]
+
+
 def links_across(open_: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
-    """Links (a, b) between nodes of one hub in different components, from ``open_`` (hub, id, n, component, sketch)."""
+    """Links (a, b) between components, from ``open_`` (hub, id, n, component, sketch): a task gives as few as join what its nodes' links join."""
     found = candidates(open_, similarity)
     place = ["hub", "x", "y"]
     # Both sides in parts of about SHINGLES shingles; each two parts meet.
@@ -230,7 +247,7 @@ def links_across(open_: DataFrame, full: DataFrame, similarity: int) -> DataFram
     dealt = dealt.select(*place, "side", F.when(first, F.col("mine")).otherwise(F.col("other")).alias("i"), F.when(first, F.col("other")).otherwise(F.col("mine")).alias("j"), "id", "component")
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        ids, comp, side = (rows.column(c).to_numpy() for c in ("id", "component", "side"))
+        comp, side = (rows.column(c).to_numpy() for c in ("component", "side"))
         sets = sets_of(rows, "shingles")
         n = np.array([len(v) for v in sets], np.float64)
         p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -238,7 +255,8 @@ def links_across(open_: DataFrame, full: DataFrame, similarity: int) -> DataFram
         good = 100 * common >= similarity * (n[p][:, None] + n[q] - common)
         good &= comp[p][:, None] != comp[q]
         i, j = np.nonzero(good)
-        return pa.table({"a": ids[p[i]], "b": ids[q[j]]})
+        a, b = joined_labels(comp[p[i]], comp[q[j]])
+        return pa.table({"a": a, "b": b})
 
     return staged(dealt.join(full, "id").groupBy(*place, "i", "j").applyInArrow(compare, "a long, b long"))
 
@@ -299,12 +317,7 @@ def marked(docs: DataFrame, similarity: int, width: int) -> DataFrame:
     new = links_across(open_, full, similarity)
     discard(spark, at)
     if not new.isEmpty():
-        merged = (
-            new.join(comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-            .join(comp.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        )
-        joined = components(merged.distinct())
+        joined = components(new.distinct())
         ids = comp.union(joined.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
         up = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
         comp = staged(ids.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component")))

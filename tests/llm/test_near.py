@@ -139,3 +139,21 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in near.components(links).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {100: 100, 101: 100}
+
+
+def test_joined_labels_join_the_same():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 400):
+        x, y = rng.integers(0, 300, n) * 7, rng.integers(0, 300, n) * 7
+        top = {}
+
+        def find(v, top=top):
+            while top.setdefault(v, v) != v:
+                v = top[v]
+            return v
+
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = sorted((find(a), find(b)))
+            top[b] = a
+        a, b = near.joined_labels(x, y)
+        assert dict(zip(b.tolist(), a.tolist(), strict=True)) == {v: find(v) for v in list(top) if find(v) != v}
