@@ -265,7 +265,8 @@ def mark_similar(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -> D
     top = joined.groupBy("component").agg(F.min("first").alias("top"))
     # A node is at every salt, so that copies are spread whatever their ids.
     named = joined.join(top, "component").select("x", F.lit(True).alias("told"), "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    out = prints.join(staged(named), ["x", "salt"], "left")
+    # They grow with the input and are small only as files: they aren't broadcast.
+    out = prints.join(staged(named).hint("merge"), ["x", "salt"], "left")
     return out.select(
         "doc_id",
         F.lower(F.lpad(F.hex("x"), 16, "0")).alias("fingerprint"),
