@@ -65,14 +65,14 @@ def masks(docs: DataFrame, labels: DataFrame, copies_bit: int | None = 4) -> Dat
         F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic")
     )
     no = F.lit(False)
-    named = rows.where("doc_id is not null").join(staged(marks), "doc_id", "left").withColumns({c: F.coalesce(c, no) for c in ("good", "toxic")})
+    named = rows.where("doc_id is not null").join(staged(marks).hint("merge"), "doc_id", "left").withColumns({c: F.coalesce(c, no) for c in ("good", "toxic")})
     every = named.unionByName(rows.where("doc_id is null").withColumns({"good": no, "toxic": no}))
     if copies_bit is None:
         return every.select("part", "mask", "good", "toxic")
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     firsts = staged(firsts.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
     copy = F.coalesce(F.col("doc_id") > F.col("first"), no).cast("int") * F.lit(1 << copies_bit)
-    return every.join(firsts, ["digest", "salt"], "left").select("part", (F.col("mask") + copy).alias("mask"), "good", "toxic")
+    return every.join(firsts.hint("merge"), ["digest", "salt"], "left").select("part", (F.col("mask") + copy).alias("mask"), "good", "toxic")
 
 
 def mask_counts(rows: DataFrame) -> DataFrame:
