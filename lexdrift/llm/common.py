@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import shared_dir, staged
 
-__all__ = ["discard", "documents", "parts", "shared_dir", "staged", "text_bytes"]
+__all__ = ["discard", "documents", "free_names", "parts", "shared_dir", "staged", "text_bytes"]
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
@@ -24,6 +24,17 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores before them as no column of ``df`` is called so, in whatever case."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def parts(total: float, each: float) -> int:
     return max(1, math.ceil(total / each))
 

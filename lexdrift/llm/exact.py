@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free_names, staged
 
 #: ``[\x20\x09-\x0D]``, which the normal form leaves out.
 WHITE = " \t\n\x0b\x0c\r"
@@ -79,16 +79,20 @@ def mark_copies(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without copies: all columns, one row of each group; of copies with one id any one."""
+    """``docs`` without copies: all columns, one row of each group; of copies with one id any one.
+
+    Null texts and texts without anything but white space are copies of each other. Columns may be called anything; no documents give no rows.
+    """
     rows = staged(groups_of(docs).where("group_size > 1"))
-    key = [F.col("doc_id").alias("__id"), F.col("sha256").alias("__sha")]
+    own, id_, sha = free_names(docs, "key", "id", "sha")
+    key = [F.col("doc_id").alias(id_), F.col("sha256").alias(sha)]
     gone = rows.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*key).distinct()
-    named = docs.withColumn("__key", F.unhex(F.sha2(normal_form(docs["text"]), 256)))
-    same = lambda other: named["doc_id"].eqNullSafe(other["__id"]) & (named["__key"] == other["__sha"])
+    named = docs.withColumn(own, F.unhex(F.sha2(normal_form(docs["text"]), 256)))
+    same = lambda other: named["doc_id"].eqNullSafe(other[id_]) & (named[own] == other[sha])
     held = named.join(gone.hint("merge"), same(gone), "left_anti")
     twice = staged(rows.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(*key).count().where("count > 1"))
     if not twice.isEmpty():  # one id several times
-        single = held.join(twice.hint("merge"), held["doc_id"].eqNullSafe(twice["__id"]) & (held["__key"] == twice["__sha"]), "left_semi")
-        others = held.join(twice.hint("merge"), held["doc_id"].eqNullSafe(twice["__id"]) & (held["__key"] == twice["__sha"]), "left_anti")
-        held = others.unionByName(single.dropDuplicates(["doc_id", "__key"]))
-    return held.drop("__key")
+        single = held.join(twice.hint("merge"), held["doc_id"].eqNullSafe(twice[id_]) & (held[own] == twice[sha]), "left_semi")
+        others = held.join(twice.hint("merge"), held["doc_id"].eqNullSafe(twice[id_]) & (held[own] == twice[sha]), "left_anti")
+        held = others.unionByName(single.dropDuplicates(["doc_id", own]))
+    return held.drop(own)

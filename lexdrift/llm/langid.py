@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
+from .common import free_names
 from .tokens import slices
 
 WINDOW, HIDDEN = 64, 8
@@ -284,20 +285,21 @@ def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, st
     Null texts and texts without a letter are ``und`` with score 0, and so is every text if the model knows no language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.select(*keep, F.col("text").alias("__text"), F.col("text").rlike(r"\p{L}").alias("__letters"))
+    text, letters_ = free_names(docs, "plain", "lettered")
+    plain = docs.select(*keep, F.col("text").alias(text), F.col("text").rlike(r"\p{L}").alias(letters_))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         called = np.array([*model.languages, "und"], dtype=object)
         for whole in batches:
-            for batch in slices(whole, "__text"):
+            for batch in slices(whole, text):
                 if model.languages:
-                    p = document_probabilities(model, batch.column("__text"))
+                    p = document_probabilities(model, batch.column(text))
                     best, score = p.argmax(1), np.round(p.max(1), 6)
                 else:
                     best, score = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
-                letters = pc.fill_null(batch.column("__letters"), False).to_numpy(zero_copy_only=False) & bool(model.languages)
+                letters = pc.fill_null(batch.column(letters_), False).to_numpy(zero_copy_only=False) & bool(model.languages)
                 best = np.where(letters, best, len(model.languages))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in keep), pa.array(called[best], pa.string()), pa.array(np.where(letters, np.minimum(score, 1.0), 0.0))],
@@ -328,8 +330,7 @@ def drop_unknown(docs: DataFrame, most: float = 0.5) -> DataFrame:
 
     The share doesn't depend on the number of languages. If no language was learnt all documents with letters stay.
     """
-    rows = docs.select("*", held_out().alias("__held"))
-    model = fit(rows.where(~F.col("__held")), with_background=True)
+    model = fit(docs.where(~held_out()), with_background=True)
     lettered = docs.where(F.col("text").rlike(r"\p{L}"))
     if BACKGROUND not in model.languages:
         return lettered

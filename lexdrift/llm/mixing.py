@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free_names, staged
 
 #: Characters that don't belong to a word: ``[\x20\x09-\x0D]``.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -141,12 +141,13 @@ def repeat(
 ) -> DataFrame:
     """``docs`` (doc_id, source, text and any other columns) as :func:`mix` takes them: a row for each time, all columns.
 
-    Documents without words aren't counted in a size; they are taken as often as their key says.
+    Documents without words (or null) aren't counted in a size; they are taken as often as their key says. A null source is a source of its own.
+    Columns may be called anything; no documents give no rows.
     """
     _, sources, small = plan(docs, weights, share, most, seed)
-    names = {c: f"__{c}" for c in ("s", "source_size", "target", "whole", "cutoff")}
-    sources = sources.select(*(F.col(c).alias(n) for c, n in names.items()))
-    key = key_of(seed, docs["doc_id"].cast("long"), size_of(docs["text"]), docs["text"])
-    joined = docs.withColumn("__key", key).join(small(sources), docs["source"].eqNullSafe(F.col("__s")))
-    times = copies_of("__key", "__whole", "__cutoff")
-    return joined.withColumn("__time", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    key, time, s, whole, cutoff = free_names(docs, "key", "time", "s", "whole", "cutoff")
+    sources = sources.select(F.col("s").alias(s), F.col("whole").alias(whole), F.col("cutoff").alias(cutoff))
+    keyed = docs.withColumn(key, key_of(seed, docs["doc_id"].cast("long"), size_of(docs["text"]), docs["text"]))
+    joined = keyed.join(small(sources), keyed["source"].eqNullSafe(F.col(s)))
+    times = copies_of(key, whole, cutoff)
+    return joined.withColumn(time, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)

@@ -57,8 +57,9 @@ def test_mix_against_sql(spark, monkeypatch, rows_in_bucket, broadcast, digits):
     rows = [r for r in ROWS if r[0] != 8] + [(100 + i, "w " * (i % 17), f"s{i % 5}" if i % 11 else "s1", "", 0, "") for i in range(300)]
     rows += [(1000, "", "empty", "", 0, ""), (1001, "one two", "tiny", "", 0, "")]
     df = spark.createDataFrame(rows, DOCS).repartition(3)
-    documents = df.toArrow()  # noqa: F841
-    want = duckdb.sql(queries.OP3_SQL).fetchall()
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    want = con.sql(queries.OP3_SQL).fetchall()
     got = [tuple(r) for r in mixing.mix(df).select("doc_id", "size", "source_size", "target", "taken").collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
     sums, targets = defaultdict(int), {}

@@ -108,7 +108,8 @@ def test_round_trip(spark):
 
 def test_payloads_equal_sql(spark):
     sf = "/root/testdata/sf0.001"
-    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    want = duckdb.sql(queries.MEDIA_PAYLOADS_SQL)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.sql(queries.MEDIA_PAYLOADS_SQL)
     got = queries.media_payloads(spark, sf)
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())

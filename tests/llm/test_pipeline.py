@@ -50,8 +50,9 @@ def test_near_copies_go(outputs):
 
 
 def test_mixture_takes_what_sql_says(outputs):
-    documents = outputs[3].toArrow()  # noqa: F841
-    want = {r[0]: r for r in duckdb.sql(queries.OP3_SQL).fetchall()}
+    con = duckdb.connect()
+    con.register("documents", outputs[3].toArrow())
+    want = {r[0]: r for r in con.sql(queries.OP3_SQL).fetchall()}
     got = {r.doc_id: r["count"] for r in outputs[4].groupBy("doc_id").count().collect()}
     for doc_id, size, _, _, taken in want.values():
         assert got.get(doc_id, 0) * size == taken
@@ -87,13 +88,14 @@ def test_repeated_ids_clashing_columns_and_empty_tables(spark):
     long = " ".join(f"long{i % 4000} text{i % 977}" for i in range(40_000))
     base = [r.text for r in docs.where("length(text) > 500").orderBy("doc_id").limit(3).collect()]
     rows = [(7, base[0]), (7, base[1]), (None, base[2]), (None, base[2] + " and more"), (None, ""), (9, long), (9, None), (9, long)]
-    names = {"part": "p", "__id": "i", "name": "n", "key": "k", "whole": "w"}
+    names = {c: c[0] for c in ("part", "__id", "name", "Key", "_key", "__key", "time", "s", "whole", "cutoff", "id", "sha", "digest", "salt", "held", "plain", "lettered", "shingles", "ids", "start", "size", "taken")}
     wide = lambda df: df.select("*", *(F.lit(v).alias(k) for k, v in names.items()))
     df = wide(spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], docs.schema)).unionByName(wide(docs))
     steps = [df]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         steps.append(staged(stage(spark, steps[-1], SF)))
         assert steps[-1].columns == df.columns
+        assert steps[-1].where(" or ".join(f"{c} is distinct from '{v}'" for c, v in names.items())).isEmpty()
     kept = {r.text for r in steps[3].collect()}
     assert len(kept) == steps[3].count()
     assert {base[0], base[1]} <= kept and (base[2] in kept or base[2] + " and more" in kept)
