@@ -341,5 +341,6 @@ def drop_unknown(docs: DataFrame, most: float = 0.5) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text"):
                 yield batch.filter(pa.array(document_probabilities(shared.value, batch.column("text"))[:, at] <= most))
+        pa.default_memory_pool().release_unused()
 
     return lettered.mapInArrow(work, docs.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, shared_dir, staged
-from .shingles import shingle_hashes
+from .shingles import forget, shingle_hashes
 from .tokens import slices
 
 SKETCH, RETAINED = 64, 32
@@ -65,6 +65,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     [batch.column("doc_id"), batch.column("part"), pa.array(n, pa.int64()), pa.array(name, pa.binary()), pa.array(sketch, pa.binary())],
                     ["doc_id", "part", "n_shingles", "name", "sketch"],
                 )
+        forget()
 
     return docs.mapInArrow(work, "doc_id long, part long, n_shingles long, name binary, sketch binary")
 
@@ -129,6 +130,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 ends = np.cumsum(count)
                 values = [np.unique(hashes[a:b]).tobytes() for a, b in zip(ends - count, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(values, pa.binary())], ["id", "shingles"])
+        forget()
 
     # The nodes grow with the input: they aren't broadcast, however few.
     nodes = nodes.select("id", F.col("doc_id").alias("d"), F.col("part").alias("p")).hint("merge")

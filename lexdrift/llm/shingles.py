@@ -38,6 +38,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def forget() -> None:
+    """Give back what the process holds between calls: workers outlive a task, and the next stage needs their memory."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased) and the number of words of each text."""
     texts = pc.ascii_lower(pc.fill_null(texts, ""))
