@@ -6,6 +6,28 @@ import numpy as np
 
 #: Rows up to which a matrix is decomposed directly; beyond, by seeded subspace iteration on its entries.
 DENSE = 1200
+#: Products of an entry and a value that are held at once: 32 MB.
+PRODUCTS = 1 << 22
+
+
+def row_sums(keys: np.ndarray, first: np.ndarray, other: np.ndarray, v: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of v times rows ``other`` of x for each key, whose entries begin at ``first``; some rows of entries at a time, so that memory doesn't grow with them."""
+    out = np.zeros((rows, x.shape[1]))
+    most = max(1, PRODUCTS // max(1, x.shape[1]))
+    ends, a = np.append(first[1:], len(v)), 0
+    while a < len(keys):
+        b = max(a + 1, int(np.searchsorted(ends, first[a] + most, side="right")))
+        lo, hi = first[a], ends[b - 1]
+        out[keys[a:b]] = np.add.reduceat(v[lo:hi, None] * x[other[lo:hi]], first[a:b] - lo, axis=0)
+        a = b
+    return out
+
+
+def product(i: np.ndarray, j: np.ndarray, v: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
+    """The product of a matrix of entries (i, j, v) with x."""
+    order = np.argsort(i, kind="stable")
+    keys, first = np.unique(i[order], return_index=True)
+    return row_sums(keys, first, j[order], v[order], x, rows)
 
 
 class Sparse:
@@ -23,11 +45,7 @@ class Sparse:
         return keys, first, b[order], v[order].astype(np.float64)
 
     def _times(self, parts: tuple[np.ndarray, ...], x: np.ndarray, rows: int) -> np.ndarray:
-        keys, first, other, v = parts
-        out = np.zeros((rows, x.shape[1]))
-        if len(v):
-            out[keys] = np.add.reduceat(v[:, None] * x[other], first, axis=0)
-        return out
+        return row_sums(*parts, x, rows)
 
     def dot(self, x: np.ndarray) -> np.ndarray:
         return self._times(self.by_row, x, self.shape[0])
@@ -107,19 +125,20 @@ def start_factors(m: Sparse, k: int) -> tuple[np.ndarray, np.ndarray]:
     return w, h
 
 
+def sweep(x: np.ndarray, gram: np.ndarray, target: np.ndarray) -> float:
+    """Moves each column of x in turn to where it is best, as far as it is not negative; how far they have moved."""
+    moved = 0.0
+    for c in range(x.shape[1]):
+        if gram[c, c] > 0:
+            new = np.maximum(0, x[:, c] + (target[:, c] - x @ gram[:, c]) / gram[c, c])
+            moved += float(np.abs(new - x[:, c]).sum())
+            x[:, c] = new
+    return moved
+
+
 def factorise(m: Sparse, k: int, most: int = 500, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative M = W H by cyclic updates of one component at a time."""
     w, h = start_factors(m, k)
-
-    def sweep(x: np.ndarray, gram: np.ndarray, target: np.ndarray) -> float:
-        moved = 0.0
-        for c in range(k):
-            if gram[c, c] > 0:
-                new = np.maximum(0, x[:, c] + (target[:, c] - x @ gram[:, c]) / gram[c, c])
-                moved += float(np.abs(new - x[:, c]).sum())
-                x[:, c] = new
-        return moved
-
     first = None
     for _ in range(most):
         moved = sweep(w, h @ h.T, m.dot(h.T))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import small, staged
-from . import tokens, vocabulary
+from . import sketch, tokens, vocabulary
 
 EPS = 1e-10
 
@@ -95,6 +95,36 @@ def of_corpus(corpus: DataFrame, params: Params = Params()) -> DataFrame:
     return prepared(corpus, params)[1]
 
 
+def sketched(corpus: DataFrame, tables: sketch.SketchParams, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """Written sketches (sketch, row, bucket, cnt; a sketch is a slice) of the words and of the pairs of ``corpus``, with the same parameters.
+
+    Occurrences become buckets before they are grouped: a slice's pairs are grouped by width * depth buckets at most, not by pair.
+    """
+    words = tokens.words(corpus, params.min_length).select(F.col("slice").alias("sketch"), F.col("word").alias("key"))
+    pairs = tokens.skipgrams(corpus, params.window, params.min_length).select(F.col("slice").alias("sketch"), tokens.pair_key().alias("key"))
+    table = lambda keys: staged(sketch.placed(keys, tables).groupBy("sketch", "row", "bucket").agg(F.count("*").alias("cnt")))
+    return table(words), table(pairs)
+
+
+def from_sketches(vocab: DataFrame, pairs: DataFrame, words_table: DataFrame, pairs_table: DataFrame, tables: sketch.SketchParams, params: Params = Params()) -> DataFrame:
+    """Entries as :func:`entries` gives them, from estimates: of the words of ``vocab`` (slice, word, rank) and of ``pairs`` (slice, w1, w2; the observed ones).
+
+    Totals are those of a sketch's first row. Estimates aren't under the true counts, so a pair that is over the minimum count is never left out for its count. Both
+    sketches must be of the parameters ``tables``; counts of pairs are never grouped by pair, only looked up.
+    """
+    words_table, pairs_table = sketch.checked(words_table, tables), sketch.checked(pairs_table, tables)
+    of_row = lambda t, name: small(t.where("row = 0").groupBy(F.col("sketch").alias("slice")).agg(F.sum("cnt").alias(name)), vocabulary.BROADCAST_SLICES)
+    found = sketch.estimate_each(vocab.select(F.col("slice").alias("sketch"), F.col("word").alias("key")), words_table, tables)
+    counts = found.select(F.col("sketch").alias("slice"), F.col("key").alias("word"), F.col("estimate").alias("n"))
+    p = vocab.select("slice", "word", "rank").join(counts, ["slice", "word"]).join(of_row(words_table, "total"), "slice")
+    focus, context = _sides(probabilities(p, params), params)
+    seen = pairs.select("slice", "w1", "w2").distinct().join(vocab.select("slice", F.col("word").alias("w1")), ["slice", "w1"], "left_semi").join(vocab.select("slice", F.col("word").alias("w2")), ["slice", "w2"], "left_semi")
+    seen = staged(seen.select("slice", "w1", "w2", tokens.pair_key().alias("key")))
+    estimates = sketch.estimate_each(seen.select(F.col("slice").alias("sketch"), "key"), pairs_table, tables)
+    counted = seen.join(estimates.select(F.col("sketch").alias("slice"), "key", F.col("estimate").alias("n")), ["slice", "key"]).drop("key").where(F.col("n") > params.min_count)
+    return _valued(counted.join(focus, ["slice", "w1"]).join(context, ["slice", "w2"]), of_row(pairs_table, "pairs"), params)
+
+
 def clamped(matrix: DataFrame, value: str = "ppmi") -> DataFrame:
     """Negative values as 0."""
     return matrix.withColumn(value, F.greatest(F.col(value), F.lit(0.0)))

@@ -13,7 +13,7 @@ from . import alignment, embedding, periods, ppmi, topics
 
 @dataclass(frozen=True)
 class Model:
-    """Tables of all slices; ``skipped`` (slice, reason) has those that couldn't be trained."""
+    """Tables of all slices; ``skipped`` (slice, stage, reason) has those that couldn't be trained."""
 
     params: ppmi.Params
     vocabulary: DataFrame
@@ -26,16 +26,17 @@ def train(corpus: DataFrame, components: int = embedding.COMPONENTS, params: ppm
     """Counts, vocabulary, PPMI and embeddings of every slice of ``corpus`` (slice, .., line), all of them written tables.
 
     With ``common`` all slices get as many dimensions as the smallest can have, so that they can be aligned.
-    An error if no slice has a vocabulary.
+    An error if no slice has a vocabulary. A slice that fails is a row of ``skipped``; the others are complete.
     """
     vocab, entries = ppmi.prepared(corpus, params)
     if vocab.isEmpty():
         raise ValueError("the corpus has no vocabulary")
     entries = staged(entries)
     k = embedding.common_components(vocab, components) if common else components
-    vectors = staged(embedding.factorise(entries, vocab, k))
+    vectors, failed = embedding.attempted(entries, vocab, k)
     none = corpus.select("slice").distinct().join(vocab.select("slice").distinct(), "slice", "left_anti")
-    return Model(params, vocab, entries, vectors, none.select("slice", F.lit("no vocabulary").alias("reason")))
+    skipped = none.select("slice", F.lit("vocabulary").alias("stage"), F.lit("no vocabulary").alias("reason")).unionByName(failed)
+    return Model(params, vocab, entries, staged(vectors), skipped)
 
 
 def slices_as_periods(embeddings: DataFrame) -> DataFrame:

@@ -6,10 +6,16 @@ on the slice; Spark broadcasts that side by its size and shuffles it otherwise.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.staging import staged
+
+#: Words of a block of :func:`nearest`, and digits to which similarities are told apart there.
+BLOCK, DIGITS = 1024, 12
 
 
 def _asked(spark: SparkSession, words: list[str]) -> DataFrame:
@@ -41,6 +47,63 @@ def most_similar(embeddings: DataFrame, words: list[str], n: int = 10) -> DataFr
     return top(scored.where("similarity > -1"), ["slice", "query"], n).select("slice", "query", "word", "similarity", "place")
 
 
+def nearest(embeddings: DataFrame, n: int = 10) -> DataFrame:
+    """(slice, query, word, similarity, place): what :func:`most_similar` gives, of every word at once. ``n`` is positive.
+
+    Unit vectors are packed into blocks of words; each two blocks of a slice meet in a task, which multiplies them and keeps the ``n`` best of
+    each word; the best of the blocks are merged by word. A task holds two blocks and their products, and only n rows a word and
+    block leave it. Similarities that are equal to 12 digits are ties, settled by rank, which must be different for each word of a slice.
+    """
+    if n < 1:
+        raise ValueError(f"at least one neighbour is needed, not {n}")
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        vectors = rows.column("vector").combine_chunks()
+        x = vectors.flatten().to_numpy().reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 1))
+        norm = np.sqrt((x * x).sum(1))
+        raw = lambda a: pa.array([a.tobytes()], pa.binary())
+        return pa.table(
+            {
+                "slice": pa.array([key[0].as_py()], pa.string()), "block": pa.array([key[1].as_py()], pa.int32()), "ranks": raw(rows.column("rank").to_numpy().astype("<i4")),
+                "units": raw((x / np.maximum(norm, V.TINY)[:, None]).astype("<f8")), "known": raw(norm >= V.TINY),
+            }
+        )
+
+    def best(key: tuple, asked: pa.Table, others: pa.Table) -> pa.Table:
+        empty = pa.table({"slice": pa.array([], pa.string()), "rank": pa.array([], pa.int32()), "near": pa.array([], pa.list_(pa.struct({"away": pa.float64(), "other": pa.int32()})))})
+        if not asked.num_rows or not others.num_rows:
+            return empty
+        array = lambda t, c, kind: np.frombuffer(t.column(c)[0].as_buffer(), kind)
+        mine, theirs = array(asked, "ranks", "<i4"), array(others, "their_ranks", "<i4")
+        known = array(asked, "known", bool)
+        mine = mine[known]
+        if not len(mine):
+            return empty
+        a, b = array(asked, "units", "<f8").reshape(len(known), -1), array(others, "their_units", "<f8").reshape(len(theirs), -1)
+        s = np.clip(np.nan_to_num(a[known] @ b.T, nan=-1.0), -1, 1)
+        s[mine[:, None] == theirs] = -1
+        away = -np.round(s, DIGITS) + 0.0
+        order = np.lexsort((np.broadcast_to(theirs, s.shape), away), axis=1)[:, :n]
+        took = np.take_along_axis(away, order, 1) < 1
+        count = took.sum(1)
+        found = pa.StructArray.from_arrays([pa.array(np.take_along_axis(away, order, 1)[took]), pa.array(theirs[order][took])], ["away", "other"])
+        near = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), found)
+        return pa.table({"slice": pa.array([key[0].as_py()] * len(mine), pa.string()), "rank": pa.array(mine), "near": near})
+
+    rows = embeddings.select("slice", F.floor(F.col("rank") / BLOCK).cast("int").alias("block"), F.col("rank").cast("int").alias("rank"), "vector")
+    packs = staged(rows.groupBy("slice", "block").applyInArrow(pack, "slice string, block int, ranks binary, units binary, known binary"))
+    keys = packs.select(F.col("slice").alias("s"), F.col("block").alias("other"))
+    pairs = packs.select(F.col("slice").alias("of"), F.col("block").alias("mine")).join(keys, F.col("of") == F.col("s")).select("of", "mine", "other")
+    side = lambda at: packs.join(pairs, (F.col("slice") == F.col("of")) & (F.col("block") == F.col(at))).select("of", "mine", "other", "ranks", "units", "known")
+    theirs = side("other").select(F.col("of").alias("o"), F.col("mine").alias("m"), F.col("other").alias("t"), F.col("ranks").alias("their_ranks"), F.col("units").alias("their_units"))
+    met = side("mine").groupBy("of", "mine", "other").cogroup(theirs.groupBy("o", "m", "t")).applyInArrow(best, "slice string, rank int, near array<struct<away:double,other:int>>")
+    merged = met.groupBy("slice", "rank").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, n).alias("near"))
+    out = merged.select("slice", "rank", F.posexplode("near").alias("at", "one")).select("slice", "rank", (F.col("at") + 1).alias("place"), F.col("one.other").alias("other"), (-F.col("one.away")).alias("similarity"))
+    names = embeddings.select("slice", F.col("rank").cast("int").alias("rank"), F.col("word").alias("query"))
+    others = embeddings.select("slice", F.col("rank").cast("int").alias("other"), "word")
+    return out.join(names, ["slice", "rank"]).join(others, ["slice", "other"]).select("slice", "query", "word", "similarity", "place")
+
+
 def distance(embeddings: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(slice, w1, w2, distance): 1 - cosine, at most 1; null where a word is unknown or has no norm."""
     asked = embeddings.select("slice").distinct().withColumn("p", F.explode(F.array(*[F.struct(F.lit(a).alias("w1"), F.lit(b).alias("w2")) for a, b in pairs])))

@@ -106,6 +106,25 @@ def estimate(keys: DataFrame, sketch: DataFrame, params: SketchParams) -> DataFr
     return found.groupBy("key").agg(F.min(F.coalesce("cnt", F.lit(0).cast("long"))).alias("estimate"))
 
 
+def estimate_each(keys: DataFrame, sketches: DataFrame, params: SketchParams) -> DataFrame:
+    """(sketch, key, estimate) for the distinct ``keys`` (sketch, key), each from the sketch of its name: one lookup join for all sketches."""
+    found = placed(keys.select("sketch", "key").distinct(), params).join(sketches.select("sketch", "row", "bucket", "cnt"), ["sketch", "row", "bucket"], "left")
+    return found.groupBy("sketch", "key").agg(F.min(F.coalesce("cnt", F.lit(0).cast("long"))).alias("estimate"))
+
+
+def checked(sketches: DataFrame, params: SketchParams) -> DataFrame:
+    """``sketches``, if they can be of these parameters: an error if a row or bucket is outside of them, or rows of a sketch have different totals."""
+    if not all(isinstance(s, int) for s in params.seeds):
+        raise TypeError("All seeds must be integers")
+    outside = sketches.where((F.col("row") < 0) | (F.col("row") >= params.depth) | (F.col("bucket") < 0) | (F.col("bucket") >= params.width))
+    if not outside.isEmpty():
+        raise ValueError(f"the sketches aren't {params.depth} rows of {params.width} buckets")
+    uneven = total(sketches).groupBy("sketch").agg(F.min("total").alias("a"), F.max("total").alias("b"), F.count("*").alias("rows"))
+    if not uneven.where((F.col("a") != F.col("b")) | (F.col("rows") != params.depth)).isEmpty():
+        raise ValueError("the rows of a sketch have different totals")
+    return sketches
+
+
 def total(sketch: DataFrame) -> DataFrame:
     """Sum of each row: the stream's total in every one of them."""
     return sketch.groupBy("sketch", "row").agg(F.sum("cnt").alias("total"))

@@ -42,12 +42,64 @@ def normalised(text: str | Column) -> Column:
 
 
 def lemmatised(tokens_df: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """``tokens_df`` (.., word) with each word replaced by its lemma in ``lemmas`` (word, lemma), where it has one."""
-    table = lemmas.select("word", "lemma").dropDuplicates(["word"])
+    """``tokens_df`` (.., word) with each word replaced by its lemma in ``lemmas`` (word, lemma), where it has one; of several the first in order."""
+    table = lemmas.groupBy("word").agg(F.min("lemma").alias("lemma"))
     joined = tokens_df.join(table, "word", "left")
     return joined.withColumn("word", F.coalesce("lemma", "word")).select(*tokens_df.columns)
 
 
+#: Ordered rules (ending, what replaces it, least letters that are left): the first whose result is a known word is taken.
+SUFFIXES = [
+    ("ies", "y", 2), ("ied", "y", 2), ("sses", "ss", 1), ("xes", "x", 1), ("ches", "ch", 1), ("shes", "sh", 1), ("ves", "f", 2), ("es", "e", 2), ("es", "", 2), ("s", "", 2),
+    ("ing", "", 3), ("ing", "e", 2), ("ed", "", 3), ("ed", "e", 2), ("er", "", 3), ("er", "e", 2), ("est", "", 3), ("est", "e", 2),
+]
+
+
+def rule_lemmas(vocabulary: DataFrame, exceptions: DataFrame | None = None, rules: list[tuple[str, str, int]] | None = None) -> DataFrame:
+    """(word, lemma) for the distinct words of ``vocabulary`` (word) that change: by an exception (word, lemma; of several the first in order), else by the first rule whose result is a known word.
+
+    A doubled last letter is looked for single as well (``running``: ``run``), after the ending's own results. Known words are those of the
+    vocabulary and the exceptions' lemmas. A rule's result is a lemma as it is: rules aren't applied again.
+    """
+    rules = SUFFIXES if rules is None else rules
+    words = vocabulary.select("word").where("word is not null").distinct()
+    tries = []
+    for end, new, least in rules:
+        fits = F.col("word").endswith(end) & (F.length("word") >= least + len(end))
+        stem = F.expr(f"left(word, length(word) - {len(end)})")
+        tries.append(F.when(fits, F.concat(stem, F.lit(new))))
+        if end in ("ing", "ed", "er", "est") and not new:
+            double = fits & stem.rlike("([b-df-hj-np-tv-z])\\1$")
+            tries.append(F.when(double, F.expr(f"left(word, length(word) - {len(end) + 1})")))
+    numbered = F.array(*[F.struct(F.lit(i).alias("place"), t.alias("lemma")) for i, t in enumerate(tries)])
+    made = words.select("word", F.inline(F.filter(numbered, lambda x: x["lemma"].isNotNull())))
+    known = words
+    if exceptions is not None:
+        known = words.union(exceptions.select("lemma").where("lemma is not null")).distinct()
+    found = made.join(known.withColumnRenamed("word", "lemma"), "lemma", "left_semi").groupBy("word").agg(F.min(F.struct("place", "lemma"))["lemma"].alias("lemma"))
+    if exceptions is not None:
+        told = exceptions.where("word is not null and lemma is not null").groupBy("word").agg(F.min("lemma").alias("lemma")).join(words, "word", "left_semi")
+        found = told.unionByName(found.join(told, "word", "left_anti"))
+    return found.where("lemma != word")
+
+
+#: Tokens of a line that are one row in :func:`long_skipgrams`.
+CHUNK = 4096
+
+
+def long_skipgrams(corpus: DataFrame, window: int = WINDOW, min_length: int = MIN_LENGTH, chunk: int = CHUNK) -> DataFrame:
+    """What :func:`skipgrams` gives, for lines of any length: (slice, w1, w2), of lines cut into chunks of tokens that are dealt to all tasks.
+
+    A chunk holds ``chunk`` words and the ``window`` + 1 that follow it, so each pair is made by the chunk of its first word, once. Behind the cut no row holds a line.
+    """
+    lines = corpus.select("slice", tokens("line", min_length).alias("words")).where(F.size("words") > 0)
+    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(chunk))
+    cuts = lines.select("slice", F.explode(F.transform(starts, lambda s: F.slice("words", s + 1, F.lit(chunk + window + 1)))).alias("words"))
+    dealt = cuts.repartition(F.xxhash64("words"))
+    first = dealt.select("slice", "words", F.posexplode(F.slice("words", 1, chunk)).alias("at", "w1"))
+    return first.select("slice", "w1", F.explode(_following(window)).alias("w2"))
+
+
 def words(corpus: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     return corpus.select("slice", F.explode(tokens("line", min_length)).alias("word"))
 

@@ -24,12 +24,40 @@ TOPICS, MAX_ITER, MIN_SIMILARITY = 10, 500, 0.1
 def factors(entries: DataFrame, vocab: DataFrame, topics: int = TOPICS, max_iter: int = MAX_ITER) -> DataFrame:
     """(slice, topic_id, word, rank, focus, weight): the word's loading as a row of W, and as a column of H.
 
-    Negative entries are an error, and so are more topics than words; a slice without entries has no rows.
+    Negative entries are an error, and so are more topics than words; a slice without entries has no rows. See :func:`attempted`.
     """
+    return _with_words(vocab, _split(entries, vocab, topics, max_iter, strict=True))
+
+
+def attempted(entries: DataFrame, vocab: DataFrame, topics: int = TOPICS, max_iter: int = MAX_ITER) -> tuple[DataFrame, DataFrame]:
+    """What :func:`factors` gives, without slices that fail, and (slice, stage, reason) of those."""
+    rows = staged(_split(entries, vocab, topics, max_iter, strict=False))
+    failed = rows.where("reason is not null").select("slice", F.lit("topics").alias("stage"), "reason")
+    return _with_words(vocab, rows.where("reason is null")), failed
+
+
+def _with_words(vocab: DataFrame, rows: DataFrame) -> DataFrame:
+    words = vocab.select("slice", "word", F.col("rank").cast("int").alias("rank"))
+    return rows.join(words, ["slice", "rank"]).select("slice", "topic_id", "word", "rank", "focus", "weight")
+
+
+def _split(entries: DataFrame, vocab: DataFrame, topics: int, max_iter: int, strict: bool) -> DataFrame:
+    """(slice, topic_id, rank, focus, weight, reason): a slice's rows, or one row with the reason why it has none."""
+    if topics < 1:
+        raise ValueError(f"at least one topic is needed, not {topics}")
     cells = entries.select("slice", F.col("i").cast("int"), F.col("j").cast("int"), F.col("ppmi").cast("double").alias("value"))
     sizes = vocab.groupBy("slice").agg(F.count("*").cast("int").alias("i")).select("slice", "i", F.lit(-1).alias("j"), F.lit(0.0).alias("value"))
 
     def split(rows: pa.Table) -> pa.Table:
+        try:
+            return solved(rows)
+        except (ValueError, np.linalg.LinAlgError) as e:
+            if strict:
+                raise
+            none = {c: pa.array([None], kind) for c, kind in (("topic_id", pa.int32()), ("rank", pa.int32()), ("focus", pa.float64()), ("weight", pa.float64()))}
+            return pa.table({"slice": rows.column("slice")[:1], **none, "reason": [str(e)]})
+
+    def solved(rows: pa.Table) -> pa.Table:
         i, j, value = (rows.column(c).to_numpy() for c in ("i", "j", "value"))
         n, held, name = int(i[j < 0][0]), j >= 0, rows.column("slice")[0].as_py()
         if (value < 0).any():
@@ -41,13 +69,11 @@ def factors(entries: DataFrame, vocab: DataFrame, topics: int = TOPICS, max_iter
         return pa.table(
             {
                 "slice": pa.array([name] * (k * n), pa.string()), "topic_id": pa.array(np.repeat(np.arange(k, dtype=np.int32), n)), "rank": pa.array(np.tile(np.arange(n, dtype=np.int32), k)),
-                "focus": pa.array(w.T.ravel()), "weight": pa.array(h.ravel()),
+                "focus": pa.array(w.T.ravel()), "weight": pa.array(h.ravel()), "reason": pa.array([None] * (k * n), pa.string()),
             }
         )
 
-    found = sizes.unionByName(cells).groupBy("slice").applyInArrow(split, "slice string, topic_id int, rank int, focus double, weight double")
-    words = vocab.select("slice", "word", F.col("rank").cast("int").alias("rank"))
-    return found.join(words, ["slice", "rank"]).select("slice", "topic_id", "word", "rank", "focus", "weight")
+    return sizes.unionByName(cells).groupBy("slice").applyInArrow(split, "slice string, topic_id int, rank int, focus double, weight double, reason string")
 
 
 def distributions(weights: DataFrame) -> DataFrame:

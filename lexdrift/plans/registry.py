@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import alignment, embedding, periods, ppmi, shift, similarity, sketch, tokens, topics, vocabulary
-from ..sources.staging import staged
+from ..operators import alignment, embedding, periods, ppmi, shift, similarity, sketch, tiles, tokens, topics, vocabulary
+from ..sources import storage
+from ..sources.staging import shared_dir, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -146,6 +147,49 @@ def skipgram_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pair_counts(corpus(spark, sf_dir))
 
 
+@query("""
+WITH whole AS (SELECT lang AS slice, string_agg(replace(text, chr(10), ' '), ' ' ORDER BY doc_id) AS line FROM documents GROUP BY lang),
+toks AS (SELECT slice, list_filter(regexp_split_to_array(line, '\\s+'), lambda x: length(x) >= 3) AS w FROM whole),
+words AS (SELECT slice, unnest(w) AS w1, unnest(range(1, len(w) + 1)) AS i FROM toks),
+pairs AS (SELECT slice, w1, unnest([lead(w1, 1) OVER o, lead(w1, 2) OVER o, lead(w1, 3) OVER o, lead(w1, 4) OVER o, lead(w1, 5) OVER o, lead(w1, 6) OVER o]) AS w2
+          FROM words WINDOW o AS (PARTITION BY slice ORDER BY i))
+SELECT slice, w1, w2, count(*) AS n FROM pairs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) > 2
+""")
+def skipgrams_of_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skip-grams that occur over twice, of lines that are all of a language's texts."""
+    texts = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("slice")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
+    lines = texts.select("slice", F.translate(F.array_join("t.text", " "), "\n", " ").alias("line"))
+    return tokens.long_skipgrams(lines).groupBy("slice", "w1", "w2").agg(F.count("*").alias("n")).where("n > 2")
+
+
+def _forms_sql() -> str:
+    """The rules in order, a doubled letter's after its own."""
+    tries = []
+    for end, new, least in tokens.SUFFIXES:
+        fits = f"ends_with(word, '{end}') AND length(word) >= {least + len(end)}"
+        tries.append(f"CASE WHEN {fits} THEN left(word, length(word) - {len(end)}) || '{new}' END")
+        if end in ("ing", "ed", "er", "est") and not new:
+            same = f"left(word, length(word) - {len(end)})"
+            tries.append(f"CASE WHEN {fits} AND {same}[-1] = {same}[-2] AND regexp_matches({same}[-1], '[b-df-hj-np-tv-z]') THEN left({same}, length({same}) - 1) END")
+    return ", ".join(tries)
+
+
+@query(f"""
+WITH told(word, lemma) AS (VALUES ('was', 'be'), ('were', 'be'), ('the', 'a'), ('the', 'an')),
+words AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents),
+known AS (SELECT word FROM words UNION SELECT lemma FROM told),
+tries AS (SELECT word, unnest([{_forms_sql()}]) AS lemma, unnest(range(100)) AS place FROM words),
+ruled AS (SELECT t.word, arg_min(t.lemma, place) AS lemma FROM tries t JOIN known k ON k.word = t.lemma WHERE t.word NOT IN (SELECT word FROM told) GROUP BY t.word),
+excepted AS (SELECT w.word, min(lemma) AS lemma FROM told JOIN words w USING (word) GROUP BY w.word)
+SELECT * FROM ruled WHERE lemma <> word UNION ALL SELECT * FROM excepted
+""")
+def word_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of the documents' words that rules or exceptions lead to another word."""
+    told = spark.createDataFrame([("was", "be"), ("were", "be"), ("the", "a"), ("the", "an")], "word string, lemma string")
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    return tokens.rule_lemmas(words, told)
+
+
 @query(f"WITH {_TOKENS}, {_PAIRS} SELECT slice, pairs FROM pt")
 def skipgram_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pair_totals(corpus(spark, sf_dir))
@@ -202,6 +246,17 @@ def ppmi_row_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppmi.of_corpus(corpus(spark, sf_dir)).groupBy("slice", "w1").agg(F.count("*").alias("entries"), F.round(F.max("ppmi"), 5).alias("most"))
 
 
+@query(_ppmi_sql(1.0, 0.75))
+def ppmi_from_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPMI whose counts are estimates of Count-Min tables, so wide that no keys meet in every row: they are the exact ones."""
+    lines = staged(corpus(spark, sf_dir))
+    tables = sketch.SketchParams(width=1 << 30, depth=3)
+    words_table, pairs_table = ppmi.sketched(lines, tables)
+    v = staged(vocabulary.ranked(staged(tokens.word_counts(lines))))
+    seen = tokens.skipgrams(lines).distinct()
+    return ppmi.from_sketches(v, seen, words_table, pairs_table, tables).withColumn("ppmi", r6("ppmi"))
+
+
 # --- sketches -----------------------------------------------------------------------------------------
 
 _PARTS = sketch.SketchParams(width=5000, depth=4)
@@ -376,6 +431,18 @@ def most_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.most_similar(halves(spark, sf_dir), ["w0", "w11", "w200"]).withColumn("similarity", r6("similarity"))
 
 
+@query(f"""
+WITH {_HALVES}, s AS (
+  SELECT x.slice, x.word AS query, y.word, round({_COS.format('x.vector', 'y.vector')}, 12) AS sim, y.rank FROM e x JOIN e y ON x.slice = y.slice AND x.word != y.word
+  WHERE list_inner_product(x.vector, x.vector) > 0
+), p AS (SELECT *, row_number() OVER (PARTITION BY slice, query ORDER BY sim DESC, rank)::INTEGER AS place FROM s WHERE sim > -1)
+SELECT slice, query, word, round(sim, 6) AS similarity, place FROM p WHERE place <= 5
+""")
+def nearest_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest words of every word."""
+    return similarity.nearest(halves(spark, sf_dir), 5).withColumn("similarity", r6("similarity"))
+
+
 @query(f"""
 WITH {_HALVES}, t AS (
   SELECT n.slice, list_transform(list_zip(n.vector, a.vector, b.vector), lambda x: x[1] - x[2] + x[3]) AS q
@@ -691,15 +758,18 @@ def topic_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WHOLE = f"WITH {_TOKENS}, {_VOCAB}"
+#: How far a gradient may be from where a weight is best, of the largest of its topic, as sweeps end when they move little.
+STATIONARY = 0.02
 
 
 @query(f"""
 {_WHOLE}, sizes AS (SELECT slice, count(*) AS words FROM vocab GROUP BY slice)
-SELECT slice, words, least(300, (SELECT min(words) FROM sizes) - 1)::INTEGER AS dims, true AS orthogonal, true AS singular, true AS bounded FROM sizes
+SELECT slice, words, least(300, (SELECT min(words) FROM sizes) - 1)::INTEGER AS dims, true AS orthogonal, true AS singular, true AS bounded, true AS descending, true AS largest FROM sizes
 """)
 def embedding_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimensions are orthogonal; each is a singular vector of the matrix M times the root of its value s: its squared norm is s, that
-    of M' times it s cubed; and the values' squares don't add up to more than the matrix's."""
+    of M' times it s cubed; the values descend, their squares don't add up to more than the matrix's; and what they leave of the matrix has no
+    larger value than the smallest of them: none is missing, and other directions aren't better."""
     model = _trained(spark, sf_dir)
     e = model.embeddings
     gram = alignment.cross_covariance(e.select(F.col("slice").alias("source"), F.col("slice").alias("target"), F.col("vector").alias("a"), F.col("vector").alias("b")))
@@ -712,19 +782,24 @@ def embedding_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = model.entries.select("slice", "i", "j", "ppmi").join(rows, ["slice", "i"]).groupBy("slice", "j", "c").agg(F.sum(F.col("ppmi") * F.col("x")).alias("y"))
     cubes = left.groupBy("slice", "c").agg(F.sum(F.col("y") * F.col("y")).alias("cube"))
     norms = gram.where("p = q").select(F.col("source").alias("slice"), F.col("p").alias("c"), F.col("value").alias("s"))
+    before = F.lag("s").over(Window.partitionBy("slice").orderBy("c"))
+    falls = norms.withColumn("falls", F.coalesce(F.col("s") <= before * (1 + 1e-9) + 1e-12, F.lit(True))).groupBy("slice").agg(F.bool_and("falls").alias("descending"), F.min("s").alias("last"))
+    missed = embedding.missed(model.entries, e)
     far = norms.join(cubes, ["slice", "c"]).groupBy("slice").agg(F.max(F.abs(F.col("cube") - F.col("s") * F.col("s") * F.col("s"))).alias("far"))
     whole = model.entries.groupBy("slice").agg(F.sum(F.col("ppmi") * F.col("ppmi")).alias("whole"))
     sizes = e.groupBy("slice").agg(F.count("*").alias("words"), F.max(F.size("vector")).alias("dims"))
-    every = sizes.join(values, "slice").join(far, "slice").join(whole, "slice")
+    every = sizes.join(values, "slice").join(far, "slice").join(whole, "slice").join(falls, "slice").join(missed, "slice")
     return every.select(
-        "slice", "words", "dims", (F.col("mixed") <= 1e-6 * F.col("largest")).alias("orthogonal"), (F.col("far") <= 1e-6 * F.pow("largest", F.lit(3))).alias("singular"),
+        "slice", "words", "dims", "descending", (F.col("missed") <= F.col("last") + 1e-6 * F.col("largest")).alias("largest"), (F.col("mixed") <= 1e-6 * F.col("largest")).alias("orthogonal"), (F.col("far") <= 1e-6 * F.pow("largest", F.lit(3))).alias("singular"),
         (F.col("squares") <= F.col("whole") * (1 + 1e-9)).alias("bounded"),
     )
 
 
-@query(f"{_WHOLE} SELECT slice, 10::BIGINT AS topics, count(*) AS words, true AS non_negative, true AS stationary, true AS nearer FROM vocab GROUP BY slice")
+@query(f"{_WHOLE} SELECT slice, 10::BIGINT AS topics, count(*) AS words, true AS non_negative, true AS scaled, true AS stationary, true AS nearer FROM vocab GROUP BY slice")
 def topic_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Factors W, H aren't negative; of M the product WH is the nearest along its own ray, <M, WH> = <WH, WH>, and nearer than nothing."""
+    """Factors W, H aren't negative; of M the product WH is the nearest along its own ray, <M, WH> = <WH, WH>; no single weight can be changed to
+    come much nearer: the gradient is about zero where one is, and not negative elsewhere; and WH is nearer than the best product of one topic, which leaves all but the
+    square of the largest singular value."""
     v, entries = ppmi.prepared(corpus(spark, sf_dir))
     entries = staged(entries)
     rows = staged(topics.factors(ppmi.clamped(entries), v))
@@ -734,13 +809,63 @@ def topic_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     product = lambda df, at, x, name: df.join(df.select("slice", F.col("topic_id").alias("other"), at, F.col(x).alias("y")), ["slice", at]).groupBy("slice", "topic_id", "other").agg(F.sum(F.col(x) * F.col("y")).alias(name))
     square = product(w, "i", "focus", "g").join(product(h, "j", "weight", "k"), ["slice", "topic_id", "other"]).groupBy("slice").agg(F.sum(F.col("g") * F.col("k")).alias("square"))
     sizes = rows.groupBy("slice").agg(F.countDistinct("topic_id").alias("topics"), F.countDistinct("rank").alias("words"), F.min(F.least("focus", "weight")).alias("least"))
-    every = sizes.join(cross, "slice").join(square, "slice")
+    # Both gradients: of W it is W HH' - MH', of H it is W'W H - W'M; against the larger of the two products at each topic.
+    def slopes(x: DataFrame, at: str, v: str, y: DataFrame, to: str, u: str) -> DataFrame:
+        target = entries.join(y.select("slice", to, "topic_id", F.col(u).alias("y")), ["slice", to]).groupBy("slice", at, "topic_id").agg(F.sum(F.col("ppmi") * F.col("y")).alias("b"))
+        gram = product(y, to, u, "g").withColumnRenamed("topic_id", "t")
+        model = x.withColumnRenamed("topic_id", "t").join(gram, ["slice", "t"]).groupBy("slice", at, F.col("other").alias("topic_id")).agg(F.sum(F.col(v) * F.col("g")).alias("a"))
+        rows = x.join(model, ["slice", at, "topic_id"]).join(target, ["slice", at, "topic_id"], "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
+        size = F.max(F.greatest("a", "b")).over(Window.partitionBy("slice", "topic_id"))
+        off = F.when(F.col(v) > 0, F.abs(F.col("a") - F.col("b"))).otherwise(F.greatest(F.lit(0.0), F.col("b") - F.col("a")))
+        return rows.select("slice", (off / F.greatest(size, F.lit(1e-12))).alias("off")).groupBy("slice").agg(F.max("off").alias("off"))
+
+    slope = slopes(w, "i", "focus", h, "j", "weight").unionByName(slopes(h, "j", "weight", w, "i", "focus")).groupBy("slice").agg(F.max("off").alias("off"))
+    whole = entries.groupBy("slice").agg(F.sum(F.col("ppmi") * F.col("ppmi")).alias("whole"))
+    first = embedding.factorise(entries, v, 1).groupBy("slice").agg(F.sum(F.col("vector")[0] * F.col("vector")[0]).alias("first"))
+    every = sizes.join(cross, "slice").join(square, "slice").join(slope, "slice").join(whole, "slice").join(first, "slice")
+    left = F.col("whole") - 2 * F.col("cross") + F.col("square")
     return every.select(
-        "slice", "topics", "words", (F.col("least") >= 0).alias("non_negative"), (F.abs(F.col("cross") - F.col("square")) <= 1e-3 * F.col("square")).alias("stationary"),
-        (2 * F.col("cross") > F.col("square")).alias("nearer"),
+        "slice", "topics", "words", (F.col("least") >= 0).alias("non_negative"), (F.abs(F.col("cross") - F.col("square")) <= 1e-3 * F.col("square")).alias("scaled"),
+        (F.col("off") <= STATIONARY).alias("stationary"), (left <= (F.col("whole") - F.col("first") * F.col("first")) * (1 + 1e-9)).alias("nearer"),
     )
 
 
+@query(f"""
+{_WHOLE}, sizes AS (SELECT slice, count(*) AS words FROM vocab GROUP BY slice)
+SELECT slice, unnest(range(least(300, (SELECT min(words) FROM sizes) - 1)))::INTEGER AS component, true AS same FROM sizes
+""")
+def singular_values_by_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every singular value of every slice by both ways: in tiles that no task holds together, and a slice in a task."""
+    v, entries = ppmi.prepared(corpus(spark, sf_dir))
+    entries = staged(entries)
+    k = embedding.common_components(v)
+    sums = lambda e, name: staged(e).select("slice", F.posexplode("vector").alias("component", "x")).groupBy("slice", "component").agg(F.sum(F.col("x") * F.col("x")).alias(name))
+    both = sums(tiles.embed(entries, v, k)[0], "a").join(sums(embedding.factorise(entries, v, k), "b"), ["slice", "component"])
+    return both.select("slice", "component", (F.abs(F.col("a") - F.col("b")) <= 1e-6 * F.greatest("b", F.lit(1.0))).alias("same"))
+
+
+#: Events in order by user are a slice of few different words.
+_FEW = f"""
+{_TOKENS.replace("FROM documents)", "FROM documents UNION ALL SELECT 'events', user_id, string_agg(event_type, ' ' ORDER BY ts, event_id) FROM events GROUP BY user_id)")}
+"""
+
+
+@query(f"""
+WITH {_FEW}, {_VOCAB}
+SELECT slice, CASE WHEN count(*) < 10 THEN 'topics' ELSE 'complete' END AS stage,
+       CASE WHEN count(*) < 10 THEN '10 topics need as many words; ' || slice || ' has ' || count(*) END AS reason, CASE WHEN count(*) < 10 THEN 0 ELSE 10 * count(*) END AS weights
+FROM vocab GROUP BY slice
+""")
+def slice_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of slices of which one has too few words: it is a row with a reason, the others are whole."""
+    by_user = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
+    lines = by_user.select(F.lit("events").alias("slice"), F.col("user_id").alias("doc_id"), F.lit(0).alias("line_no"), F.array_join("e.event_type", " ").alias("line"))
+    v, entries = ppmi.prepared(corpus(spark, sf_dir).unionByName(lines), ppmi.Params(alpha=1.0))
+    rows, failed = topics.attempted(ppmi.clamped(entries), v)
+    done = rows.groupBy("slice").agg(F.lit("complete").alias("stage"), F.lit(None).cast("string").alias("reason"), F.count("*").alias("weights"))
+    return done.unionByName(failed.withColumn("weights", F.lit(0).cast("long")))
+
+
 @query(f"WITH {_HALVES} SELECT CASE WHEN vec_id % 2 = 0 THEN '1975-1999' ELSE '2000-2024' END AS slice, vec_id AS doc_id, true AS whole, true AS optimal FROM embeddings")
 def document_topics_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All shares of a document add up to one, and no weight can be changed to come nearer: the gradient is zero where a share is, and not negative elsewhere."""
@@ -760,6 +885,55 @@ def document_topics_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("slice", "doc_id").agg((F.abs(F.sum("share") - 1) < 1e-9).alias("whole"), F.bool_and(fits).alias("optimal"))
 
 
+# --- tables that are written and read again ---------------------------------------------------------------
+
+
+@query(r"""
+SELECT doc_id::VARCHAR AS date, lang AS doc_name, NULL::VARCHAR AS title, source AS president, text AS transcript, lower(text) AS lemmatized FROM documents
+""")
+def records_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON records, written and read."""
+    docs = table(spark, sf_dir, "documents")
+    none = F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("string").alias("date"), F.col("lang").alias("doc_name"), none.alias("title"), F.col("source").alias("president"), F.col("text").alias("transcript"), F.lower("text").alias("lemmatized"))
+    path = shared_dir(spark)
+    storage.write_records(rows, path)
+    return storage.read_records(spark, path, lines=True)
+
+
+@query(f"""
+WITH {_PERIODS}, d AS (SELECT doc_id, replace(replace(text, chr(10), ' '), chr(13), ' ') AS line FROM documents WHERE text IS NOT NULL)
+SELECT period AS slice, lower(trim(line)) AS line, count(*) AS n FROM q JOIN d ON d.doc_id = q.o_orderkey WHERE trim(line) != '' GROUP BY ALL
+""")
+def periods_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are dated by an order of their number, as text files by period, written and read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "\n\r", "  ").alias("transcript"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("date")).join(docs, "doc_id")
+    path = shared_dir(spark)
+    storage.write_periods(rows.withColumn("lemmatized", F.col("transcript")), path)
+    return storage.read_periods(spark, path).groupBy("slice", "line").agg(F.count("*").alias("n"))
+
+
+@query(f"{_WHOLE} SELECT slice, word, rank, n, total FROM vocab")
+def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of a model that was saved, of which one slice was then trained and saved again by itself, as it is loaded."""
+    path, lines = shared_dir(spark), corpus(spark, sf_dir)
+    storage.save_model(shift.train(lines, 2), path)
+    one = lines.agg(F.max("slice")).first()[0]
+    storage.refresh_slices(shift.train(lines.where(F.col("slice") == one), 2), path)
+    return storage.load_model(spark, path).vocabulary.select("slice", "word", "rank", "n", "total")
+
+
+@query(f"WITH {_ANCHORS} SELECT 'a' AS source, 'b' AS target, word, 0 AS low, 1000 AS high FROM anchors")
+def alignment_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anchors and the rank window of an alignment that was saved, as they are loaded."""
+    path, rows = shared_dir(spark), halves(spark, sf_dir)
+    fitted, _ = alignment.fit(rows, _pair(spark), 0, 1000)
+    storage.save_alignment(fitted, alignment.anchors(rows, _pair(spark), 0, 1000), path, 0, 1000)
+    low, high = storage.alignment_window(spark, path)
+    return storage.load_alignment(spark, path)[1].select("source", "target", "word", F.lit(low).alias("low"), F.lit(high).alias("high"))
+
+
 # --- whole chains on documents, sliced by their source -----------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment, periods, ppmi
 from ..operators.shift import Model
+from .staging import exists, listed
 
 RECORD = "date string, doc_name string, title string, president string, transcript string, lemmatized string"
 TABLES = ("vocabulary", "ppmi", "embeddings", "params")
@@ -19,12 +20,12 @@ KINDS = {
     "ppmi": "i int, j int, w1 string, w2 string, n long, ppmi double, slice string",
     "embeddings": "word string, rank int, vector array<double>, slice string",
 }
-SKIPPED = "slice string, reason string"
+SKIPPED = "stage string, reason string, slice string"
 
 
-def read_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
-    """Records from JSON files that hold one array or object each."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_records(spark: SparkSession, path: str, schema: str = RECORD, lines: bool = False) -> DataFrame:
+    """Records from JSON files that hold one array or object each, or, as :func:`write_records` leaves them, one a line."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def write_records(df: DataFrame, path: str) -> None:
@@ -53,11 +54,45 @@ def _there(spark: SparkSession, path: str) -> bool:
 
 
 def save_model(model: Model, path: str) -> None:
-    for name, df in (("vocabulary", model.vocabulary), ("ppmi", model.entries), ("embeddings", model.embeddings)):
-        df.write.mode("overwrite").partitionBy("slice").parquet(f"{path}/{name}")
+    """Writes all tables of a model to folders of a new version, and last a manifest of it: until that is there the old model is read, whole."""
+    _write(model, path, None)
+
+
+def refresh_slices(model: Model, path: str) -> None:
+    """Replaces the slices of ``model`` in the saved one and leaves the files of all others where they are; with the same parameters, else ValueError.
+
+    A slice that the model has skipped takes its old tables' place as well. The manifest is written last.
+    """
     spark = model.vocabulary.sparkSession
-    spark.createDataFrame([asdict(model.params)]).coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
-    model.skipped.write.mode("overwrite").parquet(f"{path}/skipped")
+    old = load_model(spark, path)
+    if old.params != model.params:
+        raise ValueError("the saved model was trained with different parameters")
+    _write(model, path, _manifest(spark, path))
+
+
+def _manifest(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
+    """(table, slice, folder) of the newest version; slices are few. FileNotFoundError without one."""
+    found = sorted(n for n in listed(spark, f"{path}/manifest") if exists(spark, f"{path}/manifest/{n}/_SUCCESS"))
+    if not found:
+        raise FileNotFoundError(f"{path}/manifest")
+    return [(r.name, r.slice, r.folder) for r in spark.read.schema("name string, slice string, folder string").parquet(f"{path}/manifest/{found[-1]}").collect()]
+
+
+def _write(model: Model, path: str, before: list[tuple[str, str, str]] | None) -> None:
+    spark = model.vocabulary.sparkSession
+    numbers = [int(n) for n in listed(spark, f"{path}/manifest")] + [int(n) for n in listed(spark, f"{path}/data")]
+    version = f"{max(numbers, default=0) + 1:08d}"
+    mine = [r.slice for r in model.vocabulary.select("slice").union(model.skipped.select("slice")).distinct().collect()]
+    rows = [r for r in before or [] if r[1] not in mine and r[0] != "params"]
+    tables = {"vocabulary": model.vocabulary, "ppmi": model.entries, "embeddings": model.embeddings, "skipped": model.skipped}
+    for name, df in tables.items():
+        at = f"data/{version}/{name}"
+        df.write.mode("overwrite").partitionBy("slice").parquet(f"{path}/{at}")
+        rows += [(name, s, at) for s in mine]
+    at = f"data/{version}/params"
+    spark.createDataFrame([asdict(model.params)]).coalesce(1).write.mode("overwrite").parquet(f"{path}/{at}")
+    rows.append(("params", "", at))
+    spark.createDataFrame(rows, "name string, slice string, folder string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{version}")
 
 
 def load_model(spark: SparkSession, path: str) -> Model:
@@ -68,16 +103,27 @@ def load_model(spark: SparkSession, path: str) -> Model:
 
 
 def _read(spark: SparkSession, paths: list[str]) -> Model:
-    for path in paths:
-        for name in (*TABLES, "skipped"):
-            if not _there(spark, f"{path}/{name}"):
-                raise FileNotFoundError(f"{path}/{name}")
-    every = lambda name, kind: reduce(DataFrame.unionByName, [spark.read.schema(kind).parquet(f"{path}/{name}") for path in paths])
+    manifests = {path: _manifest(spark, path) for path in paths}
+    for path, rows in manifests.items():
+        for folder in sorted({r[2] for r in rows}):
+            if not _there(spark, f"{path}/{folder}"):
+                raise FileNotFoundError(f"{path}/{folder}")
+
+    def every(name: str, kind: str) -> DataFrame:
+        """A folder has the slices of a version: those that the manifest still takes from it."""
+        parts = []
+        for path, rows in manifests.items():
+            by_folder: dict[str, list[str]] = {}
+            for _, s, folder in (r for r in rows if r[0] == name):
+                by_folder.setdefault(folder, []).append(s)
+            parts += [spark.read.schema(kind).parquet(f"{path}/{folder}").where(F.col("slice").isin(slices)) for folder, slices in by_folder.items()]
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], kind)
+
     v, m, e = (every(name, KINDS[name]) for name in TABLES[:3])
-    found = [ppmi.Params(**spark.read.parquet(f"{path}/params").first().asDict()) for path in paths]
+    found = [ppmi.Params(**spark.read.parquet(f"{path}/{next(r[2] for r in rows if r[0] == 'params')}").first().asDict()) for path, rows in manifests.items()]
     if len(set(found)) > 1:
         raise ValueError("the models were trained with different parameters")
-    return Model(found[0], v, m, e, every("skipped", SKIPPED))
+    return Model(found[0], v, m, e, every("skipped", SKIPPED).select("slice", "stage", "reason"))
 
 
 def period_models(spark: SparkSession, base: str) -> list[str]:
@@ -85,7 +131,7 @@ def period_models(spark: SparkSession, base: str) -> list[str]:
     where = spark._jvm.org.apache.hadoop.fs.Path(base)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [x.getPath().getName() for x in fs.listStatus(where) if x.isDirectory()]
-    names = [n for n in names if n.split("-")[0].isdigit() and all(_there(spark, f"{base}/{n}/{t}") for t in TABLES)]
+    names = [n for n in names if n.split("-")[0].isdigit() and any(exists(spark, f"{base}/{n}/manifest/{v}/_SUCCESS") for v in listed(spark, f"{base}/{n}/manifest"))]
     return sorted(names, key=lambda n: (int(n.split("-")[0]), n))
 
 

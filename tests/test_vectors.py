@@ -233,7 +233,7 @@ def test_models_of_periods_and_alignments_are_found(spark, tmp_path):
     assert storage.period_models(spark, base) == ["0950-0974", "1975-1999", "2000-2024"]
     model = storage.load_models(spark, base)
     assert [r.slice for r in storage.slices_of(model).collect()] == ["0950-0974", "1975-1999", "2000-2024"]
-    assert [tuple(r) for r in model.skipped.distinct().collect()] == [("empty", "no vocabulary")]
+    assert [tuple(r) for r in model.skipped.distinct().collect()] == [("empty", "vocabulary", "no vocabulary")]
     fitted, _ = alignment.fit(model.embeddings, spark.createDataFrame([("0950-0974", "2000-2024")], "source string, target string"), 0, 50)
     path = f"file://{tmp_path}/aligned"
     storage.save_alignment(fitted, fitted, path, 0, 50)
