@@ -6,8 +6,6 @@ Topics are rows (slice, topic_id, word, weight). A slice's matrix is one Arrow g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -96,48 +94,47 @@ def report(top: DataFrame, n: int = 10) -> DataFrame:
     return rows.select("slice", "topic_id", F.array_join(F.slice(F.col("t.word"), 1, 3), ", ").alias("label"), F.array_join("t.shown", ", ").alias("words"))
 
 
+#: Documents of a slice that are mixed in one group.
+DOCS = 8192
+
+
 def document_topics(documents: DataFrame, weights: DataFrame, threshold: float = 0.1) -> DataFrame:
     """(slice, doc_id, topic_id, share): documents (slice, doc_id, word, weight) as non-negative mixes of the slice's topics, shares over ``threshold``.
 
-    With the topics fixed only their products with each other and with the document count: both are sums by join. doc_id is a long.
+    With the topics fixed only their products with each other and with the document count: both are sums by join. Documents of a slice are
+    dealt to groups of about ``DOCS``, each of which gets the slice's products of topics. doc_id is a long. Documents of a slice without topics, and those that share no
+    word with them, have no rows.
     """
     t = weights.select("slice", "topic_id", "word", F.col("weight").alias("h"))
     gram = t.join(t.select("slice", F.col("topic_id").alias("other"), "word", F.col("h").alias("g")), ["slice", "word"])
     gram = gram.groupBy("slice", "topic_id", "other").agg(F.sum(F.col("h") * F.col("g")).alias("v"))
+    gram = gram.groupBy("slice").agg(F.collect_list(F.struct("topic_id", "other", "v")).alias("gram"))  # as many as topics squared
     target = documents.join(t, ["slice", "word"]).groupBy("slice", "doc_id", "topic_id").agg(F.sum(F.col("weight") * F.col("h")).alias("v"))
-    docs = target.groupBy("slice", "doc_id").agg(F.collect_list(F.struct("topic_id", "v")).alias("target"))
-    # The products of topics once a slice, as many as the topics' square: they go to the tasks, not to each document.
-    held: dict[str, list[tuple[int, int, float]]] = {}
-    for r in gram.collect():
-        held.setdefault(r.slice, []).append((r.topic_id, r.other, r.v))
-    grams = {}
-    for name, cells in held.items():
-        ids = sorted({a for a, _, _ in cells})
-        g = np.zeros((len(ids), len(ids)))
-        for a, b, v in cells:
-            g[ids.index(a), ids.index(b)] = v
-        grams[name] = np.array(ids), g
-    shared = documents.sparkSession.sparkContext.broadcast(grams)
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = np.array(batch.column("slice").to_pylist(), dtype=object)
-            found = batch.column("target")
-            parent, each = pc.list_parent_indices(found).to_numpy(), found.flatten()
-            topic, value = each.field("topic_id").to_numpy(), each.field("v").to_numpy()
-            for name in set(names.tolist()):
-                ids, g = shared.value[name]
-                rows = np.flatnonzero(names == name)
-                b = np.zeros((batch.num_rows, len(ids)))
-                b[parent, np.minimum(np.searchsorted(ids, topic), len(ids) - 1)] = value
-                w = linalg.non_negative_weights(g, b[rows])
-                total = w.sum(1, keepdims=True)
-                w = np.where(total > 0, w / np.where(total > 0, total, 1), w)
-                x, c = np.nonzero(w > threshold)
-                at = pa.array(rows[x])
-                yield pa.RecordBatch.from_arrays([batch.column("slice").take(at), batch.column("doc_id").take(at), pa.array(ids[c].astype(np.int32)), pa.array(w[x, c])], ["slice", "doc_id", "topic_id", "share"])
-
-    return docs.mapInArrow(solve, "slice string, doc_id long, topic_id int, share double")
+    docs = staged(target.groupBy("slice", "doc_id").agg(F.collect_list(F.struct("topic_id", "v")).alias("target")))
+    sizes = staged(docs.groupBy("slice").agg(F.ceil(F.count("*") / DOCS).cast("int").alias("groups")))
+    dealt = docs.join(sizes, "slice").select("slice", F.pmod(F.xxhash64("doc_id"), F.col("groups")).cast("int").alias("group"), "doc_id", "target")
+    sent = gram.join(sizes.withColumnRenamed("slice", "s"), F.col("slice") == F.col("s")).select("s", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), "gram")
+
+    def solve(key: tuple, rows: pa.Table, held: pa.Table) -> pa.Table:
+        empty = pa.table({"slice": pa.array([], pa.string()), "doc_id": pa.array([], pa.int64()), "topic_id": pa.array([], pa.int32()), "share": pa.array([], pa.float64())})
+        if not rows.num_rows or not held.num_rows:
+            return empty
+        cells = held.column("gram").combine_chunks().flatten()
+        first, other, v = (cells.field(c).to_numpy() for c in ("topic_id", "other", "v"))
+        ids = np.unique(first)
+        gram = np.zeros((len(ids), len(ids)))
+        gram[np.searchsorted(ids, first), np.searchsorted(ids, other)] = v
+        found = rows.column("target").combine_chunks()
+        parent, each = pc.list_parent_indices(found).to_numpy(), found.flatten()
+        b = np.zeros((rows.num_rows, len(ids)))
+        b[parent, np.searchsorted(ids, each.field("topic_id").to_numpy())] = each.field("v").to_numpy()
+        w = linalg.non_negative_weights(gram, b)
+        total = w.sum(1, keepdims=True)
+        w = np.where(total > 0, w / np.where(total > 0, total, 1), w)
+        x, c = np.nonzero(w > threshold)
+        return pa.table({"slice": pa.array([key[0].as_py()] * len(x), pa.string()), "doc_id": rows.column("doc_id").take(pa.array(x)), "topic_id": pa.array(ids[c].astype(np.int32)), "share": pa.array(w[x, c])})
+
+    return dealt.groupBy("slice", "group").cogroup(sent.groupBy("s", "g")).applyInArrow(solve, "slice string, doc_id long, topic_id int, share double")
 
 
 def union_projection(weights: DataFrame, first: tuple[str, int], second: tuple[str, int]) -> DataFrame:

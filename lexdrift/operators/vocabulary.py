@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import small, staged
@@ -25,6 +25,31 @@ def heavy_hitters(counts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return counts.join(by_slice, "slice").where(over).select("slice", "word", "n", "total")
 
 
+#: Keys that a state of :func:`top_states` tracks. As long as a range has under three quarters as many different keys, its counts are exact.
+TRACKED = 10_000
+
+
+def top_states(keys: DataFrame, tracked: int = TRACKED) -> DataFrame:
+    """(slice, part, total, state) of ``keys`` (slice, part, key): mergeable states of the most frequent keys of each slice and part (a day, say), to be kept as a table.
+
+    A state is bounded whatever the number of keys. Null keys count for nothing.
+    """
+    rows = keys.where("key is not null")
+    return rows.groupBy("slice", "part").agg(F.count("*").alias("total"), F.call_function("approx_top_k_accumulate", F.col("key"), F.lit(tracked)).alias("state"))
+
+
+def range_heavy_hitters(states: DataFrame, by: str | Column, threshold: float = THRESHOLD, tracked: int = TRACKED) -> DataFrame:
+    """(slice, range, key, estimate, total) of the keys over ``floor(total * threshold)`` in each range of parts, from states alone; ``by`` says which range a part is in.
+
+    An estimate is never over the true count by more than what the merged states have dropped, under total / (0.75 * ``tracked``) or so; with
+    fewer keys than that it is exact.
+    """
+    merged = states.groupBy("slice", (F.col(by) if isinstance(by, str) else by).alias("range")).agg(F.sum("total").alias("total"), F.call_function("approx_top_k_combine", F.col("state"), F.lit(tracked)).alias("state"))
+    top = merged.select("slice", "range", "total", F.explode(F.call_function("approx_top_k_estimate", F.col("state"), F.lit(tracked))).alias("one"))
+    rows = top.select("slice", "range", F.col("one.item").alias("key"), F.col("one.count").alias("estimate"), "total")
+    return rows.where(F.col("estimate") > F.floor(F.col("total") * F.lit(threshold)))
+
+
 def ranked(counts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Vocabulary (slice, word, rank, n, total): rank 0 is the most frequent, ties by word."""
     order = Window.partitionBy("slice").orderBy(F.col("n").desc(), "word")

@@ -340,6 +340,17 @@ def sketch_heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.heavy_hitters(sketch.merged_keys(a, b), staged(merged), _PARTS, 0.1)
 
 
+@query("""
+WITH c AS (SELECT event_type AS slice, month(ts)::INTEGER AS range, user_id::VARCHAR AS key, count(*) AS estimate FROM events GROUP BY ALL),
+t AS (SELECT slice, range, sum(estimate)::BIGINT AS total FROM c GROUP BY ALL)
+SELECT slice, range, key, estimate, total FROM c JOIN t USING (slice, range) WHERE estimate > floor(total * 0.01::DOUBLE)
+""")
+def range_heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with over a hundredth of a month's events of a type, from the states of days, which are kept: fewer users than are tracked."""
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("slice"), F.to_date("ts").alias("part"), F.col("user_id").cast("string").alias("key"))
+    return vocabulary.range_heavy_hitters(staged(vocabulary.top_states(events)), F.month("part"), 0.01)
+
+
 # --- periods ------------------------------------------------------------------------------------------
 
 _PERIODS = "p AS (SELECT *, year(o_orderdate) AS y FROM orders), q AS (SELECT *, (y - y % 25) || '-' || (y - y % 25 + 24) AS period FROM p)"
@@ -826,7 +837,7 @@ def topic_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = F.col("whole") - 2 * F.col("cross") + F.col("square")
     return every.select(
         "slice", "topics", "words", (F.col("least") >= 0).alias("non_negative"), (F.abs(F.col("cross") - F.col("square")) <= 1e-3 * F.col("square")).alias("scaled"),
-        (F.col("off") <= STATIONARY).alias("stationary"), (left <= (F.col("whole") - F.col("first") * F.col("first")) * (1 + 1e-9)).alias("nearer"),
+        (F.col("off") <= STATIONARY).alias("stationary"), (left <= F.col("whole") * (1 + 1e-6) - F.col("first") * F.col("first")).alias("nearer"),
     )
 
 

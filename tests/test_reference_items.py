@@ -121,3 +121,33 @@ def test_a_crash_before_the_manifest_leaves_the_old_model(spark, tmp_path):
     assert sorted(map(str, storage.load_model(spark, path).vocabulary.collect())) == before
     storage.refresh_slices(shift.train(lines(spark, 5, ("b",)), 3), path)
     assert listed(spark, f"{path}/data") and sorted(map(str, storage.load_model(spark, path).vocabulary.collect())) != before
+
+
+def test_heavy_hitters_of_ranges_from_states(spark):
+    rng = random.Random(4)
+    rows = [("s", d, f"k{int(rng.paretovariate(1.0))}") for d in range(12) for _ in range(400)] + [("t", 3, "x")] * 50 + [("t", 4, None)]
+    states = vocabulary.top_states(spark.createDataFrame(rows, "slice string, part int, key string").repartition(5), 2000)
+    got = {(r.slice, r.range, r.key): (r.estimate, r.total) for r in vocabulary.range_heavy_hitters(states, F.floor(F.col("part") / 4), 0.02, 2000).collect()}
+    counts = {}
+    for s, d, k in rows:
+        if k is not None:
+            counts[s, d // 4, k] = counts.get((s, d // 4, k), 0) + 1
+    totals = {}
+    for (s, d, _), n in counts.items():
+        totals[s, d] = totals.get((s, d), 0) + n
+    assert got == {k: (n, totals[k[:2]]) for k, n in counts.items() if n > int(totals[k[:2]] * 0.02)}
+    # fewer tracked than there are: within the bound
+    narrow = vocabulary.top_states(spark.createDataFrame(rows, "slice string, part int, key string"), 64)
+    for r in vocabulary.range_heavy_hitters(narrow, F.lit(0), 0.05, 64).where("slice = 's'").collect():
+        true = sum(n for (s, _, k), n in counts.items() if (s, k) == (r.slice, r.key))
+        assert abs(r.estimate - true) <= r.total / (0.75 * 64) * 2
+
+
+def test_documents_of_slices_without_topics_have_no_rows(spark, monkeypatch):
+    from lexdrift.operators import topics
+
+    monkeypatch.setattr(topics, "DOCS", 2)
+    weights = spark.createDataFrame([("a", 0, "x", 1.0), ("a", 3, "y", 2.0)], "slice string, topic_id int, word string, weight double")
+    docs = spark.createDataFrame([("a", 1, "x", 3.0), ("a", 2, "y", 1.0), ("a", 3, "x", 1.0), ("a", 3, "y", 2.0), ("a", 4, "z", 1.0), ("b", 5, "x", 1.0), ("a", 6, "x", 5.0)], "slice string, doc_id long, word string, weight double")
+    got = {(r.doc_id, r.topic_id): round(r.share, 9) for r in topics.document_topics(docs, weights).collect()}
+    assert got == {(1, 0): 1.0, (2, 3): 1.0, (3, 0): 0.5, (3, 3): 0.5, (6, 0): 1.0}
