@@ -11,9 +11,11 @@ miss under 1e-9 at J = 0.8) and the full sets verify. What is linked becomes a c
 group of copies costs about as many comparisons as it has members.
 
 What is left are nodes that share a list but no component. Nodes that share a list share its hub, so the
-nodes of a hub, if they have several components, are compared with each other in blocks, each two of which meet in a
-task: first their sketches, by which most have no candidate, then the full sets of those that have one, in
-blocks of bounded bytes. Only links leave a task, never pairs. So components are exact.
+nodes of a hub, if they have several components, are compared with each other: first their sketches, by which most
+have no candidate, then the full sets of those that have one, in blocks of bounded bytes. Nodes of hubs that are
+larger than a block first go to further lists, of their rarest values, and only those that share one of these
+meet; what most of a hub has in common brings no two together. Lists that are larger than a block are compared in blocks, each two of which meet
+in a task. Only links leave a task, never pairs. So components are exact.
 """
 
 from __future__ import annotations
@@ -184,18 +186,61 @@ def sets_of(rows: pa.Table, column: str) -> list[np.ndarray]:
     return [np.frombuffer(v.as_buffer(), "<u8") for v in rows.column(column)]
 
 
+def values_of(nodes: DataFrame) -> DataFrame:
+    """(id, value): a row for each value of the sketches of ``nodes`` (id, sketch)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(raw.as_buffer(), "<i8") for raw in batch.column("sketch")]
+            at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["id", "value"])
+
+    return nodes.select("id", "sketch").mapInArrow(work, "id long, value long")
+
+
+def rare_lists(nodes: DataFrame, similarity: int) -> DataFrame:
+    """(hub, id, n, component, sketch, before): each of ``nodes`` (id, n, component, sketch) once for each of its rarest values; hub is negative.
+
+    Candidates have at least ``least`` values of either sketch in common. In one order of all values, by how many nodes have
+    them, then, the first ``held - least + 1`` of both have one in common. Values of a single node come first and are in no list; a node with
+    fewer than ``least`` others has no candidate. ``before`` are the node's values ahead of the list's: two nodes that share
+    one of these meet in another list. Lists of one component are left out.
+    """
+    share = least_common(similarity) / SKETCH
+    held = staged(values_of(nodes))
+    several = staged(held.groupBy("value").agg(F.count("*").alias("nodes")).where("nodes > 1"))
+    # The nodes' own columns come with their number; values of a node are SKETCH at most.
+    ranked = held.join(several, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("nodes", "value")))["value"].alias("values"))
+    ranked = ranked.join(nodes.select("id", "n", "component"), "id")
+    least = F.ceil(F.lit(share) * F.least("n", F.lit(SKETCH)) - F.lit(1e-6)).cast("int")
+    first = F.slice("values", F.lit(1), F.greatest(F.size("values") - least + 1, F.lit(0)))
+    ranked = ranked.select("id", "n", "component", first.alias("values"))
+    lists = ranked.select("id", "n", "component", "values", F.posexplode("values").alias("at", "value"))
+    lists = staged(lists.select("id", "n", "component", "value", F.slice("values", F.lit(1), F.col("at")).alias("before")))
+    spread = staged(lists.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("value"))
+    hub = F.col("value").bitwiseOR(F.lit(-(1 << 63)))
+    return lists.join(spread, "value", "left_semi").join(nodes.select("id", "sketch"), "id").select(hub.alias("hub"), "id", "n", "component", "sketch", "before")
+
+
 def candidates(open_: DataFrame, similarity: int) -> DataFrame:
     """(hub, x, y, side, id, n, component): the nodes of block x (side 0) and y (side 1) that have a candidate in the other.
 
-    ``open_`` (hub, id, n, component, sketch) is dealt to blocks of about ``BLOCK`` nodes by hub. Candidates are of different
+    ``open_`` (hub, id, n, component, sketch) are the nodes of hubs. Those of hubs of over ``BLOCK`` nodes meet by rare values instead
+    (:func:`rare_lists`); lists are dealt to blocks of about ``BLOCK`` nodes. Candidates are of different
     components, and neither their sizes nor their sketches rule a link out. The sketches' common values are as many
     as those among the smallest of the union at least.
     """
     share = least_common(similarity) / SKETCH
+    large = staged(open_.groupBy("hub").agg(F.count("*").alias("nodes")).where(F.col("nodes") > BLOCK).select("hub"))
+    if not large.isEmpty():
+        nodes = staged(open_.join(large, "hub", "left_semi").select("id", "n", "component", "sketch").dropDuplicates(["id"]))
+        open_ = staged(open_.join(large, "hub", "left_anti").withColumn("before", F.array().cast("array<long>")).unionByName(rare_lists(nodes, similarity)))
+    else:
+        open_ = open_.withColumn("before", F.array().cast("array<long>"))
     blocks = staged(open_.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     dealt = open_.join(blocks, "hub").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("hub", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "id", "n", "component", "sketch")
+    dealt = dealt.select("hub", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "id", "n", "component", "sketch", "before")
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         hub, x, y = (k.as_py() for k in key)
@@ -207,6 +252,9 @@ def candidates(open_: DataFrame, similarity: int) -> DataFrame:
         good = common >= np.float32(share) * np.minimum(SKETCH, held[p][:, None] + held[q] - common)
         good &= 100 * np.minimum(n[p][:, None], n[q]) >= similarity * np.maximum(n[p][:, None], n[q])
         good &= comp[p][:, None] != comp[q]
+        if hub < 0:
+            earlier = [v.values.to_numpy() for v in rows.column("before")]
+            good &= common_counts([earlier[i] for i in p], [earlier[i] for i in q]) == 0
         sides = [(0, p[good.any(1)]), (1, q[good.any(0)])]
         at = np.concatenate([i for _, i in sides])
         side = np.repeat([s for s, _ in sides], [len(i) for _, i in sides])

@@ -128,6 +128,33 @@ def test_long_texts(spark, monkeypatch):
     assert got == brute_force(rows)
 
 
+def test_large_hub_meets_by_rare_values(spark, monkeypatch):
+    """300 sets under one pair of common values, some of them linked: few rows leave the lists, and no link is lost."""
+    monkeypatch.setattr(near, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    common = [1, 2]
+    sets = [np.unique(np.concatenate([common, rng.integers(100, 1 << 62, 70).astype(np.uint64)])) for _ in range(300)]
+    for k in range(0, 60, 2):  # half of a pair is the other with up to 7 of 72 values replaced
+        new = sets[k].copy()
+        new[-(k % 8) or len(new) :] = rng.integers(1 << 62, 1 << 63, k % 8).astype(np.uint64)
+        sets[k + 1] = np.unique(new)
+    rows = [(i, len(s), i, bytearray(s[: near.SKETCH].tobytes())) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "id long, n long, component long, sketch binary")
+    lists = near.rare_lists(nodes, 80).collect()
+    assert all(r.hub < 0 for r in lists) and {r.id for r in lists} == set(range(60))
+    open_ = nodes.selectExpr("0L AS hub", "*")
+    full = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, shingles binary")
+    found = near.candidates(open_, 80).collect()
+    assert {r.id for r in found} == set(range(60)) and len(found) <= 2 * 60
+    links = {tuple(sorted(r)) for r in near.links_across(open_, full, 80).collect()}
+    want = set()
+    for a, b in itertools.combinations(range(300), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            want.add((a, b))
+    assert links == want and len(want) == 30
+
+
 def test_similarity_is_guarded():
     with pytest.raises(ValueError):
         near.marked(None, 79, 5)
