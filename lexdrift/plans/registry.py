@@ -284,13 +284,62 @@ def sketch_error_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.estimate(keys, built, _PARTS).select("key", F.col("estimate").alias("n"), r6(F.lit(bound)).alias("bound"))
 
 
-@query()
+#: The seeds of a sketch of depth 4 that is seeded with 42.
+_SEEDS = [121958, 671155, 131932, 365838]
+
+
+def _mixed(k: str) -> str:
+    """A block as murmur3 mixes it into its state; a turn by r bits is a product by 2**r modulo 2**32 - 1."""
+    return f"((({k})::UBIGINT * 3432918353 & 4294967295) * 32768 % 4294967295) * 461845907 & 4294967295"
+
+
+def _absorbed(h: str, k: str) -> str:
+    return f"((xor(({h})::UBIGINT, {_mixed(k)}) * 8192 % 4294967295) * 5 + 3864292196) & 4294967295"
+
+
+def _ended(h: str, of: str) -> str:
+    """Columns of a state ``h`` up to ``h_end``, its last mixing."""
+    steps = f"{h} AS h_0, xor(h_0, h_0 >> 16) * 2246822507 & 4294967295 AS h_1, xor(h_1, h_1 >> 13) * 3266489909 & 4294967295 AS h_2, xor(h_2, h_2 >> 16) AS h_end"
+    return f"SELECT *, {steps} FROM {of}"
+
+
+def _estimates_sql(seeds: list[int], width: int, compatible: bool) -> str:
+    """A whole Count-Min sketch in SQL. Keys are digits, so that characters are bytes.
+
+    Plain murmur3 starts at the seed and takes the bytes after the last whole block as one word. Spark's starts at the hash of the seed,
+    and takes each of those bytes as a block.
+    """
+    byte = "ascii(substr(key, {}, 1))"
+    word = " + ".join(f"{byte.format(f'4 * i + {b + 1}')} * {1 << 8 * b}" for b in range(4))
+    rest = "range(4 * (length(key) // 4) + 1, length(key) + 1)"
+    blocks = f"list_transform(range(0, length(key) // 4), lambda i: ({word})::UBIGINT)"
+    if compatible:
+        begun = "begun AS (SELECT row, seed AS start FROM seeds)"
+        tail = f"list_sum(list_transform({rest}, lambda i: {byte.format('i')} * (1 << 8 * ((i - 1) % 4)::INT)))::UBIGINT"
+        tail = f"coalesce({tail}, 0)"
+    else:
+        begun = f"begun AS (SELECT row, h_end AS start FROM ({_ended(f'xor({_absorbed("42", "seed")}, 4)', 'seeds')}))"
+        blocks = f"list_concat({blocks}, list_transform({rest}, lambda i: {byte.format('i')}::UBIGINT))"
+        tail = "0"
+    absorbed = f"list_reduce(blocks, lambda h, k: {_absorbed('h', 'k')}, start::UBIGINT)"
+    return f"""
+WITH seeds AS (SELECT unnest(range({len(seeds)})) AS row, unnest({seeds})::UBIGINT AS seed), {begun},
+keys AS (SELECT l_partkey::VARCHAR AS key, count(*) AS n FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY 1),
+cut AS (SELECT key, n, {blocks} AS blocks, {tail} AS tail FROM keys),
+states AS (SELECT key, n, row, xor(xor({absorbed}, {_mixed("tail")}), length(key)::UBIGINT) AS h FROM cut, begun),
+placed AS (SELECT key, n, row, ((h_end::BIGINT - CASE WHEN h_end >= 2147483648 THEN 4294967296 ELSE 0 END) % {width} + {width}) % {width} AS bucket FROM ({_ended("h", "states")})),
+sketch AS (SELECT row, bucket, sum(n) AS cnt FROM placed GROUP BY ALL)
+SELECT key, min(cnt)::BIGINT AS estimate FROM placed JOIN sketch USING (row, bucket) GROUP BY key
+"""
+
+
+@query(_estimates_sql(_SEEDS, 5000, compatible=False))
 def sketch_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("key"))
     return sketch.estimate(keys, sketch.build(keys, _PARTS), _PARTS)
 
 
-@query()
+@query(_estimates_sql(_SEEDS, 5000, compatible=True))
 def sketch_estimate_murmur3(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = sketch.SketchParams(width=5000, depth=4, compatible=True)
     keys = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("key"))
