@@ -3,7 +3,10 @@
 Every line, every paragraph and the whole of a text are candidates. Their words and those of the templates are
 weighted by term frequency times inverse document frequency over all texts; a word of no template
 weighs as much as a word of no document, so prose that merely mentions a licence stays far from all templates.
-A template's numbers (its version) must be among the candidate's words.
+A template's numbers (its version) and the words that name its licence must be among the candidate's words, and a candidate
+with a word that makes another licence of it (lesser, noncommercial, ...) isn't that template's. A short notice is denied by a
+negation it doesn't have, in the candidate or just before. Long licences (Apache, GPL, MPL, EPL, Creative Commons) are
+known by their titles, notices and identifiers, short ones by their whole texts as well.
 
 A file whose name is that of a licence file speaks for its directory. A file without a licence of its own
 inherits that of the nearest directory above it which has one: directories are resolved once,
@@ -13,7 +16,7 @@ by an equi-join of their ancestors' paths, and files then find their directory.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -41,12 +44,6 @@ TEMPLATES: list[tuple[str, str]] = [
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal"),
     ("CC0-1.0", "CC0 1.0 Universal"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
@@ -70,20 +67,68 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSL-1.0", "Boost Software License 1.0"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, version 2.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("GPL-2.0", "Licensed under the GNU GPL v2"),
+    ("GPL-3.0", "Licensed under the GNU GPL v3"),
+    ("ISC", "ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2"),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("MIT", "MIT License"),
+    ("MPL-2.0", "Mozilla Public License 2.0"),
+    ("Unlicense", "The Unlicense"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "zlib License"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 ]
+# Creative Commons 4.0, by rule: the parts of a licence's name in short and in full.
+_CC = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+for _parts in (["BY"], ["BY", "NC"], ["BY", "NC", "ND"], ["BY", "NC", "SA"], ["BY", "ND"], ["BY", "SA"]):
+    _short = "-".join(_parts)
+    TEMPLATES.append((f"CC-{_short}-4.0", f"Licensed under CC {_short} 4.0."))
+    TEMPLATES.append((f"CC-{_short}-4.0", f"This work is licensed under a Creative Commons {'-'.join(_CC[x] for x in _parts)} 4.0 International License."))
+# Identifiers, by rule; what follows one (-only, -or-later, WITH ...) is a few words more.
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in TEMPLATES})]
+# Words that name a licence; where a template has one, its candidates have it as often.
+NAMED: dict[str, set[str]] = {
+    "AGPL": {"affero", "agpl"}, "Apache": {"apache"}, "BSD": {"bsd"}, "BSL": {"boost", "bsl"}, "CC": {"cc", "creative", "by", "attribution"}, "CC0": {"cc0"},
+    "EPL": {"eclipse", "epl"}, "GPL": {"general", "gpl"}, "ISC": {"isc"}, "LGPL": {"lesser", "lgpl"}, "MIT": {"mit"}, "MPL": {"mozilla", "mpl"},
+    "Unlicense": {"unlicense"}, "Zlib": {"zlib"}, "LGPL-2.0": {"library", "lgpl"},
+}
+# Words that make another licence of one, and words that deny a notice.
+OTHER = {"affero", "lesser", "nc", "nd", "noncommercial", "noderivatives", "noderivs", "sa", "sharealike"}
+DENIED = {"aren", "cannot", "doesn", "don", "isn", "longer", "neither", "never", "nor", "not", "wasn", "weren"}
+#: Words of a notice that a negation denies, at most; longer texts have negations of their own around them.
+SHORT = 20
 #: Licences whose text is another's with a clause more: where both match it is the second.
 EXTENDED = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Least cosine of a match.
 THRESHOLD = 0.7
 #: Names of files that speak for their directory.
 LICENCE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
-_WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+# The v of a version (v2.0) isn't part of it.
+_WORD = re.compile(r"(?:\bv(?=[0-9]))?([a-z0-9]+(?:\.[0-9]+)*)", re.A)
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def terms(templates: list[tuple[str, str]]) -> list[str]:
+    """All words of the templates, and those that make another licence of one, in order."""
+    return sorted({w for _, t in templates for w in words(t)} | OTHER | DENIED)
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """Runs of lines (first, after last) of a text: each line, each paragraph (between lines without words), and all."""
     lines = text.split("\n")
@@ -104,7 +149,7 @@ class Matcher:
 
     def __init__(self, documents: int, frequency: dict[str, int], templates: list[tuple[str, str]]):
         self.names = [name for name, _ in templates]
-        vocabulary = sorted({w for _, t in templates for w in words(t)})
+        vocabulary = terms(templates)
         self.at = {w: i for i, w in enumerate(vocabulary)}
         idf = lambda n: np.log((1 + documents) / (1 + n)) + 1
         self.idf = np.array([idf(frequency.get(w, 0)) for w in vocabulary])
@@ -112,11 +157,15 @@ class Matcher:
         self.rare = float(idf(0))
         tf = np.array([self.counts(words(t))[0] for _, t in templates])
         numbers = np.array([w[0].isdigit() for w in vocabulary])
-        self.needed = (tf > 0) & numbers
+        named = np.array([[w in NAMED.get(name, NAMED.get(name.split("-")[0], ())) for w in vocabulary] for name in self.names])
+        self.needed = np.where(named, tf, (tf > 0) & numbers)
+        self.barred = (tf == 0) & np.array([w in OTHER for w in vocabulary])
+        denied = np.array([w in DENIED for w in vocabulary])
+        self.deniable = (tf.sum(1) <= SHORT) & ~(tf[:, denied] > 0).any(1)
         rows = tf * self.idf
         self.rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
-    def counts(self, found: list[str]) -> tuple[np.ndarray, int]:
+    def counts(self, found: Sequence[str]) -> tuple[np.ndarray, int]:
         """Counts of the templates' words, and the sum of the squares of the others'."""
         tf, other = np.zeros(len(self.at)), {}
         for w in found:
@@ -126,12 +175,17 @@ class Matcher:
                 other[w] = other.get(w, 0) + 1
         return tf, sum(n * n for n in other.values())
 
-    def cosines(self, found: list[str]) -> np.ndarray:
-        """To all templates; 0 where a template's number is missing."""
+    def cosines(self, found: Sequence[str], denied: bool = False) -> np.ndarray:
+        """To all templates; 0 where a template's number or name is missing, or a word makes another licence of it or denies it."""
         tf, other = self.counts(found)
         v = tf * self.idf
         length = float(np.sqrt(v @ v + self.rare**2 * other))
-        return np.where((self.needed & (tf == 0)).any(1), 0.0, self.rows @ v / length) if length else np.zeros(len(self.names))
+        if not length:
+            return np.zeros(len(self.names))
+        out = (self.needed > tf).any(1) | (self.barred & (tf > 0)).any(1)
+        if denied or not DENIED.isdisjoint(found):
+            out |= self.deniable
+        return np.where(out, 0.0, self.rows @ v / length)
 
     def best(self, text: str) -> tuple[str | None, float]:
         """The best template's name over all candidates, if any reaches the threshold; the first of equals. Else the score is 0."""
@@ -143,15 +197,16 @@ class Matcher:
         # bounds the cosine under the threshold it isn't computed.
         ratio = THRESHOLD**2 / (1 - THRESHOLD**2) * self.rare**2
         scores = np.zeros(len(self.names))
-        seen: set[tuple[str, ...]] = set()
+        seen: set[tuple[bool, tuple[str, ...]]] = set()
         for a, b in candidates(text):
             weight = weights[a] if b == a + 1 else sum(weights[a:b])
             if weight == 0 or weight * weight * (1 + 1e-9) < ratio * (foreign[a] if b == a + 1 else sum(foreign[a:b])):
                 continue
             found = tuple(w for line in lines[a:b] for w in line)
-            if found not in seen:
-                seen.add(found)
-                scores = np.maximum(scores, self.cosines(list(found)))
+            denied = a > 0 and not DENIED.isdisjoint(lines[a - 1][-2:])
+            if (denied, found) not in seen:
+                seen.add((denied, found))
+                scores = np.maximum(scores, self.cosines(found, denied))
         at = int(scores.argmax())
         if scores[at] < THRESHOLD:
             return None, 0.0
@@ -169,8 +224,9 @@ def frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str,
         for whole in batches:
             for batch in slices(whole):
                 text = pc.fill_null(batch.column("text"), "")
-                # the same words as words(): ends of sentences aren't parts of numbers
-                clean = pc.replace_substring_regex(pc.ascii_lower(text), r"\.([^0-9]|$)", r" \1")
+                # the same words as words(): neither ends of sentences nor a v are parts of numbers
+                clean = pc.replace_substring_regex(pc.ascii_lower(text), r"\bv([0-9])", r"\1")
+                clean = pc.replace_substring_regex(clean, r"\.([^0-9]|$)", r" \1")
                 lists = pc.split_pattern_regex(clean, r"[^a-z0-9.]+")
                 at = pc.index_in(lists.flatten(), value_set=known)
                 rows = pc.list_parent_indices(lists).to_numpy()
@@ -196,7 +252,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, licen
     spark, templates = files.sparkSession, templates or TEMPLATES
     named = F.col(licence_path) if licence_path else F.lit(None).cast("string")
     files = files.select("key", "path", named.alias("named"), F.coalesce("text", F.lit("")).alias("text"))
-    vocabulary = sorted({w for _, t in templates for w in words(t)})
+    vocabulary = terms(templates)
     matcher = spark.sparkContext.broadcast(Matcher(*frequencies(files, vocabulary), templates))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

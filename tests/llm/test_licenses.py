@@ -28,14 +28,26 @@ def plain(texts, templates=licenses.TEMPLATES):
     def cosine(a, b):
         return sum(a[w] * b.get(w, 0) for w in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
 
-    rows = [(name, vector(t), {w for w in licenses.words(t) if w[0].isdigit()}) for name, t in templates]
+    def fits(name, template, candidate, before):
+        has, wants = Counter(licenses.words(candidate)), Counter(licenses.words(template))
+        names = licenses.NAMED.get(name) or licenses.NAMED.get(name.split("-")[0], set())
+        if any(w[0].isdigit() and not has[w] for w in wants) or any(has[w] < n for w, n in wants.items() if w in names):
+            return False
+        if any(has[w] and not wants[w] for w in licenses.OTHER):
+            return False
+        short = sum(wants.values()) <= licenses.SHORT and not licenses.DENIED & set(wants)
+        return not (short and licenses.DENIED & {*has, *before})
+
+    rows = [(name, t, vector(t)) for name, t in templates]
     out = []
     for text in texts:
         scores = {}
-        for c in [*text.split("\n"), *re.split(r"\n(?:[^a-z0-9\n]*\n)+", text, flags=re.I), text]:
+        lines = text.split("\n")
+        said = [(line, licenses.words(lines[i - 1])[-2:] if i else []) for i, line in enumerate(lines)]
+        for c, before in [*said, *((x, []) for x in re.split(r"\n(?:[^a-z0-9\n]*\n)+", text, flags=re.I)), (text, [])]:
             if v := vector(c):
-                for i, (name, row, numbers) in enumerate(rows):
-                    if numbers <= set(v):
+                for i, (name, t, row) in enumerate(rows):
+                    if fits(name, t, c, before):
                         scores[i] = max(scores.get(i, 0), cosine(v, row))
         top = max(scores.values(), default=0)
         best = next((rows[i][0] for i in sorted(scores) if scores[i] > top - 1e-12), None)
@@ -64,12 +76,37 @@ NOTICES = [
     ("MIT", "prose without end " * 10_000 + "\nReleased under the MIT License.\n" + "more prose " * 10_000),
 ]
 
+# Titles, identifiers, denials, and licences that others are made of.
+STATED = [
+    ("MIT", "MIT License\n\nCopyright (c) 2021 A. Author"),
+    ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"),
+    ("MIT", "// SPDX-License-Identifier: MIT"),
+    ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */"),
+    ("LGPL-2.1", "// SPDX-License-Identifier: LGPL-2.1-or-later"),
+    (None, "// SPDX-License-Identifier: LicenseRef-Ours"),
+    ("EPL-2.0", "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    (None, "Not released under the MIT License."),
+    (None, "This file is not\nreleased under the MIT License."),
+    (None, "The code is no longer licensed under the Apache License, Version 2.0."),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2"),
+    ("GPL-2.0", GPL.format(";", ";", 2).replace("This program", "This library")),
+    (None, "GNU LESSER GENERAL PUBLIC LICENSE Version 2"),
+    (None, "Licensed under the House License, Version 2.0."),
+    (None, "License\n"),
+    ("Apache-2.0", "Licensed under the Apache License, v2.0"),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("Zlib", "Copyright 1999 X\n\n" + max((t for n, t in licenses.TEMPLATES if n == "Zlib"), key=len)),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + max((t for n, t in licenses.TEMPLATES if n == "BSL-1.0"), key=len)),
+]
+
 
-def test_notices_and_texts(spark):
+@pytest.mark.parametrize("notices", [NOTICES, STATED])
+def test_notices_and_texts(spark, notices):
     """Repeated words, comments, versions, clauses, and a very long text; ties go to the first template."""
-    texts = [t for _, t in NOTICES]
+    texts = [t for _, t in notices]
     got = {r.key: r for r in licenses.scan(spark.createDataFrame([(i, f"{i}.txt", t) for i, t in enumerate(texts)], "key long, path string, text string")).collect()}
-    for i, ((name, _), (want, score)) in enumerate(zip(NOTICES, plain(texts), strict=True)):
+    for i, ((name, _), (want, score)) in enumerate(zip(notices, plain(texts), strict=True)):
         assert got[i].own == want == name, (i, got[i], want, score)
         assert got[i].score == pytest.approx(score or 0, abs=1e-5)
     twin = [("B", "alpha beta gamma"), ("A", "alpha beta gamma")]
