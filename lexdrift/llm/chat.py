@@ -7,7 +7,9 @@ A template is text with ``{{ expression }}``, ``{% for x in expression %}``, ``{
 up in the given values, keys in dictionaries and lists, filters in a fixed table.
 
 ``compile_template`` parses it into a syntax tree, folds what is constant and makes a closure of each
-node; rendering gives the text and the spans under the generation marks.
+node; rendering gives the text and the spans under the generation marks. Whatever is wrong with a template, or with
+what it makes of its values, is a :class:`TemplateError`, and so is nesting beyond ``NESTED`` levels (a sum or comparison
+of n terms has n).
 """
 
 from __future__ import annotations
@@ -42,10 +44,21 @@ FILTERS: dict[str, Callable[[Any], Any]] = {
 }
 
 
+#: Levels of brackets, of blocks, and of the syntax tree of one expression, at most.
+NESTED = 60
+
+
 class TemplateError(ValueError):
     pass
 
 
+def nested(level: int) -> int:
+    """The next level, if there may be one."""
+    if level >= NESTED:
+        raise TemplateError("nested too deeply")
+    return level + 1
+
+
 # --- parsing: nodes are tuples (kind, ...) ---------------------------------------------------------
 
 # What is between the marks ends at the first end mark outside of quotes; a ``-`` at a mark trims the text on that side.
@@ -67,7 +80,7 @@ class Expression:
                 raise TemplateError(f"can't read {source[at:]!r}")
             self.tokens.append(("number", m[1]) if m[1] else ("text", m[2]) if m[2] else ("name", m[3]) if m[3] else ("mark", m[4]))
             at = m.end()
-        self.at = 0
+        self.at, self.level = 0, 0
 
     def peek(self) -> str | None:
         return self.tokens[self.at][1] if self.at < len(self.tokens) and self.tokens[self.at][0] != "text" else None
@@ -92,12 +105,18 @@ class Expression:
         node = self.either()
         if self.at < len(self.tokens):
             raise TemplateError(f"unexpected {self.tokens[self.at][1]}")
+        held = [(node, 0)]
+        while held:
+            part, level = held.pop()
+            held += [(x, nested(level)) for x in part if isinstance(x, tuple)]
         return node
 
     def either(self) -> tuple:
+        self.level = nested(self.level)
         node = self.both()
         while self.accept("or"):
             node = ("or", node, self.both())
+        self.level -= 1
         return node
 
     def both(self) -> tuple:
@@ -107,7 +126,13 @@ class Expression:
         return node
 
     def negated(self) -> tuple:
-        return ("not", self.negated()) if self.accept("not") else self.compared()
+        times = 0
+        while self.accept("not"):
+            times += 1
+        node = self.compared()
+        for _ in range(times):
+            node = ("not", node)
+        return node
 
     def compared(self) -> tuple:
         node = self.added()
@@ -136,6 +161,8 @@ class Expression:
         kind, value = self.tokens[self.at]
         self.at += 1
         if kind == "number":
+            if len(value) > 1000:
+                raise TemplateError("a number is too long")
             node: tuple = ("const", int(value))
         elif kind == "text":
             node = ("const", re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[0]), value[1:-1]))
@@ -179,7 +206,7 @@ def parse(source: str) -> tuple:
     text(len(source), False)
     parts.reverse()
 
-    def block(*ends: str) -> tuple[tuple, str]:
+    def block(level: int, *ends: str) -> tuple[tuple, str]:
         nodes: list[tuple] = []
         while parts:
             kind, body = parts.pop()
@@ -195,12 +222,12 @@ def parse(source: str) -> tuple:
                     m = re.fullmatch(r"\s*([A-Za-z_]\w*)\s+in\s+(.*)", rest, re.S)
                     if not m:
                         raise TemplateError(f"can't read {body!r}")
-                    inner, _ = block("endfor")
+                    inner, _ = block(nested(level), "endfor")
                     nodes.append(("for", m[1], Expression(m[2]).whole(), inner))
                 elif word == "if":
-                    nodes.append(branch(rest))
+                    nodes.append(branch(nested(level), rest))
                 elif word == "generation":
-                    inner, _ = block("endgeneration")
+                    inner, _ = block(nested(level), "endgeneration")
                     nodes.append(("generation", inner))
                 else:
                     raise TemplateError(f"unexpected tag {body!r}")
@@ -208,16 +235,16 @@ def parse(source: str) -> tuple:
             raise TemplateError(f"{ends[-1]} is missing")
         return ("block", nodes), ""
 
-    def branch(condition: str) -> tuple:
-        yes, tag = block("elif", "else", "endif")
+    def branch(level: int, condition: str) -> tuple:
+        yes, tag = block(level, "elif", "else", "endif")
         no: tuple = ("block", [])
         if tag.startswith("elif"):
-            no = branch(tag[4:])
+            no = branch(nested(level), tag[4:])
         elif tag == "else":
-            no, _ = block("endif")
+            no, _ = block(level, "endif")
         return ("if", Expression(condition).whole(), yes, no)
 
-    return block()[0]
+    return block(0)[0]
 
 
 # --- folding -----------------------------------------------------------------------------------------
@@ -347,12 +374,19 @@ def writer(node: tuple) -> Callable[[dict, Output], None]:
 
 
 def compile_template(source: str) -> Callable[..., tuple[str, list[tuple[int, int]]]]:
-    """A function of the template's values that gives the text and the generation spans."""
+    """A function of the template's values that gives the text and the generation spans.
+
+    Names and keys without a value are none, which shows as nothing and has no items. Values that an operation isn't
+    defined for (a text and a number added, the length of none) are a :class:`TemplateError` when rendered.
+    """
     write = writer(fold(parse(source)))
 
     def render(**values: Any) -> tuple[str, list[tuple[int, int]]]:
         out = Output()
-        write(values, out)
+        try:
+            write(values, out)
+        except TypeError as e:
+            raise TemplateError(f"not valid: {e}") from e
         return "".join(out.parts), out.spans
 
     return render

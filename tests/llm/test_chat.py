@@ -36,6 +36,44 @@ def test_what_is_refused(source):
         chat.compile_template(source)
 
 
+DEEP = {
+    "brackets": "{{ " + "(" * 3000 + "x" + ")" * 3000 + " }}",
+    "items": "{{ " + "x[" * 3000 + "x" + "]" * 3000 + " }}",
+    "negations": "{{ " + "not " * 3000 + "x }}",
+    "sums": "{{ " + "x + " * 3000 + "x }}",
+    "keys": "{{ x" + ".x" * 3000 + " }}",
+    "branches": "{% if x %}" * 2000 + "{% endif %}" * 2000,
+    "alternatives": "{% if x %}" + "{% elif x %}" * 2000 + "{% endif %}",
+    "loops": "{% for x in x %}" * 2000 + "{% endfor %}" * 2000,
+    "marks": "{% generation %}" * 2000 + "{% endgeneration %}" * 2000,
+    "open": "{{ " + "(" * 3000 + " }}",
+    "digits": "{{ " + "9" * 10_000 + " }}",
+}
+
+
+@pytest.mark.parametrize("name", DEEP)
+def test_what_is_nested_too_deeply_is_refused(name):
+    with pytest.raises(chat.TemplateError):
+        chat.compile_template(DEEP[name])
+
+
+def test_nesting_up_to_the_bound():
+    n = chat.NESTED - 1
+    assert chat.compile_template("{{ " + "(" * n + "x" + ")" * n + " }}")(x=1)[0] == "1"
+    assert chat.compile_template("{{ " + "x + " * n + "x }}")(x=1)[0] == str(n + 1)
+    assert chat.compile_template("{{ " + "not " * n + "x }}")(x=False)[0] == str(n % 2 == 1)
+    assert chat.compile_template("{% if x %}" * n + "y" + "{% endif %}" * n)(x=1)[0] == "y"
+    assert chat.compile_template("{% if x %}" + "{% elif x %}" * n + "{% else %}z{% endif %}")(x=0)[0] == "z"
+    assert chat.compile_template("{{ x }}" * 5000)(x="a")[0] == "a" * 5000
+
+
+@pytest.mark.parametrize("source", ["{{ m.text + 1 }}", "{{ none_here | length }}", "{% for x in m.n %}{% endfor %}", "{% if 1 < m.text %}{% endif %}", "{{ 1 in m.n }}"])
+def test_values_that_do_not_fit_are_refused(source):
+    render = chat.compile_template(source)
+    with pytest.raises(chat.TemplateError):
+        render(m={"text": "a", "n": 5})
+
+
 def test_generation_spans():
     text, spans = chat.compile_template("a{% generation %}{{ x }}{% endgeneration %}c{% generation %}{% endgeneration %}")(x="bé")
     assert [text[a:b] for a, b in spans] == ["bé", ""]
