@@ -8,6 +8,7 @@ rises over a high threshold and stays over a low one are segments. Frames are gr
 
 from __future__ import annotations
 
+import base64
 import struct
 from collections.abc import Iterator
 from math import gcd
@@ -178,8 +179,19 @@ def tensor(logs: np.ndarray) -> bytes:
     return pa.RecordBatch.from_arrays([column, pa.array(begin), pa.array(last / TARGET)], schema=TENSORS).serialize().to_pybytes()
 
 
-def read_tensor(raw: bytes) -> pa.RecordBatch:
-    return pa.ipc.read_record_batch(pa.py_buffer(raw), TENSORS)
+def read_tensor(raw: bytes, schema: pa.Schema = TENSORS) -> pa.RecordBatch:
+    return pa.ipc.read_record_batch(pa.py_buffer(raw), schema)
+
+
+def tensor_schema(described: DataFrame) -> pa.Schema:
+    """The Arrow schema of ``described``'s tensors, with their shape: it is in the column's metadata, also after the table is written and read.
+
+    An error where the column has none.
+    """
+    held = described.schema["tensor"].metadata.get("arrow_schema")
+    if held is None:
+        raise ValueError("the tensor column doesn't say its schema")
+    return pa.ipc.read_schema(pa.py_buffer(base64.b64decode(held)))
 
 
 def encode(docs: DataFrame) -> DataFrame:
@@ -205,7 +217,9 @@ def encode(docs: DataFrame) -> DataFrame:
 def describe(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media and what is computed from the media's bytes: payload, tensor (see ``TENSORS``), spans (seconds).
 
-    Media of several rates in one batch are an error; equal media have equal tensors and spans.
+    The tensor column's metadata hold its Arrow schema (see :func:`tensor_schema`), so that a table of them says its shape itself.
+    Media of several rates in one batch, and null media, are an error; media without samples have a frame of silence; equal
+    media have equal tensors and spans; no media give no rows; other columns are left out.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,26 +241,34 @@ def describe(media: DataFrame) -> DataFrame:
                 )
 
     kind = pa.list_(pa.struct([("begin", pa.float64()), ("end", pa.float64())]))
-    return media.mapInArrow(work, "doc_id long, n_bytes long, media binary, payload binary, tensor binary, spans array<struct<begin: double, end: double>>")
+    out = media.mapInArrow(work, "doc_id long, n_bytes long, media binary, payload binary, tensor binary, spans array<struct<begin: double, end: double>>")
+    return out.withMetadata("tensor", {"arrow_schema": base64.b64encode(TENSORS.serialize().to_pybytes()).decode()})
 
 
-def summary(raw: bytes, spans: int) -> str:
+def summary(raw: bytes, spans: int, schema: pa.Schema = TENSORS) -> str:
     """A line about a stored tensor and the number of its spans: frames, segments, and the mean of each band."""
-    batch = read_tensor(raw)
-    logs = batch.column("patch").to_numpy_ndarray().reshape(-1, MELS)
+    batch = read_tensor(raw, schema)
+    logs = batch.column("patch").to_numpy_ndarray()
+    logs = logs.reshape(-1, logs.shape[-1])
     frames = round((batch.column("end")[-1].as_py() * TARGET - FRAME) / HOP) + 1
     means = " ".join(f"{x:.2f}" for x in logs[:frames].mean(0, dtype=np.float64))
     return f"frames={frames} segments={spans} mel={means}"
 
 
 def summarise(described: DataFrame) -> DataFrame:
-    """``described`` (tensor, spans and any other columns but ``feature``) with feature, a line made from the two, in place of the tensor."""
+    """``described`` (tensor, spans and any other columns but ``feature``) with feature, a line made from the two, in place of the tensor.
+
+    The tensors' schema is read from the table (:func:`tensor_schema`). A null tensor is an error, null spans count as none; equal rows
+    stay; no rows give none.
+    """
+    schema = tensor_schema(described).serialize().to_pybytes()
     keep = [c for c in described.columns if c not in ("tensor", "spans")]
-    rows = described.select(*keep, "tensor", F.size("spans").alias("spans"))
+    rows = described.select(*keep, "tensor", F.coalesce(F.size("spans"), F.lit(0)).alias("spans"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.ipc.read_schema(pa.py_buffer(schema))
         for batch in batches:
-            lines = [summary(t.as_py(), n.as_py()) for t, n in zip(batch.column("tensor"), batch.column("spans"), strict=True)]
+            lines = [summary(t.as_py(), n.as_py(), kinds) for t, n in zip(batch.column("tensor"), batch.column("spans"), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(lines, pa.string())], [*keep, "feature"])
 
     return rows.mapInArrow(work, T.StructType([*(described.schema[c] for c in keep), T.StructField("feature", T.StringType())]))

@@ -3,6 +3,7 @@ import hashlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexdrift.llm import media, queries
 
@@ -88,7 +89,7 @@ def test_hysteresis():
     assert media.segments(np.zeros(4)) == [] and media.segments(np.zeros(0)) == []
 
 
-def test_round_trip(spark):
+def test_round_trip(spark, tmp_path):
     texts = ["", None, "a" * 192, "b" * 193, "é" * 500, "xyz " * 30_000, "b" * 193]
     df = spark.createDataFrame([(i, t, "m", "p", 1) for i, t in enumerate(texts)] + [(None, "n", None, None, None)], DOCS)
     got = {r.doc_id: r for r in media.describe(media.encode(df)).collect()}
@@ -100,6 +101,14 @@ def test_round_trip(spark):
         tensors = media.read_tensor(bytes(r.tensor))
         assert tensors.column("patch").type.shape == [media.PATCH, media.MELS]
         assert tensors.num_rows == -(-media.frames_of(len(r.payload)) // media.PATCH)
+    stored = tmp_path / "described"
+    media.describe(media.encode(df)).write.parquet(str(stored))
+    again = spark.read.parquet(str(stored))
+    assert media.tensor_schema(again) == media.TENSORS and media.tensor_schema(again).field("patch").type.shape == [media.PATCH, media.MELS]
+    kept = again.select("doc_id", "tensor", F.when(F.col("doc_id") > 0, F.col("spans")).alias("spans"))
+    assert {r.doc_id: r.feature.partition(" mel")[2] for r in media.summarise(kept).collect()} == {i: media.summary(bytes(r.tensor), 0).partition(" mel")[2] for i, r in got.items()}
+    with pytest.raises(ValueError, match="schema"):
+        media.summarise(again.withMetadata("tensor", {}))
     lines = {r.doc_id: r for r in media.summarise(media.describe(media.encode(df)).select("doc_id", "tensor", "spans")).collect()}
     assert all(lines[i].feature == media.summary(bytes(got[i].tensor), len(got[i].spans)) for i in got)
     assert lines[3].feature == lines[6].feature and hashlib.sha256(got[3].media).digest() == hashlib.sha256(got[6].media).digest()
