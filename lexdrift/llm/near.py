@@ -41,14 +41,14 @@ BLOCK, SHINGLES, COLUMNS = 2048, 1 << 21, 2048
 SALTS = 16
 
 
-def least_common(similarity: int, miss: float = 1e-9) -> int:
-    """Common values among ``SKETCH`` of a union below which a pair of the similarity is seen with probability under ``miss``."""
+def least_common(similarity: int, miss: float = 1e-9, values: int = SKETCH) -> int:
+    """Common values among ``values`` of a union below which a pair of the similarity is seen with probability under ``miss``."""
     p, total = similarity / 100, 0.0
-    for k in range(SKETCH + 1):
-        total += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+    for k in range(values + 1):
+        total += math.comb(values, k) * p**k * (1 - p) ** (values - k)
         if total >= miss:
             return k
-    return SKETCH
+    return values
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -186,33 +186,45 @@ def sets_of(rows: pa.Table, column: str) -> list[np.ndarray]:
     return [np.frombuffer(v.as_buffer(), "<u8") for v in rows.column(column)]
 
 
+def known_unions(first: list[np.ndarray], second: list[np.ndarray], n_first: np.ndarray, n_second: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Sizes of the unions of each of the first with each of the second sketches, up to the value to which both are complete."""
+    # A sketch is complete to its last value, or throughout if it is the whole set.
+    end = lambda sets, n: np.array([s[-1] if k > SKETCH else np.iinfo(np.uint64).max for s, k in zip(sets, n, strict=True)], np.uint64)
+    within = lambda sets, ends: np.array([np.searchsorted(s, ends, side="right") for s in sets], np.float32).reshape(len(sets), len(ends))
+    return within(first, end(second, n_second)) + within(second, end(first, n_first)).T - common
+
+
 def values_of(nodes: DataFrame) -> DataFrame:
-    """(id, value): a row for each value of the sketches of ``nodes`` (id, sketch)."""
+    """(id, component, value): a row for each value of the sketches of ``nodes`` (id, component, sketch)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.frombuffer(raw.as_buffer(), "<i8") for raw in batch.column("sketch")]
             at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], ["id", "value"])
+            values = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("component").take(at), values], ["id", "component", "value"])
 
-    return nodes.select("id", "sketch").mapInArrow(work, "id long, value long")
+    return nodes.select("id", "component", "sketch").mapInArrow(work, "id long, component long, value long")
 
 
 def rare_lists(nodes: DataFrame, similarity: int) -> DataFrame:
     """(hub, id, n, component, sketch, before): each of ``nodes`` (id, n, component, sketch) once for each of its rarest values; hub is negative.
 
-    Candidates have at least ``least`` values of either sketch in common. In one order of all values, by how many nodes have
-    them, then, the first ``held - least + 1`` of both have one in common. Values of a single node come first and are in no list; a node with
+    Candidates have at least ``least`` values of either sketch in common: a share of the smallest of the union, or, of sets so small that all
+    they can be linked with are whole, the similarity's share of the set. In one order of all values, by how many nodes have
+    them, then, the first ``held - least + 1`` of both have one in common. Values of a single component join no two: they come first and are in no list; a node with
     fewer than ``least`` others has no candidate. ``before`` are the node's values ahead of the list's: two nodes that share
     one of these meet in another list. Lists of one component are left out.
     """
     share = least_common(similarity) / SKETCH
     held = staged(values_of(nodes))
-    several = staged(held.groupBy("value").agg(F.count("*").alias("nodes")).where("nodes > 1"))
+    spread = (F.count("*").alias("nodes"), F.min("component").alias("x"), F.max("component").alias("y"))
+    several = staged(held.groupBy("value").agg(*spread).where("x < y").select("value", "nodes"))
     # The nodes' own columns come with their number; values of a node are SKETCH at most.
-    ranked = held.join(several, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("nodes", "value")))["value"].alias("values"))
+    ranked = held.select("id", "value").join(several, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("nodes", "value")))["value"].alias("values"))
     ranked = ranked.join(nodes.select("id", "n", "component"), "id")
-    least = F.ceil(F.lit(share) * F.least("n", F.lit(SKETCH)) - F.lit(1e-6)).cast("int")
+    common = F.when(F.col("n") * 100 <= similarity * SKETCH, F.col("n") * similarity / 100).otherwise(F.lit(share) * F.least("n", F.lit(SKETCH)))
+    least = F.ceil(common - F.lit(1e-6)).cast("int")
     first = F.slice("values", F.lit(1), F.greatest(F.size("values") - least + 1, F.lit(0)))
     ranked = ranked.select("id", "n", "component", first.alias("values"))
     lists = ranked.select("id", "n", "component", "values", F.posexplode("values").alias("at", "value"))
@@ -227,10 +239,12 @@ def candidates(open_: DataFrame, similarity: int) -> DataFrame:
 
     ``open_`` (hub, id, n, component, sketch) are the nodes of hubs. Those of hubs of over ``BLOCK`` nodes meet by rare values instead
     (:func:`rare_lists`); lists are dealt to blocks of about ``BLOCK`` nodes. Candidates are of different
-    components, and neither their sizes nor their sketches rule a link out. The sketches' common values are as many
-    as those among the smallest of the union at least.
+    components, and neither their sizes nor their sketches rule a link out. Two sketches tell the union's smallest values, from
+    ``SKETCH`` to twice as many: for each number of them there is a least number of common ones, with a miss under 1e-9 for all
+    numbers together. Two whole sets tell their similarity.
     """
-    share = least_common(similarity) / SKETCH
+    # Unions of fewer values are of whole sets.
+    least = np.array([0] * SKETCH + [least_common(similarity, 1e-9 / (SKETCH + 1), u) for u in range(SKETCH, 2 * SKETCH + 1)], np.float32)
     large = staged(open_.groupBy("hub").agg(F.count("*").alias("nodes")).where(F.col("nodes") > BLOCK).select("hub"))
     if not large.isEmpty():
         nodes = staged(open_.join(large, "hub", "left_semi").select("id", "n", "component", "sketch").dropDuplicates(["id"]))
@@ -248,8 +262,9 @@ def candidates(open_: DataFrame, similarity: int) -> DataFrame:
         sets = sets_of(rows, "sketch")
         p, q = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
         common = common_counts([sets[i] for i in p], [sets[i] for i in q])
-        held = np.minimum(n, SKETCH).astype(np.float32)
-        good = common >= np.float32(share) * np.minimum(SKETCH, held[p][:, None] + held[q] - common)
+        union = known_unions([sets[i] for i in p], [sets[i] for i in q], n[p], n[q], common)
+        whole = (n[p][:, None] <= SKETCH) & (n[q] <= SKETCH)
+        good = np.where(whole, 100 * common >= similarity * union, common >= least[union.astype(np.int32)])
         good &= 100 * np.minimum(n[p][:, None], n[q]) >= similarity * np.maximum(n[p][:, None], n[q])
         good &= comp[p][:, None] != comp[q]
         if hub < 0:
@@ -258,9 +273,9 @@ def candidates(open_: DataFrame, similarity: int) -> DataFrame:
         sides = [(0, p[good.any(1)]), (1, q[good.any(0)])]
         at = np.concatenate([i for _, i in sides])
         side = np.repeat([s for s, _ in sides], [len(i) for _, i in sides])
-        whole = lambda v: pa.array(np.full(len(at), v))
+        all_of = lambda v: pa.array(np.full(len(at), v))
         return pa.table(
-            {"hub": whole(hub), "x": pa.array(np.full(len(at), x, np.int32)), "y": pa.array(np.full(len(at), y, np.int32)), "side": pa.array(side.astype(np.int32)), "id": ids[at], "n": n[at], "component": comp[at]}
+            {"hub": all_of(hub), "x": pa.array(np.full(len(at), x, np.int32)), "y": pa.array(np.full(len(at), y, np.int32)), "side": pa.array(side.astype(np.int32)), "id": ids[at], "n": n[at], "component": comp[at]}
         )
 
     return staged(dealt.groupBy("hub", "x", "y").applyInArrow(compare, "hub long, x int, y int, side int, id long, n long, component long"))

@@ -155,6 +155,35 @@ def test_large_hub_meets_by_rare_values(spark, monkeypatch):
     assert links == want and len(want) == 30
 
 
+def test_sketches_rule_out_what_is_far_from_a_link(spark, monkeypatch):
+    """Sets of similarities of about 0.3, 200 of 450 values, and one linked pair: no other node goes on to the full sets, in hubs of any size."""
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(1, 1 << 62, 450).astype(np.uint64))
+    sets = [np.sort(rng.choice(pool, 200, replace=False)) for _ in range(80)]
+    sets[41] = np.unique(np.concatenate([sets[40][:-6], rng.integers(1, 1 << 62, 6).astype(np.uint64)]))
+    nodes = [(0, i, len(s), i, bytearray(s[: near.SKETCH].tobytes())) for i, s in enumerate(sets)]
+    open_ = spark.createDataFrame(nodes, "hub long, id long, n long, component long, sketch binary")
+    full = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, shingles binary")
+    for block in (near.BLOCK, 16):
+        monkeypatch.setattr(near, "BLOCK", block)
+        assert {r.id for r in near.candidates(open_, 80).collect()} == {40, 41}
+        assert {tuple(r) for r in near.links_across(open_, full, 80).collect()} == {(40, 41)}
+
+
+def test_known_unions_equal_plain_ones():
+    rng = np.random.default_rng(9)
+    pool = rng.integers(1, 1 << 63, 130).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, k, replace=False)) for k in (1, 5, 40, 63, 64, 65, 66, 90, 120, 130) for _ in range(3)]
+    sketches, n = [s[: near.SKETCH] for s in sets], np.array([len(s) for s in sets])
+    got = near.known_unions(sketches, sketches, n, n, near.common_counts(sketches, sketches))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            ends = [s[near.SKETCH - 1] for s in (a, b) if len(s) > near.SKETCH]
+            union = np.union1d(a, b)
+            assert got[i, j] == ((union <= min(ends)).sum() if ends else len(union))
+            assert not ends or near.SKETCH <= got[i, j] <= 2 * near.SKETCH
+
+
 def test_similarity_is_guarded():
     with pytest.raises(ValueError):
         near.marked(None, 79, 5)
