@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexdrift.operators import periods, ppmi, sketch, tokens, vocabulary
 from lexdrift.plans import registry
@@ -140,6 +141,15 @@ def test_settled_estimates_are_counts_where_all_buckets_are_shared(spark, compat
         assert (plain == exact) == (width > 300)
 
 
+def test_registered_wide_estimates_are_counts_of_any_number_of_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sketch.SketchParams.__init__, "__defaults__", (60, 2, 42, False))  # as a million keys to a million buckets
+    rows = spark.range(900).select((F.col("id") * F.col("id") % 211).alias("l_partkey"))
+    rows.write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    want = {str(r.l_partkey): r["count"] for r in rows.groupBy("l_partkey").count().collect()}
+    for name in ("sketch_estimate_wide", "sketch_estimate_murmur3_wide"):
+        assert {r.key: r.estimate for r in registry.queries()[name](spark, f"file://{tmp_path}").collect()} == want
+
+
 def test_sketch_edges(spark):
     p = sketch.SketchParams(width=1000, depth=3)
     keys = spark.createDataFrame([("filler", 90), ("border", 10)], "key string, cnt long")
