@@ -164,6 +164,7 @@ def non_negative_weights(gram: np.ndarray, target: np.ndarray, rounds: int = 100
     # Where topics are much alike that is slow at the end: with the found weights' zeros the others are the solution of equations.
     rows = np.atleast_2d(w)
     targets = np.atleast_2d(target)
+    left = np.ones(len(rows), bool)
     patterns, which = np.unique(rows > 0, axis=0, return_inverse=True)
     for n, p in enumerate(patterns):
         at = np.flatnonzero(which.ravel() == n)
@@ -175,9 +176,37 @@ def non_negative_weights(gram: np.ndarray, target: np.ndarray, rounds: int = 100
         slope = exact @ gram - targets[at]
         good = (exact >= 0).all(1) & (slope >= -1e-9 * np.abs(targets[at]).max(1, keepdims=True)).all(1)
         rows[at[good]] = exact[good]
+        left[at[good]] = False
+    # Some have stopped short of their zeros: from there weights are freed and bound one at a time.
+    for i in np.flatnonzero(left):
+        rows[i] = settled_weights(gram, targets[i], rows[i])
     return rows.reshape(target.shape)
 
 
+def settled_weights(gram: np.ndarray, target: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The weights >= 0 that are best for one ``target``, from any weights >= 0, by active sets: each round solves for the free ones, which lessens what is left."""
+    w, free = start.copy(), start > 0
+    least = 1e-11 * np.abs(target).max(initial=0)
+    for _ in range(20 * len(w)):
+        while free.any():
+            new = np.zeros(len(w))
+            new[free] = np.linalg.lstsq(gram[np.ix_(free, free)], target[free], rcond=None)[0]
+            below = np.flatnonzero(free & (new <= 0))
+            if not len(below):
+                w = new
+                break
+            # As far as the first weight that comes to zero, which is bound.
+            steps = w[below] / np.maximum(w[below] - new[below], 1e-300)
+            w = np.maximum(0.0, w + steps.min() * (new - w))
+            w[below[steps <= steps.min()]] = 0.0
+            free &= w > 0
+        gain = np.where(free, 0.0, target - gram @ w)
+        if gain.max(initial=0) <= least:
+            break
+        free[int(gain.argmax())] = True
+    return w
+
+
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of least total cost, as many as the smaller side has; shortest augmenting paths."""
     turned = cost.shape[0] > cost.shape[1]

@@ -268,3 +268,18 @@ def test_an_unsettled_decomposition_is_an_error():
     m = linalg.Sparse(i, rng.integers(0, n, 5 * n), rng.random(5 * n), (n, n))
     with pytest.raises(np.linalg.LinAlgError):
         linalg.truncated_svd(m, 3, rounds=2)
+
+
+def test_weights_of_topics_that_are_much_alike_are_the_best():
+    """Sweeps stop short of the zeros of some documents; no weight can be changed to come nearer all the same."""
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(size=(3000, 64)))
+    h = np.array([x[k::10].sum(0) for k in range(10)])
+    gram, b = h @ h.T, x @ h.T
+    w = linalg.non_negative_weights(gram, b)
+    slope = (w @ gram - b) / np.abs(b).max(1, keepdims=True)
+    assert (w >= 0).all() and np.where(w > 0, np.abs(slope), np.maximum(0, -slope)).max() < 1e-9
+    twice = np.vstack([h, h[:1]])  # two topics that are the same
+    got = linalg.non_negative_weights(twice @ twice.T, x[:50] @ twice.T)
+    assert np.allclose(got @ twice, w[:50] @ h, atol=1e-9)
+    assert (linalg.settled_weights(gram, np.zeros(10), np.zeros(10)) == 0).all() and (linalg.settled_weights(gram, -b[0], np.ones(10)) == 0).all()
