@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexdrift.operators import ppmi, shift, sketch, tokens, vocabulary
+from lexdrift.plans import registry
 from lexdrift.sources import storage
 from lexdrift.sources.staging import listed
 
@@ -87,6 +88,29 @@ def test_long_lines_make_the_pairs_of_short_ones(spark, chunk, window):
     assert pairs(tokens.long_skipgrams(corpus, window, chunk=chunk)) == pairs(tokens.skipgrams(corpus, window))
 
 
+@pytest.mark.parametrize("window,rounds", [(5, 3), (0, 1)])
+def test_pieces_make_the_pairs_of_the_line_that_they_are(spark, window, rounds):
+    rng = random.Random(4)
+    texts = [(s, k, " ".join(rng.choices(["aaa", "bbb", "ccc", "ddd", "x"], k=rng.choice([0, 0, 1, 1, 2, 3, 40])))) for s in ("a", "b", None) for k in range(120)] + [("one", 5, "aaa"), ("none", 1, "x"), ("none", 2, None)]
+    pieces = spark.createDataFrame(texts, "slice string, at long, line string").repartition(5, "line")
+    whole = [(s, 0, 0, " ".join(t or "" for x, _, t in texts if x == s)) for s in ("a", "b", None, "one", "none")]
+    for least in (0, 2):
+        want = sorted((str(r.slice), r.w1, r.w2, r.n) for r in tokens.pair_counts(spark.createDataFrame(whole, CORPUS), window).where(f"n > {least}").collect())
+        got = tokens.frequent_pairs_of_pieces(pieces, least, window, rounds=rounds)
+        assert got.columns == ["slice", "w1", "w2", "n"] and sorted((str(r.slice), r.w1, r.w2, r.n) for r in got.collect()) == want and want
+
+
+def test_long_lines_of_a_slice_are_not_put_together(spark):
+    plans = []
+    held = tokens.staged
+    tokens.staged = lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or held(df, *a)
+    try:
+        registry.queries()["skipgrams_of_long_lines"](spark, "/root/testdata/sf0.001")
+    finally:
+        tokens.staged = held
+    assert plans and not [p for p in plans if "text" in p.split("collect_list(", 1)[-1].split(")")[0] and "collect_list(" in p]
+
+
 def test_a_very_long_line(spark):
     n = 300_000
     line = " ".join(f"tok{i * i % 7}" for i in range(n))
