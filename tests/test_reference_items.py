@@ -111,6 +111,13 @@ def test_long_lines_of_a_slice_are_not_put_together(spark):
     assert plans and not [p for p in plans if "text" in p.split("collect_list(", 1)[-1].split(")")[0] and "collect_list(" in p]
 
 
+def test_frequent_pairs_are_those_of_all_pairs(spark):
+    corpus = lines(spark, 3).unionByName(spark.createDataFrame([(None, 0, 0, "one two one two"), ("c", 0, 0, None), ("c", 1, 0, "")], CORPUS))
+    for least, rounds in ((0, 4), (1, 1), (5, 3)):
+        want = sorted((str(r.slice), r.w1, r.w2, r.n) for r in tokens.pair_counts(corpus).where(f"n > {least}").collect())
+        assert sorted((str(r.slice), r.w1, r.w2, r.n) for r in tokens.frequent_pairs(corpus, least, rounds=rounds).collect()) == want and want
+
+
 def test_a_very_long_line(spark):
     n = 300_000
     line = " ".join(f"tok{i * i % 7}" for i in range(n))
