@@ -50,9 +50,9 @@ def most_similar(embeddings: DataFrame, words: list[str], n: int = 10) -> DataFr
 def nearest(embeddings: DataFrame, n: int = 10) -> DataFrame:
     """(slice, query, word, similarity, place): what :func:`most_similar` gives, of every word at once. ``n`` is positive.
 
-    Unit vectors are packed into blocks of words; each two blocks of a slice meet in a task, which multiplies them and keeps the ``n`` best of
-    each word; the best of the blocks are merged by word. A task holds two blocks and their products, and only n rows a word and
-    block leave it. Similarities that are equal to 12 digits are ties, settled by rank, which must be different for each word of a slice.
+    Unit vectors are packed into blocks of words, which are written once. A task reads its part of the blocks and all others, a part at a time, multiplies each two and keeps the
+    ``n`` best of its words; the best are merged by word. No vector is shuffled: the time is quadratic, what is on disk is the blocks and the best. A task holds
+    the best of its words, a part of the blocks and the products of two. Similarities that are equal to 12 digits are ties, settled by rank, which must be different for each word of a slice.
     """
     if n < 1:
         raise ValueError(f"at least one neighbour is needed, not {n}")
@@ -69,34 +69,26 @@ def nearest(embeddings: DataFrame, n: int = 10) -> DataFrame:
             }
         )
 
-    def best(key: tuple, asked: pa.Table, others: pa.Table) -> pa.Table:
-        empty = pa.table({"slice": pa.array([], pa.string()), "rank": pa.array([], pa.int32()), "near": pa.array([], pa.list_(pa.struct({"away": pa.float64(), "other": pa.int32()})))})
-        if not asked.num_rows or not others.num_rows:
-            return empty
-        array = lambda t, c, kind: np.frombuffer(t.column(c)[0].as_buffer(), kind)
-        mine, theirs = array(asked, "ranks", "<i4"), array(others, "their_ranks", "<i4")
-        known = array(asked, "known", bool)
-        mine = mine[known]
-        if not len(mine):
-            return empty
-        a, b = array(asked, "units", "<f8").reshape(len(known), -1), array(others, "their_units", "<f8").reshape(len(theirs), -1)
-        s = np.clip(np.nan_to_num(a[known] @ b.T, nan=-1.0), -1, 1)
-        s[mine[:, None] == theirs] = -1
-        away = -np.round(s, DIGITS) + 0.0
-        order = np.lexsort((np.broadcast_to(theirs, s.shape), away), axis=1)[:, :n]
-        took = np.take_along_axis(away, order, 1) < 1
-        count = took.sum(1)
-        found = pa.StructArray.from_arrays([pa.array(np.take_along_axis(away, order, 1)[took]), pa.array(theirs[order][took])], ["away", "other"])
-        near = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), found)
-        return pa.table({"slice": pa.array([key[0].as_py()] * len(mine), pa.string()), "rank": pa.array(mine), "near": near})
-
-    rows = embeddings.select("slice", F.floor(F.col("rank") / BLOCK).cast("int").alias("block"), F.col("rank").cast("int").alias("rank"), "vector")
+    def best(batches):
+        held: dict[tuple, Best] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                array = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind)  # noqa: B023, E731
+                key = (batch.column("slice")[i].as_py(), batch.column("block")[i].as_py())
+                known, theirs = array("known", bool), array("their_ranks", "<i4")
+                if key not in held:
+                    held[key] = Best(key[0], array("ranks", "<i4")[known], n)
+                held[key].meet(array("units", "<f8").reshape(len(known), -1)[known], theirs, array("their_units", "<f8").reshape(len(theirs), -1))
+        for one in held.values():
+            yield from one.rows()
+
+    rows = embeddings.where("slice is not null").select("slice", F.floor(F.col("rank") / BLOCK).cast("int").alias("block"), F.col("rank").cast("int").alias("rank"), "vector")
     packs = staged(rows.groupBy("slice", "block").applyInArrow(pack, "slice string, block int, ranks binary, units binary, known binary"))
-    keys = packs.select(F.col("slice").alias("s"), F.col("block").alias("other"))
-    pairs = packs.select(F.col("slice").alias("of"), F.col("block").alias("mine")).join(keys, F.col("of") == F.col("s")).select("of", "mine", "other")
-    side = lambda at: packs.join(pairs, (F.col("slice") == F.col("of")) & (F.col("block") == F.col(at))).select("of", "mine", "other", "ranks", "units", "known")
-    theirs = side("other").select(F.col("of").alias("o"), F.col("mine").alias("m"), F.col("other").alias("t"), F.col("ranks").alias("their_ranks"), F.col("units").alias("their_units"))
-    met = side("mine").groupBy("of", "mine", "other").cogroup(theirs.groupBy("o", "m", "t")).applyInArrow(best, "slice string, rank int, near array<struct<away:double,other:int>>")
+    theirs = packs.select(F.col("slice").alias("of"), F.col("ranks").alias("their_ranks"), F.col("units").alias("their_units"))
+    # Not an equality, which would send every block to every other by shuffle.
+    met = packs.join(theirs.hint("shuffle_replicate_nl"), ~((F.col("slice") < F.col("of")) | (F.col("slice") > F.col("of")))).drop("of")
+    # One part of the blocks after another meets all parts: a task takes all that meet its part, and so gives each of its words once.
+    met = met.coalesce(max(packs.rdd.getNumPartitions(), packs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(best, "slice string, rank int, near array<struct<away:double,other:int>>")
     merged = met.groupBy("slice", "rank").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, n).alias("near"))
     out = merged.select("slice", "rank", F.posexplode("near").alias("at", "one")).select("slice", "rank", (F.col("at") + 1).alias("place"), F.col("one.other").alias("other"), (-F.col("one.away")).alias("similarity"))
     names = embeddings.select("slice", F.col("rank").cast("int").alias("rank"), F.col("word").alias("query"))
@@ -104,6 +96,39 @@ def nearest(embeddings: DataFrame, n: int = 10) -> DataFrame:
     return out.join(names, ["slice", "rank"]).join(others, ["slice", "other"]).select("slice", "query", "word", "similarity", "place")
 
 
+class Best:
+    """The ``n`` nearest so far of a block's words, by similarity to 12 digits, then rank; the word itself and similarities of -1 aren't any."""
+
+    def __init__(self, name: str, ranks: np.ndarray, n: int):
+        self.name, self.ranks, self.n = name, ranks, n
+        self.away, self.other = np.full((len(ranks), n), 1.0), np.zeros((len(ranks), n), np.int32)
+
+    def meet(self, mine: np.ndarray, ranks: np.ndarray, units: np.ndarray) -> None:
+        if not len(self.ranks) or not len(ranks):
+            return
+        away = -np.round(np.clip(np.nan_to_num(mine @ units.T, nan=-1.0), -1, 1), DIGITS) + 0.0
+        away[self.ranks[:, None] == ranks] = 1
+        k = min(self.n, len(ranks))
+        # Up to the n-th least of a row all that are as near as that, for ties; and none that is farther than the n-th so far.
+        most = np.minimum(np.partition(away, k - 1, axis=1)[:, k - 1], self.away[:, -1])
+        row, column = np.nonzero((away <= most[:, None]) & (away < 1))
+        if not len(row):
+            return
+        every_row = np.concatenate([np.repeat(np.arange(len(self.ranks)), self.n), row])
+        every_away, every_other = np.concatenate([self.away.ravel(), away[row, column]]), np.concatenate([self.other.ravel(), ranks[column]])
+        order = np.lexsort((every_other, every_away, every_row))
+        begin = np.searchsorted(every_row[order], np.arange(len(self.ranks)))
+        took = order[begin[:, None] + np.arange(self.n)]
+        self.away, self.other = every_away[took], every_other[took]
+
+    def rows(self):
+        took = self.away < 1
+        found = pa.StructArray.from_arrays([pa.array(self.away[took]), pa.array(self.other[took])], ["away", "other"])
+        near = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(took.sum(1))), pa.int32()), found)
+        if len(self.ranks):
+            yield pa.RecordBatch.from_arrays([pa.array([self.name] * len(self.ranks), pa.string()), pa.array(self.ranks), near], ["slice", "rank", "near"])
+
+
 def distance(embeddings: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(slice, w1, w2, distance): 1 - cosine, at most 1; null where a word is unknown or has no norm."""
     asked = embeddings.select("slice").distinct().withColumn("p", F.explode(F.array(*[F.struct(F.lit(a).alias("w1"), F.lit(b).alias("w2")) for a, b in pairs])))

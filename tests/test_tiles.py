@@ -170,5 +170,16 @@ def test_nearest_words_are_those_asked_for_one_by_one(spark, monkeypatch, block)
         similarity.nearest(e, 0)
 
 
+def test_no_vectors_are_shuffled_for_nearest_words(spark, monkeypatch):
+    """Blocks were sent to each other block's task: as many times the vectors on disk as there are blocks."""
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    rows = [("s", f"w{k}", k, [float(k % 7), float(k % 5), 1.0 + k]) for k in range(64)]
+    e = spark.createDataFrame(rows, "slice string, word string, rank int, vector array<double>")
+    plan = similarity.nearest(e, 2)._jdf.queryExecution().executedPlan().toString()
+    sent = [x for x in plan.split("\n") if "Exchange" in x]
+    assert "CartesianProduct" in plan and sent and not [x for x in sent if "mine" in x or "units" in x]
+    assert similarity.nearest(e, 2).count() == 128
+
+
 def test_lines_are_needed_for_words(spark):
     assert tokens.words(spark.createDataFrame([("a", None)], "slice string, line string")).count() == 0
